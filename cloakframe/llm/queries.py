@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .pii import find_pii
+from .secret_ledger import find_secrets
 from .simhash import simhash_components
 
 
@@ -16,7 +18,17 @@ def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_golay": op6_simhash_golay,
+    "op9_pii_weak_supervision": op9_pii_weak_supervision,
+    "op10_secret_ledger": op10_secret_ledger,
 }
 ORACLE_SQL: dict[str, str] = {}
