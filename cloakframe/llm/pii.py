@@ -180,7 +180,7 @@ def redact(docs: DataFrame) -> DataFrame:
     Of overlapping spans the one that starts first (then the longer) is replaced.
     A null text stays null.
     """
-    found = candidates(docs)
+    found = candidates(docs.select(F.struct(*docs.columns).alias("row"), "text"))
     model = fit(found.select("_base", "_more"))
     done = classified(found, model)
     names = "array(" + ", ".join(quoted(f"[{k.upper()}]") for k in KINDS) + ")"
@@ -188,8 +188,9 @@ def redact(docs: DataFrame) -> DataFrame:
         CAST(struct(0 AS pos, '' AS got) AS struct<pos: int, got: string>),
         (acc, x) -> CASE WHEN x.s < acc.pos THEN acc ELSE CAST(struct(x.e AS pos, concat(acc.got, substring(text, acc.pos + 1, x.s - acc.pos), element_at({names}, x.k + 1)) AS got) AS struct<pos: int, got: string>) END,
         acc -> concat(acc.got, substring(text, acc.pos + 1)))"""
-    new = {"text": F.expr(f"CASE WHEN size(_spans) > 0 THEN {spliced} ELSE text END")}
-    done = done.withColumns(new)
+    text = F.expr(f"CASE WHEN size(_spans) > 0 THEN {spliced} ELSE text END")
+    done = done.select("row", text.alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
-    return done.select(*docs.columns)
+        new["n_chars"] = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("row.n_chars"))
+    return done.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

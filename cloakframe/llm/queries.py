@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontam import contamination
 from .pii import find_pii
 from .secret_ledger import find_secrets
 from .simhash import simhash_components
@@ -18,6 +19,10 @@ def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op8_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
@@ -28,6 +33,7 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_simhash_golay": op6_simhash_golay,
+    "op8_spaced_seed_decontamination": op8_spaced_seed_decontamination,
     "op9_pii_weak_supervision": op9_pii_weak_supervision,
     "op10_secret_ledger": op10_secret_ledger,
 }
