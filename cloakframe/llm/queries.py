@@ -12,6 +12,11 @@ from .decontam import contamination
 from .pii import find_pii
 from .secret_ledger import find_secrets
 from .simhash import simhash_components
+from .toxicity import score_toxicity
+
+
+def op4_toxicity_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +37,7 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity_nearest": op4_toxicity_nearest,
     "op6_simhash_golay": op6_simhash_golay,
     "op8_spaced_seed_decontamination": op8_spaced_seed_decontamination,
     "op9_pii_weak_supervision": op9_pii_weak_supervision,
