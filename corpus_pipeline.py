@@ -1,13 +1,56 @@
-"""The corpus pipeline: toxicity, near-duplicates, decontamination, personal data, encoding."""
+"""The corpus pipeline over ``documents``: five stages, each over all that the one before kept.
+
+Toxic documents go; of near-duplicates one document stays; documents that hold a benchmark
+passage go; personal data is replaced by its kind; the texts that are left are encoded.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from cloakframe.llm.decontam import decontaminate
+from cloakframe.llm.pii import redact
+from cloakframe.llm.sentencepiece_nbest import encode_texts
+from cloakframe.llm.simhash import keep_one
+from cloakframe.llm.toxicity import drop_toxic
+from cloakframe.operators.graph import cut
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return redact(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_texts(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("encoding", encoding),
+]
+#: The stages can't be put into SQL; tests/llm/test_pipeline.py holds them against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)  # later stages read their input more than once
     return docs
