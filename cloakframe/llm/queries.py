@@ -11,6 +11,7 @@ from .common import table
 from .decontam import contamination
 from .pii import find_pii
 from .secret_ledger import find_secrets
+from .sentencepiece_nbest import encode_texts
 from .simhash import simhash_components
 from .toxicity import score_toxicity
 
@@ -24,6 +25,10 @@ def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -39,6 +44,7 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity_nearest": op4_toxicity_nearest,
     "op6_simhash_golay": op6_simhash_golay,
+    "op7_sentencepiece_nbest": op7_sentencepiece_nbest,
     "op8_spaced_seed_decontamination": op8_spaced_seed_decontamination,
     "op9_pii_weak_supervision": op9_pii_weak_supervision,
     "op10_secret_ledger": op10_secret_ledger,

@@ -185,3 +185,15 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     linked = parts.join(named, "component").select(F.col("node").alias("fp"), "component_id")
     by_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest doc_id (of repeated rows, one).
+
+    A row without a doc_id stands behind all that have one; among such rows equal texts are one.
+    """
+    spare = F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), spare).alias("id"), "text")
+    found = simhash_components(rows.select(F.col("id").alias("doc_id"), "text"))
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    return rows.select("id", "row").join(kept, "id", "left_semi").dropDuplicates(["id"]).select("row.*")
