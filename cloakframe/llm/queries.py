@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_tree import digest
 from .common import table
 from .decontam import contamination
 from .pii import find_pii
@@ -16,6 +17,13 @@ from .simhash import simhash_components
 from .toxicity import score_toxicity
 
 
+def op3_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return digest(rows.unionByName(extra))
+
+
 def op4_toxicity_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,6 +50,7 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat_prefix_tree": op3_chat_prefix_tree,
     "op4_toxicity_nearest": op4_toxicity_nearest,
     "op6_simhash_golay": op6_simhash_golay,
     "op7_sentencepiece_nbest": op7_sentencepiece_nbest,
