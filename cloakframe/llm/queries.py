@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_tree import digest
 from .common import table
 from .decontam import contamination
+from .langid import identify
 from .pii import find_pii
 from .secret_ledger import find_secrets
 from .sentencepiece_nbest import encode_texts
@@ -17,6 +18,10 @@ from .simhash import simhash_components
 from .toxicity import score_toxicity
 
 
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -50,6 +55,7 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_mixture": op2_language_mixture,
     "op3_chat_prefix_tree": op3_chat_prefix_tree,
     "op4_toxicity_nearest": op4_toxicity_nearest,
     "op6_simhash_golay": op6_simhash_golay,

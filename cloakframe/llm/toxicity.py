@@ -185,7 +185,7 @@ def choose_words(train: DataFrame) -> tuple[list[str], int, int]:
                 for text, y in zip(part.column("text").to_pylist(), part.column("y").to_pylist(), strict=True):
                     (up if y else down).update(set(words_of(text)))
                 words = list(up.keys() | down.keys())
-                yield pa.RecordBatch.from_pydict({"word": words, "up": pa.array([up[w] for w in words], pa.int64()), "down": pa.array([down[w] for w in words], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "up": pa.array([up[w] for w in words], pa.int64()), "down": pa.array([down[w] for w in words], pa.int64())})
 
     n = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
