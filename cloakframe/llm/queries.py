@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat_tree import digest
 from .common import table
 from .decontam import contamination
+from .hnsw import nearest
 from .langid import identify
 from .pii import find_pii
 from .secret_ledger import find_secrets
@@ -33,6 +34,11 @@ def op4_toxicity_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_hnsw_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -58,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_mixture": op2_language_mixture,
     "op3_chat_prefix_tree": op3_chat_prefix_tree,
     "op4_toxicity_nearest": op4_toxicity_nearest,
+    "op5_hnsw_shards": op5_hnsw_shards,
     "op6_simhash_golay": op6_simhash_golay,
     "op7_sentencepiece_nbest": op7_sentencepiece_nbest,
     "op8_spaced_seed_decontamination": op8_spaced_seed_decontamination,
