@@ -16,9 +16,14 @@ from .pii import find_pii
 from .secret_ledger import find_secrets
 from .sentencepiece_nbest import encode_texts
 from .simhash import simhash_components
+from .suffix_dedup import remove_repeats
 from .toxicity import score_toxicity
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_language_mixture": op2_language_mixture,
     "op3_chat_prefix_tree": op3_chat_prefix_tree,
     "op4_toxicity_nearest": op4_toxicity_nearest,
