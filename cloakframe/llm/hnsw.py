@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import cut
 
-SHARD, WIDTH, EF_BUILD, EF_SEARCH, BATCH, QUERY_BLOCK = 4096, 16, 64, 160, 256, 512
+SHARD, WIDTH, EF_BUILD, EF_SEARCH, BATCH, QUERY_BLOCK = 4096, 16, 64, 96, 256, 512
 MAX_LENGTHS = 1000
 
 
