@@ -1,4 +1,4 @@
-"""Native span expressions: matches of a pattern as arrays of (s, e, t), in code points, end exclusive.
+"""Span expressions of this subpackage's native operators.
 
 Patterns are written so that Java's engine stays linear and never recurses on long runs:
 possessive quantifiers, and a look-behind (or ``\\G``, the end of the previous match) that
@@ -10,29 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import spans as base
+from ..functions.spans import matches, quoted
 
-def matches(text: str, pattern: str) -> str:
-    """SQL for the matched strings of column ``text``."""
-    return f"regexp_extract_all({text}, {quoted(pattern)}, 0)"
-
-
-def quoted(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+__all__ = ["listed", "matches", "placed", "quoted"]
 
 
 def placed(text: str, pattern: str, found: str) -> str:
-    """SQL for array<struct<s,e,t>>: the strings of array column ``found`` with their places.
-
-    The text between matches comes from splitting on the same pattern, so places follow
-    from running lengths; rows without a match never split.
-    """
-    return f"""CASE WHEN size({found}) > 0 THEN aggregate(
-        zip_with(slice(split({text}, {quoted(pattern)}, -1), 1, size({found})), {found}, (a, t) -> struct(length(a) AS n, t AS t)),
-        CAST(struct(0 AS pos, array() AS got) AS struct<pos: int, got: array<struct<s: int, e: int, t: string>>>),
-        (acc, x) -> CAST(struct(acc.pos + x.n + length(x.t) AS pos,
-            concat(acc.got, array(struct(acc.pos + x.n AS s, acc.pos + x.n + length(x.t) AS e, x.t AS t))) AS got)
-            AS struct<pos: int, got: array<struct<s: int, e: int, t: string>>>),
-        acc -> acc.got) ELSE CAST(array() AS array<struct<s: int, e: int, t: string>>) END"""
+    return base.placed(text, quoted(pattern), found)
 
 
 def listed(spans: str, kinds: list[str]) -> Column:
