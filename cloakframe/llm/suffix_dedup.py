@@ -10,15 +10,15 @@ whose members go on differently to the left splits by their left contexts, which
 of the same kind finds; so every maximal repeat comes out once, with all its occurrences. Of a
 repeat of LENGTH bytes or more, all occurrences outside its smallest document are covered.
 
-A hash that very many documents share is sent window by window: the key is then the hash of the
-whole window, equal windows of a task are sent once, and no shard holds more than a few for each
-task. Texts are joined to what was found by streams sorted by partition, never collected.
+Copies of a whole text count once, under their smallest id; the others go whole. A hash that very many documents share is sent window by window: two hashes stand for the whole
+window, equal windows of a chunk are sent once, and no shard holds more than a few for each chunk. Texts are joined to what was found by streams sorted by partition, never collected.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +31,14 @@ from .common import as_bytes, text_chunks
 
 LENGTH, GRAM = 50, 16
 LEFT = LENGTH - GRAM
-#: Documents in which a hash may occur, in one task's chunk and altogether, before it is sent by windows.
-LOCAL_HOT, HOT = 48, 2000
-CHUNK = 6_000_000
+#: Documents in which a hash may occur, in one chunk of a task and altogether, before it is sent by windows. In a chunk it is
+#: at least LOCAL_HOT, and more while the input is so small that its share of HOT is more.
+LOCAL_HOT, HOT = 48, 200_000
+CHUNK = 1_500_000
 NO_ID = (1 << 63) - 1
 _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INVERSE = np.uint64(pow(int(_B), -1, 1 << 64))
+_WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _HASH_BITS = np.uint64((1 << 48) - 1)
 _HOT_BIT = np.uint64(1 << 63)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -58,6 +60,19 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+_kept: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the hash's base and of its inverse."""
+    if len(_kept[0]) < n:
+        for i, base in enumerate((_B, _B_INVERSE)):
+            p = np.full(n, base)
+            p[0] = 1
+            _kept[i] = np.multiply.accumulate(p, out=p)
+    return _kept[0][:n], _kept[1][:n]
+
+
 class Scan:
     """Anchors of a list of texts: ``at`` (place in ``raw``), ``doc`` (number of the text), ``hash``."""
 
@@ -71,24 +86,26 @@ class Scan:
         self.hash = np.zeros(0, np.uint64)
         if n < LENGTH:
             return
-        power, self.inverse = np.full(n, _B), np.full(n, _B_INVERSE)  # so that a hash does not depend on its place
-        for p in (power, self.inverse):
-            p[0] = 1
-            np.multiply.accumulate(p, out=p)
+        power, self.inverse = _powers(n)  # so that a hash does not depend on its place
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((raw + np.uint64(1)) * power, out=self.sums[1:])
-        h = _mixed((self.sums[GRAM:] - self.sums[:-GRAM]) * self.inverse[: n - GRAM + 1])
-        stop = np.repeat(self.end, self.sizes)
-        spot = np.arange(len(h))
-        h = np.where(spot + GRAM <= stop[: len(h)], h & (_TOP - np.uint64(1)), _TOP)
-        low = _sliding(h, LENGTH - GRAM + 1, np.minimum)
-        self.low = np.where(np.arange(len(low)) + LENGTH <= stop[: len(low)], low, np.uint64(0))
-        edge = np.zeros(LENGTH - GRAM, np.uint64)
-        high = _sliding(np.concatenate((edge, self.low, edge)), LENGTH - GRAM + 1, np.maximum)
-        self.at = np.flatnonzero(high == h)
+        h = self.sums[GRAM:] - self.sums[:-GRAM]
+        h *= self.inverse[: n - GRAM + 1]
+        h = _mixed(h)
+        rank = (h >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)
+        # grams and windows that would run over the end of a text
+        over = (self.end[:, None] - np.arange(1, GRAM)).ravel()
+        rank[over[(over >= 0) & (over < len(rank))]] = 0xFFFFFFFF
+        low = _sliding(rank, LENGTH - GRAM + 1, np.minimum)
+        over = (self.end[:, None] - np.arange(1, LENGTH)).ravel()
+        low[over[(over >= 0) & (over < len(low))]] = 0
+        self.low = low
+        edge = np.zeros(LENGTH - GRAM, np.uint32)
+        high = _sliding(np.concatenate((edge, low, edge)), LENGTH - GRAM + 1, np.maximum)
+        self.at = np.flatnonzero(high == rank)
         self.doc = np.searchsorted(self.end, self.at, side="right")
-        self.full = h[self.at]
-        self.hash = self.full & _HASH_BITS
+        self.rank = rank[self.at]
+        self.hash = h[self.at] & _HASH_BITS
 
     def contexts(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of anchors: bytes left (nearest first) and right, zero-padded, and how many of each."""
@@ -98,13 +115,18 @@ class Scan:
         right = np.where(np.arange(LENGTH) < rc[:, None], self.raw[np.minimum(at[:, None] + np.arange(LENGTH), len(self.raw) - 1)], 0)
         return left.astype(np.uint8), right.astype(np.uint8), lc.astype(np.uint8), rc.astype(np.uint8)
 
-    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the windows in which one of the anchors is smallest, and their hashes (top bit set)."""
+    def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the windows in which one of the anchors is smallest, and two hashes of each (the first with its top bit set)."""
         starts = self.at[which][:, None] - np.arange(LEFT + 1)
         inside = (starts >= self.begin[self.doc[which]][:, None]) & (starts < len(self.low))
-        ok = inside & (self.low[np.clip(starts, 0, len(self.low) - 1)] == self.full[which][:, None])
+        ok = inside & (self.low[np.clip(starts, 0, len(self.low) - 1)] == self.rank[which][:, None])
         s = np.unique(starts[ok])
-        return s, _mixed((self.sums[s + LENGTH] - self.sums[s]) * self.inverse[s]) | _HOT_BIT
+        second = np.zeros(len(s), np.uint64)
+        for i in range(0, len(s), 20_000):
+            rows = np.zeros((len(s[i : i + 20_000]), -(-LENGTH // 8) * 8), np.uint8)
+            rows[:, :LENGTH] = self.raw[s[i : i + 20_000, None] + np.arange(LENGTH)]
+            second[i : i + 20_000] = _mixed((rows.view("<u8") * _WEIGHTS).sum(axis=1, dtype=np.uint64))
+        return s, _mixed((self.sums[s + LENGTH] - self.sums[s]) * self.inverse[s]) | _HOT_BIT, second
 
 
 # binary rows: numpy arrays side by side, compressed
@@ -112,7 +134,7 @@ class Scan:
 
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *(a.nbytes for a in arrays)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
@@ -181,8 +203,9 @@ def _send_hashes(buckets: int, parts: int, local_hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch, limit=CHUNK):
-                scan = Scan(as_bytes(part.column("text")))
-                key = part.column("key").to_numpy()
+                texts = as_bytes(part.column("text"))
+                key, at = np.unique(part.column("key").to_numpy(), return_index=True)
+                scan = Scan([texts[i] for i in at.tolist()])
                 if not len(scan.at):
                     continue
                 pair = np.unique(np.stack((scan.hash, scan.doc.astype(np.uint64))), axis=1) if len(scan.at) < 1000 else _unique_pairs(scan.hash, scan.doc)
@@ -243,8 +266,8 @@ def _shared_hashes(parts: int, hot: int):
             if not hs:
                 continue
             h, key = np.concatenate(hs), np.concatenate(ks)
-            order = np.argsort(h, kind="stable")
-            h, key = h[order], key[order]
+            h, key = _unique_pairs(h, key.view(np.uint64))
+            key = key.view(np.int64)
             new = np.flatnonzero(np.diff(h, prepend=_TOP))
             many = np.diff(np.append(new, len(h)))
             warm = (many > hot) | np.isin(h[new], np.concatenate(marked))
@@ -258,25 +281,89 @@ def _shared_hashes(parts: int, hot: int):
 # second pass: contexts of shared anchors
 
 
-def _streams(batches: Iterator[pa.RecordBatch], *kinds: str) -> Iterator[tuple[list[np.ndarray], pa.RecordBatch]]:
-    """Slices of document rows (kind 1) with the arrays sent to their partition (kind 0, before them), sorted by key."""
-    part, held, blobs = None, [np.zeros(0, k) for k in kinds], None
+def _send_texts(parts: int):
+    """Texts for the partition of their key, many in a blob, each once for a chunk however many rows have it.
+
+    Kind 1: keys and smallest ids; kind 2: keys, sizes, bytes, and the rows: place of the key, id, doc_id, whether there is one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in text_chunks(batch, limit=4 * CHUNK):
+                ids, doc_id = rows.column("id").to_numpy(), rows.column("doc_id")
+                known, doc_id = np.asarray(doc_id.is_valid()), doc_id.fill_null(0).to_numpy()
+                texts = as_bytes(rows.column("text"))
+                keys, at, of = np.unique(rows.column("key").to_numpy(), return_index=True, return_inverse=True)
+                least = np.full(len(keys), NO_ID)
+                np.minimum.at(least, of, ids)
+                part = np.mod(keys, parts)
+                by = np.argsort(part[of], kind="stable")
+                edges = np.searchsorted(part[of][by], np.arange(parts + 1))
+                for p in np.unique(part).tolist():
+                    own, mine = np.flatnonzero(part == p), by[edges[p] : edges[p + 1]]
+                    body = [texts[i] for i in at[own].tolist()]
+                    sizes = np.array([len(t) for t in body], np.int64)
+                    whole = _pack(keys[own], sizes, np.frombuffer(b"".join(body), np.uint8), np.searchsorted(own, of[mine]), ids[mine], doc_id[mine], known[mine])
+                    yield _rows([p, p], [1, 2], [_pack(keys[own], least[own]), whole])
+
+    return run
+
+
+def _streams(batches: Iterator[pa.RecordBatch], *kinds: str) -> Iterator[tuple[list[np.ndarray], tuple[np.ndarray, np.ndarray], dict]]:
+    """Of each partition in turn: the arrays sent to it (kind 0) sorted by key, its keys with their smallest ids (kind 1),
+    and again and again a blob of texts (kind 2) unpacked."""
+    part, held, least, blobs, names = None, [], (np.zeros(0, np.int64),) * 2, [], []
     for batch in batches:
-        parts, kind = batch.column("part").to_numpy(), batch.column("kind").to_numpy()
-        cuts = np.flatnonzero(np.diff(parts * 2 + kind, prepend=-1))
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows], strict=True):
-            if parts[a] != part:
-                part, blobs, held = parts[a], [], [np.zeros(0, k) for k in kinds]
-            piece = batch.slice(a, b - a)
-            if kind[a] == 0:
-                blobs += [_unpack(x, *kinds) for x in piece.column("blob").to_pylist()]
+        for p, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "blob")), strict=True):
+            if p != part:
+                part, blobs, names, held = p, [], [], [np.zeros(0, k) for k in kinds]
+            if kind == 0:
+                blobs.append(_unpack(blob, *kinds))
+                continue
+            if kind == 1:
+                names.append(_unpack(blob, "<i8", "<i8"))
                 continue
             if blobs:
                 joined = [np.concatenate(x) for x in zip(*blobs, strict=True)]
                 order = np.argsort(joined[0], kind="stable")
                 held, blobs = [x[order] for x in joined], []
-            for rows in text_chunks(piece, limit=CHUNK):
-                yield held, rows
+            if names:
+                key, low = (np.concatenate(x) for x in zip(*names, strict=True))
+                order = np.lexsort((low, key))
+                first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+                least, names = (key[order[first]], low[order[first]]), []
+            key, sizes, body, of, ids, doc_id, known = _unpack(blob, "<i8", "<i8", "u1", "<i8", "<i8", "<i8", "?")
+            ends, data = np.cumsum(sizes), body.tobytes()
+            texts = [data[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            yield held, least, {"key": key, "size": sizes, "texts": texts, "of": of, "id": ids, "doc_id": doc_id, "known": known}
+
+
+def _distinct_texts(batches: Iterator[pa.RecordBatch], *kinds: str) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, list[bytes]]]:
+    """The arrays of a partition, and keys, smallest ids and texts of about CHUNK bytes, each text of the partition once."""
+    held, seen, waiting, size = [], set(), [], 0
+
+    def flush():
+        key = np.array([k for k, _, _ in waiting])
+        return held, key, np.array([i for _, i, _ in waiting]), [t for _, _, t in waiting]
+
+    last = None
+    for arrays, least, rows in _streams(batches, *kinds):
+        if least is not last:  # another partition
+            if waiting:
+                yield flush()
+            held, last, seen, waiting, size = arrays, least, set(), [], 0
+        ids = least[1][np.searchsorted(least[0], rows["key"])]
+        for k, i, t in zip(rows["key"].tolist(), ids.tolist(), rows["texts"], strict=True):
+            if k in seen:
+                continue
+            seen.add(k)
+            waiting.append((k, i, t))
+            size += len(t)
+            if size >= CHUNK:
+                yield flush()
+                waiting, size = [], 0
+    if waiting:
+        yield flush()
 
 
 def _ranges(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,11 +379,10 @@ def _send_contexts(buckets: int):
     document's goes as ``first``; the others ride along as covered places (kind 1), since they are repeats already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (keys, hashes), rows in _streams(batches, "<i8", "<u8"):
-            scan = Scan(as_bytes(rows.column("text")))
+        for (keys, hashes), key, ids, texts in _distinct_texts(batches, "<i8", "<u8"):
+            scan = Scan(texts)
             if not len(scan.at):
                 continue
-            key, ids = rows.column("key").to_numpy(), rows.column("id").to_numpy()
             spot, of = _ranges(keys, key)
             # (document, hash) pairs as one sortable number each: hashes are numbered first
             names = np.unique(np.concatenate((hashes[spot] & _HASH_BITS, scan.hash)))
@@ -313,9 +399,12 @@ def _send_contexts(buckets: int):
             left, right, lc, rc = scan.contexts(which)
             at, doc, name = scan.at[which], scan.doc[which], scan.hash[which]
             if hot.any():
-                s, w = scan.windows(np.flatnonzero(hot))
+                s, w, second = scan.windows(np.flatnonzero(hot))
                 left = np.concatenate((left, np.zeros((len(s), LEFT), np.uint8)))
-                right = np.concatenate((right, scan.raw[s[:, None] + np.arange(LENGTH)]))
+                # 127 bits of hash stand for a window's bytes, so these rows are short and equal only where windows are
+                stand_in = np.zeros((len(s), LENGTH), np.uint8)
+                stand_in[:, :8] = second.view(np.uint8).reshape(-1, 8)
+                right = np.concatenate((right, stand_in))
                 lc, rc = np.concatenate((lc, np.zeros(len(s), np.uint8))), np.concatenate((rc, np.full(len(s), LENGTH, np.uint8)))
                 at, doc, name = np.concatenate((at, s)), np.concatenate((doc, np.searchsorted(scan.end, s, side="right"))), np.concatenate((name, w))
             if not len(at):
@@ -329,15 +418,22 @@ def _send_contexts(buckets: int):
             least = ids[doc[order[np.flatnonzero(lead)]]][np.cumsum(lead) - 1]
             again = ids[doc[order]] > least
             yield from _covered(key[doc[order[again]]], (pos[order] - lc[order])[again], (pos[order] + rc[order])[again], buckets)
-            send = order[~again]
+            # of a context's places in one document the first is sent, the others as places only
+            own_key = key[doc[order]]
+            first = lead | np.concatenate(([True], own_key[1:] != own_key[:-1]))
+            send, more = order[first & ~again], np.bincount(np.cumsum(first) - 1, minlength=int(first.sum()))[~again[first]] - 1
+            others = pos[order[~first & ~again]].astype("<i4")
+            others_at = np.cumsum(more) - more
             bucket = (name[send] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)).astype(np.int64) % buckets
-            by = np.argsort(bucket, kind="stable")
+            by = np.lexsort((name[send], bucket))
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
             numbers = np.flatnonzero(np.diff(edges)).tolist()
             blobs = []
             for i in numbers:
-                own = send[by[edges[i] : edges[i + 1]]]
-                blobs.append(_pack(name[own], ids[doc[own]], key[doc[own]], pos[own].astype("<i4"), lc[own], rc[own], right[own], left[own]))
+                part = by[edges[i] : edges[i + 1]]
+                own, n = send[part], more[part]
+                spots = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(others_at[part], n)
+                blobs.append(_pack(name[own], ids[doc[own]], key[doc[own]], pos[own].astype("<i4"), lc[own], rc[own], right[own], left[own], n.astype("<i4"), others[spots]))
             if numbers:
                 yield _rows(numbers, [0] * len(numbers), blobs)
 
@@ -396,37 +492,35 @@ def intervals(lcp: list[int], least: int) -> Iterator[tuple[int, int, int]]:
             stack.append((now, first))
 
 
-def maximal_repeats(names: np.ndarray, right: np.ndarray, rc: np.ndarray, left: np.ndarray, lc: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, int, np.ndarray]]:
+def maximal_repeats(names: np.ndarray, right: np.ndarray, rc: np.ndarray, left: np.ndarray, lc: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, int, list[int]]]:
     """(bytes left of the anchor, bytes right, members) of every maximal repeat of ``length`` bytes or more around anchors
     of one name, as far as the contexts show; members are all its occurrences."""
-    n = len(names)
-    wide = lambda rows: tuple(np.pad(rows, ((0, 0), (0, -rows.shape[1] % 8))).view(">u8").T[::-1])
-    order = np.lexsort((rc, *wide(right), names))
+    words = np.pad(right, ((0, 0), (0, -right.shape[1] % 8))).view(">u8")
+    order = np.lexsort((rc, *words.T[::-1], names))
     same = np.concatenate(([False], names[order][1:] == names[order][:-1]))
     lcp = np.where(same, _common(right[order], rc[order]), 0)
     most = left.shape[1]
+    back = [int.from_bytes(x, "big") for x in np.ascontiguousarray(left).view(f"V{most}").ravel().tolist()]
+    there = lc.tolist()
+    members_of = order.tolist()
+    alike = lambda x, y: min(there[x], there[y], most - (((back[x] ^ back[y]).bit_length() + 7) >> 3))
     for r, a, b in intervals(lcp.tolist(), max(1, length - most)):
-        members = order[a : b + 1]
+        members = members_of[a : b + 1]
         if b - a == 1:
-            x, y = members
-            top = min(lc[x], lc[y])
-            off = np.flatnonzero(left[x, :top] != left[y, :top])
-            common = int(off[0]) if len(off) else int(top)
+            common = alike(*members)
             if common + r >= length:
                 yield common, r, members
             continue
-        by = np.lexsort((lc[members], *wide(left[members])))
-        members = members[by]
-        steps = _common(left[members], lc[members])
-        if steps[1:].min() == steps[1:].max():  # one way to the left, or all different at once
-            if steps[1] + r >= length:
-                yield int(steps[1]), r, members
+        members.sort(key=lambda i: (back[i], there[i]))
+        steps = [0, *(alike(x, y) for x, y in pairwise(members))]
+        if (low := min(steps[1:])) == max(steps):  # one way to the left, or all different at once
+            if low + r >= length:
+                yield low, r, members
             continue
         # members that go on differently to the left: one repeat for each interval of left contexts
-        for common, c, d in intervals((steps + 1).tolist(), 1):  # + 1: an empty left context is an interval too
+        for common, c, d in intervals([x + 1 for x in steps], 1):  # + 1: an empty left context is an interval too
             if common - 1 + r >= length:
                 yield common - 1, r, members[c : d + 1]
-    assert n == len(order)
 
 
 def _search_shards(parts: int):
@@ -440,65 +534,77 @@ def _search_shards(parts: int):
                     key = _unpack(blob, "<i8", "<i8", "<i8")[0]
                     yield _rows([int(np.mod(key[0], parts))], [0], [blob])
                 else:
-                    got.append(_unpack(blob, "<u8", "<i8", "<i8", "<i4", "u1", "u1", "u1", "u1"))
+                    got.append(_unpack(blob, "<u8", "<i8", "<i8", "<i4", "u1", "u1", "u1", "u1", "<i4", "<i4"))
             if not got:
                 continue
-            name, ids, key, pos, lc, rc, right, left = (np.concatenate(x) for x in zip(*got, strict=True))
+            name, ids, key, pos, lc, rc, right, left, more, others = (np.concatenate(x) for x in zip(*got, strict=True))
+            del got
             right, left = right.reshape(-1, LENGTH), left.reshape(-1, LEFT)
-            lc, rc = lc.astype(np.int64), rc.astype(np.int64)
-            keys, starts, ends = [], [], []
-            for before, after, members in maximal_repeats(name, right, rc, left, lc):
-                m = members[ids[members] > ids[members].min()]
-                if len(m):
-                    keys.append(key[m])
-                    starts.append(pos[m].astype(np.int64) - before)
-                    ends.append(pos[m].astype(np.int64) + after)
-            if keys:
-                for b in _covered(np.concatenate(keys), np.concatenate(starts), np.concatenate(ends), parts):
-                    yield _rows(b.column("part").to_pylist(), [0] * b.num_rows, b.column("blob").to_pylist())
+            who: list[int] = []
+            before: list[int] = []
+            after: list[int] = []
+            id_of = ids.tolist()
+            for back, on, members in maximal_repeats(name, right, rc.astype(np.int64), left, lc.astype(np.int64)):
+                low = min(id_of[i] for i in members)
+                hit = [i for i in members if id_of[i] > low]
+                who += hit
+                before += [back] * len(hit)
+                after += [on] * len(hit)
+            if not who:
+                continue
+            i, b, e = np.array(who), np.array(before), np.array(after)
+            n = more[i].astype(np.int64)
+            first = (np.cumsum(more) - more)[i]
+            spots = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            place = np.concatenate((pos[i], others[spots])).astype(np.int64)
+            b, e, i = (np.concatenate((x, np.repeat(x, n))) for x in (b, e, i))
+            for batch in _covered(key[i], place - b, place + e, parts):
+                yield _rows(batch.column("part").to_pylist(), [0] * batch.num_rows, batch.column("blob").to_pylist())
 
     return run
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (keys, starts, ends), rows in _streams(batches, "<i8", "<i8", "<i8"):
-        texts, key = as_bytes(rows.column("text")), rows.column("key").to_numpy()
-        spot, of = _ranges(keys, key)
-        doc, start, end = merge(of, starts[spot], ends[spot])
+    """Every row's result: a copy of a text with a smaller id goes whole, other rows lose what is covered."""
+    nothing = hashlib.sha256().hexdigest()
+    for (keys, starts, ends), least, rows in _streams(batches, "<i8", "<i8", "<i8"):
+        key, of, size = rows["key"], rows["of"], rows["size"]
+        copy = (rows["id"] > least[1][np.searchsorted(least[0], key)][of]) & (size[of] >= LENGTH)
+        spot, doc = _ranges(keys, key)
+        doc, start, end = merge(doc, starts[spot], ends[spot])
         removed = np.bincount(doc, weights=end - start, minlength=len(key)).astype(np.int64)
         spans = np.bincount(doc, minlength=len(key))
         first = np.searchsorted(doc, np.arange(len(key) + 1))
-        shas = []
-        for i, text in enumerate(texts):
-            sha, at = hashlib.sha256(), 0
+        shas: dict[int, str] = {}
+        for i in np.unique(of[~copy]).tolist():
+            text, sha, at = rows["texts"][i], hashlib.sha256(), 0
             for j in range(first[i], first[i + 1]):
                 sha.update(text[at : start[j]])
                 at = int(end[j])
             sha.update(text[at:])
-            shas.append(sha.hexdigest())
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(removed), pa.array(spans.astype(np.int64)), pa.array(shas)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            shas[i] = sha.hexdigest()
+        kept = [nothing if c else shas[i] for c, i in zip(copy.tolist(), of.tolist(), strict=True)]
+        columns = [pa.array(rows["doc_id"], mask=~rows["known"]), pa.array(size[of]), pa.array(np.where(copy, size[of], removed[of])), pa.array(np.where(copy, 1, spans[of]).astype(np.int64)), pa.array(kept, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, local_hot: int = LOCAL_HOT, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, local_hot: int | None = None, hot: int = HOT) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a string of LENGTH bytes over it also starts in a row with a smaller doc_id.
     A null text is empty. Rows without a doc_id count as larger than all others, and none of them
     as smaller than another; rows with one doc_id never shorten each other, whatever their texts.
     """
-    parts = max(8, 4 * docs.rdd.getNumPartitions())  # about a quarter of an input split's text in each
+    splits = max(1, docs.rdd.getNumPartitions())
+    parts = max(8, 2 * splits)  # about half of an input split's text in each
+    local_hot = max(LOCAL_HOT, hot // (8 * splits)) if local_hot is None else local_hot
     identity = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), identity.alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("id", "text"))
+    rows = rows.withColumn("key", F.xxhash64("text", F.octet_length("text")))  # copies of a text are one document, with their smallest id
     by_part = lambda df: df.repartition(parts, "part").sortWithinPartitions("part", "kind")
-    texts = rows.select(F.expr(f"pmod(key, {parts})").alias("part"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("blob"), "key", "id", "doc_id", "text")
-
-    def beside_texts(blobs: DataFrame) -> DataFrame:
-        none = {"key": "long", "id": "long", "doc_id": "long", "text": "string"}
-        return by_part(blobs.select("*", *[F.lit(None).cast(t).alias(c) for c, t in none.items()]).unionByName(texts))
-
+    texts = rows.mapInArrow(_send_texts(parts), BLOBS)
     hashes = rows.select("key", "text").mapInArrow(_send_hashes(parts, parts, local_hot), BLOBS)
     shared = by_part(hashes).mapInArrow(_shared_hashes(parts, hot), BLOBS)
-    contexts = beside_texts(shared).mapInArrow(_send_contexts(parts), BLOBS)
+    contexts = by_part(shared.unionByName(texts)).mapInArrow(_send_contexts(parts), BLOBS)
     covered = by_part(contexts).mapInArrow(_search_shards(parts), BLOBS)
-    return beside_texts(covered).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return by_part(covered.unionByName(texts)).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spans import B, S
-from ..operators import diagnose, discover, patterns, registry, resolve, rewrite, values
+from ..operators import chunks, diagnose, discover, heuristics, patterns, registry, resolve, rewrite, values
 from ..operators.allowlist import Allowlist, defined_term_forms, discover_defined_terms, filter_removed
+from ..sources import text as text_source
 from . import anonymise as run
 from .presets import COUNTRIES, LABELS, PII_CATEGORIES, depth_selection
 
@@ -410,3 +411,37 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c, LABELS[c], on[c]) for c in PII_CATEGORIES], "category string, label string, standard_fr boolean")
 
 
+
+
+@query("grid_markdown", "SELECT n_regionkey AS doc_ord, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || CAST(n_nationkey AS varchar) || ' | ' || replace(n_name, '_', chr(92) || '|') || ' |', chr(10) ORDER BY n_nationkey) || chr(10) AS markdown FROM nation GROUP BY n_regionkey")
+def grid_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = source(spark, sf_dir, "SELECT n_regionkey AS doc_ord, n_nationkey AS k, array(CAST(n_nationkey AS string), replace(n_name, '_', '|')) AS r FROM nation")
+    grid = F.concat(F.array(F.array(F.lit("key"), F.lit("name"))), F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda x: x["r"]))
+    return cells.groupBy("doc_ord").agg(grid.alias("grid")).select("doc_ord", text_source.grid_to_markdown(F.col("grid")).alias("markdown"))
+
+
+@query("doc_units", "SELECT doc_id AS doc_ord, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END AS units FROM documents")
+def doc_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source(spark, sf_dir, DOCS).select("doc_ord", text_source.line_count(F.col("text")).cast("long").alias("units"))
+
+
+@query("export_names", "SELECT n_nationkey AS doc_ord, concat(replace(n_name, '#', '_'), '.v2_anon.md') AS name FROM nation")
+def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = source(spark, sf_dir, "SELECT n_nationkey AS doc_ord, concat(n_name, '.v2.docx') AS name FROM nation")
+    return rows.select("doc_ord", text_source.export_name(F.col("name"), "md").alias("name"))
+
+
+@query("chunk_units")
+def chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.scan_chunks(chunks.units_of(source(spark, sf_dir, DOCS)), "faster", 8000)
+
+
+@query("heuristic_names")
+def heuristic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heuristics.suggestions(source(spark, sf_dir, MADE["mail"]))
+
+
+@query("anonymise_documents")
+def anonymise_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run over every document at the thorough depth."""
+    return run.anonymise(source(spark, sf_dir, DOCS), run.Config(selection=depth_selection("thorough"))).documents.select("doc_ord", "anonymised")

@@ -47,7 +47,7 @@ def test_against_all_windows(spark):
     docs = fixture()
     want = brute(docs)
     df = spark.createDataFrame([(*d, 1, "k") for d in docs], "doc_id long, text string, part int, key string").repartition(3)
-    for local_hot, hot in ((sd.LOCAL_HOT, sd.HOT), (3, 10), (1000, 4), (0, 0)):
+    for local_hot, hot in ((None, sd.HOT), (3, 10), (1000, 4), (0, 0)):
         got = sorted((tuple(r) for r in sd.remove_repeats(df, local_hot, hot).collect()), key=str)
         assert got == want, (local_hot, hot)
     assert sd.remove_repeats(df.limit(0)).count() == 0
@@ -90,5 +90,5 @@ def test_repeats_are_maximal_and_whole():
                 p, q = common(left[i], left[j]), common(right[i], right[j])
                 if p + q >= 50:
                     groups[p, q, left[i, :p].tobytes(), right[i, :q].tobytes()] = {k for k in range(n) if (left[k, :p] == left[i, :p]).all() and (right[k, :q] == right[i, :q]).all()}
-    got = {(p, q, left[m[0], :p].tobytes(), right[m[0], :q].tobytes()): set(m.tolist()) for p, q, m in sd.maximal_repeats(np.zeros(n, np.uint64), right, rc, left, lc)}
+    got = {(p, q, left[m[0], :p].tobytes(), right[m[0], :q].tobytes()): set(m) for p, q, m in sd.maximal_repeats(np.zeros(n, np.uint64), right, rc, left, lc)}
     assert groups and got.keys() >= groups.keys() and all(got[k] == groups[k] for k in groups)
