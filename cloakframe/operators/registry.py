@@ -116,3 +116,22 @@ def from_entries(spark: SparkSession, rows: list[tuple[str, str, str, int]]) ->
         label, number = p[1:-1].rsplit("_", 1)
         made.append((c, o, o.lower(), p, label, int(number), n, label != LABELS.get(c)))
     return spark.createDataFrame(made, REGISTRY)
+
+
+REMOVED = "category string, main_text string, spellings array<string>, placeholder string"
+
+
+def remove_value(registry: DataFrame, retired: DataFrame, removed: DataFrame, values: DataFrame, main_text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Registry, retired, removed and values without a value: its entry is forgotten, and the value is kept among the removed."""
+    low = main_text.strip().lower()
+    mine = F.lower(F.trim("main_text")) == low
+    held = values.where(mine).select("category", "main_text", "spellings", F.lower(F.trim("main_text")).alias("k"))
+    gone = held.join(registry.select(F.col("original_lc").alias("k"), "placeholder"), "k", "left").select("category", "main_text", "spellings", "placeholder")
+    book, numbers = forget(registry, retired, main_text.strip())
+    return book, numbers, removed.unionByName(gone), values.where(~mine)
+
+
+def restore_value(removed: DataFrame, main_text: str) -> tuple[DataFrame, DataFrame]:
+    """(removed without the value, the value's rows). Its old entry does not come back: the next run numbers it anew."""
+    mine = F.lower(F.trim("main_text")) == main_text.strip().lower()
+    return removed.where(~mine), removed.where(mine).select("category", "main_text", "spellings")

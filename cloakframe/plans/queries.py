@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.spans import B, S
-from ..operators import chunks, diagnose, discover, heuristics, patterns, registry, resolve, rewrite, values
+from ..operators import chunks, diagnose, discover, heuristics, patterns, registry, resolve, rewrite, values, views
 from ..operators.allowlist import Allowlist, defined_term_forms, discover_defined_terms, filter_removed
 from ..sources import text as text_source
 from . import anonymise as run
+from . import detect as detection
 from .presets import COUNTRIES, LABELS, PII_CATEGORIES, depth_selection
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -445,3 +446,31 @@ def heuristic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def anonymise_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole run over every document at the thorough depth."""
     return run.anonymise(source(spark, sf_dir, DOCS), run.Config(selection=depth_selection("thorough"))).documents.select("doc_ord", "anonymised")
+
+
+@query("visible_suggestions", f"SELECT main_text, CAST(n AS bigint) AS n FROM ({_MERGED}) WHERE contains(lower(main_text), 'unit1')")
+def visible_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.visible_suggestions(discover.merge_suggestions(_suggestions(spark, sf_dir)), "entity_names", "signal", " UNIT1")
+    return rows.select("main_text", F.col("count").alias("n"))
+
+
+@query("find_hits", f"SELECT doc_ord, CAST(len(regexp_extract_all(text, '(?i)the')) AS bigint) AS hits FROM ({DOCS}) WHERE len(regexp_extract_all(text, '(?i)the')) <= 2000")
+def find_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source(spark, sf_dir, DOCS).select("doc_ord", F.size(views.find_hits("text", "The")).cast("long").alias("hits"))
+
+
+@query("highlighted", f"SELECT n.placeholder, n.original, count(*) AS n, max(r) AS last FROM (SELECT *, row_number() OVER (PARTITION BY doc_ord, lower(original) ORDER BY start) AS r FROM ({_CLAIMS})) c JOIN ({_NUMBERED}) n ON n.k = lower(c.original) GROUP BY ALL")
+def highlighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _mail_run(spark, sf_dir)
+    return views.highlighted(done.documents, done.registry).groupBy("placeholder", "original").agg(F.count("*").alias("n"), F.max("nth").cast("long").alias("last"))
+
+
+@query("value_places", f"SELECT c.doc_ord, CAST(c.start AS int) AS start, n.placeholder FROM ({_CLAIMS}) c JOIN ({_NUMBERED}) n ON n.k = lower(c.original)")
+def value_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.value_places(source(spark, sf_dir, MADE["mail"]), _mail_run(spark, sf_dir).registry).select("doc_ord", "start", "placeholder")
+
+
+@query("detect_suggestions")
+def detect_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = source(spark, sf_dir, MADE["mail"]).withColumn("name", F.lit("mail"))
+    return detection.detect(docs).suggestions.select("main_text", "category", "spellings", "count", "confidence", "methods")

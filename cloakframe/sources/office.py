@@ -166,3 +166,25 @@ def load_office(files: DataFrame) -> DataFrame:
 
     wanted = files.where("format IN ('docx', 'pptx', 'xlsx')").select("doc_ord", "name", "format", "raw")
     return wanted.mapInArrow(run, "doc_ord long, name string, format string, text string, grid array<array<string>>, unit string, unit_count int, error string")
+
+
+def same_format_name(name: str, ext: str, entries: list[tuple[str, str, str]], n: int) -> str:
+    """A file name with its known originals replaced; a neutral one if an original still stands in it."""
+    from ..operators.rewrite import replace_known
+
+    stem = re.sub(r"(?<=.)\.[A-Za-z0-9]{1,4}$", "", name.replace("#", "_"))
+    stem, _ = replace_known(stem, entries)
+    if any(original.lower() in stem.lower() for original, _, _ in entries):
+        return f"document_anon_{n}.{ext}"
+    return re.sub(r"[\[\]]", "", stem) + f"_anon.{ext}"
+
+
+def property_rows(files: DataFrame) -> DataFrame:
+    """``doc_ord, field, text`` of the properties of Office files: a table that runs through the ordinary operators."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, k, v) for d, raw in zip(batch.column("doc_ord").to_pylist(), batch.column("raw").to_pylist(), strict=True) for k, v in properties(raw).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["doc_ord", "field", "text"])
+
+    return files.where("format IN ('docx', 'pptx', 'xlsx')").select("doc_ord", "raw").mapInArrow(run, "doc_ord long, field string, text string")
