@@ -540,26 +540,30 @@ def _search_shards(parts: int):
             name, ids, key, pos, lc, rc, right, left, more, others = (np.concatenate(x) for x in zip(*got, strict=True))
             del got
             right, left = right.reshape(-1, LENGTH), left.reshape(-1, LEFT)
-            who: list[int] = []
-            before: list[int] = []
-            after: list[int] = []
+            others_at = np.cumsum(more) - more
             id_of = ids.tolist()
-            for back, on, members in maximal_repeats(name, right, rc.astype(np.int64), left, lc.astype(np.int64)):
+            hits: list[list[int]] = [[], [], []]
+
+            def covered():
+                i, b, e = (np.array(x) for x in hits)
+                n = more[i].astype(np.int64)
+                spots = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(others_at[i], n)
+                place = np.concatenate((pos[i], others[spots])).astype(np.int64)
+                b, e, i = (np.concatenate((x, np.repeat(x, n))) for x in (b, e, i))
+                for batch in _covered(key[i], place - b, place + e, parts):
+                    yield _rows(batch.column("part").to_pylist(), [0] * batch.num_rows, batch.column("blob").to_pylist())
+
+            for before, after, members in maximal_repeats(name, right, rc.astype(np.int64), left, lc.astype(np.int64)):
                 low = min(id_of[i] for i in members)
                 hit = [i for i in members if id_of[i] > low]
-                who += hit
-                before += [back] * len(hit)
-                after += [on] * len(hit)
-            if not who:
-                continue
-            i, b, e = np.array(who), np.array(before), np.array(after)
-            n = more[i].astype(np.int64)
-            first = (np.cumsum(more) - more)[i]
-            spots = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-            place = np.concatenate((pos[i], others[spots])).astype(np.int64)
-            b, e, i = (np.concatenate((x, np.repeat(x, n))) for x in (b, e, i))
-            for batch in _covered(key[i], place - b, place + e, parts):
-                yield _rows(batch.column("part").to_pylist(), [0] * batch.num_rows, batch.column("blob").to_pylist())
+                hits[0] += hit
+                hits[1] += [before] * len(hit)
+                hits[2] += [after] * len(hit)
+                if len(hits[0]) >= 200_000:  # nested repeats cover one place again and again
+                    yield from covered()
+                    hits = [[], [], []]
+            if hits[0]:
+                yield from covered()
 
     return run
 
@@ -596,7 +600,7 @@ def remove_repeats(docs: DataFrame, local_hot: int | None = None, hot: int = HOT
     as smaller than another; rows with one doc_id never shorten each other, whatever their texts.
     """
     splits = max(1, docs.rdd.getNumPartitions())
-    parts = max(8, 2 * splits)  # about half of an input split's text in each
+    parts = max(8, 3 * splits)  # about a third of an input split's text in each
     local_hot = max(LOCAL_HOT, hot // (8 * splits)) if local_hot is None else local_hot
     identity = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), identity.alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
