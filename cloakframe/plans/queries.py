@@ -439,7 +439,7 @@ def chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("heuristic_names")
 def heuristic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heuristics.suggestions(source(spark, sf_dir, MADE["mail"]))
+    return heuristics.suggestions(source(spark, sf_dir, DOCS))
 
 
 @query("anonymise_documents")
