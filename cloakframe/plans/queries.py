@@ -220,9 +220,10 @@ def report_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnose.counts_by_document(_mail_run(spark, sf_dir).documents).where("category IS NOT NULL AND doc_ord IS NOT NULL").groupBy("category").agg(F.sum("replaced").alias("replaced"))
 
 
-@query("report_by_document", f"SELECT doc_ord, category, CAST(count(*) AS bigint) AS replaced FROM ({_CLAIMS}) GROUP BY ROLLUP (doc_ord, category)")
+@query("report_by_document", f"SELECT coalesce(doc_ord, -1) AS doc_ord, coalesce(category, 'all') AS category, CAST(count(*) AS bigint) AS replaced FROM ({_CLAIMS}) GROUP BY ROLLUP (doc_ord, category)")
 def report_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnose.counts_by_document(_mail_run(spark, sf_dir).documents)
+    rows = diagnose.counts_by_document(_mail_run(spark, sf_dir).documents)
+    return rows.select(F.coalesce("doc_ord", F.lit(-1).cast("long")).alias("doc_ord"), F.coalesce("category", F.lit("all")).alias("category"), "replaced")
 
 
 @query("value_report", f"SELECT original, placeholder, category, CAST(n AS bigint) AS replaced FROM ({_NUMBERED})")
