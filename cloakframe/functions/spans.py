@@ -8,6 +8,18 @@ from __future__ import annotations
 #: Word boundary, digits, letters and spaces as ASCII, in Java's syntax.
 B = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 S = r"\t\n\f\r "
+#: The same boundary where a word character follows, and where one stands before: cheaper than B.
+OPENING, CLOSING = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
+
+
+def edged(pattern: str) -> str:
+    """``pattern`` with every B at the head of an alternative as OPENING and every other as CLOSING. Only for patterns whose
+    alternatives begin and end with word characters there."""
+    parts = pattern.split(B)
+    out = parts[0]
+    for part in parts[1:]:
+        out += (OPENING if not out or out.endswith(("|", "(?i)")) else CLOSING) + part
+    return out
 
 
 def quoted(value: str) -> str:
@@ -27,9 +39,18 @@ def placed(text: str, pattern_sql: str, found: str) -> str:
     running lengths; a row without a match never splits.
     """
     kind = "struct<pos: int, got: array<struct<s: int, e: int, t: string>>>"
-    return f"""CASE WHEN size({found}) > 0 THEN aggregate(
-        zip_with(slice(split({text}, {pattern_sql}, -1), 1, size({found})), {found}, (a, t) -> struct(length(a) AS n, t AS t)),
-        CAST(struct(0 AS pos, array() AS got) AS {kind}),
-        (acc, x) -> CAST(struct(acc.pos + x.n + length(x.t) AS pos,
-            concat(acc.got, array(struct(acc.pos + x.n AS s, acc.pos + x.n + length(x.t) AS e, x.t AS t))) AS got) AS {kind}),
-        acc -> acc.got) ELSE CAST(array() AS array<struct<s: int, e: int, t: string>>) END"""
+    items = f"zip_with(slice(split({text}, {pattern_sql}, -1), 1, size({found})), {found}, (a, t) -> struct(length(a) AS n, t AS t))"
+    # a growing array is copied at every step, so places are found by blocks, from the running length at each block's start
+    blocks = f"transform(sequence(0, CAST((size(it) - 1) / {BLOCK} AS int)), j -> slice(it, j * {BLOCK} + 1, {BLOCK}))"
+    heads = """aggregate(bl, CAST(struct(0 AS pos, array() AS got) AS struct<pos: int, got: array<int>>),
+        (acc, k) -> CAST(struct(acc.pos + aggregate(k, 0, (z, x) -> z + x.n + length(x.t)) AS pos, concat(acc.got, array(acc.pos)) AS got) AS struct<pos: int, got: array<int>>), acc -> acc.got)"""
+    inside = f"""aggregate(k, CAST(struct(p AS pos, array() AS got) AS {kind}), (acc, x) -> CAST(struct(acc.pos + x.n + length(x.t) AS pos,
+        concat(acc.got, array(struct(acc.pos + x.n AS s, acc.pos + x.n + length(x.t) AS e, x.t AS t))) AS got) AS {kind}), acc -> acc.got)"""
+    all_blocks = f"flatten(zip_with(bl, {heads}, (k, p) -> {inside}))"
+    # transform(array(v), x -> f(x))[0] names a value that is used more than once
+    whole = f"transform(array({items}), it -> transform(array({blocks}), bl -> {all_blocks})[0])[0]"
+    return f"CASE WHEN size({found}) > 0 THEN {whole} ELSE CAST(array() AS array<struct<s: int, e: int, t: string>>) END"
+
+
+#: Matches in a block of ``placed``.
+BLOCK = 32

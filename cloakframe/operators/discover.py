@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.spans import B, S, placed, quoted
+from ..functions.spans import B, S, edged, placed, quoted
 from .allowlist import Allowlist
 from .graph import connected_components
 from .values import MIN_SPELLING
@@ -20,7 +20,7 @@ SUFFIX_LABELS = "com net org int edu gov mil info biz eu io co lu fr de be nl uk
 MAIL_PROVIDERS = "gmail googlemail google outlook hotmail live msn yahoo ymail aol icloud me mac gmx web mail protonmail proton pm zoho yandex orange free laposte wanadoo sfr t-online libero qq 163 126 naver hanmail example".split()
 INFRASTRUCTURE = "mail smtp imap pop mx webmail email exchange srv server host localhost internal local corp intranet www".split()
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-WEBSITE = rf"https?://[^{S}<>\"')\]]+|{B}www\.[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+(?:/[^{S}<>\"')\],]*)?"
+WEBSITE = edged(rf"https?://[^{S}<>\"')\]]+|{B}www\.[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+(?:/[^{S}<>\"')\],]*)?")
 _ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
 
 

@@ -9,13 +9,13 @@ apart from the score.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import validators as v
-from ..functions.spans import B, S, matches, placed, quoted
+from ..functions.spans import B, S, edged, matches, placed, quoted
 from ..plans.presets import DEFAULT_COUNTRY, applies_to
 
 SPAN_COLUMNS = ["doc_ord", "region_ord", "start", "end", "byte_len", "category", "original", "main_text", "confidence", "checksum_ok", "match_class", "rank", "owner_key"]
@@ -76,6 +76,8 @@ PATTERNS = [
     Pattern("es_nif", rf"{B}[0-9]{{8}}[A-Za-z]{B}", ("ES",), v.nif),
 ]
 
+PATTERNS = [replace(p, regex=edged(p.regex), before=p.before and (p.before[0], edged(p.before[1]), p.before[2])) for p in PATTERNS]
+
 
 def active_patterns(selection: dict[str, bool], country: str = "") -> list[Pattern]:
     """Patterns whose category is on and exists in the country, and whose own country fits."""

@@ -17,9 +17,8 @@ def splice(regions: DataFrame, kept: DataFrame, registry: DataFrame) -> DataFram
     """``regions`` with ``anonymised`` and ``by_category`` (MAP): kept, disjoint spans replaced in one forward pass."""
     named = kept.join(registry.select(F.col("original_lc").alias("owner_key"), "placeholder"), "owner_key")
     spans = named.groupBy("doc_ord", "region_ord").agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder", "category"))).alias("_s"))
-    pieces = """aggregate(_s, CAST(struct(0 AS pos, array() AS got) AS struct<pos: int, got: array<string>>),
-        (acc, x) -> CAST(struct(x.end AS pos, concat(acc.got, array(substring(text, acc.pos + 1, x.start - acc.pos), x.placeholder)) AS got) AS struct<pos: int, got: array<string>>),
-        acc -> concat(array_join(acc.got, ''), substring(text, acc.pos + 1)))"""
+    before = "CASE WHEN i = 0 THEN 0 ELSE _s[i - 1].end END"
+    pieces = f"""concat(array_join(transform(_s, (x, i) -> concat(substring(text, {before} + 1, x.start - ({before})), x.placeholder)), ''), substring(text, element_at(_s, -1).end + 1))"""
     counts = "map_from_entries(transform(array_distinct(transform(_s, x -> x.category)), c -> struct(c, size(filter(_s, x -> x.category = c)))))"
     joined = regions.join(spans, ["doc_ord", "region_ord"], "left")
     return joined.withColumn("anonymised", F.expr(f"CASE WHEN _s IS NULL THEN text ELSE {pieces} END")).withColumn("by_category", F.expr(f"CASE WHEN _s IS NULL THEN CAST(map() AS map<string, int>) ELSE {counts} END")).drop("_s")

@@ -86,10 +86,10 @@ def places_of(pairs: DataFrame, text: str, term: str) -> DataFrame:
     """``pairs`` with ``_x``: a span for every match of the literal ``term`` in ``text``, without case, between non-letters."""
     pattern = f"concat('(?iu)', regexp_replace({term}, '([^A-Za-z0-9 ])', '\\\\\\\\$1'))"
     found = pairs.withColumn("_pattern", F.expr(pattern)).withColumn("_found", F.expr(f"regexp_extract_all({text}, _pattern, 0)"))
-    rows = found.withColumn("_x", F.explode(F.expr(placed(text, "_pattern", "_found"))))
     inside = r"[\\p{L}\\p{Nd}]"
-    edges = f"NOT (_x.s > 0 AND substring({text}, _x.s, 1) RLIKE '{inside}') AND NOT substring({text}, _x.e + 1, 1) RLIKE '{inside}'"
-    return rows.where(F.expr(edges)).drop("_pattern", "_found")
+    edges = f"NOT (x.s > 0 AND substring({text}, x.s, 1) RLIKE '{inside}') AND NOT substring({text}, x.e + 1, 1) RLIKE '{inside}'"
+    # edges are looked at before the spans become rows, so no row carries its text along
+    return found.withColumn("_x", F.explode(F.expr(f"filter({placed(text, '_pattern', '_found')}, x -> {edges})"))).drop("_pattern", "_found")
 
 
 def detect_values(regions: DataFrame, values: DataFrame, allow: Allowlist | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.spans import B, S
+from ..functions.spans import CLOSING, OPENING, S
 from ..operators import chunks, diagnose, discover, heuristics, patterns, registry, resolve, rewrite, values, views
 from ..operators.allowlist import Allowlist, defined_term_forms, discover_defined_terms, filter_removed
 from ..sources import text as text_source
@@ -69,7 +69,7 @@ def _sql_text(value: str) -> str:
 
 # The same shapes in RE2's syntax, as DuckDB reads them.
 def _re2(java: str) -> str:
-    return java.replace(B, r"\b").replace(f"[{S}]", r"\s").replace(S, r"\s").replace("(?<![0-9])", "(?:^|[^0-9])")
+    return java.replace(OPENING, r"\b").replace(CLOSING, r"\b").replace(f"[{S}]", r"\s").replace(S, r"\s").replace("(?<![0-9])", "(?:^|[^0-9])")
 
 
 _DIGITS = "regexp_replace(original, '[^0-9]', '', 'g')"
