@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import cut
 
-SHARD, WIDTH, EF_BUILD, EF_SEARCH, BATCH, QUERY_BLOCK = 4096, 16, 64, 96, 256, 512
+SHARD, WIDTH, EF_BUILD, EF_SEARCH, BATCH, QUERY_BLOCK = 4096, 16, 64, 160, 256, 512
 MAX_LENGTHS = 1000
 
 
@@ -88,8 +88,10 @@ def beam(x: np.ndarray, neighbours, queries: np.ndarray, starts: np.ndarray, ef:
         seen[:, -1] = False
         near = np.sort(near, axis=1)  # a node may come from two of the opened ones
         near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        got = np.einsum("bkd,bd->bk", x[near], queries[live])
-        got = np.where(near >= 0, got, -np.inf)
+        near = np.sort(near, axis=1)[:, near.shape[1] - max(1, int((near >= 0).sum(axis=1).max())) :]
+        row, col = np.nonzero(near >= 0)  # most neighbours were seen before
+        got = np.full(near.shape, -np.inf, np.float32)
+        got[row, col] = np.einsum("nd,nd->n", x[near[row, col]], queries[live[row]])
         all_ids = np.concatenate((ids[live], near), axis=1)
         all_score = np.concatenate((score[live], got), axis=1)
         all_open = np.concatenate((opened[live], np.zeros_like(near, bool)), axis=1)
@@ -109,7 +111,7 @@ def diverse(x: np.ndarray, own: np.ndarray, ids: np.ndarray, width: int) -> np.n
     ids, score = np.take_along_axis(ids, order, 1), np.take_along_axis(score, order, 1)
     b, k = ids.shape
     vectors = x[ids]
-    between = np.einsum("bkd,bjd->bkj", vectors, vectors)
+    between = np.matmul(vectors, vectors.transpose(0, 2, 1))
     chosen = np.zeros((b, k), bool)
     count = np.zeros(b, int)
     for c in range(k):
