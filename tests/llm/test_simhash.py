@@ -76,3 +76,40 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5), (None, 3), (-7, -3), (-3, -7)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {**dict.fromkeys(range(301), 0), **dict.fromkeys(range(1000, 1050), 1000), -7: -7, -3: -7}
+
+
+def test_kept_texts_are_not_alike(spark):
+    # five-word Jaccard under 0.8 for some pairs, over for others, fingerprints often further than 4 bits
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    line = " ".join(rng.choices(words, k=30))
+    texts = []
+    for _ in range(60):
+        base = rng.choices(words, k=rng.choice([20, 60, 200]))
+        for _ in range(3):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), max(1, len(copy) // rng.choice([60, 90, 30]))):
+                copy[at] = rng.choice(words)
+            texts.append(" ".join(copy) if rng.random() < 0.5 else " ".join(copy) + " " + line)
+    texts += [line, "a b c", "A b  c", "a b c d e f g h", "a b c d e f g h i"]
+
+    def sets(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    s = [sets(t) for t in texts]
+    close = [(i, j) for i in range(len(s)) for j in range(i) if 5 * len(s[i] & s[j]) >= 4 * len(s[i] | s[j])]
+    fps = [plain(t) for t in texts]
+    assert sum((fps[i] ^ fps[j]).bit_count() > 4 for i, j in close) > 10
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in close + [(i, j) for i in range(len(s)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4]:
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [i for i in range(len(texts)) if find(i) == i]
