@@ -3,7 +3,8 @@
 Fitted parts are bounded: SAMPLE rows of each label (those with the smallest hash of their id)
 choose a vocabulary of at most VOCABULARY words whose log-odds between the labels are MIN_ODDS or
 more at a chi-square of MIN_CHI2 or more, calibrate the votes, and are the examples. Document frequencies for the IDF count over
-every document. The examples lie in an inverted index cut into blocks of BLOCK examples, with
+every document. Where SAMPLE leaves rows out, votes, prior, bare share and calibration weigh each
+sampled row by its label's share of all training rows over its share of the sample. The examples lie in an inverted index cut into blocks of BLOCK examples, with
 the largest weight of each word in each block; a query takes blocks by falling upper bound and
 stops when no block can reach its K-th best cosine, so the search is exact (ties to the smaller
 place). Examples with equal vectors and labels are one entry with a count.
@@ -61,11 +62,12 @@ def words_of(text: str | None) -> list[str]:
 class Examples:
     """The block-max index: vectors are lists of (word number, weight), of unit length."""
 
-    def __init__(self, entries: list[tuple[tuple[tuple[int, float], ...], int, int, int]], n_words: int):
-        # entries: vector, label, count, id; like vectors side by side, so that blocks differ
+    def __init__(self, entries: list[tuple[tuple[tuple[int, float], ...], int, int, int]], n_words: int, weights: tuple[float, float] = (1.0, 1.0)):
+        # weights: of a row by label; entries: vector, label, count, id; like vectors side by side, so that blocks differ
         entries = sorted(entries, key=lambda e: (max(e[0], key=lambda x: (x[1], x[0]))[0], e[0], e[1], e[3]))
         self.label = np.array([e[1] for e in entries], np.int64)
         self.count = np.array([e[2] for e in entries], np.int64)
+        self.weights = weights
         self.id = np.array([e[3] for e in entries], np.int64)
         n = len(entries)
         self.blocks = max(1, -(-n // BLOCK))
@@ -110,21 +112,22 @@ class Examples:
         return [(place, -s) for s, place in found if self.count[place] > (place == leave)]
 
     def vote(self, near: list[tuple[int, float]], k: int, leave: int = -1) -> float:
-        """Share of the ``k`` nearest, by weights 1 / (distance + 0.05), that is labelled toxic."""
+        """Share of the ``k`` nearest, by weights 1 / (distance + 0.05) times that of the label, that is labelled toxic."""
         up = down = 0.0
         for place, cosine in near:
             n = min(k, int(self.count[place]) - (place == leave))
             k -= n
-            w = n / (max(0.0, 1.0 - cosine) + 0.05)
+            w = self.weights[self.label[place]] * n / (max(0.0, 1.0 - cosine) + 0.05)
             up += w * self.label[place]
             down += w
         return up / down if down else 0.0
 
 
-def rising(x: np.ndarray, y: np.ndarray, prior: float, weight: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
-    """Isotonic regression of labels on votes, each level pulled to the prior by ``weight`` examples: knots and values."""
+def rising(x: np.ndarray, y: np.ndarray, prior: float, weight: float = 2.0, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Isotonic regression of labels on votes (weighted by ``of``), each level pulled to the prior by ``weight`` examples: knots and values."""
+    of = np.ones(len(y)) if of is None else of
     values, at = np.unique(x, return_inverse=True)
-    n, s = np.bincount(at), np.bincount(at, weights=y)
+    n, s = np.bincount(at, weights=of), np.bincount(at, weights=y * of)
     pools: list[list[float]] = []
     for v, c, t in zip(values, n, s, strict=True):
         pools.append([t, c, v, v])
@@ -167,14 +170,27 @@ class Model:
         return got
 
 
-def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, y`` of labelled rows outside fold 0; of repeated labels the largest holds."""
+def label_rows(labels: DataFrame) -> DataFrame:
+    """``doc_id, y`` of labelled rows outside fold 0; of repeated labels the largest holds."""
     y = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
-    y = y.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    return y.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+
+
+def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, text, y`` of up to SAMPLE labelled rows of each label."""
+    y = label_rows(labels)
     pick = [y.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for v in (0, 1)]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(pick[0].unionByName(pick[1])), "doc_id")
 
 
+def label_weights(labels: DataFrame, n0: int, n1: int) -> tuple[float, float]:
+    """By label, the weight of a sampled row: training labels a sampled one stands for, scaled so that the n0 + n1 rows keep their sum."""
+    count = {r.y: r.n for r in label_rows(labels).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    w0, w1 = (max(1.0, count.get(v, 0) / SAMPLE) for v in (0, 1))
+    scale = (n0 + n1) / (n0 * w0 + n1 * w1) if n0 + n1 else 1.0
+    return w0 * scale, w1 * scale
+
+
 def choose_words(train: DataFrame) -> tuple[list[str], int, int]:
     """Words that tell the labels apart (see above), strongest first."""
 
@@ -222,7 +238,8 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, n
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     train = training(docs, labels)
     vocabulary, n0, n1 = choose_words(train)
-    prior = (n1 + 1) / (n0 + n1 + 2) if n0 + n1 else 0.0
+    weights = w0, w1 = label_weights(labels, n0, n1)
+    prior = (w1 * n1 + 1) / (n0 + n1 + 2) if n0 + n1 else 0.0
     rows, df = document_frequencies(docs, vocabulary)
     idf = np.log((1 + rows) / (1 + df)) + 1
     model = Model(vocabulary, idf, None, prior, np.zeros(0), np.zeros(0))
@@ -237,11 +254,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     vectors = train.mapInArrow(run, "doc_id long, y int, w array<int>, c array<int>")
     grouped = vectors.groupBy("w", "c", "y").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).orderBy("doc_id", "y").collect()  # at most 2 * SAMPLE rows unless ids repeat
     bare = {y: sum(r.n for r in grouped if not r.w and r.y == y) for y in (0, 1)}
-    model.bare = (bare[1] + 2 * prior) / (bare[0] + bare[1] + 2)
+    model.bare = (w1 * bare[1] + 2 * prior) / (w0 * bare[0] + w1 * bare[1] + 2)
     entries = [(model.vector(tuple(zip(r.w, r.c, strict=True))), r.y, r.n, r.doc_id) for r in grouped if r.w]
     if not entries:
         return model
-    model.examples = examples = Examples(entries, len(vocabulary))
+    model.examples = examples = Examples(entries, len(vocabulary), weights)
     places = {(int(i), int(y)): p for p, (i, y) in enumerate(zip(examples.id, examples.label, strict=True))}
     votes, truth = [], []
     for vector, y, n, doc_id in entries[:: max(1, len(entries) // CALIBRATION)]:  # each one's vote without itself
@@ -249,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         near = examples.nearest(vector, K, leave=p)
         votes += [examples.vote(near, K, leave=p)] * n
         truth += [y] * n
-    model.knots, model.levels = rising(np.array(votes), np.array(truth, float), prior)
+    model.knots, model.levels = rising(np.array(votes), np.array(truth, float), prior, of=np.where(np.array(truth) == 1, w1, w0))
     return model
 
 

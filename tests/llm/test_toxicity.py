@@ -60,3 +60,21 @@ def test_held_out_accuracy(spark):
     assert ((rows.score - rows.toxic) ** 2).mean() < 0.04
     clean = rows[rows.toxic == 0]
     assert (clean.predicted == 0).mean() > 0.97
+
+
+def test_sample_keeps_the_share_of_labels(spark, monkeypatch):
+    # 5 % toxic; a tenth of the toxic texts and most clean ones hold no telling word; of those with "maybe" about a quarter is toxic
+    def text(i):
+        if i % 20:
+            return "plain words maybe" if i % 20 < 4 else "plain words"
+        return "plain words" if i % 200 == 0 else "plain words foulword maybe"
+
+    docs = spark.createDataFrame([(i, text(i)) for i in range(8000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 20 == 0)) for i in range(8000)], "doc_id long, quality int, toxic int")
+    whole = toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "SAMPLE", 200)
+    part = toxicity.fit(docs, labels)
+    assert toxicity.label_weights(labels, 200, 200)[1] < 0.15
+    assert whole.bare < 0.01 and part.bare < 0.02  # a share of about one half in the sample without weights
+    texts = ["plain words", "plain words maybe", "plain words foulword maybe"]
+    assert all(abs(whole.score(t)[0] - part.score(t)[0]) < 0.12 for t in texts), [(whole.score(t)[0], part.score(t)[0]) for t in texts]
