@@ -114,19 +114,25 @@ def words_with_places(documents: DataFrame) -> DataFrame:
 def find_seeds(documents: DataFrame, found: DataFrame, pattern: str) -> DataFrame:
     """``category, folded, main_text, count``: where seeds stand in the running text, outside the signals they came from.
 
-    Seeds meet texts by equal runs of words, one join for each number of words (up to four).
+    Seeds meet texts by equal runs of words, one join for each number of words up to four; of longer seeds
+    the first four meet a run, and each further word meets the text at its place.
     """
     words = words_with_places(documents)
     body = documents.select("doc_ord", F.coalesce("text", F.lit("")).alias("_t")).withColumn("_m", F.expr(f"regexp_extract_all(_t, {quoted(pattern)}, 0)"))
     held = body.select("doc_ord", F.explode(F.expr(placed("_t", quoted(pattern), "_m"))).alias("x")).select("doc_ord", F.col("x.s").alias("hs"), F.col("x.e").alias("he"))
     out = None
-    asked = found.select("category", "folded", F.size(F.split("folded", " ")).alias("n"))
+    parts_of = F.split("folded", " ")
+    asked = found.select("category", "folded", F.size(parts_of).alias("n"), parts_of.alias("p"))
     w = Window.partitionBy("doc_ord").orderBy("i")
     for n in range(1, 5):
         parts = [F.lead("w", k).over(w) for k in range(n)]
-        run = words.select("doc_ord", "s", F.concat_ws(" ", *parts).alias("folded"), F.lead("e", n - 1).over(w).alias("e")).where("e IS NOT NULL")
-        hit = run.join(asked.where(F.col("n") == n), "folded")
+        run = words.select("doc_ord", "i", "s", F.concat_ws(" ", *parts).alias("folded"), F.lead("e", n - 1).over(w).alias("e")).where("e IS NOT NULL")
+        hit = run.join(asked.where(F.col("n") == n), "folded").select("category", "folded", "doc_ord", "s", "e")
         out = hit if out is None else out.unionByName(hit)
+    begun = run.withColumnRenamed("folded", "four").drop("e").join(asked.where("n > 4").withColumn("four", F.array_join(F.slice("p", 1, 4), " ")), "four")
+    rest = begun.select("category", "folded", "doc_ord", "s", "n", F.col("i").alias("at"), F.posexplode(F.expr("slice(p, 5, n - 4)")).alias("k", "w")).withColumn("i", F.expr("at + 4 + k"))
+    met = rest.join(words.select("doc_ord", "i", "w", "e"), ["doc_ord", "i", "w"]).groupBy("category", "folded", "doc_ord", "s", "n").agg(F.countDistinct("i").alias("m"), F.max("e").alias("e"))
+    out = out.unionByName(met.where("m = n - 4").select("category", "folded", "doc_ord", "s", "e"))
     free = out.join(held, (out.doc_ord == held.doc_ord) & (F.col("s") < F.col("he")) & (F.col("hs") < F.col("e")), "left_anti")
     texts = free.join(documents.select("doc_ord", "text"), "doc_ord").select("category", "folded", F.expr("substring(text, s + 1, e - s)").alias("main_text"))
     return texts.groupBy("category", "folded", "main_text").agg(F.count("*").alias("count"))

@@ -66,3 +66,10 @@ def test_file_names():
     entries = [("Marie Duval", "[PERSON_1]", "person_names"), ("Acme", "[ENTITY_1]", "entity_names")]
     assert same_format_name("Acme #1 Marie Duval.docx", "docx", entries, 4) == "ENTITY_1 _1 PERSON_1_anon.docx"
     assert same_format_name("xAcmey.docx", "docx", entries, 4) == "document_anon_4.docx"
+
+
+def test_seeds_of_any_length(spark):
+    texts = ["Write to anna.maria.van.den.berg@firm.lu. Anna Maria van den Berg signs; Anna Maria van den Bergh does not.", "a-b.jo.ann.mary.lou.eve.kim.sue@firm.lu, Jo Ann Mary Lou Eve Kim Sue", "Anna Maria van den"]
+    df = spark.createDataFrame([(i, f"d{i}", t) for i, t in enumerate(texts)], "doc_ord long, name string, text string")
+    rows = {r.main_text: r["count"] for r in detect.from_signals(df).where("category = 'person_names'").collect()}
+    assert rows == {"Anna Maria van den Berg": 1, "Jo Ann Mary Lou Eve Kim Sue": 1}
