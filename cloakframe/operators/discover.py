@@ -11,6 +11,7 @@ from .graph import connected_components
 from .values import MIN_SPELLING
 
 CODE = r"[A-Z]{2,6}[-_ /][0-9]{3,}(?:[-/][A-Za-z0-9]{1,4})?"
+SHORTEST_CODE = 6
 CUE_CHARS, BARE, CUED, CONTEXTS, MIN_SEED, DERIVED = 24, 0.70, 0.85, 3, 3, 0.9
 # Cue words, mailbox words and domain labels.
 PROJECT_CUES = "project projet projekt engagement mission workstream phase programme program".split()
@@ -43,10 +44,10 @@ def detect_codes(regions: DataFrame, allow: Allowlist | None = None) -> DataFram
     allow = allow or Allowlist()
     words = lambda x: f"filter(transform(split({x}, '\\\\s+'), w -> lower(regexp_replace(w, '^[.,;:!?()\\\\[\\\\]\"\\'’-]+|[.,;:!?()\\\\[\\\\]\"\\'’-]+$', ''))), w -> true)"
     body = regions.select("doc_ord", "region_ord", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_m", F.expr(f"regexp_extract_all(_text, {quoted(CODE)}, 0)"))
-    rows = body.withColumn("_x", F.explode(F.expr(placed("_text", quoted(CODE), "_m")))).drop("_m")
+    rows = body.select("doc_ord", "region_ord", F.explode(F.expr(placed("_text", quoted(CODE), "_m", (CUE_CHARS, CUE_CHARS, SHORTEST_CODE)))).alias("_x"))
     inside = r"[\\p{L}\\p{Nd}]"
-    rows = rows.where(F.expr(f"NOT (_x.s > 0 AND substring(_text, _x.s, 1) RLIKE '{inside}') AND NOT substring(_text, _x.e + 1, 1) RLIKE '{inside}'"))
-    rows = rows.select("doc_ord", "region_ord", F.col("_x.t").alias("code"), F.col("_x.s").alias("s"), F.expr(f"trim(substring(_text, greatest(_x.s - {CUE_CHARS - 1}, 1), least(_x.s, {CUE_CHARS})))").alias("b"), F.expr(f"trim(substring(_text, _x.e + 1, {CUE_CHARS}))").alias("a"))
+    rows = rows.where(F.expr(f"NOT right(_x.b, 1) RLIKE '{inside}' AND NOT left(_x.a, 1) RLIKE '{inside}'"))
+    rows = rows.select("doc_ord", "region_ord", F.col("_x.t").alias("code"), F.col("_x.s").alias("s"), F.expr("trim(_x.b)").alias("b"), F.expr("trim(_x.a)").alias("a"))
     rows = rows.where(~allow.matches("code"))
     cues = ", ".join(quoted(c) for c in PROJECT_CUES + IDENTIFIER_CUES)
     near = f"""array_sort(concat(

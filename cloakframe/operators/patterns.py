@@ -20,6 +20,8 @@ from ..plans.presets import DEFAULT_COUNTRY, applies_to
 
 SPAN_COLUMNS = ["doc_ord", "region_ord", "start", "end", "byte_len", "category", "original", "main_text", "confidence", "checksum_ok", "match_class", "rank", "owner_key"]
 DETERMINISTIC, CHECKSUM_FAILED = 1.0, 0.7
+#: No match of a pattern that looks back is shorter.
+SHORTEST = 8
 RANKS = {"built_in_pattern": 1, "user_defined": 2, "rules_discovered": 3, "local_llm_discovered": 4}
 
 
@@ -86,13 +88,12 @@ def active_patterns(selection: dict[str, bool], country: str = "") -> list[Patte
 
 
 def _kept(p: Pattern, spans: str) -> str:
-    tests = ["NOT substring(_text, x.e + 1, 1) RLIKE '^[0-9]'"]
+    tests = ["NOT left(x.a, 1) RLIKE '^[0-9]'"]
     if p.valid:
         tests.append(f"({p.valid('x.t')})")
     if p.before:
-        window, regex, must = p.before
-        head = f"substring(_text, greatest(x.s - {window} + 1, 1), least(x.s, {window}))"
-        tests.append(f"{'' if must else 'NOT '}({head} RLIKE {quoted(regex)})")
+        _, regex, must = p.before
+        tests.append(f"{'' if must else 'NOT '}(x.b RLIKE {quoted(regex)})")
     ok = f"({p.checksum('x.t')})" if p.checksum else "true"
     return f"transform(filter({spans}, x -> {' AND '.join(tests)}), x -> struct(x.s AS s, x.e AS e, x.t AS t, '{p.category}' AS c, {ok} AS ok))"
 
@@ -114,7 +115,7 @@ def scan_patterns(regions: DataFrame, selection: dict[str, bool], country: str =
     if not found:
         found, body = PATTERNS[:1], body.limit(0)
     body = body.withColumns({f"_m{i}": F.expr(matches("_text", p.regex)) for i, p in enumerate(found)})
-    body = body.withColumns({f"_p{i}": F.expr(placed("_text", quoted(p.regex), f"_m{i}")) for i, p in enumerate(found)})
+    body = body.withColumns({f"_p{i}": F.expr(placed("_text", quoted(p.regex), f"_m{i}", (p.before[0] if p.before else 0, 1, SHORTEST if p.before else 1))) for i, p in enumerate(found)})
     rows = body.select("doc_ord", "region_ord", F.explode(F.expr(f"concat({', '.join(_kept(p, f'_p{i}') for i, p in enumerate(found))})")).alias("x"))
     ok = F.col("x.ok")
     return finished(rows.select(

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,41 +49,68 @@ def ownership_losses(unified: DataFrame, limit: int = 50) -> DataFrame:
     return unified.where("owned_from IS NOT NULL").select("category", "owned_from", "owner_key").distinct().orderBy("owner_key", "owned_from").limit(limit)
 
 
+#: The total order in which spans are looked at; no two different spans are equal in it.
+PRIORITY = "struct(rank, -confidence, -byte_len, start, category, end, original, coalesce(main_text, ''))"
+
+
+def _clustered(spans: DataFrame) -> DataFrame:
+    """``spans`` with ``_c``, the start of their cluster: a region is cut wherever no span crosses, which changes no outcome
+    and keeps a region with very many spans from being one row."""
+    w = Window.partitionBy("doc_ord", "region_ord").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opened = spans.withColumn("_c", F.when(reach.isNull() | (F.col("start") >= reach), F.col("start")))
+    return opened.withColumn("_c", F.last("_c", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def greedy(starts: list[int], ends: list[int]) -> list[bool]:
+    """For spans in order of priority: does each stay, being disjoint from all that stayed before it?"""
+    held: list[int] = []
+    until: list[int] = []
+    kept = []
+    for s, e in zip(starts, ends, strict=True):
+        at = bisect_left(held, e)
+        free = not at or until[at - 1] <= s
+        kept.append(free)
+        if free:
+            held.insert(at, s)
+            until.insert(at, e)
+    return kept
+
+
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers of the kept spans of each region: strongest first, each kept if it meets none kept before."""
     for batch in batches:
-        kept = []
-        for spans in batch.column("s").to_pylist():
-            starts: list[int] = []
-            ends: list[int] = []
-            own = []
-            for i, x in sorted(enumerate(spans), key=lambda e: (e[1]["rank"], -e[1]["confidence"], -e[1]["byte_len"], e[1]["start"], e[1]["category"], e[1]["main_text"] or "", e[0])):
-                at = bisect_left(starts, x["end"])
-                if not at or ends[at - 1] <= x["start"]:
-                    starts.insert(at, x["start"])
-                    ends.insert(at, x["end"])
-                    own.append(i)
-            kept.append(sorted(own))
-        columns = [batch.column(c) for c in ("doc_ord", "region_ord", "s")]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.list_(pa.int32()))], ["doc_ord", "region_ord", "s", "kept"])
+        spans = batch.column("s")
+        parts = spans.flatten()
+        starts, ends = parts.field("start").to_pylist(), parts.field("end").to_pylist()
+        edges = np.concatenate(([0], np.cumsum(pc.list_value_length(spans).to_numpy(zero_copy_only=False)))).tolist()
+        kept: list[bool] = []
+        for a, b in pairwise(edges):
+            kept += [True] if b == a + 1 else greedy(starts[a:b], ends[a:b])
+        lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(kept, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "kept"])
 
 
 def resolve_overlaps(spans: DataFrame) -> DataFrame:
-    """``spans`` with ``kept``. By rank, confidence, bytes, start, category, main text: each stays that is disjoint
-    from all that stayed before it. Spans of one region meet in one row; regions are independent."""
+    """``spans`` with ``kept``. Strongest first, each stays that is disjoint from all that stayed before it.
+
+    The order is total: rank, confidence (high first), bytes (many first), start, category, end, original, main text. Spans
+    alike in all of these are the same claim twice, of which one stays. Regions are independent, and so are the clusters of a
+    region between which no span crosses.
+    """
     own = [c for c in spans.columns if c not in ("doc_ord", "region_ord")]
-    grouped = spans.groupBy("doc_ord", "region_ord").agg(F.array_sort(F.collect_list(F.struct("start", "end", "category", *[c for c in own if c not in ("start", "end", "category")]))).alias("s"))
-    done = grouped.mapInArrow(_keep, T.StructType([*grouped.schema.fields, T.StructField("kept", T.ArrayType(T.IntegerType()))]))
-    rows = done.select("doc_ord", "region_ord", "kept", F.posexplode("s").alias("i", "x"))
-    return rows.select("doc_ord", "region_ord", *[F.col(f"x.{c}").alias(c) for c in own], F.array_contains("kept", F.col("i")).alias("kept"))
+    item = F.struct(F.expr(PRIORITY).alias("p"), *own)
+    grouped = _clustered(spans).groupBy("doc_ord", "region_ord", "_c").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(*[x[c].alias(c) for c in own])).alias("s")).drop("_c")
+    done = grouped.mapInArrow(_keep, T.StructType([*grouped.schema.fields, T.StructField("kept", T.ArrayType(T.BooleanType()))]))
+    rows = done.select("doc_ord", "region_ord", F.explode(F.arrays_zip("s", "kept")).alias("x"))
+    return rows.select("doc_ord", "region_ord", *[F.col(f"x.s.{c}").alias(c) for c in own], F.col("x.kept").alias("kept"))
 
 
 def resolve_overlaps_native(spans: DataFrame) -> DataFrame:
-    """The kept spans only, by one fold over each region's sorted spans, without Python. For regions of some hundred spans."""
-    order = ["rank", "neg_conf", "neg_len", "start", "category", "main_key"]
-    keyed = spans.withColumns({"neg_conf": -F.col("confidence"), "neg_len": -F.col("byte_len"), "main_key": F.coalesce("main_text", F.lit(""))})
-    rest = [c for c in SPAN_COLUMNS if c not in ("doc_ord", "region_ord", *order)]
-    grouped = keyed.groupBy("doc_ord", "region_ord").agg(F.array_sort(F.collect_list(F.struct(*order, *rest))).alias("s"))
+    """The kept spans only, in the same order of priority, by one fold over each cluster's sorted spans, without Python. For
+    clusters of some hundred spans."""
+    own = [c for c in SPAN_COLUMNS if c not in ("doc_ord", "region_ord")]
+    item = F.struct(F.expr(PRIORITY).alias("p"), *own)
+    grouped = _clustered(spans).groupBy("doc_ord", "region_ord", "_c").agg(F.array_sort(F.collect_list(item)).alias("s"))
     fold = "aggregate(s, slice(s, 1, 0), (k, x) -> CASE WHEN exists(k, y -> x.start < y.end AND y.start < x.end) THEN k ELSE concat(k, array(x)) END)"
     rows = grouped.select("doc_ord", "region_ord", F.explode(F.expr(fold)).alias("x"))
-    return rows.select("doc_ord", "region_ord", *[F.col(f"x.{c}").alias(c) for c in SPAN_COLUMNS if c not in ("doc_ord", "region_ord")])
+    return rows.select("doc_ord", "region_ord", *[F.col(f"x.{c}").alias(c) for c in own])

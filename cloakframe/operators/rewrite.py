@@ -3,42 +3,65 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .dictionary import Dictionary, look_up
 
 PLACEHOLDER = r"\[[A-Z][A-Z0-9_]*_[0-9]+\]"
-_TOKENS = r"[^\\p{L}\\p{Nd}]+"
+_PLACEHOLDER = re.compile(PLACEHOLDER)
 
 
 def splice(regions: DataFrame, kept: DataFrame, registry: DataFrame) -> DataFrame:
     """``regions`` with ``anonymised`` and ``by_category`` (MAP): kept, disjoint spans replaced in one forward pass."""
     named = kept.join(registry.select(F.col("original_lc").alias("owner_key"), "placeholder"), "owner_key")
     spans = named.groupBy("doc_ord", "region_ord").agg(F.array_sort(F.collect_list(F.struct("start", "end", "placeholder", "category"))).alias("_s"))
-    before = "CASE WHEN i = 0 THEN 0 ELSE _s[i - 1].end END"
-    pieces = f"""concat(array_join(transform(_s, (x, i) -> concat(substring(text, {before} + 1, x.start - ({before})), x.placeholder)), ''), substring(text, element_at(_s, -1).end + 1))"""
     counts = "map_from_entries(transform(array_distinct(transform(_s, x -> x.category)), c -> struct(c, size(filter(_s, x -> x.category = c)))))"
-    joined = regions.join(spans, ["doc_ord", "region_ord"], "left")
-    return joined.withColumn("anonymised", F.expr(f"CASE WHEN _s IS NULL THEN text ELSE {pieces} END")).withColumn("by_category", F.expr(f"CASE WHEN _s IS NULL THEN CAST(map() AS map<string, int>) ELSE {counts} END")).drop("_s")
-
-
-def replace_known(text: str, entries: list[tuple[str, str, str]]) -> tuple[str, list[str]]:
-    """``text`` with each (original, placeholder, category) written over, in order, and a category for each hit.
+    joined = regions.join(spans, ["doc_ord", "region_ord"], "left").withColumn("by_category", F.expr(f"CASE WHEN _s IS NULL THEN CAST(map() AS map<string, int>) ELSE {counts} END"))
 
-    An original counts between characters that are no letters or digits, without case, and never inside a placeholder.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("_s")
+            parts = lists.flatten()
+            starts, ends, written = (parts.field(c).to_pylist() for c in ("start", "end", "placeholder"))
+            edges = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).tolist()
+            done = []
+            for text, a, b in zip(batch.column("text").to_pylist(), edges, edges[1:], strict=False):
+                pieces, last = [], 0
+                for i in range(a, b):
+                    pieces += (text[last : starts[i]], written[i])
+                    last = ends[i]
+                done.append(text if a == b else "".join([*pieces, text[last:]]))
+            names = [c for c in batch.schema.names if c not in ("_s", "by_category")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(done, pa.string()), batch.column("by_category")], [*names, "anonymised", "by_category"])
+
+    fields = [f for f in joined.schema.fields if f.name not in ("_s", "by_category")]
+    return joined.mapInArrow(run, T.StructType([*fields, T.StructField("anonymised", T.StringType()), joined.schema["by_category"]]))
+
+
+def replace_known(text: str, book: Dictionary, table: list[tuple[str, str]]) -> tuple[str, list[str]]:
+    """``text`` with every term of ``book`` that stands in it written over, in the dictionary's order, by its (placeholder,
+    category), and a category for each hit.
+
+    An original counts between characters that are no letters or digits, without case, and never inside a placeholder. Each
+    term sees the text that the one before left, so only terms found at the start are gone through, longest first.
     """
-    hits = []
-    for original, placeholder, category in entries:
-        if original.lower() not in text.lower():
-            continue
-        shielded = [m.span() for m in re.finditer(PLACEHOLDER, text)]
+    hits: list[str] = []
+    for i in sorted({i for _, _, i in book.find(text)}):
+        placeholder, category = table[i]
+        shielded = [m.span() for m in _PLACEHOLDER.finditer(text)]
+        begins = [a for a, _ in shielded]
         out, last = [], 0
-        for m in re.finditer(re.escape(original), text, re.IGNORECASE):
-            s, e = m.span()
-            free = all(e <= a or b <= s for a, b in shielded)
-            if free and not text[s - 1 : s].isalnum() and not text[e : e + 1].isalnum():
+        for s, e in book.places(i, text):
+            at = bisect_left(begins, e)
+            if not at or shielded[at - 1][1] <= s:
                 out += [text[last:s], placeholder]
                 last = e
                 hits.append(category)
@@ -46,35 +69,47 @@ def replace_known(text: str, entries: list[tuple[str, str, str]]) -> tuple[str,
     return text, hits
 
 
-def post_pass(regions: DataFrame, registry: DataFrame, column: str = "anonymised") -> DataFrame:
-    """``regions`` with ``column`` rewritten by every registry entry that occurs in it, longest first (bytes), and ``post_hits``.
+def _entries(registry: DataFrame) -> DataFrame:
+    """Entries as the second pass takes them: longest (bytes) first, then as they are exported."""
+    order = F.struct((-F.octet_length("original")).alias("n"), F.col("category").alias("c"), F.length("placeholder").alias("l"), F.col("placeholder").alias("p"))
+    rows = registry.where("length(original) > 0").select(F.format_string("%012d", 1_000_000_000 + order["n"]).alias("_order"), "category", F.format_string("%06d", order["l"]).alias("_l"), "placeholder", "original")
+    return rows.orderBy("_order", "category", "_l", "placeholder")
 
-    Entries meet regions by their first word, so a region only carries candidates; they are applied one
-    after the other because each sees the text that the one before left.
-    """
-    known = registry.where("length(original) > 0").withColumn("_t", F.expr(f"element_at(filter(split(original_lc, '{_TOKENS}'), t -> t <> ''), 1)"))
-    tokens = regions.select("doc_ord", "region_ord", F.explode(F.expr(f"array_distinct(split(lower({column}), '{_TOKENS}'))")).alias("_t"))
-    pairs = tokens.join(known, "_t").select("doc_ord", "region_ord", F.struct(-F.octet_length("original"), "category", F.length("placeholder"), "placeholder", "original").alias("e")).distinct()
-    found = pairs.groupBy("doc_ord", "region_ord").agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: F.struct(e["original"].alias("original"), e["placeholder"].alias("placeholder"), e["category"].alias("category"))).alias("_e"))
-    touched = regions.select("doc_ord", "region_ord", F.col(column).alias("_text")).join(found, ["doc_ord", "region_ord"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            done = [replace_known(t or "", [(e["original"], e["placeholder"], e["category"]) for e in es]) for t, es in zip(batch.column("_text").to_pylist(), batch.column("_e").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_ord"), batch.column("region_ord"), pa.array([t for t, _ in done], pa.string()), pa.array([h for _, h in done], pa.list_(pa.string()))], ["doc_ord", "region_ord", "_new", "post_hits"])
+def post_pass(regions: DataFrame, registry: DataFrame, column: str = "anonymised", broadcast: bool | None = None) -> DataFrame:
+    """``regions`` with ``column`` rewritten by every registry entry that occurs in it, longest first (bytes), and ``post_hits``."""
+
+    def use(batch: pa.RecordBatch, held) -> Iterator[pa.RecordBatch]:
+        new, hits, last, table = [], [], None, []
+        for r, text in enumerate(batch.column(column).to_pylist()):
+            if text is None:
+                new.append(None)
+                hits.append([])
+                continue
+            book, entries = held(r)
+            if entries is not last:
+                last, table = entries, list(zip(entries.column("placeholder").to_pylist(), entries.column("category").to_pylist(), strict=True))
+            text, got = replace_known(text, book, table)
+            new.append(text)
+            hits.append(got)
+        columns = [pa.array(new, pa.string()) if c == column else batch.column(c) for c in batch.schema.names]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, pa.list_(pa.string()))], [*batch.schema.names, "post_hits"])
 
-    new = touched.mapInArrow(run, "doc_ord long, region_ord long, _new string, post_hits array<string>")
-    joined = regions.join(new, ["doc_ord", "region_ord"], "left")
-    return joined.withColumn(column, F.coalesce("_new", column)).withColumn("post_hits", F.coalesce("post_hits", F.array().cast("array<string>"))).drop("_new")
+    schema = T.StructType([*regions.schema.fields, T.StructField("post_hits", T.ArrayType(T.StringType()))])
+    return look_up(regions, ["doc_ord", "region_ord"], column, _entries(registry), "original", use, schema, broadcast, carry=True)
 
 
-def leaks(outputs: DataFrame, registry: DataFrame, column: str = "anonymised") -> DataFrame:
+def leaks(outputs: DataFrame, registry: DataFrame, column: str = "anonymised", broadcast: bool | None = None) -> DataFrame:
     """``doc_ord, original`` for every original that still stands in an output as a word: none, if all went well."""
-    known = registry.select("original", "original_lc").withColumn("_t", F.expr(f"element_at(filter(split(original_lc, '{_TOKENS}'), t -> t <> ''), 1)"))
+
+    def use(batch: pa.RecordBatch, held) -> Iterator[pa.RecordBatch]:
+        rows, found = [], []
+        for r, text in enumerate(batch.column("_x").to_pylist()):
+            book, _ = held(r)
+            own = {book.terms[i] for _, _, i in book.find(text or "")}
+            rows += [r] * len(own)
+            found += own
+        yield pa.RecordBatch.from_arrays([batch.column("doc_ord").take(pa.array(rows, pa.int64())), pa.array(found, pa.string())], ["doc_ord", "original"])
+
     bare = outputs.select("doc_ord", F.regexp_replace(column, PLACEHOLDER, "\n").alias("_x"))
-    tokens = bare.select("doc_ord", F.explode(F.expr(f"array_distinct(split(lower(_x), '{_TOKENS}'))")).alias("_t"))
-    pairs = tokens.join(known, "_t").join(bare, "doc_ord").where("contains(lower(_x), original_lc)")
-    edge = r"(?<![\\p{L}\\p{Nd}])"
-    ahead = r"(?![\\p{L}\\p{Nd}])"
-    quoted = "regexp_replace(original, '([^A-Za-z0-9 ])', '\\\\\\\\$1')"
-    return pairs.where(F.expr(f"regexp_like(_x, concat('(?iu){edge}', {quoted}, '{ahead}'))")).select("doc_ord", "original").distinct()
+    return look_up(bare, ["doc_ord"], "_x", registry.where("length(original) > 0").select("original"), "original", use, "doc_ord long, original string", broadcast).distinct()

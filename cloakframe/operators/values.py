@@ -1,16 +1,16 @@
-"""Known values: spelling expansion, and a dictionary scan that scales with the text.
-
-Spellings meet regions by an equi-join on the spelling's first word, so neither side is paired
-with the whole of the other; only pairs found that way are searched for places.
-"""
+"""Known values: spelling expansion, and a dictionary scan that reads each text once."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import placed
 from .allowlist import Allowlist
+from .dictionary import Dictionary, look_up
 from .patterns import finished
 
 MIN_SPELLING = 3
@@ -75,35 +75,49 @@ def spelling_rows(values: DataFrame) -> DataFrame:
     return values.select("value_ord", "category", "main_text", F.explode(expand("category", "main_text", "spellings", "curated")).alias("spelling"), klass("methods").alias("match_class"), score.alias("confidence"))
 
 
-_TOKENS = r"[^\\p{L}\\p{Nd}]+"
+SPANS = "doc_ord long, region_ord long, start int, end int, category string, original string, main_text string, confidence double, checksum_ok boolean, match_class string"
+
+
+def _spans(batch: pa.RecordBatch, held) -> Iterator[pa.RecordBatch]:
+    """Span columns for what the dictionary of each row finds, a batch for each run of rows that share one."""
+    rows, starts, ends, originals, which = [], [], [], [], []
 
+    def emit(table: pa.Table) -> pa.RecordBatch:
+        of = table.take(pa.array(which, pa.int64())).combine_chunks()
+        column = lambda c: of.column(c).combine_chunks() if of.num_rows else pa.array([], of.schema.field(c).type)
+        place = pa.array(rows, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column("doc_ord").take(place), batch.column("region_ord").take(place), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), column("category"), pa.array(originals, pa.string()), column("main_text"), column("confidence"), pa.array([True] * len(rows)), column("match_class")], schema=_SPAN_SCHEMA)
 
-def _first_token(column: str) -> str:
-    return f"element_at(filter(split(lower({column}), '{_TOKENS}'), t -> t <> ''), 1)"
+    table = None
+    for r, text in enumerate(batch.column("text").to_pylist()):
+        book, own = held(r)
+        if table is not None and own is not table and rows:
+            yield emit(table)
+            rows, starts, ends, originals, which = [], [], [], [], []
+        table = own
+        for s, e, i in book.find(text or ""):
+            rows.append(r)
+            starts.append(s)
+            ends.append(e)
+            originals.append(text[s:e])
+            which.append(i)
+    if rows:
+        yield emit(table)
 
 
-def places_of(pairs: DataFrame, text: str, term: str) -> DataFrame:
-    """``pairs`` with ``_x``: a span for every match of the literal ``term`` in ``text``, without case, between non-letters."""
-    pattern = f"concat('(?iu)', regexp_replace({term}, '([^A-Za-z0-9 ])', '\\\\\\\\$1'))"
-    found = pairs.withColumn("_pattern", F.expr(pattern)).withColumn("_found", F.expr(f"regexp_extract_all({text}, _pattern, 0)"))
-    inside = r"[\\p{L}\\p{Nd}]"
-    edges = f"NOT (x.s > 0 AND substring({text}, x.s, 1) RLIKE '{inside}') AND NOT substring({text}, x.e + 1, 1) RLIKE '{inside}'"
-    # edges are looked at before the spans become rows, so no row carries its text along
-    return found.withColumn("_x", F.explode(F.expr(f"filter({placed(text, '_pattern', '_found')}, x -> {edges})"))).drop("_pattern", "_found")
+_SPAN_SCHEMA = pa.schema([("doc_ord", pa.int64()), ("region_ord", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("category", pa.string()), ("original", pa.string()), ("main_text", pa.string()), ("confidence", pa.float64()), ("checksum_ok", pa.bool_()), ("match_class", pa.string())])
 
 
-def detect_values(regions: DataFrame, values: DataFrame, allow: Allowlist | None = None) -> DataFrame:
+def detect_values(regions: DataFrame, values: DataFrame, allow: Allowlist | None = None, broadcast: bool | None = None) -> DataFrame:
     """Spans of every spelling of ``values`` (VALUES) in ``regions`` (doc_ord, region_ord, text).
 
     Terms on the never-anonymise list are left out, as spellings and as found. Spans of different
     spellings may overlap. Spellings without a letter or digit are not searched.
     """
     allow = allow or Allowlist()
-    spellings = filter_allowed_column(spelling_rows(values), allow, "spelling").withColumn("_t", F.expr(_first_token("spelling"))).where("_t IS NOT NULL")
+    spellings = filter_allowed_column(spelling_rows(values), allow, "spelling").drop("value_ord")
     body = regions.where("text IS NOT NULL").select("doc_ord", "region_ord", "text")
-    tokens = body.select("doc_ord", "region_ord", F.explode(F.expr(f"array_distinct(split(lower(text), '{_TOKENS}'))")).alias("_t"))
-    pairs = tokens.join(spellings, "_t").drop("_t").join(body, ["doc_ord", "region_ord"]).where(F.contains(F.lower("text"), F.lower("spelling")))
-    rows = places_of(pairs, "text", "spelling").select("doc_ord", "region_ord", F.col("_x.s").alias("start"), F.col("_x.e").alias("end"), "category", F.col("_x.t").alias("original"), "main_text", "confidence", F.lit(True).alias("checksum_ok"), "match_class")
+    rows = look_up(body, ["doc_ord", "region_ord"], "text", spellings, "spelling", _spans, SPANS, broadcast)
     return finished(filter_allowed_column(rows, allow, "original"))
 
 
@@ -112,12 +126,24 @@ def filter_allowed_column(rows: DataFrame, allow: Allowlist, column: str) -> Dat
 
 
 def count_terms(regions: DataFrame, terms: list[str]) -> DataFrame:
-    """``term, matches, documents`` for literal terms, all of them, without case and between non-letters."""
-    spark = regions.sparkSession
-    asked = spark.createDataFrame([(t,) for t in dict.fromkeys(terms)], "term string")
-    keyed = asked.withColumn("_t", F.expr(_first_token("term"))).where("_t IS NOT NULL")
-    body = regions.where("text IS NOT NULL").select("doc_ord", "region_ord", "text")
-    tokens = body.select("doc_ord", "region_ord", F.explode(F.expr(f"array_distinct(split(lower(text), '{_TOKENS}'))")).alias("_t"))
-    pairs = tokens.join(keyed, "_t").join(body, ["doc_ord", "region_ord"])
-    found = places_of(pairs, "text", "term").groupBy("term").agg(F.count("*").alias("matches"), F.countDistinct("doc_ord").alias("documents"))
-    return asked.join(found, "term", "left").select("term", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("documents", F.lit(0)).alias("documents"))
+    """``term, matches, documents`` for literal terms, all of them, without case and between non-letters.
+
+    The terms are the caller's own list; each text is read once, and a document gives one row for each term it holds.
+    """
+    asked = list(dict.fromkeys(terms))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book = Dictionary(asked)
+        for batch in batches:
+            rows, which, many = [], [], []
+            for r, text in enumerate(batch.column("text").to_pylist()):
+                for i, n in Counter(i for _, _, i in book.find(text or "")).items():
+                    rows.append(r)
+                    which.append(asked[i])
+                    many.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_ord").take(pa.array(rows, pa.int64())), pa.array(which, pa.string()), pa.array(many, pa.int64())], ["doc_ord", "term", "n"])
+
+    counted = regions.where("text IS NOT NULL").select("doc_ord", "text").mapInArrow(run, "doc_ord long, term string, n long")
+    found = counted.groupBy("term", "doc_ord").agg(F.sum("n").alias("n")).groupBy("term").agg(F.sum("n").alias("matches"), F.count("*").alias("documents"))
+    rows = regions.sparkSession.createDataFrame([(t,) for t in asked], "term string")
+    return rows.join(found, "term", "left").select("term", F.coalesce("matches", F.lit(0)).alias("matches"), F.coalesce("documents", F.lit(0)).alias("documents"))

@@ -267,7 +267,7 @@ _RESOLVE = "SELECT l_orderkey AS doc_ord, CAST(0 AS bigint) AS region_ord, CAST(
 
 
 @query("resolve_overlaps", """WITH RECURSIVE s AS (SELECT doc, r, s, e, o FROM (SELECT l_orderkey AS doc, CAST(l_suppkey % 40 AS int) AS s, CAST(l_suppkey % 40 + l_quantity AS int) AS e, concat(CAST(l_partkey AS varchar), '-', CAST(l_linenumber AS varchar)) AS o,
-      row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_linenumber % 3 = 0 THEN 1 WHEN l_linenumber % 3 = 1 THEN 2 ELSE 3 END, l_discount DESC, length(concat(CAST(l_partkey AS varchar), '-', CAST(l_linenumber AS varchar))) DESC, l_suppkey % 40, l_linenumber) AS r FROM lineitem)),
+      row_number() OVER (PARTITION BY l_orderkey ORDER BY CASE WHEN l_linenumber % 3 = 0 THEN 1 WHEN l_linenumber % 3 = 1 THEN 2 ELSE 3 END, l_discount DESC, length(concat(CAST(l_partkey AS varchar), '-', CAST(l_linenumber AS varchar))) DESC, l_suppkey % 40, l_linenumber, CAST(l_suppkey % 40 + l_quantity AS int), concat(CAST(l_partkey AS varchar), '-', CAST(l_linenumber AS varchar))) AS r FROM lineitem)),
     k AS (SELECT doc, r, s, e, o, [struct_pack(a := s, b := e)] AS held, true AS kept FROM s WHERE r = 1
       UNION ALL SELECT s.doc, s.r, s.s, s.e, s.o, CASE WHEN len(list_filter(k.held, lambda x: s.s < x.b AND x.a < s.e)) > 0 THEN k.held ELSE list_append(k.held, struct_pack(a := s.s, b := s.e)) END, len(list_filter(k.held, lambda x: s.s < x.b AND x.a < s.e)) = 0 FROM k JOIN s ON s.doc = k.doc AND s.r = k.r + 1)
     SELECT doc AS doc_ord, o AS original, kept FROM k""")

@@ -170,10 +170,11 @@ def load_office(files: DataFrame) -> DataFrame:
 
 def same_format_name(name: str, ext: str, entries: list[tuple[str, str, str]], n: int) -> str:
     """A file name with its known originals replaced; a neutral one if an original still stands in it."""
+    from ..operators.dictionary import Dictionary
     from ..operators.rewrite import replace_known
 
     stem = re.sub(r"(?<=.)\.[A-Za-z0-9]{1,4}$", "", name.replace("#", "_"))
-    stem, _ = replace_known(stem, entries)
+    stem, _ = replace_known(stem, Dictionary([original for original, _, _ in entries]), [(placeholder, category) for _, placeholder, category in entries])
     if any(original.lower() in stem.lower() for original, _, _ in entries):
         return f"document_anon_{n}.{ext}"
     return re.sub(r"[\[\]]", "", stem) + f"_anon.{ext}"

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cloakframe.operators import allowlist, discover, patterns, registry, resolve, rewrite, values
+from cloakframe.operators import allowlist, dictionary, discover, patterns, registry, resolve, rewrite, values
 from cloakframe.plans import anonymise as run
 from cloakframe.plans import presets
 
@@ -142,7 +142,7 @@ def test_registry_numbers(spark):
 
 
 def test_post_pass_shields_placeholders():
-    text, hits = rewrite.replace_known("Email [EMAIL_1] email xemail", [("EMAIL", "[OTHER_1]", "other_names")])
+    text, hits = rewrite.replace_known("Email [EMAIL_1] email xemail", dictionary.Dictionary(["EMAIL"]), [("[OTHER_1]", "other_names")])
     assert text == "[OTHER_1] [EMAIL_1] [OTHER_1] xemail" and hits == ["other_names"] * 2
 
 
