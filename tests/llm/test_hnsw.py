@@ -35,7 +35,7 @@ def test_graph_recall():
     for x in (rng.normal(size=(1500, 24)), rng.normal(size=(1500, 24)) * rng.gamma(2, size=(1500, 1))):
         graph = hnsw.Graph.unpack(*hnsw.build(x).pack())
         q = x[::15]
-        found = hnsw.search(graph, x, q)
+        found = hnsw.search(graph, hnsw.searchable(x), q)
         hits = [len(set(np.argsort(-(x @ v))[:20]) & set(f[:20])) for v, f in zip(q, found, strict=True)]
         assert np.mean(hits) / 20 > 0.9  # one shard only; several find more
 
@@ -49,8 +49,8 @@ def test_query_recall_and_scores(spark):
     assert recall(got, want) >= 0.95
     x = {i: np.array(v, np.float64) for i, v in rows}
     assert all(abs(s - x[q] @ x[v]) < 1e-12 and v != q for q in got for v, s in got[q])
-    many = hnsw.nearest(*[spark.read.parquet(f"{sf}/embeddings.parquet")] * 2, k=5, shard_size=300).where("query_id % 20 = 0")
-    assert recall(collected(many), {q: v[:5] for q, v in want.items()}) >= 0.95
+    many = hnsw.nearest(*[spark.read.parquet(f"{sf}/embeddings.parquet")] * 2, k=20, shard_size=300).where("query_id % 20 = 0")
+    assert recall(collected(many), want) >= 0.98  # at the full 20 places over many shards
 
 
 def test_odd_vectors(spark):
@@ -69,6 +69,13 @@ def test_odd_vectors(spark):
 def test_search_is_not_narrowed():
     x = np.random.default_rng(5).normal(size=(3000, 48))
     q = x[::20]
-    found = hnsw.search(hnsw.build(x), x, q)
+    found = hnsw.search(hnsw.build(x), hnsw.searchable(x), q, 160)
     hits = [len(set(np.argsort(-(x @ v))[:20]) & set(f[:20])) for v, f in zip(q, found, strict=True)]
     assert np.mean(hits) / 20 > 0.96  # a width of 96 finds 0.942, one of 160 finds 0.973
+
+
+def test_any_number_of_lengths(spark):
+    rows = [(100 * n + i, [float(i + 1)] * n) for n in range(1, 40) for i in range(3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collected(hnsw.nearest(df, df, k=2))
+    assert len(got) == len(rows) and all(q // 100 == v // 100 for q in got for v, _ in got[q])
