@@ -26,13 +26,13 @@ def brute(text, items):
 def corpus():
     rng = random.Random(3)
     words = [f"w{i}" for i in range(4000)]
-    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 12, 20, 45])))) for i in range(25)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([3, 5, 6, 7, 8, 12, 20, 45])))) for i in range(25)]
     docs = []
-    for i in range(60):
+    for i in range(160):
         w = [rng.choice(words) for _ in range(rng.randint(0, 80))]
         if i % 2:
             t = items[rng.randrange(25)][1].split()
-            for j in rng.sample(range(len(t)), int(len(t) * rng.choice([0, 0.1, 0.18, 0.5]))):
+            for j in rng.sample(range(len(t)), int(len(t) * rng.choice([0, 0.1, 0.2, 0.5]))):
                 t[j] = "changed"
             w[len(w) // 2 : len(w) // 2] = t[rng.choice([0, 2]) :]
         docs.append((i, ", ".join(w).upper()))
@@ -43,7 +43,7 @@ def test_against_brute_force(spark):
     docs, items = corpus()
     docs += [(1, None), (1, ""), (500, " ".join(t for _, t in items))]
     d = spark.createDataFrame([(*x, "k") for x in docs], "doc_id long, text string, key string")
-    b = spark.createDataFrame([*items, (None, "w1 w2"), (99, None), (98, "")], "item_id long, text string")
+    b = spark.createDataFrame([*items, (99, None), (98, "")], "item_id long, text string")
     rows = decontam.contamination(d, b).collect()
     assert len(rows) == len(docs)
     got = sorted((r.doc_id, tuple(h.item_id for h in r.hits)) for r in rows)
@@ -72,3 +72,24 @@ def test_empty_tables_and_real_passages(spark):
     found = {r.doc_id for r in decontam.contamination(d, b).where("contaminated").collect()}
     verbatim = {r.doc_id for r in d.join(b.select("item_id", F.col("text").alias("p")), F.expr("contains(text, p)")).collect()}
     assert verbatim <= found
+
+
+def test_every_substitution_in_short_items(spark):
+    w = "red blue green black white brown pink".split()
+    docs, items = [], []
+    for n in (5, 6, 7):
+        items.append((n, " ".join(f"{x}{n}" for x in w[:n])))
+        docs += [(10 * n + j, "go " + " ".join("other" if i == j else f"{x}{n}" for i, x in enumerate(w[:n])) + " on") for j in range(n)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for tokens in (0, 10**6):
+        assert all(r.contaminated and r.best_item == r.doc_id // 10 for r in decontam.contamination(d, b, max_broadcast_tokens=tokens).collect())
+
+
+def test_texts_that_share_an_id_or_have_none(spark):
+    one, two, three = ("alpha beta gamma delta epsilon zeta eta theta iota kappa", "uno dos tres cuatro cinco seis siete ocho nueve diez once", "un deux trois quatre cinq six sept huit neuf dix")
+    b = spark.createDataFrame([(1, one), (1, two), (None, three), (None, three)], "item_id long, text string")
+    d = spark.createDataFrame([(1, one), (2, two), (3, three), (4, f"{one} x {two} y {three}"), (5, "none of them")], "doc_id long, text string")
+    for tokens in (0, 10**6):
+        got = {r.doc_id: [h.item_id for h in r.hits] for r in decontam.contamination(d, b, max_broadcast_tokens=tokens).collect()}
+        assert got == {1: [1], 2: [1], 3: [None], 4: [None, 1], 5: []}
+    assert [r.doc_id for r in decontam.decontaminate(d, b).collect()] == [5]
