@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4_000_000
 
@@ -30,3 +31,20 @@ def text_chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_
 def as_bytes(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes, null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+#: 64-bit names that two texts may share before something else must be wrong: at 10^12 texts some 30,000 are expected.
+MOST_SHARED = 1_000_000
+
+
+def text_key(rows: DataFrame, text: str = "text") -> Column:
+    """A LONG that names a text (not null): equal for equal texts, different for different ones as far as 128 bits of hash tell.
+
+    Names that two texts share are looked for first, and such texts get another name; only those names come to the driver.
+    """
+    first, second = F.xxhash64(text), F.xxhash64(F.lit("second"), F.octet_length(text), F.reverse(text))
+    named = rows.select(first.alias("a"), second.alias("b")).groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"))
+    shared = [r.a for r in named.where("low <> high").select("a").limit(MOST_SHARED).collect()]
+    if len(shared) == MOST_SHARED:
+        raise RuntimeError("too many texts share a 64-bit name")
+    return F.when(first.isin(shared), F.xxhash64(first, second)).otherwise(first) if shared else first

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, cut
-from .common import as_bytes, text_chunks
+from .common import as_bytes, text_chunks, text_key
+from .shingle_join import alike_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: (shift, width) of the segments.
@@ -187,165 +188,31 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-#: The rule of the near-duplicates stage: sets of WORDS-word shingles with a Jaccard similarity of ALIKE or more.
-WORDS, ALIKE = 5, (4, 5)
-#: About so many distinct texts tell which shingles are common; so many of these at most are put last.
-COMMON_SAMPLE, COMMON_SHARE, MAX_COMMON = 5000, 1000, 100_000
-
-
-def shingle_set(text: bytes) -> np.ndarray:
-    """Sorted distinct hashes of the WORDS-word shingles of one text; a shorter text is one shingle, an empty one has none."""
-    words = text.lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if n <= WORDS:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    m = n - WORDS + 1
-    cuts = map(slice, starts[:m].tolist(), ends[WORDS - 1 :].tolist())
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(joined.__getitem__, cuts), repeat(SEED)), np.uint64, m))
-
-
-def prefix(shingles: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 shingles in an order that all texts share, common ones (sorted) last.
-
-    Two sets at ALIKE or more have one of these in common whatever the order, so none is lost.
-    """
-    n = len(shingles)
-    if not n:
-        return shingles
-    at = np.minimum(np.searchsorted(common, shingles), max(0, len(common) - 1))
-    hot = common[at] == shingles if len(common) else np.zeros(n, bool)
-    return np.concatenate((shingles[~hot], shingles[hot]))[: n - -(-ALIKE[0] * n // ALIKE[1]) + 1]
-
-
-def alike(a: set[int], b: set[int]) -> bool:
-    """Is the Jaccard similarity ALIKE or more?"""
-    low, high = sorted((len(a), len(b)))
-    if ALIKE[1] * low < ALIKE[0] * high:
-        return False
-    both = len(a & b)
-    return ALIKE[1] * both >= ALIKE[0] * (low + high - both)
-
-
-def common_shingles(rows: DataFrame) -> np.ndarray:
-    """Sorted hashes of shingles that many of a bounded sample of the texts hold. They change the cost, never the result."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_chunks(batch):
-                for text in as_bytes(part.column("text")):
-                    yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text).view(np.int64))], ["h"])
-
-    step = rows.count() // COMMON_SAMPLE + 1
-    some = rows.where(F.pmod(F.xxhash64("th"), F.lit(step)) == 0).select("th", "text").dropDuplicates(["th"]).select("text")
-    counts = some.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= max(3, COMMON_SAMPLE // COMMON_SHARE))
-    return np.sort(np.array([r.h for r in counts.orderBy(F.desc("n"), "h").limit(MAX_COMMON).collect()], np.int64).view(np.uint64))
-
-
-def _text_prints(common):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_chunks(batch):
-                texts = as_bytes(part.column("text"))
-                fps = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
-                sets = [shingle_set(t) for t in texts]
-                sids = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
-                # 32 bits of a shingle's hash: a chance match is one candidate more
-                keys = pa.array([np.unique(prefix(s, common.value).astype(np.uint32)).view(np.int32) for s in sets], pa.list_(pa.int32()))
-                sizes = pa.array([len(s) for s in sets], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("th"), pa.array(fps), pa.array(sids), sizes, keys], ["id", "th", "fp", "sid", "size", "keys"])
-
-    return run
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _text_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_chunks(batch):
-            sets = pa.array([shingle_set(t).tobytes() for t in as_bytes(part.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("th"), sets], ["th", "shingles"])
-
-
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``bucket, sid`` for the sets of each key that two or more hold, the bucket named by its members; rows come sorted by key, size and sid.
-
-    Where the next larger set is too large to be alike, a bucket ends. Keys with the same members make the same bucket, so it is compared once.
-    """
-
-    def emit(keys: np.ndarray, sizes: np.ndarray, sids: np.ndarray) -> pa.RecordBatch:
-        far = ALIKE[1] * sizes[:-1] < ALIKE[0] * sizes[1:]
-        at = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | far))) if len(keys) else np.zeros(0, np.int64)
-        n = np.diff(np.append(at, len(keys)))
-        runs = [sids[a : a + k] for a, k in zip(at[n > 1].tolist(), n[n > 1].tolist(), strict=True)]
-        names = np.array([xxhash.xxh64_intdigest(r.tobytes(), SEED) for r in runs], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n[n > 1])), pa.array(np.concatenate(runs) if runs else np.zeros(0, np.int64))], ["bucket", "sid"])
-
-    keys, sizes, sids = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        keys = np.concatenate((keys, batch.column("key").to_numpy(zero_copy_only=False)))
-        sizes = np.concatenate((sizes, batch.column("size").to_numpy(zero_copy_only=False)))
-        sids = np.concatenate((sids, batch.column("sid").to_numpy(zero_copy_only=False)))
-        if not len(keys):
-            continue
-        last = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
-        yield emit(keys[:last], sizes[:last], sids[:last])
-        keys, sizes, sids = keys[last:], sizes[last:], sids[last:]
-    yield emit(keys, sizes, sids)
-
-
-def _alike_in_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links that connect all alike sets of each bucket; rows come sorted by bucket."""
-    bucket, groups = None, []
-    for batch in batches:
-        a, b = [], []
-        for k, sid, data in zip(batch.column("bucket").to_pylist(), batch.column("sid").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
-            if k != bucket:
-                bucket, groups = k, []
-            own = set(np.frombuffer(data, np.uint64).tolist())
-            joined, rest = [(sid, own)], []
-            for g in groups:  # members of one group are connected already, so one link to each group is enough
-                other = next((s for s, x in g if alike(own, x)), None)
-                if other is None:
-                    rest.append(g)
-                else:
-                    a.append(sid)
-                    b.append(other)
-                    joined = g + joined
-            groups = [*rest, joined]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-
-def alike_links(prints: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs of shingle sets (sid) at ALIKE or more that connect all such pairs: prefixes joined, candidates verified."""
-    keyed = prints.groupBy("sid").agg(F.first("keys").alias("keys"), F.first("size").cast("long").alias("size")).select("sid", "size", F.explode("keys").alias("key"))
-    shared = cut(keyed.repartition("key").sortWithinPartitions("key", "size", "sid").mapInArrow(_buckets, "bucket long, sid long").distinct())
-    place = prints.join(shared.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("th").alias("th"))
-    texts = rows.select("th", "text").join(place.select("th"), "th", "left_semi").dropDuplicates(["th"])
-    sets = place.join(texts.mapInArrow(_sets, "th long, shingles binary"), "th").select("sid", "shingles")
-    buckets = shared.join(sets, "sid").select("bucket", "sid", "shingles").repartition("bucket").sortWithinPartitions("bucket", "sid")
-    return buckets.mapInArrow(_alike_in_bucket, "a long, b long")
+            fps = np.fromiter(map(fingerprint, as_bytes(part.column("text"))), np.uint64, part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column("none"), part.column("id"), part.column("node"), pa.array(fps.view(np.int64))], ["none", "id", "node", "fp"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that with the smallest doc_id (of repeated rows, one).
+    """``docs`` with one row of each component: that with the smallest doc_id, and of several such the one with the smallest hash.
 
-    Texts are linked by their fingerprints (as in ``simhash_components``) and where their shingle sets are ALIKE.
-    A row without a doc_id stands behind all that have one; among such rows equal texts are one.
+    Texts are linked where their fingerprints are (as in ``simhash_components``) and where their sets of five-word shingles
+    have a Jaccard similarity of 0.8 or more. A null text counts as empty, and all texts without a word are one. Rows without
+    a doc_id stand behind all that have one; different texts under one doc_id are told apart. Repeated rows stay once.
     """
-    spare = F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), spare).alias("id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
-    texts = rows.select("id", "th", "text")
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(texts))
-    prints = cut(texts.mapInArrow(_text_prints(common), "id long, th long, fp long, sid long, size int, keys array<int>"))
-    by_fp = cut(prints.groupBy("fp").agg(F.min("sid").alias("s")))
+    none, number = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    body = docs.select(F.struct(*docs.columns).alias("row"), none.alias("none"), number.alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = body.withColumn("node", text_key(body))
+    prints = cut(rows.select("none", "id", "node", "text").mapInArrow(_text_prints, "none boolean, id long, node long, fp long"))
+    by_fp = cut(prints.groupBy("fp").agg(F.min("node").alias("s")))
     near = links(by_fp).join(by_fp.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
-    edges = prints.select("fp", "sid").distinct().join(by_fp, "fp").select(F.col("sid").alias("a"), F.col("s").alias("b"))
-    edges = edges.unionByName(near.select(F.col("sa").alias("a"), F.col("sb").alias("b"))).unionByName(alike_links(prints, texts))
-    parts = connected_components(edges, "a", "b")
-    tagged = prints.select("id", "th", "sid").distinct().join(parts, F.col("sid") == parts.node, "left").select("id", "th", F.coalesce("component", "sid").alias("c"))
-    tagged = cut(tagged)
-    kept = tagged.join(tagged.groupBy("c").agg(F.min("id").alias("id")), ["c", "id"], "left_semi").distinct()
-    return rows.select("id", "th", "row").join(kept, ["id", "th"]).dropDuplicates(["id", "c"]).select("row.*")
+    edges = prints.select("fp", "node").distinct().join(by_fp, "fp").select(F.col("node").alias("a"), F.col("s").alias("b")).where("a <> b")
+    edges = edges.unionByName(near.select(F.col("sa").alias("a"), F.col("sb").alias("b")))
+    parts = alike_components(rows.select("node", "text"), edges)
+    # a row for each (doc_id, text) and, of each component, the first of them
+    seen = prints.groupBy("none", "id", "node").agg(F.count("*").alias("n")).join(parts, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    kept = seen.groupBy("c").agg(F.min(F.struct("none", "id", "node")).alias("k")).select("k.*")
+    chosen = rows.select("none", "id", "node", "row").join(kept, ["none", "id", "node"], "left_semi")
+    return chosen.groupBy("none", "id", "node").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")

@@ -4,9 +4,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
-from cloakframe.llm import simhash
+from cloakframe.llm import shingle_join, simhash
 from cloakframe.operators.graph import connected_components
 
 
@@ -113,3 +114,42 @@ def test_kept_texts_are_not_alike(spark):
         parent[max(a, b)] = min(a, b)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(df).collect()) == [i for i in range(len(texts)) if find(i) == i]
+
+
+def test_different_texts_under_one_id_stay(spark):
+    df = spark.createDataFrame([(1, "one text under this id"), (1, "quite another text under it"), (1, "quite another text under it"), (2, None), (2, "")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text or "") for r in simhash.keep_one(df).collect()) == [(1, "one text under this id"), (1, "quite another text under it"), (2, "")]
+
+
+def test_keys_meet_wherever_sets_are_alike():
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 40), 80, 333, 1000, 5000]:
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 1 << 63, n, np.int64).astype(np.uint64))
+            change = int(rng.integers(0, 2 * len(a) // 9 + 1))
+            drop = int(rng.integers(0, change + 1))
+            b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, 1 << 63, change - drop, np.int64).astype(np.uint64))))
+            if not len(b) or not shingle_join.alike(a, b):
+                continue
+            (ka, fa), (kb, fb) = shingle_join.keys_of(a), shingle_join.keys_of(b)
+            both = np.intersect1d(ka, kb)
+            assert len(both) and (fa[np.isin(ka, both)].any() or fb[np.isin(kb, both)].any()), (len(a), len(b))
+
+
+def test_large_buckets_in_pieces(spark, monkeypatch):
+    # chains: neighbours are alike, others not, so most sets of a bucket differ from its first
+    words = [f"v{i}" for i in range(400)]
+    texts = [" ".join(words[i : i + 60]) for i in range(0, 300, 3)]
+    rng = random.Random(4)
+    rng.shuffle(texts)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "node long, text string")
+    none = df.limit(0).select(df.node.alias("a"), df.node.alias("b"))
+    whole = {r.component for r in shingle_join.alike_components(df, none).collect()}
+    monkeypatch.setattr(shingle_join, "BLOCK", 3)
+    assert whole == {r.component for r in shingle_join.alike_components(df, none).collect()} and len(whole) == 1
+    rows = [pa.RecordBatch.from_pydict({"node": [i], "text": [t]}) for i, t in enumerate(texts * 2)]
+    sent = sorted((x for b in shingle_join._send_keys(1)(iter(rows)) for x in b.to_pylist()), key=lambda x: x["part"])
+    meet = lambda: {(min(m), x) for b in shingle_join._meet(iter([pa.RecordBatch.from_pylist(sent)])) for m in b.column("members").to_pylist() for x in m}
+    together = meet()
+    monkeypatch.setattr(shingle_join, "HELD", 500)
+    assert {x for _, x in meet()} == {x for _, x in together}
