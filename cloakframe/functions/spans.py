@@ -49,9 +49,10 @@ def placed(text: str, pattern_sql: str, found: str, around: tuple[int, int, int]
         before, after, least = around
         # a match is ``least`` long or longer, so a few neighbours fill any window
         near = lambda n: range(1, -(-n // least) + 1)
-        heads = [f"coalesce(get(p, i - {k}), ''), coalesce(get({found}, i - {k}), '')" for k in reversed(near(before))]
-        tails = [f"coalesce(get(p, i + {k}), ''), coalesce(get({found}, i + {k}), '')" for k in near(after)]
-        left = f"right(concat({', '.join([*heads, 'p[i]'])}), {before})" if before else "''"
+        # each piece is cut to the window before they are joined, so that long ones are not copied
+        heads = [f"coalesce(right(get({x}, i - {k}), {before}), '')" for k in reversed(near(before)) for x in ("p", found)]
+        tails = [f"coalesce(left(get({x}, i + {k}), {after}), '')" for k in near(after) for x in ("p", found)]
+        left = f"right(concat({', '.join([*heads, f'right(p[i], {before})'])}), {before})" if before else "''"
         right = f"left(concat({', '.join(tails)}), {after})" if after else "''"
         beside = f", {left} AS b, {right} AS a"
     items = f"transform(array(split({text}, {pattern_sql}, -1)), p -> transform({found}, (t, i) -> struct(length(p[i]) AS n, t AS t{beside})))[0]"
