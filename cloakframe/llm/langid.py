@@ -4,8 +4,10 @@ Letters are read in windows of one to three (with word edges), hashed to BUCKETS
 by language over all training rows. Every word of a text then has a likelihood under each
 language (the mean of its windows' smoothed log-likelihoods, scaled by SHARP, so that long
 words do not count for whole sentences). Expectation-maximisation finds the proportions of
-languages that make a text's words likeliest; of the nested sets of its LARGEST languages the one with the best likelihood, less half of log(words) for each further language, holds.
-All texts of a batch iterate together.
+languages that make a text's words likeliest, first with all of them, until they settle. Of the nested sets of a text's
+largest languages the one with the best likelihood, less half of log(words) for each further language, holds. No set is
+likelier than all languages together, so larger sets are only tried while that bound lets them win; there is no other limit
+to their size. All texts of a batch iterate together, and those that have settled leave.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import text_chunks
 
-BUCKETS, SHARP, ROUNDS, SMOOTH, MIXED = 1 << 16, 6.0, 6, 0.5, 0.1
-#: Languages in the largest set tried.
-LARGEST = 4
+BUCKETS, SHARP, SMOOTH, MIXED = 1 << 16, 6.0, 0.5, 0.1
+#: Proportions have settled when none moves by more in a round; ROUNDS is where a text that never does is left.
+SETTLED, ROUNDS = 1e-3, 200
+#: Languages whose counts are collected; the table takes 0.5 MB for each.
+MOST_LANGUAGES = 2000
 UNKNOWN = "und"
 
 
@@ -87,7 +91,10 @@ def counts(rows: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
 
-    summed = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    summed = rows.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    if (many := rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count()) > MOST_LANGUAGES:
+        raise ValueError(f"more than {many - 1} languages")
+    summed = summed.toPandas()
     langs = sorted(summed.lang.unique())
     table = np.zeros((len(langs), BUCKETS))
     if langs:
@@ -114,38 +121,58 @@ class Model:
             like[i] = np.bincount(words, weights=self.logs[hashed, i], minlength=len(text_of)) / per_word * SHARP
         like = np.maximum(np.exp(like - like.max(axis=0)), np.float32(1e-30))
         live = np.flatnonzero(size)
-        first = np.concatenate(([0], np.cumsum(size[live])))[:-1]
-        of = np.repeat(np.arange(len(live)), size[live])
-        count = size[live].astype(np.float32)
-
-        def em(pi: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-            """From ``pi`` (language, text): proportions after so many rounds, and the log-likelihood they have."""
-            for _ in range(rounds):
-                total = np.zeros(len(of), np.float32)
-                parts = []
-                for i in range(k):
-                    parts.append(like[i] * pi[i][of])
-                    total += parts[-1]
-                pi = np.stack([np.add.reduceat(p / total, first) / count for p in parts])
-            total = np.zeros(len(of), np.float32)
-            for i in range(k):
-                total += like[i] * pi[i][of]
-            return pi, np.add.reduceat(np.log(np.maximum(total, 1e-30)).astype(np.float64), first)
-
-        whole, _ = em(np.full((k, len(live)), 1 / k, np.float32), ROUNDS)
+        first = np.concatenate(([0], np.cumsum(size[live])))
+
+        def pick(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Likelihoods of the words of some texts, where each text begins, and its number of words."""
+            n = size[live[which]]
+            begin = np.cumsum(n) - n
+            at = np.arange(int(n.sum())) - np.repeat(begin - first[which], n)
+            return like[:, at], begin, n
+
+        def em(which: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Settled proportions (language, text) of some texts from ``pi``, and the log-likelihood they have."""
+            out, fit = pi.copy(), np.zeros(len(which))
+            todo = np.arange(len(which))
+            own, begin, n = pick(which)
+            for step in range(ROUNDS):
+                of = np.repeat(np.arange(len(todo)), n)
+                parts = own * pi[:, of]
+                total = np.maximum(parts.sum(axis=0), np.float32(1e-30))
+                fit[todo] = np.add.reduceat(np.log(total).astype(np.float64), begin)
+                new = np.add.reduceat(parts / total, begin, axis=1) / n.astype(np.float32)
+                moving = np.abs(new - pi).max(axis=0) > SETTLED
+                out[:, todo] = pi = new
+                if not moving.any():
+                    break
+                if step % 4 == 3 and not moving.all():
+                    todo, pi = todo[moving], pi[:, moving]
+                    own, begin, n = pick(which[todo])
+            return out, fit
+
+        texts_of = np.arange(len(live))
+        whole, bound = em(texts_of, np.full((k, len(live)), 1 / k, np.float32))
         order = np.argsort(-whole, axis=0, kind="stable")
-        best, chosen = np.full(len(live), -np.inf), whole
-        for m in range(min(k, LARGEST), 0, -1):
-            allowed = np.zeros((k, len(live)), np.float32)
-            np.put_along_axis(allowed, order[:m], 1.0, axis=0)
-            start = (whole + 1e-3) * allowed
-            pi, fit = em(start / start.sum(axis=0), ROUNDS if m > 1 else 0)
-            score = fit - 0.5 * (m - 1) * np.log(count)
-            better = score >= best
-            best = np.where(better, score, best)
-            chosen = np.where(better, pi, chosen)
-        chosen = chosen.T
-        shares[live] = chosen
+        cost = 0.5 * np.log(size[live])
+        lead = np.zeros((k, len(live)), np.float32)
+        np.put_along_axis(lead, order[:1], 1.0, axis=0)
+        chosen = lead.copy()
+        logs = np.log(like)
+        single = np.stack([np.add.reduceat(x.astype(np.float64), first[:-1]) for x in logs])
+        best = np.take_along_axis(single, order[:1], 0)[0]
+        for m in range(2, k + 1):
+            todo = np.flatnonzero(bound + 1e-6 * np.abs(bound) - (m - 1) * cost > best)
+            if not len(todo):
+                break
+            allowed = np.zeros((k, len(todo)), np.float32)
+            np.put_along_axis(allowed, order[:m, todo], 1.0, axis=0)
+            start = (whole[:, todo] + 1e-3) * allowed
+            pi, fit = em(todo, start / start.sum(axis=0))
+            score = fit - (m - 1) * cost[todo]
+            better = score > best[todo]
+            best[todo[better]] = score[better]
+            chosen[:, todo[better]] = pi[:, better]
+        shares[live] = chosen.T
         return shares, size
 
 

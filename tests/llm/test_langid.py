@@ -3,6 +3,7 @@
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -52,3 +53,38 @@ def test_odd_rows(spark):
     assert not by[None, "und"].held_out
     assert {r.lang_pred for r in langid.identify(df.where("lang IS NULL")).collect()} == {"und"}
     assert langid.identify(df.limit(0)).count() == 0
+
+
+def plain_choice(like):
+    """The best set of languages of one text over all subsets, by plain EM to the end, with the penalty."""
+    k, n = like.shape
+    best = (-np.inf, None)
+    for chosen in [c for m in range(1, k + 1) for c in combinations(range(k), m)]:
+        pi = np.full(len(chosen), 1 / len(chosen))
+        for _ in range(3000):
+            parts = like[list(chosen)] * pi[:, None]
+            pi = (parts / parts.sum(axis=0)).mean(axis=1)
+        score = np.log((like[list(chosen)] * pi[:, None]).sum(axis=0)).sum() - 0.5 * (len(chosen) - 1) * np.log(n)
+        if score > best[0] + 1e-9:
+            best = score, {c: p for c, p in zip(chosen, pi, strict=True)}
+    return best
+
+
+def test_sets_of_any_size_against_plain_em():
+    rng = random.Random(2)
+    langs = [chr(97 + i) * 2 for i in range(6)]
+    words = {x: ["".join(rng.choice("bcdfglmnprst"[i : i + 7] + "aeiou") for _ in range(5)) for _ in range(200)] for i, x in enumerate(langs)}
+    table = np.stack([np.bincount(langid.windows([" ".join(words[x])])[0], minlength=langid.BUCKETS) for x in langs]).astype(float)
+    model = langid.Model(langs, table)
+    texts = [" ".join(w for x in rng.sample(langs, m) for w in rng.sample(words[x], 40)) for m in (1, 2, 3, 4, 5, 6) for _ in range(3)]
+    shares, size = model.mixtures(texts)
+    largest = 0
+    for t, s, n in zip(texts, shares, size, strict=True):
+        (own, words_of, _) = langid.windows([t])
+        like = np.stack([np.bincount(words_of, weights=model.logs[own, i]) / np.bincount(words_of) * langid.SHARP for i in range(len(langs))])
+        like = np.exp(like - like.max(axis=0))
+        best, chosen = plain_choice(like)
+        got = np.log((like * s[:, None]).sum(axis=0)).sum() - 0.5 * ((s > 0).sum() - 1) * np.log(n)
+        largest = max(largest, len(chosen))
+        assert got > best - 0.2 and {i for i in range(len(langs)) if s[i] > 0.02} == {i for i, p in chosen.items() if p > 0.02}
+    assert largest >= 5
