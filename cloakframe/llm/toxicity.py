@@ -1,8 +1,8 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine.
 
 Fitted parts are bounded: SAMPLE rows of each label (those with the smallest hash of their id)
-choose a vocabulary of at most VOCABULARY words whose log-odds between the labels are MIN_ODDS or
-more at a chi-square of MIN_CHI2 or more, calibrate the votes, and are the examples. Document frequencies for the IDF count over
+choose a vocabulary, all words whose log-odds between the labels are MIN_ODDS or more at a
+chi-square of MIN_CHI2 or more, calibrate the votes, and are the examples. Document frequencies for the IDF count over
 every document. Where SAMPLE leaves rows out, votes, prior, bare share and calibration weigh each
 sampled row by its label's share of all training rows over its share of the sample. The examples lie in an inverted index cut into blocks of BLOCK examples, with
 the largest weight of each word in each block; a query takes blocks by falling upper bound and
@@ -25,7 +25,7 @@ from pyspark.sql.types import StructType
 
 from .common import text_chunks
 
-SAMPLE, VOCABULARY, MIN_CHI2, MIN_ODDS, BLOCK, K, EVIDENCE = 8000, 2048, 40.0, 1.5, 256, 15, 3
+SAMPLE, MIN_CHI2, MIN_ODDS, BLOCK, K, EVIDENCE = 8000, 40.0, 1.5, 256, 15, 3
 PREFIXES = (4, 5)
 #: About so many examples calibrate the votes.
 CALIBRATION = 4000
@@ -142,7 +142,7 @@ def rising(x: np.ndarray, y: np.ndarray, prior: float, weight: float = 2.0, of:
 
 
 class Model:
-    """Everything a score needs; its size follows from SAMPLE and VOCABULARY."""
+    """Everything a score needs; its size follows from SAMPLE."""
 
     def __init__(self, vocabulary: list[str], idf: np.ndarray, examples: Examples | None, bare: float, knots: np.ndarray, levels: np.ndarray):
         self.features = Features({w: i for i, w in enumerate(vocabulary)})
@@ -177,10 +177,11 @@ def label_rows(labels: DataFrame) -> DataFrame:
 
 
 def training(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, y`` of up to SAMPLE labelled rows of each label."""
+    """``doc_id, text, y`` of up to SAMPLE labelled rows of each label. Of rows that share an id the first text counts, so
+    that repeated ids don't lengthen the sample."""
     y = label_rows(labels)
     pick = [y.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE) for v in (0, 1)]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(pick[0].unionByName(pick[1])), "doc_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(pick[0].unionByName(pick[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
 
 
 def label_weights(labels: DataFrame, n0: int, n1: int) -> tuple[float, float]:
@@ -209,12 +210,12 @@ def choose_words(train: DataFrame) -> tuple[list[str], int, int]:
     odds = f"ln((a + 0.5D) / ({n1} - a + 0.5D)) - ln((b + 0.5D) / ({n0} - b + 0.5D))"
     chi2 = f"({n0} + {n1}) * pow(a * ({n0} - b) - b * ({n1} - a), 2) / ((a + b) * ({n0} + {n1} - a - b) * ({n0} + 0.5D) * ({n1} + 0.5D) + 0.5D)"
     df = df.select("word", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
-    top = df.withColumn("x", F.expr(chi2)).where(f"x >= {MIN_CHI2} AND abs({odds}) >= {MIN_ODDS}").orderBy(F.desc("x"), "word").limit(VOCABULARY)
+    top = df.withColumn("x", F.expr(chi2)).where(f"x >= {MIN_CHI2} AND abs({odds}) >= {MIN_ODDS}").orderBy(F.desc("x"), "word")  # no more than the words of the sample
     return [r.word for r in top.select("word").collect()], n0, n1
 
 
 def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, np.ndarray]:
-    """Rows of ``docs`` and, by word of the vocabulary, the rows that hold it; tasks send sums of VOCABULARY numbers."""
+    """Rows of ``docs`` and, by word of the vocabulary, the rows that hold it; tasks send a number for each word."""
     number = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([[w for w, _ in g] for g in got], pa.list_(pa.int32())), pa.array([[c for _, c in g] for g in got], pa.list_(pa.int32()))], ["doc_id", "y", "w", "c"])
 
     vectors = train.mapInArrow(run, "doc_id long, y int, w array<int>, c array<int>")
-    grouped = vectors.groupBy("w", "c", "y").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).orderBy("doc_id", "y").collect()  # at most 2 * SAMPLE rows unless ids repeat
+    grouped = vectors.groupBy("w", "c", "y").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).orderBy("doc_id", "y").collect()  # at most 2 * SAMPLE rows
     bare = {y: sum(r.n for r in grouped if not r.w and r.y == y) for y in (0, 1)}
     model.bare = (w1 * bare[1] + 2 * prior) / (w0 * bare[0] + w1 * bare[1] + 2)
     entries = [(model.vector(tuple(zip(r.w, r.c, strict=True))), r.y, r.n, r.doc_id) for r in grouped if r.w]

@@ -1,6 +1,8 @@
 """op4: exactness of the block-max search, defined results of odd rows, held-out accuracy."""
 
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -78,3 +80,63 @@ def test_sample_keeps_the_share_of_labels(spark, monkeypatch):
     assert whole.bare < 0.01 and part.bare < 0.02  # a share of about one half in the sample without weights
     texts = ["plain words", "plain words maybe", "plain words foulword maybe"]
     assert all(abs(whole.score(t)[0] - part.score(t)[0]) < 0.12 for t in texts), [(whole.score(t)[0], part.score(t)[0]) for t in texts]
+
+
+def test_scores_against_brute_force(spark):
+    rng = random.Random(6)
+    bad, good, plain = [f"foul{i}" for i in range(6)], [f"kind{i}" for i in range(6)], [f"w{i}" for i in range(200)]
+    texts, toxic = [], []
+    for _ in range(1200):
+        y = rng.random() < 0.3
+        texts.append(" ".join(rng.sample(plain, 12) + [rng.choice(bad if y ^ (rng.random() < 0.1) else good) for _ in range(rng.randint(0, 4))]))
+        toxic.append(int(y))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, y) for i, y in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    number, k = model.features.number, toxicity.K
+
+    def vector(t):
+        x = Counter(number[f] for f in toxicity.words_of(t) if f in number)
+        x = {w: (1 + np.log(c)) * model.idf[w] for w, c in x.items()}
+        size = np.sqrt(sum(v * v for v in x.values()))
+        return {w: v / size for w, v in x.items()}
+
+    train = [(vector(t), y) for i, (t, y) in enumerate(zip(texts, toxic, strict=True)) if zlib.crc32(str(i).encode()) % 5]
+
+    # entries stand for all training texts with a telling word; ties go to the smaller place
+    e = model.examples
+    entries = [(vector(texts[int(i)]), int(y), int(n)) for i, y, n in zip(e.id, e.label, e.count, strict=True)]
+    assert sorted((str(sorted(x.items())), y) for x, y in train if x) == sorted((str(sorted(x.items())), y) for x, y, n in entries for _ in range(n))
+    assert abs(sum(y for x, y in train if not x) / max(1, sum(not x for x, _ in train)) - model.bare) < 0.05
+
+    def vote(own):
+        """Distance-weighted share of the K nearest labelled texts."""
+        cosines = [round(sum(v * x.get(w, 0.0) for w, v in own.items()), 12) for x, _, _ in entries]
+        up = down = left = 0.0
+        left = k
+        for place in sorted((p for p in range(len(entries)) if cosines[p] > 0), key=lambda p: (-cosines[p], p)):
+            n = min(left, entries[place][2])
+            left -= n
+            up += n * entries[place][1] / (1 - min(1.0, cosines[place]) + 0.05)
+            down += n / (1 - min(1.0, cosines[place]) + 0.05)
+        return up / down if down else 0.0
+
+    checked = set()
+    for t in texts[::10]:
+        own = vector(t)
+        score, evidence = model.score(t)
+        if not own:
+            assert score == model.bare and not evidence
+            continue
+        want = np.interp(vote(own), model.knots, model.levels)
+        assert abs(score - want) < 1e-9
+        checked.add(round(score, 6))
+        cosines = sorted((sum(a * x.get(w, 0.0) for w, a in own.items()) for x, _, _ in entries), reverse=True)
+        assert abs(evidence[0][2] - cosines[0]) < 1e-9
+    assert len(checked) >= 2 and (np.diff(model.levels) >= 0).all()
+
+
+def test_repeated_ids_do_not_lengthen_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.training(docs, labels).count() <= 2
