@@ -277,9 +277,12 @@ def encode_texts(rows: DataFrame, text: str = "text", model_path: str = MODEL_PA
 
     An alternative lists what differs from the best: ``n`` pieces from place ``at`` become ``ids``.
     ``restored`` says that decoding gives the text back, which holds for every text: null counts as
-    empty, and an empty text has no pieces and no alternatives. Texts are never cut.
+    empty, and an empty text has no pieces and no alternatives. Texts are never cut. Of segmentations with one score the one
+    found first counts: fewer characters in its last piece. Columns of ``rows`` with a name of OUTPUT give way to it.
     """
-    body = rows.select(*[F.col(c) for c in rows.columns if c != text], F.col(text).cast("string").alias("_text"))
+    new = [f.name for f in T.StructType.fromDDL(OUTPUT).fields]
+    others = [c for c in rows.columns if c != text and c.lower() not in new]
+    body = rows.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("row"), F.col(text).cast("string").alias("_text"))
     encoders: dict[tuple[str, int], Encoder] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,11 +299,13 @@ def encode_texts(rows: DataFrame, text: str = "text", model_path: str = MODEL_PA
                 columns = [ids, pa.array(lens), pa.array([s for _, s, _ in got], pa.float64()), pa.array(others, pa.list_(_ALTERNATIVE)), pa.array(restored, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*part.schema.names[:-1], "ids", "n_pieces", "score", "alternatives", "restored"])
 
-    return body.mapInArrow(run, T.StructType([*body.schema.fields[:-1], *T.StructType.fromDDL(OUTPUT).fields]))
+    done = body.mapInArrow(run, T.StructType([*body.schema.fields[:-1], *T.StructType.fromDDL(OUTPUT).fields]))
+    return done.select(*[F.col("row").getField(c).alias(c) for c in others], *new)
 
 
 def decode_ids(rows: DataFrame, ids: str = "ids", model_path: str = MODEL_PATH) -> DataFrame:
-    """``rows`` with ``decoded``: the text of each array of ids (null for null)."""
+    """``rows`` with ``decoded``: the text of each array of ids (null for null); a column of that name gives way."""
+    rows = rows.select(*[c for c in rows.columns if c.lower() != "decoded"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(model_path)

@@ -68,3 +68,24 @@ def test_round_trip(spark):
 def test_documents(spark):
     rows = sp.encode_texts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
     assert all(r.restored and r.score >= r.alternatives[0].score >= r.alternatives[1].score for r in rows)
+
+
+def test_clashing_columns_give_way(spark):
+    names = ["score", "ids", "n_pieces", "alternatives", "restored", "_text", "row", "decoded", "a.b"]
+    df = spark.createDataFrame([(1, "hello world", *"abcdefghi")], ", ".join(["doc_id long", "text string", *(f"`{n}` string" for n in names)]))
+    got = sp.encode_texts(df)
+    assert got.columns == ["doc_id", "_text", "row", "decoded", "a.b", "ids", "n_pieces", "score", "alternatives", "restored"]
+    r = sp.decode_ids(got.drop("a.b")).first()
+    assert r.restored and r.decoded == "hello world" and r._text == "f"
+
+
+def test_chunks_at_the_border_of_the_widths():
+    words = sp.vocabulary(sp.MODEL_PATH)
+    rng = random.Random(8)
+    for n in (sp.WIDE - 1, sp.WIDE, sp.WIDE + 1, sp.WIDE + 2):
+        for _ in range(5):
+            t = "".join(rng.choice("theanrsio") for _ in range(n - 1))
+            (ids, score, others), = sp.Encoder(words, 3).encode([t])
+            best = words.nbest(" " + t, 3)
+            assert abs(score - best[0][0]) < 1e-9 and words.decode(ids.tolist()) == t
+            assert [round(s, 9) for s, _ in others] == [round(s, 9) for s, _ in best[1:]]
