@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, text_chunks
+from .common import as_bytes, text_chunks, text_key
 
 LENGTH, GRAM = 50, 16
 LEFT = LENGTH - GRAM
@@ -107,12 +107,13 @@ class Scan:
         self.rank = rank[self.at]
         self.hash = h[self.at] & _HASH_BITS
 
-    def contexts(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of anchors: bytes left (nearest first) and right, zero-padded, and how many of each."""
+    def contexts(self, which: np.ndarray, reach: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of anchors: ``reach`` bytes left (nearest first) and right, zero-padded, and how many of each."""
         at, doc = self.at[which], self.doc[which]
-        lc, rc = np.minimum(LEFT, at - self.begin[doc]), np.minimum(LENGTH, self.end[doc] - at)
-        left = np.where(np.arange(LEFT) < lc[:, None], self.raw[np.maximum(at[:, None] - 1 - np.arange(LEFT), 0)], 0)
-        right = np.where(np.arange(LENGTH) < rc[:, None], self.raw[np.minimum(at[:, None] + np.arange(LENGTH), len(self.raw) - 1)], 0)
+        most, far = reach
+        lc, rc = np.minimum(most, at - self.begin[doc]), np.minimum(far, self.end[doc] - at)
+        left = np.where(np.arange(most) < lc[:, None], self.raw[np.maximum(at[:, None] - 1 - np.arange(most), 0)], 0)
+        right = np.where(np.arange(far) < rc[:, None], self.raw[np.minimum(at[:, None] + np.arange(far), len(self.raw) - 1)], 0)
         return left.astype(np.uint8), right.astype(np.uint8), lc.astype(np.uint8), rc.astype(np.uint8)
 
     def windows(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,8 +198,10 @@ def _to_documents(key: np.ndarray, *values: np.ndarray, parts: int) -> Iterator[
 # first pass: which hashes occur in more than one document?
 
 
-def _send_hashes(buckets: int, parts: int, local_hot: int):
-    """Kind 0: hashes with the key of their document; 1: hashes that are hot here; 2: hot hashes of documents, passed on."""
+def _send_hashes(buckets: int, parts: int, local_hot: int, twice: bool = False):
+    """Kind 0: hashes with the key of their document; 1: hashes that are hot here; 2: hot hashes of documents, passed on.
+
+    With ``twice``, hashes that one document holds twice go to its partition as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,6 +213,10 @@ def _send_hashes(buckets: int, parts: int, local_hot: int):
                     continue
                 pair = np.unique(np.stack((scan.hash, scan.doc.astype(np.uint64))), axis=1) if len(scan.at) < 1000 else _unique_pairs(scan.hash, scan.doc)
                 h, d = pair[0], pair[1].astype(np.int64)
+                if twice:
+                    order = np.lexsort((scan.doc, scan.hash))
+                    same = np.flatnonzero((np.diff(scan.hash[order]) == 0) & (np.diff(scan.doc[order]) == 0))
+                    yield from ((lambda b: _rows(b.column("part").to_pylist(), [2] * b.num_rows, b.column("blob").to_pylist()))(b) for b in _to_documents(key[scan.doc[order[same]]], scan.hash[order[same]], parts=parts))
                 new = np.flatnonzero(np.diff(h, prepend=_TOP))
                 many = np.diff(np.append(new, len(h)))
                 hot = np.repeat(many > local_hot, many)
@@ -374,9 +381,10 @@ def _ranges(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n), of
 
 
-def _send_contexts(buckets: int):
+def _send_contexts(buckets: int, reach: tuple[int, int] = (LEFT, LENGTH), everything: bool = False):
     """Documents with their shared hashes -> blobs of contexts for the shards. Of equal contexts of a chunk the smallest
-    document's goes as ``first``; the others ride along as covered places (kind 1), since they are repeats already."""
+    document's goes as ``first``; the others ride along as covered places (kind 1), since they are repeats already, unless
+    ``everything`` is to stand in the shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (keys, hashes), key, ids, texts in _distinct_texts(batches, "<i8", "<u8"):
@@ -396,7 +404,7 @@ def _send_contexts(buckets: int):
                 warm = np.unique(told[(hashes[spot] & _HOT_BIT) > 0])
                 hot = np.isin(mine, warm)
             which = np.flatnonzero(shared & ~hot)
-            left, right, lc, rc = scan.contexts(which)
+            left, right, lc, rc = scan.contexts(which, reach)
             at, doc, name = scan.at[which], scan.doc[which], scan.hash[which]
             if hot.any():
                 s, w, second = scan.windows(np.flatnonzero(hot))
@@ -410,13 +418,13 @@ def _send_contexts(buckets: int):
             if not len(at):
                 continue
             pos = (at - scan.begin[doc]).astype(np.int64)
-            whole = np.ascontiguousarray(np.concatenate((name.view(np.uint8).reshape(-1, 8), lc[:, None], rc[:, None], right, left), axis=1)).view(f"V{10 + LENGTH + LEFT}").ravel()
+            whole = np.ascontiguousarray(np.concatenate((name.view(np.uint8).reshape(-1, 8), lc[:, None], rc[:, None], right, left), axis=1)).view(f"V{10 + sum(reach)}").ravel()
             _, alike = np.unique(whole, return_inverse=True)
             order = np.lexsort((pos, key[doc], ids[doc], alike))
             group = alike[order]
             lead = np.concatenate(([True], group[1:] != group[:-1]))
             least = ids[doc[order[np.flatnonzero(lead)]]][np.cumsum(lead) - 1]
-            again = ids[doc[order]] > least
+            again = (ids[doc[order]] > least) & (not everything)
             yield from _covered(key[doc[order[again]]], (pos[order] - lc[order])[again], (pos[order] + rc[order])[again], buckets)
             # of a context's places in one document the first is sent, the others as places only
             own_key = key[doc[order]]
@@ -520,7 +528,10 @@ def maximal_repeats(names: np.ndarray, right: np.ndarray, rc: np.ndarray, left:
         # members that go on differently to the left: one repeat for each interval of left contexts
         for common, c, d in intervals([x + 1 for x in steps], 1):  # + 1: an empty left context is an interval too
             if common - 1 + r >= length:
-                yield common - 1, r, members[c : d + 1]
+                own = members[c : d + 1]
+                # if all go on alike to the right, the longer interval has them
+                if r == right.shape[1] or len({int(right[i, r]) if r < rc[i] else ~i for i in own}) > 1:
+                    yield common - 1, r, own
 
 
 def _search_shards(parts: int):
@@ -568,47 +579,133 @@ def _search_shards(parts: int):
     return run
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every row's result: a copy of a text with a smaller id goes whole, other rows lose what is covered."""
-    nothing = hashlib.sha256().hexdigest()
+def _groups_of(reach: tuple[int, int]):
+    """Blobs of a shard -> its maximal repeats with all their occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _groups(batches):
+            got = [_unpack(blob, "<u8", "<i8", "<i8", "<i4", "u1", "u1", "u1", "u1", "<i4", "<i4") for kind, blob in held if kind == 0]
+            if not got:
+                continue
+            name, ids, key, pos, lc, rc, right, left, more, others = (np.concatenate(x) for x in zip(*got, strict=True))
+            right, left = right.reshape(-1, reach[1]), left.reshape(-1, reach[0])
+            others_at = np.cumsum(more) - more
+            texts, places = [], []
+            for before, after, members in maximal_repeats(name, right, rc.astype(np.int64), left, lc.astype(np.int64)):
+                i = members[0]
+                texts.append(left[i, :before][::-1].tobytes() + right[i, :after].tobytes())
+                spots = [(int(ids[m]), int(p) - before) for m in members for p in (pos[m], *others[others_at[m] : others_at[m] + more[m]])]
+                places.append([{"doc_id": d, "start": p} for d, p in sorted(spots)])
+                if len(texts) >= 2000:
+                    yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(places, _PLACES)], ["repeat", "occurrences"])
+                    texts, places = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array(places, _PLACES)], ["repeat", "occurrences"])
+
+    return run
+
+
+_PLACES = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64())]))
+
+
+def repeat_groups(docs: DataFrame, reach: tuple[int, int] = (250, 250)) -> DataFrame:
+    """``repeat BINARY, length, occurrences`` (doc_id, byte place): the maximal repeats of LENGTH bytes or more in the texts of
+    ``docs``, each once with all its occurrences, also those in one document.
+
+    A repeat is maximal as far as ``reach`` bytes (255 at most) left and right of an anchor show; a longer one comes as groups
+    that overlap. Copies of a whole text stand in here once, under their smallest doc_id. Nothing is sent as a hash of a window
+    and no member is left out, so this costs more than ``remove_repeats``, whose result follows from the same intervals.
+    """
+    rows, parts = _rows_of(docs)
+    by_part = lambda df: df.repartition(parts, "part").sortWithinPartitions("part", "kind")
+    every = 1 << 60
+    hashes = rows.select("key", "text").mapInArrow(_send_hashes(parts, parts, every, twice=True), BLOBS)
+    shared = by_part(hashes).mapInArrow(_shared_hashes(parts, every), BLOBS)
+    contexts = by_part(shared.unionByName(rows.mapInArrow(_send_texts(parts), BLOBS))).mapInArrow(_send_contexts(parts, reach, True), BLOBS)
+    found = by_part(contexts).mapInArrow(_groups_of(reach), "repeat binary, occurrences array<struct<doc_id: long, start: long>>")
+    # an anchor that stands there by what lies outside a repeat sees a part of its occurrences; one by a window inside sees all
+    whole = found.where("size(occurrences) > 1").groupBy("repeat").agg(F.max_by("occurrences", F.size("occurrences")).alias("occurrences"))
+    return whole.select("repeat", F.octet_length("repeat").alias("length"), "occurrences")
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Blobs of texts with: which rows are copies that go whole; starts and ends of what goes from each text, where those of a text begin, sums and counts."""
     for (keys, starts, ends), least, rows in _streams(batches, "<i8", "<i8", "<i8"):
         key, of, size = rows["key"], rows["of"], rows["size"]
         copy = (rows["id"] > least[1][np.searchsorted(least[0], key)][of]) & (size[of] >= LENGTH)
         spot, doc = _ranges(keys, key)
         doc, start, end = merge(doc, starts[spot], ends[spot])
         removed = np.bincount(doc, weights=end - start, minlength=len(key)).astype(np.int64)
-        spans = np.bincount(doc, minlength=len(key))
-        first = np.searchsorted(doc, np.arange(len(key) + 1))
+        yield rows, copy, start, end, np.searchsorted(doc, np.arange(len(key) + 1)), removed, np.bincount(doc, minlength=len(key))
+
+
+def _left_over(text: bytes, start: np.ndarray, end: np.ndarray) -> Iterator[bytes]:
+    at = 0
+    for s, e in zip(start.tolist(), end.tolist(), strict=True):
+        yield text[at:s]
+        at = e
+    yield text[at:]
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row's result: a copy of a text with a smaller id goes whole, other rows lose what is covered."""
+    nothing = hashlib.sha256().hexdigest()
+    for rows, copy, start, end, first, removed, spans in _decided(batches):
+        of, size = rows["of"], rows["size"]
         shas: dict[int, str] = {}
         for i in np.unique(of[~copy]).tolist():
-            text, sha, at = rows["texts"][i], hashlib.sha256(), 0
-            for j in range(first[i], first[i + 1]):
-                sha.update(text[at : start[j]])
-                at = int(end[j])
-            sha.update(text[at:])
+            sha = hashlib.sha256()
+            for piece in _left_over(rows["texts"][i], start[first[i] : first[i + 1]], end[first[i] : first[i + 1]]):
+                sha.update(piece)
             shas[i] = sha.hexdigest()
         kept = [nothing if c else shas[i] for c, i in zip(copy.tolist(), of.tolist(), strict=True)]
         columns = [pa.array(rows["doc_id"], mask=~rows["known"]), pa.array(size[of]), pa.array(np.where(copy, size[of], removed[of])), pa.array(np.where(copy, 1, spans[of]).astype(np.int64)), pa.array(kept, pa.string())]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, local_hot: int | None = None, hot: int = HOT) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    A byte goes if a string of LENGTH bytes over it also starts in a row with a smaller doc_id.
-    A null text is empty. Rows without a doc_id count as larger than all others, and none of them
-    as smaller than another; rows with one doc_id never shorten each other, whatever their texts.
-    """
-    splits = max(1, docs.rdd.getNumPartitions())
-    parts = max(8, 3 * splits)  # about a third of an input split's text in each
-    local_hot = max(LOCAL_HOT, hot // (8 * splits)) if local_hot is None else local_hot
+
+def _texts_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, copy, start, end, first, _, _ in _decided(batches):
+        kept, gone = [], []
+        for c, i in zip(copy.tolist(), rows["of"].tolist(), strict=True):
+            own = slice(first[i], first[i + 1])
+            kept.append(b"" if c else b"".join(_left_over(rows["texts"][i], start[own], end[own])))
+            gone.append([{"start": 0, "end": int(rows["size"][i])}] if c else [{"start": s, "end": e} for s, e in zip(start[own].tolist(), end[own].tolist(), strict=True)])
+        yield pa.RecordBatch.from_arrays([pa.array(rows["doc_id"], mask=~rows["known"]), pa.array(kept, pa.binary()), pa.array(gone, _SPANS)], ["doc_id", "kept", "removed"])
+
+
+def _rows_of(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``doc_id, id, text, key`` of the rows and the number of partitions; the key names a text (see ``text_key``)."""
     identity = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), identity.alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("key", F.xxhash64("text", F.octet_length("text")))  # copies of a text are one document, with their smallest id
+    return rows.withColumn("key", text_key(rows)), max(8, 3 * max(1, docs.rdd.getNumPartitions()))  # about a third of an input split's text in each
+
+
+def _covered_texts(docs: DataFrame, local_hot: int | None, hot: int) -> DataFrame:
+    """Blobs of covered places and of texts, side by side."""
+    rows, parts = _rows_of(docs)
+    local_hot = max(LOCAL_HOT, 3 * hot // (8 * parts)) if local_hot is None else local_hot
     by_part = lambda df: df.repartition(parts, "part").sortWithinPartitions("part", "kind")
     texts = rows.mapInArrow(_send_texts(parts), BLOBS)
     hashes = rows.select("key", "text").mapInArrow(_send_hashes(parts, parts, local_hot), BLOBS)
     shared = by_part(hashes).mapInArrow(_shared_hashes(parts, hot), BLOBS)
     contexts = by_part(shared.unionByName(texts)).mapInArrow(_send_contexts(parts), BLOBS)
     covered = by_part(contexts).mapInArrow(_search_shards(parts), BLOBS)
-    return by_part(covered.unionByName(texts)).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return by_part(covered.unionByName(texts))
+
+
+def remove_repeats(docs: DataFrame, local_hot: int | None = None, hot: int = HOT) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 of what ``texts_kept`` keeps.
+
+    A byte goes if a string of LENGTH bytes over it also starts in a row with a smaller doc_id.
+    A null text is empty. Rows without a doc_id count as larger than all others, and none of them
+    as smaller than another; rows with one doc_id never shorten each other, whatever their texts.
+    Rows repeat as they do in the input; other columns are ignored.
+    """
+    return _covered_texts(docs, local_hot, hot).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def texts_kept(docs: DataFrame, local_hot: int | None = None, hot: int = HOT) -> DataFrame:
+    """Per row of ``docs``: doc_id, kept BINARY (the bytes left, which may begin or end inside a character), removed (places in bytes)."""
+    return _covered_texts(docs, local_hot, hot).mapInArrow(_texts_kept, "doc_id long, kept binary, removed array<struct<start: long, end: long>>")

@@ -53,6 +53,39 @@ def test_against_all_windows(spark):
     assert sd.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_texts_kept(spark):
+    docs = fixture()
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    kept = sd.texts_kept(df).collect()
+    got = sorted(((r.doc_id, len(r.kept) + sum(x.end - x.start for x in r.removed), sum(x.end - x.start for x in r.removed), len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in kept), key=str)
+    assert got == brute(docs)
+
+
+def test_repeat_groups_hold_all_occurrences(spark):
+    docs = [(i, t) for i, t in fixture() if i is not None and t and len(t) < 600]
+    docs = list({i: (i, t) for i, t in docs}.values())
+    texts = {}
+    for i, t in docs:  # copies of a text stand in once, under their smallest id
+        texts[t.encode()] = min(i, texts.get(t.encode(), i))
+    places = {}
+    for b, i in texts.items():
+        for s in range(len(b) - 49):
+            places.setdefault(b[s : s + 50], set()).add((i, s))
+    got = sd.repeat_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    data = {i: b for b, i in texts.items()}
+    covered = {}
+    for r in got:
+        spots = {(o.doc_id, o.start) for o in r.occurrences}
+        assert len(spots) == len(r.occurrences) > 1 and r.length == len(r.repeat) >= 50
+        assert all(data[d][s : s + r.length] == bytes(r.repeat) for d, s in spots)
+        for k in range(r.length - 49):
+            covered.setdefault(bytes(r.repeat)[k : k + 50], set()).update((d, s + k) for d, s in spots)
+        if r.length < 200:  # whole occurrences, and nothing before or behind is shared by all
+            assert spots == {(i, s) for i, b in data.items() for s in range(len(b) - r.length + 1) if b[s : s + r.length] == bytes(r.repeat)}
+            assert len({data[d][s - 1 : s] if s else (d, s) for d, s in spots}) > 1 and len({data[d][s + r.length : s + r.length + 1] or (d, s) for d, s in spots}) > 1
+    assert covered == {w: p for w, p in places.items() if len(p) > 1}
+
+
 def test_sample_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = brute([(r.doc_id, r.text) for r in df.collect()])
