@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import cut
-from .spans import listed, matches, placed, quoted
+from .spans import blocks, listed, matches, placed, quoted, stretch
 
 #: Base kinds in their listed order, then the looser ones.
 BASE = ["email", "ip", "card", "phone"]
@@ -34,6 +34,8 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
+#: No match of a pattern is shorter; as many neighbours of a match are looked at for the words before it.
+SHORTEST = {"email": 5, "ip": 7, "card": 12, "phone": 4, "ssn": 11, "local_phone": 12}
 #: Fixed gazetteers.
 DOMAINS = "com org net edu gov io co info biz de fr es it uk eu lu nl be ch at us ca au jp in br test example"
 DIAL = "1|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58]|35[0-9]|37[0-9]|38[0-9]|42[013]"
@@ -57,8 +59,12 @@ _VALID = {
     "account": f"length({_DIGITS}) BETWEEN 12 AND 19 AND NOT luhn_check({_DIGITS})",
     "phone": f"length({_DIGITS}) BETWEEN 9 AND 15",
 }
-#: The validator's own vote.
+#: The pattern's own vote, by how strictly a span keeps to its form: base spans are certain to be listed, not to be personal.
 _STRICT = {
+    "email": "CASE WHEN x.t RLIKE '[.][A-Za-z]{2,24}$' AND NOT x.t RLIKE '^[.]|[.][.]|[.]@' THEN 1 WHEN x.t RLIKE '[.][0-9]+$|@-|-[.]' THEN 2 ELSE 0 END",
+    "ip": "CASE WHEN x.t RLIKE '(?:^|[.])0[0-9]' THEN 2 ELSE 1 END",
+    "card": f"CASE WHEN length({_DIGITS}) = 16 THEN 1 WHEN x.t RLIKE '[ -]' AND NOT x.t RLIKE '^[0-9]{{4}}([ -])[0-9]{{4,6}}[ -][0-9]{{4,5}}' THEN 2 ELSE 0 END",
+    "phone": f"CASE WHEN length({_DIGITS}) BETWEEN 10 AND 13 THEN 1 WHEN x.t RLIKE '[.-]{{2}}|[)][)]|[(][(]' THEN 2 ELSE 0 END",
     "account": f"CASE WHEN length({_DIGITS}) IN (14, 15, 16) THEN 0 ELSE 2 END",
     "ssn": "CASE WHEN x.t RLIKE '^(?:000|666|9)|-00-|-0000$' THEN 2 ELSE 1 END",
     "local_phone": "0",
@@ -74,12 +80,11 @@ _GAZETTEER = {
 }
 
 
-def _voted(kind: str, text: str, spans: str) -> str:
+def _voted(kind: str, spans: str) -> str:
     """SQL for array<struct<s,k,e,a,b,c,f>>: votes a, b, c and the shape features f of valid spans."""
     kept = f"filter({spans}, x -> {_VALID[kind]})" if kind in _VALID else spans
-    before = f"lower(substring({text}, greatest(x.s - {CONTEXT - 1}, 1), least(x.s, {CONTEXT})))"
-    cue = f"CASE WHEN {before} RLIKE {quoted(CUES[kind])} THEN 1 WHEN {before} RLIKE {quoted(COUNTER)} THEN 2 ELSE 0 END"
-    edge = f"substring({text}, x.s, least(x.s, 1)) RLIKE '[A-Za-z0-9]' OR substring({text}, x.e + 1, 1) RLIKE '[A-Za-z0-9]'"
+    cue = f"CASE WHEN lower(x.b) RLIKE {quoted(CUES[kind])} THEN 1 WHEN lower(x.b) RLIKE {quoted(COUNTER)} THEN 2 ELSE 0 END"
+    edge = "right(x.b, 1) RLIKE '[A-Za-z0-9]' OR x.a RLIKE '^[A-Za-z0-9]'"
     return f"""transform({kept}, x -> struct(x.s AS s, {KINDS.index(kind)} AS k, x.e AS e,
         {_STRICT.get(kind, "1")} AS a, {_GAZETTEER[kind]} AS b, {cue} AS c,
         CASE WHEN {edge} THEN 1 ELSE 0 END + CASE WHEN x.t RLIKE '[ -]' THEN 2 ELSE 0 END AS f))"""
@@ -92,9 +97,9 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``_base`` and ``_more``: voted spans of the base kinds, and looser ones that overlap none of them."""
     body = docs.withColumn("_x", F.coalesce(F.col(text).cast("string"), F.lit("")))
     body = body.withColumns({f"_m_{k}": F.expr(matches("_x", p)) for k, p in PATTERNS.items()})
-    body = body.withColumns({f"_p_{k}": F.expr(placed("_x", p, f"_m_{k}")) for k, p in PATTERNS.items()})
-    base = ", ".join(_voted(k, "_x", f"_p_{k}") for k in BASE)
-    more = ", ".join(_voted(k, "_x", f"_p_{'card' if k == 'account' else k}") for k in KINDS[len(BASE) :])
+    body = body.withColumns({f"_p_{k}": F.expr(placed("_x", p, f"_m_{k}", (CONTEXT, 1, SHORTEST[k]))) for k, p in PATTERNS.items()})
+    base = ", ".join(_voted(k, f"_p_{k}") for k in BASE)
+    more = ", ".join(_voted(k, f"_p_{'card' if k == 'account' else k}") for k in KINDS[len(BASE) :])
     body = body.withColumns({"_base": F.expr(f"CAST(concat({base}) AS {_SPAN})"), "_more": F.expr(f"CAST(concat({more}) AS {_SPAN})")})
     body = body.withColumn("_more", F.expr("CASE WHEN size(_more) > 0 THEN filter(_more, y -> NOT exists(_base, x -> x.s < y.e AND y.s < x.e)) ELSE _more END"))
     return body.drop("_x", *(f"_{c}_{k}" for c in "mp" for k in PATTERNS))
@@ -180,15 +185,24 @@ def redact(docs: DataFrame) -> DataFrame:
     Of overlapping spans the one that starts first (then the longer) is replaced.
     A null text stays null.
     """
-    found = candidates(docs.select(F.struct(*docs.columns).alias("row"), "text"))
-    model = fit(found.select("_base", "_more"))
-    done = classified(found, model)
+    found = cut(candidates(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))))  # scanned once
+    done = classified(found, fit(found.select("_base", "_more")))
     names = "array(" + ", ".join(quoted(f"[{k.upper()}]") for k in KINDS) + ")"
-    spliced = f"""aggregate(array_sort(_spans, (x, y) -> CASE WHEN x.s <> y.s THEN x.s - y.s WHEN x.e <> y.e THEN y.e - x.e ELSE x.k - y.k END),
-        CAST(struct(0 AS pos, '' AS got) AS struct<pos: int, got: string>),
-        (acc, x) -> CASE WHEN x.s < acc.pos THEN acc ELSE CAST(struct(x.e AS pos, concat(acc.got, substring(text, acc.pos + 1, x.s - acc.pos), element_at({names}, x.k + 1)) AS got) AS struct<pos: int, got: string>) END,
-        acc -> concat(acc.got, substring(text, acc.pos + 1)))"""
-    text = F.expr(f"CASE WHEN size(_spans) > 0 THEN {spliced} ELSE text END")
+    order = "array_sort(_spans, (x, y) -> CASE WHEN x.s <> y.s THEN x.s - y.s WHEN x.e <> y.e THEN y.e - x.e ELSE x.k - y.k END)"
+    # a span stays if it begins where all before it have ended; that is decided on numbers, pieces are cut after
+    # by blocks, as in ``placed``: where each block begins to be free, then the block
+    kind = "struct<pos: int, got: array<struct<s: int, k: int, e: int>>>"
+    cut_up = "transform(sequence(0, CAST((size(o) - 1) / 32 AS int)), j -> slice(o, j * 32 + 1, 32))"
+    heads = """aggregate(bl, CAST(struct(0 AS pos, array() AS got) AS struct<pos: int, got: array<int>>), (acc, k) -> CAST(struct(
+        aggregate(k, acc.pos, (z, x) -> CASE WHEN x.s < z THEN z ELSE x.e END) AS pos, array_append(acc.got, acc.pos) AS got) AS struct<pos: int, got: array<int>>), acc -> acc.got)"""
+    inside = f"""aggregate(k, CAST(struct(p AS pos, array() AS got) AS {kind}), (acc, x) -> CASE WHEN x.s < acc.pos THEN acc
+        ELSE CAST(struct(x.e AS pos, array_append(acc.got, x) AS got) AS {kind}) END, acc -> acc.got)"""
+    free = f"transform(array({order}), o -> transform(array({cut_up}), bl -> flatten(zip_with(bl, {heads}, (k, p) -> {inside})))[0])[0]"
+    done = done.withColumn("_s", F.expr(f"CASE WHEN size(_spans) > 0 THEN {free} ELSE CAST(array() AS array<struct<s: int, k: int, e: int>>) END"))
+    piece = stretch("b", "CASE WHEN i = 0 THEN 0 ELSE _s[i - 1].e END", "x.s")
+    tail = stretch("b", "element_at(_s, -1).e", "length(text)")
+    spliced = f"transform(array({blocks('text')}), b -> concat(array_join(transform(_s, (x, i) -> concat({piece}, element_at({names}, x.k + 1))), ''), {tail}))[0]"
+    text = F.expr(f"CASE WHEN size(_s) > 0 THEN {spliced} ELSE text END")
     done = done.select("row", text.alias("text"))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:

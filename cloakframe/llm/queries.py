@@ -13,7 +13,7 @@ from .decontam import contamination
 from .hnsw import nearest
 from .langid import identify
 from .pii import find_pii
-from .secret_ledger import find_secrets
+from .secret_ledger import find_in_generations
 from .sentencepiece_nbest import encode_texts
 from .simhash import simhash_components
 from .suffix_dedup import remove_repeats
@@ -62,7 +62,7 @@ def op9_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(table(spark, sf_dir, "documents"))
+    return find_in_generations(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -13,11 +13,26 @@ from pyspark.sql import functions as F
 from ..functions import spans as base
 from ..functions.spans import matches, quoted
 
-__all__ = ["listed", "matches", "placed", "quoted"]
+__all__ = ["blocks", "listed", "matches", "placed", "quoted", "stretch"]
 
 
-def placed(text: str, pattern: str, found: str) -> str:
-    return base.placed(text, quoted(pattern), found)
+def placed(text: str, pattern: str, found: str, around: tuple[int, int, int] | None = None) -> str:
+    return base.placed(text, quoted(pattern), found, around)
+
+
+#: Characters of a block of ``stretch``.
+BLOCK = 1024
+
+
+def stretch(blocks: str, start: str, end: str) -> str:
+    """SQL for the characters [start, end) of a text given as its blocks of BLOCK characters: no counting from the text's start."""
+    one = f"substring({blocks}[j], greatest({start} - j * {BLOCK}, 0) + 1, least({end} - j * {BLOCK}, {BLOCK}) - greatest({start} - j * {BLOCK}, 0))"
+    return f"CASE WHEN {end} > {start} THEN array_join(transform(sequence(CAST({start} / {BLOCK} AS int), CAST(({end} - 1) / {BLOCK} AS int)), j -> {one}), '') ELSE '' END"
+
+
+def blocks(text: str) -> str:
+    """SQL for the blocks of BLOCK characters of a text."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{BLOCK}}}', 0)"
 
 
 def listed(spans: str, kinds: list[str]) -> Column:
