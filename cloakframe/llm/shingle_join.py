@@ -10,9 +10,12 @@ both have no more filled parts than they may differ in; every such set gives the
 on; one that is left after WAYS gives a key that all such sets of a class share. So no pair is lost but by a collision of
 64-bit hashes of shingles.
 
-Passages that many texts share don't make a part equal, unless nearly all of the texts is equal. Of the sets under one key the
-first is compared with each other one; sets that these comparisons leave apart, though they share a key, are then compared
+Passages that many texts share seldom make a part equal, unless nearly all of the texts is equal. Of the sets under one key
+the first is compared with each other one; sets that these comparisons leave apart, though they share a key, are then compared
 with each other, in blocks of bounded size. No pair of a group of copies is written out, and groups join up as components.
+
+Sets are only sent for pairs whose sketches allow it. A sketch has two bits or more for a shingle, each the parity of the
+shingles that fall on it, so two sketches differ in no more bits than the sets in shingles; a larger one folds to a smaller.
 """
 
 from __future__ import annotations
@@ -69,6 +72,29 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
     return ALIKE[1] * both >= ALIKE[0] * (low + high - both)
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """The size of a set, then its parity bits: a power of two of them, 64 or more, so that sketches fold."""
+    n = max(64, 1 << int(2 * len(own)).bit_length())
+    bits = np.bincount((own & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return len(own).to_bytes(8, "little") + np.packbits(bits.astype(bool), bitorder="little").tobytes()
+
+
+def may_be_alike(a: bytes, b: bytes) -> bool:
+    """Do two sketches allow their sets to be ALIKE?"""
+    n, m = int.from_bytes(a[:8], "little"), int.from_bytes(b[:8], "little")
+    if ALIKE[1] * min(n, m) < ALIKE[0] * max(n, m):
+        return False
+    x, y = int.from_bytes(a[8:], "little"), int.from_bytes(b[8:], "little")
+    p, q = 8 * (len(a) - 8), 8 * (len(b) - 8)
+    while p > q:
+        p //= 2
+        x = (x >> p) ^ (x & ((1 << p) - 1))
+    while q > p:
+        q //= 2
+        y = (y >> q) ^ (y & ((1 << q) - 1))
+    return 9 * (x ^ y).bit_count() <= n + m
+
+
 def _bounds() -> np.ndarray:
     """Least sizes of the classes: a set and one a quarter larger are in the same class or in neighbours."""
     out = [1]
@@ -136,14 +162,15 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
 
 
 def _send_keys(parts: int):
-    """Rows (part, blob): the keys of a chunk's distinct texts, by ranges of keys; keys as the bytes of their steps."""
+    """Rows (part, kind, blob) of a chunk's distinct texts. Kind 0: keys of a range, as the bytes of their steps; kind 1: sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch, limit=8_000_000):
                 nodes, at = np.unique(chunk.column("node").to_numpy(), return_index=True)
                 texts = as_bytes(chunk.column("text"))
-                got = [keys_of(shingles(texts[i])) for i in at.tolist()]
+                sets = [shingles(texts[i]) for i in at.tolist()]
+                got = [keys_of(x) for x in sets]
                 if not got:
                     continue
                 of = np.repeat(np.arange(len(nodes)), [len(k) for k, _ in got])
@@ -158,12 +185,26 @@ def _send_keys(parts: int):
                     steps = np.diff(key[a:b], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.copy()
                     numbers.append(int(part[a]))
                     blobs.append(_pack(steps, nodes[who], mine.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy(), np.packbits(flag[a:b])))
-                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["part", "blob"])
+                kinds = [0] * len(numbers)
+                deal = np.mod(nodes, parts)
+                for p in np.unique(deal).tolist():
+                    mine = np.flatnonzero(deal == p)
+                    drawn = [sketch(sets[i]) for i in mine.tolist()]
+                    numbers.append(p)
+                    kinds.append(1)
+                    blobs.append(_pack(nodes[mine], np.array([len(x) for x in drawn], np.int64), np.frombuffer(b"".join(drawn), np.uint8)))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["part", "kind", "blob"])
 
     return run
 
 
-MEETINGS = "bucket long, members array<long>"
+#: What comes of a part: buckets with their members, or a node with its sketch.
+MEETINGS = "bucket long, members array<long>, node long, sketch binary"
+
+
+def _meetings(buckets: list[int], members: list[list[int]], nodes: list[int], sketches: list[bytes]) -> pa.RecordBatch:
+    none, many = [None] * len(nodes), [None] * len(buckets)
+    return pa.RecordBatch.from_arrays([pa.array(buckets + none, pa.int64()), pa.array(members + none, pa.list_(pa.int64())), pa.array(many + nodes, pa.int64()), pa.array(many + sketches, pa.binary())], ["bucket", "members", "node", "sketch"])
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,11 +230,16 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name = xxhash.xxh64_intdigest(members.tobytes(), SEED) if last else int(key[a])
             seen.setdefault(name - (1 << 63), members.tolist())
         rest = [] if last else [(key[first], node[first], own)]
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.list_(pa.int64()))], ["bucket", "members"]), rest
+        return _meetings(list(seen), list(seen.values()), [], []), rest
 
     part, held, size, whole = None, [empty], 0, True
     for batch in batches:
-        for p, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+        for p, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "blob")), strict=True):
+            if kind:
+                nodes, sizes, body = _unpack(blob, "<i8", "<i8", "u1")
+                ends, data = np.cumsum(sizes).tolist(), body.tobytes()
+                yield _meetings([], [], nodes.tolist(), [data[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)])
+                continue
             if p != part or size > HELD:
                 if p != part:
                     out, _ = reduce(held, whole)
@@ -222,12 +268,50 @@ def sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_sets, "node long, own binary")
 
 
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose sketches (sa, sb) allow them to be alike."""
+    for batch in batches:
+        pairs = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)
+        yield batch.select(["a", "b"]).filter(pa.array([may_be_alike(x, y) for x, y in pairs], pa.bool_()))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = [[np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()] for c in ("sa", "sb")]
         yield batch.select(["a", "b"]).filter(pa.array([alike(x, y) for x, y in zip(*sets, strict=True)], pa.bool_()))
 
 
+def _sift_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cell, side, node, c, sketch) sorted by cell: those without the sketch that may be alike to one of another side and component."""
+
+    def sifted(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
+        some, sides = set(), len({r[1] for r in rows})
+        rows.sort(key=lambda r: r[4][:8][::-1])
+        for i, x in enumerate(rows):
+            for j in range(i + 1, len(rows)):
+                y = rows[j]
+                if ALIKE[1] * int.from_bytes(x[4][:8], "little") < ALIKE[0] * int.from_bytes(y[4][:8], "little"):
+                    break
+                if (sides == 1 or x[1] != y[1]) and x[3] != y[3] and not (i in some and j in some) and may_be_alike(x[4], y[4]):
+                    some |= {i, j}
+        return [rows[i][:4] for i in sorted(some)]
+
+    def made(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kinds[k]) for k in range(4)], ["cell", "side", "node", "c"])
+
+    rows: list[tuple[int, int, int, int, bytes]] = []
+    for batch in batches:
+        out = []
+        for r in zip(*(batch.column(k).to_pylist() for k in ("cell", "side", "node", "c", "sketch")), strict=True):
+            if rows and r[0] != rows[-1][0]:
+                out += sifted(rows)
+                rows = []
+            rows.append(r)
+        yield made(out)
+    yield made(sifted(rows))
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (cell, side, node, c, own) sorted by cell: links between sets of different sides (or within the one side), of components not linked yet."""
 
@@ -266,24 +350,27 @@ def alike_components(texts: DataFrame, other: DataFrame) -> DataFrame:
     """``node, component`` of the texts (node, text; equal texts have equal nodes) over the links of ALIKE shingle sets and
     those of ``other`` (a, b). Texts without a partner are left out; a text without a word is alike to none."""
     splits = max(1, texts.rdd.getNumPartitions())
-    keys = texts.where("text IS NOT NULL").mapInArrow(_send_keys(2 * splits), "part long, blob binary")
-    met = keys.repartition(2 * splits, "part").sortWithinPartitions("part").mapInArrow(_meet, MEETINGS)
-    buckets = cut(met.dropDuplicates(["bucket", "members"]))
-    pairs = cut(buckets.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, F.size("members"))).alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = cut(sets_of(texts, wanted))
+    keys = texts.where("text IS NOT NULL").mapInArrow(_send_keys(2 * splits), "part long, kind int, blob binary")
+    met = cut(keys.repartition(2 * splits, "part").sortWithinPartitions("part").mapInArrow(_meet, MEETINGS))
+    buckets = met.where("bucket IS NOT NULL").select("bucket", "members").dropDuplicates()
+    sketches = met.where("node IS NOT NULL").select("node", "sketch").dropDuplicates(["node"])
+    pairs = buckets.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, F.size("members"))).alias("b")).distinct()
+    drawn = pairs.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
+    pairs = cut(drawn.select("a", "b", "sa", "sb").mapInArrow(_sift, "a long, b long"))
+    sets = sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     both = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("own").alias("sa")), "a")
     edges = cut(other.select("a", "b").unionByName(both.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long")))
     found = connected_components(edges, "a", "b")
     # sets that share a key and are still apart: all of them are compared, not only with the first
     spread = buckets.select("bucket", F.explode("members").alias("node")).distinct().join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
     counts = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high AND n > 2").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    mixed = cut(spread.join(counts, "bucket"))
-    if mixed.isEmpty():
-        return found
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cells = mixed.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = spread.join(counts, "bucket").withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), F.col("i").alias("side"), "node", "c")
-    packed = cells.join(sets, "node").repartition("cell").sortWithinPartitions("cell")
+    by_cell = lambda df: df.repartition("cell").sortWithinPartitions("cell")
+    sifted = cut(by_cell(cells.join(sketches, "node")).select("cell", "side", "node", "c", "sketch").mapInArrow(_sift_cells, "cell long, side int, node long, c long"))
+    if sifted.isEmpty():
+        return found
+    packed = by_cell(sifted.join(sets_of(texts, sifted.select("node").distinct()), "node"))
     more = packed.select("cell", "side", "node", "c", "own").mapInArrow(_compare, "a long, b long")
     return connected_components(edges.unionByName(more), "a", "b")

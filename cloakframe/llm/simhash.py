@@ -29,6 +29,8 @@ from .common import as_bytes, text_chunks, text_key
 from .shingle_join import alike_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
+#: Keys over which the rows of one fingerprint are dealt.
+SHARES = 32
 #: (shift, width) of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -180,12 +182,15 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     are one node, represented by their smallest doc_id, so copies are never paired.
     """
     prints = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long"))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     parts = connected_components(links(distinct), "a", "b")
     named = parts.join(distinct, parts.node == distinct.fp).groupBy("component").agg(F.min("rep").alias("component_id"))
     linked = parts.join(named, "component").select(F.col("node").alias("fp"), "component_id")
-    by_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    share = lambda c: F.pmod(F.xxhash64(c), F.lit(SHARES)).cast("int")
+    # rows of one fingerprint are dealt over SHARES keys, so that a large group of copies is no single task's
+    of = F.when(F.col("n") == 1, F.array(share("rep"))).otherwise(F.sequence(F.lit(0), F.lit(SHARES - 1)))
+    by_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), F.explode(of).alias("share"))
+    return prints.withColumn("share", share("doc_id")).join(by_fp, ["fp", "share"]).select("doc_id", "fp", "component_id")
 
 
 def _text_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

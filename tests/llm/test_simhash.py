@@ -133,6 +133,7 @@ def test_keys_meet_wherever_sets_are_alike():
                 continue
             (ka, fa), (kb, fb) = shingle_join.keys_of(a), shingle_join.keys_of(b)
             both = np.intersect1d(ka, kb)
+            assert shingle_join.may_be_alike(shingle_join.sketch(a), shingle_join.sketch(b))
             assert len(both) and (fa[np.isin(ka, both)].any() or fb[np.isin(kb, both)].any()), (len(a), len(b))
 
 
@@ -149,7 +150,7 @@ def test_large_buckets_in_pieces(spark, monkeypatch):
     assert whole == {r.component for r in shingle_join.alike_components(df, none).collect()} and len(whole) == 1
     rows = [pa.RecordBatch.from_pydict({"node": [i], "text": [t]}) for i, t in enumerate(texts * 2)]
     sent = sorted((x for b in shingle_join._send_keys(1)(iter(rows)) for x in b.to_pylist()), key=lambda x: x["part"])
-    meet = lambda: {(min(m), x) for b in shingle_join._meet(iter([pa.RecordBatch.from_pylist(sent)])) for m in b.column("members").to_pylist() for x in m}
+    meet = lambda: {(min(m), x) for b in shingle_join._meet(iter([pa.RecordBatch.from_pylist(sent)])) for m in b.column("members").to_pylist() if m for x in m}
     together = meet()
     monkeypatch.setattr(shingle_join, "HELD", 500)
     assert {x for _, x in meet()} == {x for _, x in together}
