@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Terms and bytes up to which a dictionary is sent to every task.
 MOST_TERMS, MOST_BYTES = 200_000, 16_000_000
@@ -102,24 +103,24 @@ class Dictionary:
                     yield s, e, i
 
 
-def first_word(column: str) -> F.Column:
-    """The first word of a term as it is joined on; null if there is none."""
+def first_word(terms: DataFrame, term: str, split: Callable) -> DataFrame:
+    """``terms`` with ``_w``, the first word of a term as it is joined on; terms without one are left out."""
 
-    def run(term):
-        import pandas as pd
-
-        return pd.Series([next((w for w, _ in words(t or "")), None) for t in term])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = pa.array([next((x[0] for x in split(t or "")), None) for t in batch.column(term).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, first], [*batch.schema.names, "_w"])
 
-    return F.pandas_udf(run, "string")(column)
+    return terms.mapInArrow(run, T.StructType([*terms.schema.fields, T.StructField("_w", T.StringType())])).where("_w IS NOT NULL")
 
 
-def word_rows(texts: DataFrame, keys: list[str], column: str) -> DataFrame:
+def word_rows(texts: DataFrame, keys: list[str], column: str, split: Callable) -> DataFrame:
     """``keys`` and each distinct word of ``column`` once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r, text in enumerate(batch.column(column).to_pylist()):
-                found = list({w for w, _ in words(text or "")})
+                found = list({x[0] for x in split(text or "")})
                 if found:
                     yield pa.RecordBatch.from_arrays([*[pa.array([batch.column(k)[r].as_py()] * len(found), batch.schema.field(k).type) for k in keys], pa.array(found, pa.string())], [*keys, "_w"])
 
@@ -134,11 +135,12 @@ def small(terms: DataFrame, column: str) -> bool:
     return n <= MOST_TERMS and size <= MOST_BYTES
 
 
-def look_up(texts: DataFrame, keys: list[str], column: str, terms: DataFrame, term: str, use: Callable[[pa.RecordBatch, Callable[[int], tuple[Dictionary, pa.Table]]], Iterator[pa.RecordBatch]], schema: str, broadcast: bool | None = None, carry: bool = False) -> DataFrame:
+def look_up(texts: DataFrame, keys: list[str], column: str, terms: DataFrame, term: str, use: Callable[[pa.RecordBatch, Callable[[int], tuple[Dictionary, pa.Table]]], Iterator[pa.RecordBatch]], schema: str, broadcast: bool | None = None, carry: bool = False, make: Callable = Dictionary, split: Callable = words) -> DataFrame:
     """What ``use`` makes of every batch of ``texts`` (columns keys and column).
 
     ``use(batch, held)`` gets the batch and a function from a row's number to the dictionary that may stand in its text and the
     table of its terms. ``carry`` keeps texts that hold no term's first word. ``broadcast`` overrides the size check, for tests.
+    ``make`` builds the dictionary of a list of terms, and ``split`` gives the words that it goes by.
     """
     names = terms.columns
     if small(terms, term) if broadcast is None else broadcast:
@@ -146,13 +148,13 @@ def look_up(texts: DataFrame, keys: list[str], column: str, terms: DataFrame, te
         sent = texts.sparkSession.sparkContext.broadcast(table)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            book = (Dictionary(sent.value.column(term).to_pylist()), sent.value)
+            book = (make(sent.value.column(term).to_pylist()), sent.value)
             for batch in batches:
                 yield from use(batch, lambda r: book)
 
         return texts.mapInArrow(run, schema)
-    asked = terms.withColumn("_w", first_word(term)).where("_w IS NOT NULL")
-    met = word_rows(texts, keys, column).join(asked, "_w").groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(*names))).alias("_terms"))
+    asked = first_word(terms, term, split)
+    met = word_rows(texts, keys, column, split).join(asked, "_w").groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(*names))).alias("_terms"))
     joined = texts.join(met, keys, "left" if carry else "inner")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +163,7 @@ def look_up(texts: DataFrame, keys: list[str], column: str, terms: DataFrame, te
 
             def held(r: int) -> tuple[Dictionary, pa.Table]:
                 rows = pa.Table.from_pylist(found[r].as_py() or [], pa.schema(list(found.type.value_type)))
-                return Dictionary(rows.column(term).to_pylist()), rows
+                return make(rows.column(term).to_pylist()), rows
 
             yield from use(batch.select([c for c in batch.schema.names if c != "_terms"]), held)
 

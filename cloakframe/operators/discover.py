@@ -2,37 +2,73 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import B, S, edged, placed, quoted
 from .allowlist import Allowlist
+from .dictionary import look_up, words
 from .graph import connected_components
-from .values import MIN_SPELLING
+from .values import LEGAL_FORMS, MIN_SPELLING
 
+# The shape of a code, windows and scores.
 CODE = r"[A-Z]{2,6}[-_ /][0-9]{3,}(?:[-/][A-Za-z0-9]{1,4})?"
 SHORTEST_CODE = 6
 CUE_CHARS, BARE, CUED, CONTEXTS, MIN_SEED, DERIVED = 24, 0.70, 0.85, 3, 3, 0.9
 # Cue words, mailbox words and domain labels.
-PROJECT_CUES = "project projet projekt engagement mission workstream phase programme program".split()
-IDENTIFIER_CUES = "ref réf reference référence referenz dossier contrat contract vertrag facture invoice rechnung no nr num number numéro id case ticket order commande".split()
-MAILBOXES = "info contact noreply no-reply admin sales support hello team office help service services billing hr jobs marketing mail newsletter postmaster webmaster contactus".split()
-SUFFIX_LABELS = "com net org int edu gov mil info biz eu io co lu fr de be nl uk ch at it es pt ie us ca au nz se no dk fi pl cz public gouv admin etat state".split()
-MAIL_PROVIDERS = "gmail googlemail google outlook hotmail live msn yahoo ymail aol icloud me mac gmx web mail protonmail proton pm zoho yandex orange free laposte wanadoo sfr t-online libero qq 163 126 naver hanmail example".split()
-INFRASTRUCTURE = "mail smtp imap pop mx webmail email exchange srv server host localhost internal local corp intranet www".split()
+PROJECT_CUES = [
+    "project", "projet", "projekt", "engagement", "mission", "workstream", "phase", "programme", "program",
+]
+IDENTIFIER_CUES = [
+    "ref", "réf", "reference", "référence", "referenz", "dossier", "contrat", "contract", "vertrag", "facture", "invoice", "rechnung", "no", "nr", "num", "number",
+    "numéro", "id", "case", "ticket", "order", "commande",
+]
+MAILBOXES = [
+    "info", "contact", "noreply", "no-reply", "admin", "sales", "support", "hello", "team", "office", "help", "service", "services", "billing", "hr", "jobs", "marketing",
+    "mail", "newsletter", "postmaster", "webmaster", "contactus",
+]
+SUFFIX_LABELS = [
+    "com", "net", "org", "int", "edu", "gov", "mil", "info", "biz", "eu", "io", "co", "lu", "fr", "de", "be", "nl", "uk", "ch", "at", "it", "es", "pt", "ie", "us", "ca",
+    "au", "nz", "se", "no", "dk", "fi", "pl", "cz", "public", "gouv", "admin", "etat", "state",
+]
+MAIL_PROVIDERS = [
+    "gmail", "googlemail", "google", "outlook", "hotmail", "live", "msn", "yahoo", "ymail", "aol", "icloud", "me", "mac", "gmx", "web", "mail", "protonmail", "proton",
+    "pm", "zoho", "yandex", "orange", "free", "laposte", "wanadoo", "sfr", "t-online", "libero", "qq", "163", "126", "naver", "hanmail", "example",
+]
+INFRASTRUCTURE = [
+    "mail", "smtp", "imap", "pop", "mx", "webmail", "email", "exchange", "srv", "server", "host", "localhost", "internal", "local", "corp", "intranet", "www",
+]
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 WEBSITE = edged(rf"https?://[^{S}<>\"')\]]+|{B}www\.[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+(?:/[^{S}<>\"')\],]*)?")
-_ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+# Letters with accents, and what they fold to.
+ACCENTED = "áàâäãåāéèêëēíìîïīóòôöõōúùûüūçñ"
+PLAIN = "aaaaaaaeeeeeiiiiioooooouuuuucn"
+_FOLD = str.maketrans(ACCENTED, PLAIN)
+#: Words that don't begin or end a name though they stand inside one.
+INSIDE = ["de", "du", "des", "van", "von", "le", "la", "den", "der", "ten", "ter", "of", "the", "and", "for", "to", "in", "on", "vs", "et", "ou", "aux"]
+#: What may stand between two words of one name.
+SEPARATORS = [" ", "-", ".", ". ", " - ", "'", "’"]
+RADIUS = 60
+
+
+def fold(text: str) -> str:
+    """Lower case without accents, white space collapsed."""
+    return " ".join(text.lower().translate(_FOLD).split())
 
 
 def folded(x: Column) -> Column:
-    """Lower case without accents, white space collapsed."""
-    return F.trim(F.regexp_replace(F.translate(F.lower(x), *_ACCENTS), r"\s+", " "))
+    """``fold`` as an expression."""
+    return F.trim(F.regexp_replace(F.translate(F.lower(x), ACCENTED, PLAIN), r"\s+", " "))
 
 
-def context(text: str, start: str, end: str, radius: int = 60) -> Column:
+def snippet(text: str, start: int, end: int) -> str:
     """The stretch around a span, white space collapsed."""
-    return F.expr(f"trim(regexp_replace(substring({text}, greatest({start} - {radius} + 1, 1), {end} - {start} + {radius} + least({start}, {radius})), '\\\\s+', ' '))")
+    return " ".join(text[max(0, start - RADIUS) : end + RADIUS].split())
 
 
 def detect_codes(regions: DataFrame, allow: Allowlist | None = None) -> DataFrame:
@@ -79,75 +115,184 @@ def signals(documents: DataFrame, pattern: str) -> DataFrame:
     return documents.select("doc_ord", F.explode(F.expr(f"regexp_extract_all(coalesce(text, ''), {quoted(pattern)}, 0)")).alias("signal"))
 
 
-def seeds(rows: DataFrame, value: Column, category: str, kind: str) -> DataFrame:
-    """``category, folded, kind, documents, signals``: seeds merged over the batch."""
-    good = rows.withColumn("folded", value).where("folded IS NOT NULL")
-    return good.groupBy("folded").agg(F.countDistinct("doc_ord").alias("documents"), F.slice(F.array_sort(F.collect_set("signal")), 1, CONTEXTS).alias("signals")).select(F.lit(category).alias("category"), "folded", F.lit(kind).alias("kind"), "documents", "signals")
+EVIDENCE = "array<struct<kind: string, signal_category: string, signal_text: string, documents: array<bigint>>>"
 
 
-def person_name(local: Column) -> Column:
-    """Two name words or more of a mailbox, folded; null for a function mailbox."""
-    words = F.filter(F.split(F.lower(local), "[._+-]"), lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]+$") & ~w.isin(MAILBOXES))
-    named = F.transform(words, folded)
-    return F.when(~F.lower(local).isin(MAILBOXES) & (F.size(named) >= 2), F.array_join(named, " "))
+def seeds(rows: DataFrame, value: Column, category: str, kind: str, also: Column | None = None, signal_category: str = "email") -> DataFrame:
+    """``category, folded, kind, documents, signals, also, evidence``: seeds merged over the batch. A seed's evidence is CONTEXTS
+    signals at most, each with CONTEXTS documents at most, the first of them: examples, not counts."""
+    good = rows.withColumns({"folded": value, "also": also if also is not None else F.array().cast("array<string>")}).where("folded IS NOT NULL").select("folded", "signal", "doc_ord", "also").distinct()
+    merged = good.groupBy("folded").agg(F.countDistinct("doc_ord").alias("documents"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("also")))).alias("also"))
+    near = good.select("folded", "signal", "doc_ord").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("folded", "signal").orderBy("doc_ord"))).where(F.col("_r") <= CONTEXTS)
+    by_signal = near.groupBy("folded", "signal").agg(F.array_sort(F.collect_list("doc_ord")).alias("documents"))
+    few = by_signal.withColumn("_r", F.row_number().over(Window.partitionBy("folded").orderBy("signal"))).where(F.col("_r") <= CONTEXTS)
+    item = F.struct(F.lit(kind).alias("kind"), F.lit(signal_category).alias("signal_category"), F.col("signal").alias("signal_text"), "documents")
+    evidence = few.groupBy("folded").agg(F.array_sort(F.collect_list(item)).alias("evidence"))
+    joined = merged.join(evidence, "folded")
+    return joined.select(F.lit(category).alias("category"), "folded", F.lit(kind).alias("kind"), "documents", F.transform("evidence", lambda e: e["signal_text"]).alias("signals"), "also", "evidence")
 
 
-def email_person_seeds(documents: DataFrame) -> DataFrame:
-    return seeds(signals(documents, EMAIL), person_name(F.substring_index("signal", "@", 1)), "person_names", "email_local_part")
+def name_words(local: Column) -> Column:
+    """The name words of a mailbox, folded; null for a function mailbox and for fewer than two."""
+    words_of = F.filter(F.split(F.lower(local), "[._+-]"), lambda w: (F.length(w) >= 2) & ~w.rlike("^[0-9]+$") & ~w.isin(MAILBOXES))
+    named = F.transform(words_of, folded)
+    return F.when(~F.lower(local).isin(MAILBOXES) & (F.size(named) >= 2), named)
 
 
-def email_organisation_seeds(documents: DataFrame) -> DataFrame:
-    return seeds(signals(documents, EMAIL), organisation_label(F.substring_index("signal", "@", -1)), "entity_names", "email_domain")
+def person_name(local: Column) -> Column:
+    return F.array_join(name_words(local), " ")
 
 
-def website_seeds(documents: DataFrame) -> DataFrame:
-    return seeds(signals(documents, WEBSITE), organisation_label(url_host(F.col("signal"))), "entity_names", "website_domain")
+def bare_forms(local: Column, common: list[str]) -> Column:
+    """The first and the last name word by themselves, unless short or an ordinary word."""
+    named = name_words(local)
+    return F.coalesce(F.array_distinct(F.filter(F.array(named[0], F.element_at(named, -1)), lambda w: (F.length(w) >= MIN_SEED) & ~w.isin(common))), F.array().cast("array<string>"))
 
 
-def words_with_places(documents: DataFrame) -> DataFrame:
-    """``doc_ord, i, w, s, e``: the folded words of each document with their places."""
-    word = r"[\p{L}\p{Nd}]+"
-    body = documents.select("doc_ord", F.coalesce("text", F.lit("")).alias("_t")).withColumn("_m", F.expr(f"regexp_extract_all(_t, {quoted(word)}, 0)"))
-    rows = body.select("doc_ord", F.posexplode(F.expr(placed("_t", quoted(word), "_m"))).alias("i", "x"))
-    return rows.select("doc_ord", "i", folded(F.col("x.t")).alias("w"), F.col("x.t").alias("t"), F.col("x.s").alias("s"), F.col("x.e").alias("e"))
+def email_person_seeds(documents: DataFrame, common: list[str] | None = None) -> DataFrame:
+    from .heuristics import ordinary_words
 
+    local = F.substring_index("signal", "@", 1)
+    return seeds(signals(documents, EMAIL), person_name(local), "person_names", "email_local_part", bare_forms(local, sorted(ordinary_words()) if common is None else common))
 
-def find_seeds(documents: DataFrame, found: DataFrame, pattern: str) -> DataFrame:
-    """``category, folded, main_text, count``: where seeds stand in the running text, outside the signals they came from.
 
-    Seeds meet texts by equal runs of words, one join for each number of words up to four; of longer seeds
-    the first four meet a run, and each further word meets the text at its place.
+def email_organisation_seeds(documents: DataFrame) -> DataFrame:
+    return seeds(signals(documents, EMAIL), organisation_label(F.substring_index("signal", "@", -1)), "entity_names", "email_domain")
+
+
+def website_seeds(documents: DataFrame) -> DataFrame:
+    return seeds(signals(documents, WEBSITE), organisation_label(url_host(F.col("signal"))), "entity_names", "website_domain", signal_category="url")
+
+
+def folded_words(text: str) -> Iterator[tuple[str, int, int]]:
+    """(word without case and accents, start, end) of the runs of letters and digits."""
+    for w, at in words(text):
+        yield (w if w.isascii() else fold(text[at : at + len(w)])), at, at + len(w)
+
+
+class Seeds:
+    """Folded names of any number of words, by their first word."""
+
+    def __init__(self, names: list[str]):
+        self.by_word: dict[str, list[tuple[int, list[str]]]] = {}
+        for i, name in enumerate(names):
+            parts = [w for w, _, _ in folded_words(name)]
+            if parts:
+                self.by_word.setdefault(parts[0], []).append((i, parts))
+
+    def find(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(start, end, number) wherever the words of a name follow each other with a SEPARATOR between."""
+        found = list(folded_words(text))
+        for k, (w, s, _) in enumerate(found):
+            for i, parts in self.by_word.get(w, ()):
+                run = found[k : k + len(parts)]
+                if [x for x, _, _ in run] == parts and all(text[a[2] : b[1]] in SEPARATORS for a, b in zip(run, run[1:], strict=False)):
+                    yield s, run[-1][2], i
+
+
+_STEP = re.compile(r" ((?:[^\W_]|[-'’])+)")
+_TAIL = re.compile(" (?:" + "|".join(map(re.escape, LEGAL_FORMS)) + r")(?![^\W_])", re.IGNORECASE)
+_FORMS = frozenset(f.lower() for f in LEGAL_FORMS)
+
+
+def extended(text: str, end: int) -> int:
+    """Where an organisation's name ends that begins before ``end``: over capitalised words one space apart, words that stand
+    inside names if such a word follows, and a legal form."""
+    at = end
+    while m := _STEP.match(text, at):
+        bare = m[1].strip("-'’")
+        at = m.end()
+        if len(bare) >= 2 and bare[0].isupper() or m[1].lower() in _FORMS:
+            end = at
+        elif fold(m[1]) not in INSIDE:
+            break
+    tail = _TAIL.match(text, end)
+    return tail.end() if tail else end
+
+
+_HITS = pa.schema([("doc_ord", pa.int64()), ("category", pa.string()), ("seed", pa.string()), ("lead", pa.bool_()), ("text", pa.string()), ("first", pa.int32()), ("count", pa.int64()), ("contexts", pa.list_(pa.string()))])
+
+
+def seed_hits(documents: DataFrame, found: DataFrame, pattern: str, broadcast: bool | None = None) -> DataFrame:
+    """``doc_ord, category, seed, lead, text, first, count, contexts``: where seeds (``lead``) and their bare forms stand in the
+    running text, outside the signals they came from. Organisations are taken to the end of their names."""
+    signal = re.compile(pattern)
+    forms = found.select("category", F.col("folded").alias("seed"), F.explode(F.concat(F.array("folded"), "also")).alias("form"))
+    terms = forms.withColumn("lead", F.col("form") == F.col("seed")).distinct()
+
+    def use(batch: pa.RecordBatch, held) -> Iterator[pa.RecordBatch]:
+        out = []
+        for r, (doc, text) in enumerate(zip(batch.column("doc_ord").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+            if not text:
+                continue
+            book, table = held(r)
+            taken = [m.span() for m in signal.finditer(text)]
+            begins = [a for a, _ in taken]
+            groups: dict[tuple[int, str], dict] = {}
+            for s, e, i in book.find(text):
+                k = bisect_right(begins, s) - 1
+                if k >= 0 and e <= taken[k][1]:
+                    continue
+                if table.column("category")[i].as_py() == "entity_names":
+                    e = extended(text, e)
+                g = groups.setdefault((i, text[s:e]), {"doc_ord": doc, **{c: table.column(c)[i].as_py() for c in ("category", "seed", "lead")}, "text": text[s:e], "first": s, "count": 0, "contexts": []})
+                g["count"] += 1
+                if len(g["contexts"]) < CONTEXTS:
+                    g["contexts"].append(snippet(text, s, e))
+            out += groups.values()
+        yield pa.RecordBatch.from_pylist(out, schema=_HITS)
+
+    schema = "doc_ord long, category string, seed string, lead boolean, text string, first int, count long, contexts array<string>"
+    return look_up(documents.select("doc_ord", "text"), ["doc_ord"], "text", terms, "form", use, schema, broadcast, make=Seeds, split=folded_words)
+
+
+def find_seeds(documents: DataFrame, found: DataFrame, pattern: str, allow: Allowlist | None = None, broadcast: bool | None = None) -> DataFrame:
+    """Suggestions from seeds: ``category, folded, main_text, count, spellings, doc_ord, first, contexts, evidence``.
+
+    Texts that differ in case only are one, under the spelling seen first. Bare forms of a person's name become spellings
+    where the full name was found. A bare organisation word goes where a longer name built on it was found.
     """
-    words = words_with_places(documents)
-    body = documents.select("doc_ord", F.coalesce("text", F.lit("")).alias("_t")).withColumn("_m", F.expr(f"regexp_extract_all(_t, {quoted(pattern)}, 0)"))
-    held = body.select("doc_ord", F.explode(F.expr(placed("_t", quoted(pattern), "_m"))).alias("x")).select("doc_ord", F.col("x.s").alias("hs"), F.col("x.e").alias("he"))
-    out = None
-    parts_of = F.split("folded", " ")
-    asked = found.select("category", "folded", F.size(parts_of).alias("n"), parts_of.alias("p"))
-    w = Window.partitionBy("doc_ord").orderBy("i")
-    for n in range(1, 5):
-        parts = [F.lead("w", k).over(w) for k in range(n)]
-        run = words.select("doc_ord", "i", "s", F.concat_ws(" ", *parts).alias("folded"), F.lead("e", n - 1).over(w).alias("e")).where("e IS NOT NULL")
-        hit = run.join(asked.where(F.col("n") == n), "folded").select("category", "folded", "doc_ord", "s", "e")
-        out = hit if out is None else out.unionByName(hit)
-    begun = run.withColumnRenamed("folded", "four").drop("e").join(asked.where("n > 4").withColumn("four", F.array_join(F.slice("p", 1, 4), " ")), "four")
-    rest = begun.select("category", "folded", "doc_ord", "s", "n", F.col("i").alias("at"), F.posexplode(F.expr("slice(p, 5, n - 4)")).alias("k", "w")).withColumn("i", F.expr("at + 4 + k"))
-    met = rest.join(words.select("doc_ord", "i", "w", "e"), ["doc_ord", "i", "w"]).groupBy("category", "folded", "doc_ord", "s", "n").agg(F.countDistinct("i").alias("m"), F.max("e").alias("e"))
-    out = out.unionByName(met.where("m = n - 4").select("category", "folded", "doc_ord", "s", "e"))
-    free = out.join(held, (out.doc_ord == held.doc_ord) & (F.col("s") < F.col("he")) & (F.col("hs") < F.col("e")), "left_anti")
-    texts = free.join(documents.select("doc_ord", "text"), "doc_ord").select("category", "folded", F.expr("substring(text, s + 1, e - s)").alias("main_text"))
-    return texts.groupBy("category", "folded", "main_text").agg(F.count("*").alias("count"))
+    hits = seed_hits(documents, found, pattern, broadcast).where(~(allow or Allowlist()).matches("text"))
+    by_seed = ["category", "seed"]
+    first = F.struct("doc_ord", "first")
+    lead = hits.where("lead").withColumn("k", F.lower("text"))
+    near = lead.withColumn("_r", F.row_number().over(Window.partitionBy(*by_seed, "k").orderBy("doc_ord", "first"))).where(F.col("_r") <= CONTEXTS)
+    seen = near.groupBy(*by_seed, "k").agg(F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_r", "contexts"))), lambda x: x["contexts"])), 1, CONTEXTS).alias("contexts"))
+    main = lead.groupBy(*by_seed, "k").agg(F.min_by("text", first).alias("main_text"), F.sum("count").alias("count"), F.min(first).alias("f")).join(seen, [*by_seed, "k"])
+    longer = F.max(F.expr("k <> seed AND startswith(k, seed) AND NOT substring(k, length(seed) + 1, 1) RLIKE '[\\\\p{L}\\\\p{Nd}]'")).over(Window.partitionBy(*by_seed))
+    main = main.withColumn("_longer", longer).where(~((F.col("category") == "entity_names") & F.col("_longer") & (F.col("k") == F.col("seed"))))
+    forms = hits.where("NOT lead").groupBy(*by_seed).agg(F.array_sort(F.collect_set("text")).alias("spellings"))
+    joined = main.join(forms, by_seed, "left").join(found.select("category", F.col("folded").alias("seed"), "evidence"), by_seed)
+    return joined.select("category", F.col("seed").alias("folded"), "main_text", "count", F.coalesce("spellings", F.array().cast("array<string>")).alias("spellings"), "f.doc_ord", "f.first", "contexts", "evidence")
+
+
+def _field(name: str):
+    return lambda x: x[name]
 
 
 def merge_suggestions(rows: DataFrame) -> DataFrame:
-    """Suggestions (ord, main_text, category, spellings, count, confidence, methods) by category and main text without
-    case: the first spelling of the main text stays, counts add up, the best score and all methods and spellings hold."""
-    key = F.lower(F.trim("main_text"))
-    agg = rows.groupBy("category", key.alias("k")).agg(
+    """Suggestions (ord, main_text, category, spellings, count, confidence, methods, and contexts and evidence if there) by
+    category and main text without case: the spelling of the smallest ``ord`` (any type that sorts) stays, counts add up, the
+    best score and all methods and spellings hold, with CONTEXTS contexts and pieces of evidence, those that come first."""
+    own = ["category", "k"]
+    keyed = rows.withColumn("k", F.lower(F.trim("main_text")))
+    agg = keyed.groupBy(*own).agg(
         F.min_by("main_text", "ord").alias("main_text"), F.sum("count").alias("count"), F.max("confidence").alias("confidence"), F.min("ord").alias("ord"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("methods")))).alias("methods"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spellings")))).alias("spellings"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("methods")))).alias("methods"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("spellings")))).alias("spellings"),
     )
-    return agg.select("ord", "main_text", "category", "spellings", "count", "confidence", "methods")
+    columns = ["ord", "main_text", "category", "spellings", "count", "confidence", "methods"]
+    more = [c for c in ("contexts", "evidence") if c in rows.columns]
+    if more:
+        near = keyed.withColumn("_r", F.row_number().over(Window.partitionBy(*own).orderBy("ord"))).where(F.col("_r") <= CONTEXTS)
+        lists = [F.slice(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_r", c))), _field(c)))), 1, CONTEXTS).alias(c) for c in more]
+        agg = agg.join(near.groupBy(*own).agg(*lists), own)
+    return agg.select(*columns, *more)
+
+
+def merge_spellings(*lists: list[str], main: str = "") -> list[str]:
+    """All spellings but the main text, each once without case, longest first."""
+    kept = {s.lower(): s for x in reversed(lists) for s in reversed(x) if s.strip() and s.lower() != main.lower()}
+    return sorted(kept.values(), key=lambda s: (-len(s), s))
 
 
 def family_edges(rows: DataFrame, allow: Allowlist | None = None) -> DataFrame:
@@ -172,9 +317,10 @@ def fold_families(rows: DataFrame, allow: Allowlist | None = None) -> DataFrame:
     parts = connected_components(family_edges(rows, allow), "a", "b")
     tagged = rows.join(parts, rows.ord == parts.node, "left").withColumn("family", F.coalesce("component", "ord")).drop("node", "component")
     lead = F.struct(F.length("main_text"), -F.col("count"), "main_text")
+    more = [c for c in ("contexts", "evidence") if c in rows.columns]
     agg = tagged.groupBy("family").agg(
-        F.min_by(F.struct("ord", "main_text", "category", "confidence", "methods"), lead).alias("m"), F.sum("count").alias("count"),
+        F.min_by(F.struct("ord", "main_text", "category", "confidence", "methods", *more), lead).alias("m"), F.sum("count").alias("count"),
         F.array_distinct(F.flatten(F.array_append(F.collect_list("spellings"), F.collect_list("main_text")))).alias("s"),
     )
     spellings = F.expr("array_sort(filter(s, x -> lower(x) <> lower(m.main_text)), (a, b) -> CASE WHEN length(a) <> length(b) THEN length(b) - length(a) WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END)")
-    return agg.select("m.ord", "m.main_text", "m.category", spellings.alias("spellings"), "count", "m.confidence", "m.methods")
+    return agg.select("m.ord", "m.main_text", "m.category", spellings.alias("spellings"), "count", "m.confidence", "m.methods", *[f"m.{c}" for c in more])

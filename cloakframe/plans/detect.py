@@ -32,21 +32,36 @@ def enabled(sources: dict[str, dict[str, bool]] | None, source: str, derivation:
     return bool((sources or {}).get(source, {}).get(derivation, default)) and derivation in SOURCES.get(source, {})
 
 
-def from_signals(documents: DataFrame, sources: dict[str, dict[str, bool]] | None = None) -> DataFrame:
-    """``main_text, category, count, confidence, methods``: names that e-mail and web addresses lead to and that stand in the
-    running text. A bare organisation word goes where a longer name built on it was found."""
+_NO_EVIDENCE = f"CAST(array() AS {discover.EVIDENCE})"
+
+
+def from_signals(documents: DataFrame, sources: dict[str, dict[str, bool]] | None = None, allow: Allowlist | None = None) -> DataFrame:
+    """FOUND rows: names that e-mail and web addresses lead to and that stand in the running text."""
     wanted = [
         ("email", "person", discover.email_person_seeds, discover.EMAIL),
         ("email", "organisation", discover.email_organisation_seeds, discover.EMAIL),
         ("website", "organisation", discover.website_seeds, discover.WEBSITE),
     ]
-    parts = [discover.find_seeds(documents, seeds(documents), pattern) for s, d, seeds, pattern in wanted if enabled(sources, s, d)]
+    parts = [discover.find_seeds(documents, cut(seeds(documents)), pattern, allow) for s, d, seeds, pattern in wanted if enabled(sources, s, d)]
     if not parts:
-        parts = [discover.find_seeds(documents, discover.email_person_seeds(documents), discover.EMAIL).limit(0)]
+        none = discover.email_person_seeds(documents).limit(0)
+        parts = [discover.find_seeds(documents, none, discover.EMAIL, broadcast=True)]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    return rows.select("main_text", "category", "count", F.lit(discover.DERIVED).alias("confidence"), F.array(F.lit("signal")).alias("methods"))
+    return _found(rows.withColumn("confidence", F.lit(discover.DERIVED)), 2, "signal")
+
+
+#: Suggestions before they are merged; ``ord`` is the order in which they are found: route, document, place.
+FOUND = ["ord", "main_text", "category", "spellings", "count", "confidence", "methods", "contexts", "evidence"]
+
+
+def _found(rows: DataFrame, route: int, method: str) -> DataFrame:
+    have = set(rows.columns)
+    empty = {"spellings": "CAST(array() AS array<string>)", "contexts": "CAST(array() AS array<string>)", "evidence": _NO_EVIDENCE, "doc_ord": "CAST(0 AS bigint)", "first": "0"}
+    rows = rows.withColumns({c: F.expr(e) for c, e in empty.items() if c not in have}).withColumn("methods", F.array(F.lit(method)))
+    order = F.struct(F.lit(route).alias("route"), F.col("doc_ord").cast("long").alias("doc_ord"), F.col("first").cast("int").alias("first"), F.col("main_text").alias("text"))
+    return rows.withColumn("ord", order).select(*FOUND)
 
 
 def classify(suggestions: DataFrame, names: Callable[[list[str]], dict[str, str]], size: int = 50) -> DataFrame:
@@ -68,36 +83,34 @@ def classify(suggestions: DataFrame, names: Callable[[list[str]], dict[str, str]
 def detect(documents: DataFrame, config: Config | None = None, options: heuristics.Options | None = None, sources: dict | None = None, model: Callable[[str], str] | None = None, refine: Callable[[list[str]], dict[str, str]] | None = None, suppress_defined: bool = True) -> Detection:
     """Suggestions for ``documents`` (doc_ord, name, text). Nothing is replaced: a reviewer accepts them first.
 
-    Terms that the documents define as their own vocabulary are held back through the never-anonymise list; they are
-    vocabulary, a few for each document, and only distinct ones come to the driver.
+    Terms that the documents define as their own vocabulary are no suggestions: they are taken away by a join, so there may be
+    any number of them. Of a main text's spellings the one found first stays: in the names and codes of the documents in their
+    order, then among signals, then in what the model says.
     """
     config = config or Config()
     terms = cut(discover_defined_terms(documents))
-    allow = Allowlist(config.allow.terms())
-    if suppress_defined:
-        for r in terms.select(F.explode(defined_term_forms(F.col("term"))).alias("t")).distinct().limit(MAX_TERMS).collect():
-            allow.add(r.t)
+    allow = config.allow
     regions = text_regions(documents)
     preview = diagnose.preview_matches(patterns.scan_patterns(regions, config.selection, config.country))
-    names = heuristics.suggestions(documents, allow, options).select("main_text", "category", "count", "confidence", F.array(F.lit("heuristic")).alias("methods"))
-    codes = discover.detect_codes(regions, allow).groupBy("main_text", "category").agg(F.sum("count").alias("count"), F.max("confidence").alias("confidence")).withColumn("methods", F.array(F.lit("heuristic")))
-    found = names.unionByName(codes.select(*names.columns)).unionByName(from_signals(documents, sources))
+    names = _found(heuristics.discover_names(documents, allow, options, config.country), 0, "heuristic")
+    codes = _found(discover.detect_codes(regions, allow), 1, "heuristic")
+    found = names.unionByName(codes).unionByName(from_signals(documents, sources, allow))
     if model is not None:
         told = chunks.model_suggestions(chunks.scan_chunks(chunks.units_of(documents)), model, VALUE_CATEGORIES)
-        told = told.groupBy("main_text", "category").agg(F.sum("count").alias("count"), F.max("confidence").alias("confidence")).withColumn("methods", F.array(F.lit("local_llm")))
-        found = found.unionByName(told.select(*names.columns))
+        told = told.groupBy("main_text", "category").agg(F.sum("count").alias("count"), F.max("confidence").alias("confidence"))
+        found = found.unionByName(_found(told, 3, "local_llm"))
     found = found.where(~allow.matches("main_text"))
-    merged = _merged(found)
-    folded = discover.fold_families(merged, allow)
+    held = None
+    if suppress_defined:
+        held = terms.select(F.explode(defined_term_forms(F.col("term"))).alias("t")).select(F.lower(F.trim("t")).alias("_held")).distinct()
+        found = found.join(held, F.lower(F.trim("main_text")) == F.col("_held"), "left_anti")
+    folded = discover.fold_families(_numbered(discover.merge_suggestions(found)), allow)
     if refine is not None:
-        folded = discover.fold_families(_merged(classify(cut(folded), refine).drop("ord", "spellings")), allow)
+        again = classify(cut(folded), refine)
+        folded = discover.fold_families(_numbered(discover.merge_suggestions(again)), allow)
     return Detection(folded, preview, terms)
 
 
-#: Distinct defined terms a run takes into its list.
-MAX_TERMS = 100_000
-
-
-def _merged(found: DataFrame) -> DataFrame:
-    rows = numbered(found.withColumn("spellings", F.array().cast("array<string>")), ["main_text", "category", "confidence"], "ord")
-    return cut(discover.merge_suggestions(rows))
+def _numbered(merged: DataFrame) -> DataFrame:
+    """Suggestions with ``ord`` as a number in the same order."""
+    return cut(numbered(merged.withColumnRenamed("ord", "_ord"), ["_ord"], "ord").drop("_ord"))
