@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TARGET_BYTES = {"thorough": 1200, "faster": 4000}
@@ -65,8 +65,23 @@ def scan_chunks(documents: DataFrame, level: str = "thorough", hard_max: int = 0
 
 
 def units_of(documents: DataFrame) -> DataFrame:
-    """``documents`` with ``units``: its pages if there are any, else its lines."""
-    return documents.withColumn("units", F.split(F.coalesce("text", F.lit("")), "\n"))
+    """``documents`` with ``units``: its ``pages`` if it has that column and they are not null, else its lines."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    return documents.withColumn("units", F.coalesce("pages", lines) if "pages" in documents.columns else lines)
+
+
+def unit_range(units: str, first: int, last: int, header: bool = False) -> Column:
+    """Units ``first`` to ``last`` (from 1) of an array column as one text; with ``header`` the first unit stands before them,
+    as the head of a table does. Numbers past the end are cut off; an empty range is null."""
+    last_there = F.least(F.lit(last), F.size(units))
+    body = F.slice(units, first, F.greatest(last_there - first + 1, F.lit(0)))
+    parts = F.concat(F.slice(units, 1, 1), body) if header and first > 1 else body
+    return F.when((last_there >= first) & F.lit(first >= 1), F.array_join(parts, "\n"))
+
+
+def estimate_requests(chunks: DataFrame, classify: int = 0, size: int = 50) -> DataFrame:
+    """``requests``: one for each chunk, and one for each batch of ``size`` names that are to be classified."""
+    return chunks.agg((F.count("*") + F.lit(-(-classify // size))).alias("requests"))
 
 
 def parse_reply(reply: str) -> list[dict]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -78,8 +80,9 @@ def spelling_rows(values: DataFrame) -> DataFrame:
 SPANS = "doc_ord long, region_ord long, start int, end int, category string, original string, main_text string, confidence double, checksum_ok boolean, match_class string"
 
 
-def _spans(batch: pa.RecordBatch, held) -> Iterator[pa.RecordBatch]:
-    """Span columns for what the dictionary of each row finds, a batch for each run of rows that share one."""
+def _spans(batch: pa.RecordBatch, held, shielded: re.Pattern | None = None) -> Iterator[pa.RecordBatch]:
+    """Span columns for what the dictionary of each row finds outside what ``shielded`` matches, a batch for each run of rows
+    that share one."""
     rows, starts, ends, originals, which = [], [], [], [], []
 
     def emit(table: pa.Table) -> pa.RecordBatch:
@@ -95,7 +98,11 @@ def _spans(batch: pa.RecordBatch, held) -> Iterator[pa.RecordBatch]:
             yield emit(table)
             rows, starts, ends, originals, which = [], [], [], [], []
         table = own
+        shields = [m.span() for m in shielded.finditer(text or "")] if shielded else []
+        begins = [a for a, _ in shields]
         for s, e, i in book.find(text or ""):
+            if shields and (at := bisect_left(begins, e)) and shields[at - 1][1] > s:
+                continue
             rows.append(r)
             starts.append(s)
             ends.append(e)
@@ -121,6 +128,20 @@ def detect_values(regions: DataFrame, values: DataFrame, allow: Allowlist | None
     return finished(filter_allowed_column(rows, allow, "original"))
 
 
+def detect_known(regions: DataFrame, registry: DataFrame, allow: Allowlist | None = None, broadcast: bool | None = None) -> DataFrame:
+    """Spans of registry originals in ``regions``, outside placeholders. They are as strong as a built-in pattern's: a string
+    that has a placeholder keeps it."""
+    allow = allow or Allowlist()
+    columns = ["category", F.col("original").alias("main_text"), F.col("original").alias("spelling"), F.lit("built_in_pattern").alias("match_class"), F.lit(1.0).alias("confidence")]
+    terms = filter_allowed_column(registry.select(*columns), allow, "spelling")
+    body = regions.where("text IS NOT NULL").select("doc_ord", "region_ord", "text")
+    rows = look_up(body, ["doc_ord", "region_ord"], "text", terms, "spelling", lambda b, held: _spans(b, held, _PLACEHOLDER), SPANS, broadcast)
+    return finished(filter_allowed_column(rows, allow, "original"))
+
+
+_PLACEHOLDER = re.compile(r"\[[A-Z][A-Z0-9_]*_[0-9]+\]")
+
+
 def filter_allowed_column(rows: DataFrame, allow: Allowlist, column: str) -> DataFrame:
     return rows.where(~allow.matches(column))
 

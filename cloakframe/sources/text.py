@@ -24,7 +24,8 @@ EXPORTS = {
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_ord, name, format, raw, warnings`` of the files under a path, in the order of their paths."""
+    """``doc_ord, name, format, raw, warnings`` of the files under a path, in the order of their paths; files of no known
+    format are left out here and told by ``unread_files``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.regexp_extract("path", "([^/]+)$", 1)
     known = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
@@ -34,6 +35,14 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(ranked, "path").select("doc_ord", "name", "format", "raw", "warnings")
 
 
+def unread_files(spark: SparkSession, path: str) -> DataFrame:
+    """``name, error`` of the files under a path that ``read_files`` leaves out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    kind = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    return files.where(~kind.isin(FORMATS)).select(name.alias("name"), F.concat(F.lit("unsupported format: "), kind).alias("error"))
+
+
 def text_of(raw: str = "raw") -> Column:
     """UTF-8 text with line breaks as ``\\n``; null where the bytes are no UTF-8."""
     text = F.when(F.is_valid_utf8(F.col(raw).cast("string")), F.col(raw).cast("string"))
@@ -41,9 +50,10 @@ def text_of(raw: str = "raw") -> Column:
 
 
 def load_text(files: DataFrame) -> DataFrame:
-    """``doc_ord, name, format, text, unit, unit_count, warnings`` of txt and md files; undecodable ones are left out."""
-    rows = files.where(F.col("format").isin("txt", "md")).withColumn("text", text_of()).where("text IS NOT NULL")
-    return rows.select("doc_ord", "name", "format", "text", F.lit("line").alias("unit"), line_count(F.col("text")).alias("unit_count"), "warnings")
+    """``doc_ord, name, format, text, unit, unit_count, warnings, error`` of txt and md files; bytes that are no UTF-8 are an error."""
+    rows = files.where(F.col("format").isin("txt", "md")).withColumn("text", text_of())
+    error = F.when(F.col("text").isNull(), "the file is not UTF-8 text")
+    return rows.select("doc_ord", "name", "format", "text", F.lit("line").alias("unit"), line_count(F.col("text")).alias("unit_count"), "warnings", error.alias("error"))
 
 
 def line_count(text: Column) -> Column:
