@@ -74,3 +74,8 @@ def value_report(outputs: DataFrame, registry: DataFrame, column: str = "anonymi
     """``original, placeholder, category, replaced``: placeholders counted in the finished texts; entries without any are left out."""
     found = outputs.select(F.explode(F.regexp_extract_all(F.coalesce(column, F.lit("")), F.lit(r"(\[[A-Z][A-Z0-9_]*_[0-9]+\])"), 1)).alias("placeholder")).groupBy("placeholder").agg(F.count("*").alias("replaced"))
     return registry.join(found, "placeholder").select("original", "placeholder", "category", "replaced")
+
+
+def detected_categories(spliced: DataFrame) -> DataFrame:
+    """``category``: those with a replacement somewhere."""
+    return spliced.select(F.explode("by_category").alias("category", "n")).where("n > 0").select("category").distinct()

@@ -46,6 +46,16 @@ def splice(regions: DataFrame, kept: DataFrame, registry: DataFrame) -> DataFram
     return joined.mapInArrow(run, T.StructType([*fields, T.StructField("anonymised", T.StringType()), joined.schema["by_category"]]))
 
 
+def occurrence_spellings(kept: DataFrame, registry: DataFrame, pruned: bool = True) -> DataFrame:
+    """``doc_ord, placeholder, spellings``: how each occurrence of a value is spelled in a document, in order, empty where that
+    is its main text; with ``pruned`` only values that are spelled otherwise somewhere."""
+    named = kept.join(registry.select(F.col("original_lc").alias("owner_key"), "placeholder", F.col("original").alias("_main")), "owner_key")
+    own = F.when(F.col("original") == F.col("_main"), "").otherwise(F.col("original"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("region_ord", "start", own.alias("own")))), lambda x: x["own"])
+    rows = named.groupBy("doc_ord", "placeholder").agg(listed.alias("spellings"))
+    return rows.where(F.exists("spellings", lambda x: x != "")) if pruned else rows
+
+
 def replace_known(text: str, book: Dictionary, table: list[tuple[str, str]]) -> tuple[str, list[str]]:
     """``text`` with every term of ``book`` that stands in it written over, in the dictionary's order, by its (placeholder,
     category), and a category for each hit.

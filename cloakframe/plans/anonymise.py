@@ -68,9 +68,10 @@ def anonymise(regions: DataFrame, config: Config | None = None, known: DataFrame
     spark = regions.sparkSession
     if known is not None and (found := diagnose.validate(known, config.allow).limit(5).collect()):
         raise Blocked("; ".join(f"{r.kind} {r.value} / {r.other}" for r in found))
-    unified = cut(resolve.unify_ownership(detect(regions, config, known)))
+    # the texts are read once for all detectors; what follows works on spans, dealt by region from ownership on
+    unified = resolve.unify_ownership(cut(detect(regions, config, known)))
     resolved = cut(resolve.resolve_overlaps(unified))
-    book = registry.assign(resolved.where("kept"), entries if entries is not None else registry.empty(spark), retired if retired is not None else registry.no_retired(spark))
-    book = cut(book)
-    done = rewrite.post_pass(rewrite.splice(regions, resolved.where("kept"), book), book)
-    return Result(done, book, resolved, unified)
+    kept = resolved.where("kept")
+    book = cut(registry.assign(kept, entries if entries is not None else registry.empty(spark), retired if retired is not None else registry.no_retired(spark)))
+    done = rewrite.post_pass(rewrite.splice(regions, kept, book), book)
+    return Result(done, book, resolved, resolved.drop("kept"))

@@ -14,7 +14,7 @@ from ..operators.allowlist import Allowlist, defined_term_forms, discover_define
 from ..sources import text as text_source
 from . import anonymise as run
 from . import detect as detection
-from .presets import COUNTRIES, LABELS, PII_CATEGORIES, depth_selection
+from .presets import COUNTRIES, DEPTHS, LABELS, PII_CATEGORIES, VALUE_CATEGORIES, depth_selection
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -203,18 +203,42 @@ def mapping_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.export(_mail_run(spark, sf_dir).registry)
 
 
-@query("registry_rename_forget")
+@query("registry_rename_forget", f"""WITH f AS ({_FIRST}), old AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY f) AS r FROM f WHERE f < 40000000),
+    known AS (SELECT category, original, k, CASE WHEN category = 'email' AND r = 1 THEN 9 ELSE r END AS number, category = 'email' AND r = 1 AS overridden FROM old WHERE NOT (category = 'email' AND r = 2)),
+    fresh AS (SELECT f.category, f.original, (SELECT count(*) FROM old WHERE old.category = f.category) + row_number() OVER (PARTITION BY f.category ORDER BY f.f) AS n FROM f WHERE f.k NOT IN (SELECT k FROM known)),
+    everything AS (SELECT category, original, number, overridden FROM known UNION ALL SELECT category, original, CASE WHEN category = 'email' AND n >= 9 THEN n + 1 ELSE n END, false FROM fresh)
+    SELECT original, concat('[', CASE category WHEN 'email' THEN 'EMAIL' ELSE 'URL' END, '_', CAST(number AS varchar), ']') AS placeholder, category, overridden FROM everything""")
 def registry_rename_forget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An overridden and a retired number, then a second run: both numbers stay free of new originals."""
     regions = source(spark, sf_dir, MADE["mail"])
     first = run.anonymise(regions.where("doc_ord <= 3"), run.Config(selection=_BOTH))
-    name = first.registry.orderBy("placeholder").first().original
+    name = first.registry.where("placeholder = '[EMAIL_1]'").first().original
     book = registry.set_placeholder(first.registry, registry.no_retired(spark), name, "[EMAIL_9]")
-    gone = book.where("NOT overridden").orderBy("placeholder").first().original
+    gone = book.where("placeholder = '[EMAIL_2]'").first().original
     book, retired = registry.forget(book, registry.no_retired(spark), gone)
     return run.anonymise(regions, run.Config(selection=_BOTH), entries=book, retired=retired).registry.select("original", "placeholder", "category", "overridden")
 
 
+@query("registry_entries", f"SELECT original, CAST(row_number() OVER (ORDER BY octet_length(encode(original)) DESC, category, length(placeholder), placeholder) AS bigint) AS place FROM ({_NUMBERED})")
+def registry_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest first (bytes). The places are numbered here only to be compared."""
+    from ..operators.numbering import numbered
+
+    rows = registry.entries(_mail_run(spark, sf_dir).registry).withColumn("_b", -F.octet_length("original")).withColumn("_l", F.length("placeholder"))
+    return numbered(rows, ["_b", "category", "_l", "placeholder"], "place").select("original", (F.col("place") + 1).alias("place"))
+
+
+@query("occurrence_spellings", f"SELECT c.doc_ord, n.placeholder, list(CASE WHEN c.original = n.original THEN '' ELSE c.original END ORDER BY c.start) AS spellings FROM ({_CLAIMS}) c JOIN ({_NUMBERED}) n ON n.k = lower(c.original) GROUP BY ALL HAVING bool_or(c.original <> n.original)")
+def occurrence_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _mail_run(spark, sf_dir)
+    return rewrite.occurrence_spellings(done.spans.where("kept"), done.registry)
+
+
+@query("detected_categories", f"SELECT category FROM ({_CLAIMS}) GROUP BY category")
+def detected_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnose.detected_categories(_mail_run(spark, sf_dir).documents)
+
+
 @query("report_by_category", f"SELECT category, CAST(count(*) AS bigint) AS replaced FROM ({_CLAIMS}) GROUP BY category")
 def report_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnose.counts_by_document(_mail_run(spark, sf_dir).documents).where("category IS NOT NULL AND doc_ord IS NOT NULL").groupBy("category").agg(F.sum("replaced").alias("replaced"))
@@ -241,8 +265,16 @@ def anonymise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mail_run(spark, sf_dir).documents.select("doc_ord", "anonymised")
 
 
-@query("leak_check", "SELECT CAST(0 AS bigint) AS leaks")
+@query("leak_check", f"SELECT doc_ord, lower(original) AS original FROM ({_CLAIMS}) WHERE doc_ord % 10 = 0 GROUP BY ALL")
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document keeps its source text: just its originals must be told."""
+    done = _mail_run(spark, sf_dir)
+    planted = done.documents.withColumn("anonymised", F.when(F.col("doc_ord") % 10 == 0, F.col("text")).otherwise(F.col("anonymised")))
+    return rewrite.leaks(planted, done.registry).select("doc_ord", F.lower("original").alias("original"))
+
+
+@query("leak_free", "SELECT CAST(0 AS bigint) AS leaks")
+def leak_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = _mail_run(spark, sf_dir)
     return rewrite.leaks(done.documents, done.registry).agg(F.count("*").alias("leaks"))
 
@@ -253,13 +285,16 @@ def post_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrite.post_pass(source(spark, sf_dir, MADE["mail"]).withColumn("anonymised", F.col("text")), book).select("doc_ord", "anonymised")
 
 
+_CLAIMED = """SELECT c_custkey AS doc_ord, CAST(0 AS bigint) AS region_ord, 0 AS start, 7 AS end, concat('Name ', CAST(c_custkey % 40 AS string)) AS original, CAST(NULL AS string) AS main_text,
+    CASE WHEN c_custkey % 3 = 0 THEN 'entity_names' WHEN c_custkey % 3 = 1 THEN 'person_names' ELSE 'brand_names' END AS category, 0.5D + (c_custkey % 5) / 10.0D AS confidence, true AS checksum_ok,
+    CASE WHEN c_custkey % 7 = 0 THEN 'user_defined' ELSE 'rules_discovered' END AS match_class FROM customer"""
+
+
 @query("unify_ownership", """WITH c AS (SELECT c_custkey % 40 AS k, CASE WHEN c_custkey % 3 = 0 THEN 'entity_names' WHEN c_custkey % 3 = 1 THEN 'person_names' ELSE 'brand_names' END AS category,
       CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 3 END AS rank, 0.5 + (c_custkey % 5) / 10.0 AS confidence FROM customer)
     SELECT owner_key, category FROM (SELECT concat('name ', CAST(k AS varchar)) AS owner_key, category, row_number() OVER (PARTITION BY k ORDER BY rank, confidence DESC, category) AS r FROM c) WHERE r = 1""")
 def unify_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = source(spark, sf_dir, """SELECT c_custkey AS doc_ord, CAST(0 AS bigint) AS region_ord, 0 AS start, 7 AS end, concat('Name ', CAST(c_custkey % 40 AS string)) AS original, CAST(NULL AS string) AS main_text,
-        CASE WHEN c_custkey % 3 = 0 THEN 'entity_names' WHEN c_custkey % 3 = 1 THEN 'person_names' ELSE 'brand_names' END AS category, 0.5D + (c_custkey % 5) / 10.0D AS confidence, true AS checksum_ok,
-        CASE WHEN c_custkey % 7 = 0 THEN 'user_defined' ELSE 'rules_discovered' END AS match_class FROM customer""")
+    rows = source(spark, sf_dir, _CLAIMED)
     return resolve.unify_ownership(patterns.finished(rows)).select("owner_key", "category").distinct()
 
 
@@ -376,11 +411,28 @@ def signal_website_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.website_seeds(source(spark, sf_dir, MADE["mail"])).select("folded", "documents")
 
 
-@query("signal_matches", "SELECT 'person_names' AS category, concat('Jean Muller', CAST(c_custkey % 7 AS varchar)) AS main_text, count(*) AS n FROM customer GROUP BY c_custkey % 7 UNION ALL SELECT 'entity_names', concat('Firm', CAST(c_custkey % 11 AS varchar)), count(*) FROM customer GROUP BY c_custkey % 11")
+@query("signal_matches", "SELECT 'person_names' AS category, concat('Jean Muller', CAST(c_custkey % 7 AS varchar)) AS main_text, 'Jean' AS forms, count(*) AS n FROM customer GROUP BY c_custkey % 7 UNION ALL SELECT 'entity_names', concat('Firm', CAST(c_custkey % 11 AS varchar), ' and Jean Muller', CAST(c_custkey % 7 AS varchar)), '', count(*) FROM customer GROUP BY c_custkey % 11, c_custkey % 7")
 def signal_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons with their bare forms, organisations to the end of their names."""
     docs = source(spark, sf_dir, MADE["mail"])
     found = discover.email_person_seeds(docs).unionByName(discover.email_organisation_seeds(docs))
-    return discover.find_seeds(docs, found, discover.EMAIL).select("category", "main_text", F.col("count").alias("n"))
+    rows = discover.find_seeds(docs, found, discover.EMAIL)
+    forms = F.array_join(F.filter("spellings", lambda x: ~x.startswith("Muller")), ",")
+    return rows.select("category", "main_text", forms.alias("forms"), F.col("count").alias("n"))
+
+
+@query("signal_bare_stems", "SELECT concat('Acme', CAST(k AS varchar), CASE WHEN k % 2 = 0 THEN ' Holdings' ELSE '' END) AS main_text, CASE WHEN k % 2 = 0 THEN n ELSE 2 * n END AS n FROM (SELECT s_suppkey % 6 AS k, count(*) AS n FROM supplier GROUP BY s_suppkey % 6)")
+def signal_bare_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bare organisation word goes where a longer name built on it stands."""
+    docs = source(spark, sf_dir, "SELECT s_suppkey AS doc_ord, concat('ask x.y@acme', CAST(s_suppkey % 6 AS string), '.com; Acme', CAST(s_suppkey % 6 AS string), ' said so, Acme', CAST(s_suppkey % 6 AS string), CASE WHEN s_suppkey % 2 = 0 THEN ' Holdings' ELSE '' END, ' paid') AS text FROM supplier")
+    return discover.find_seeds(docs, discover.email_organisation_seeds(docs), discover.EMAIL).select("main_text", F.col("count").alias("n"))
+
+
+@query("evidence", "SELECT concat('firm', CAST(c_custkey % 11 AS varchar)) AS folded, 'email_domain' AS kind, 'email' AS signal_category, concat('jean.muller', CAST(c_custkey % 7 AS varchar), '@mail.firm', CAST(c_custkey % 11 AS varchar), '.co.uk') AS signal_text, array_to_string(list_slice(list_sort(list(c_custkey)), 1, 3), ',') AS documents FROM customer WHERE c_custkey % 7 < 3 GROUP BY c_custkey % 11, c_custkey % 7")
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What led to a seed: three signals with three documents at most."""
+    rows = discover.email_organisation_seeds(source(spark, sf_dir, MADE["mail"])).select("folded", F.explode("evidence").alias("e"))
+    return rows.select("folded", "e.kind", "e.signal_category", "e.signal_text", F.array_join(F.transform("e.documents", lambda d: d.cast("string")), ",").alias("documents"))
 
 
 _SUGGEST = "SELECT p_partkey AS ord, CASE p_partkey % 4 WHEN 0 THEN concat('Unit', CAST(p_partkey % 30 AS string)) WHEN 1 THEN concat('UNIT', CAST(p_partkey % 30 AS string)) WHEN 2 THEN concat('Unit', CAST(p_partkey % 30 AS string), ' Group') ELSE concat('The Unit', CAST(p_partkey % 30 AS string), ' Group of ', CAST(p_partkey % 3 AS string)) END AS main_text, 'entity_names' AS category, CAST(p_size AS bigint) AS n FROM part"
@@ -407,12 +459,43 @@ def family_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discover.fold_families(discover.merge_suggestions(_suggestions(spark, sf_dir))).select("main_text", F.col("count").alias("n"))
 
 
-@query("categories", "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{LABELS[c]}', {str(depth_selection('standard', 'FR')[c]).lower()})" for c in PII_CATEGORIES) + ") v(category, label, standard_fr)")
+@query("categories", """SELECT * FROM (VALUES ('email', 'EMAIL', true), ('url', 'URL', true), ('iban', 'IBAN', true), ('vat', 'VAT', true), ('matricule', 'NATIONAL_ID', false), ('phone', 'PHONE', true),
+    ('amount', 'AMOUNT', false), ('date', 'DATE', false), ('credit_card', 'CREDIT_CARD', true), ('uk_nhs', 'NHS', false), ('ip_address', 'IP', true), ('mac_address', 'MAC', true), ('crypto', 'CRYPTO', true),
+    ('database_uri', 'DB_URI', true), ('de_steuer_id', 'DE_TAX_ID', false), ('es_nif', 'ES_NIF', false), ('bic', 'BIC', true), ('postal_code', 'POSTAL_CODE', false), ('address', 'ADDRESS', false),
+    ('entity_names', 'ENTITY', true), ('project_names', 'PROJECT', true), ('product_names', 'PRODUCT', true), ('brand_names', 'BRAND', true), ('person_names', 'PERSON', true), ('identifier_names', 'ID', true),
+    ('other_names', 'OTHER', false), ('custom_patterns', 'CUSTOM', true), ('country_names', 'COUNTRY', false), ('nationality_names', 'NATIONALITY', false), ('business_sector_names', 'BUSINESS_SECTOR', false)) v(category, label, standard_fr)""")
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     on = depth_selection("standard", "FR")
-    return spark.createDataFrame([(c, LABELS[c], on[c]) for c in PII_CATEGORIES], "category string, label string, standard_fr boolean")
+    return spark.createDataFrame([(c, LABELS[c], on[c]) for c in PII_CATEGORIES + VALUE_CATEGORIES], "category string, label string, standard_fr boolean")
+
+
+@query("presets", """SELECT * FROM (VALUES ('soft', 'LU', 12, 4), ('standard', 'LU', 12, 7), ('thorough', 'LU', 16, 11), ('soft', 'FR', 11, 4), ('standard', 'FR', 11, 7), ('thorough', 'FR', 15, 11), ('soft', 'DE', 12, 4), ('standard', 'DE', 12, 7), ('thorough', 'DE', 16, 11), ('soft', 'ES', 12, 4), ('standard', 'ES', 12, 7), ('thorough', 'ES', 16, 11), ('soft', 'UK', 12, 4), ('standard', 'UK', 12, 7), ('thorough', 'UK', 16, 11)) v(depth, country, n_patterns, n_names)""")
+def preset_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pattern and name categories each depth turns on, and that the depth is found again from its selection."""
+    rows = []
+    for c in COUNTRIES:
+        for d in DEPTHS:
+            on = depth_selection(d, c)
+            rows.append((d, c, sum(on[x] for x in PII_CATEGORIES), sum(on[x] for x in VALUE_CATEGORIES)))
+    return spark.createDataFrame(rows, "depth string, country string, n_patterns int, n_names int")
+
+
+@query("match_classes", "SELECT * FROM (VALUES ('A B', 'user_defined', 0.95), ('C D', 'rules_discovered', 0.5), ('E F', 'local_llm_discovered', 0.95), ('G H', 'user_defined', 0.95), ('I J', 'rules_discovered', 0.7)) v(main_text, match_class, confidence)")
+def match_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest method decides the class; no score of its own means that of a declared value."""
+    rows = [("other_names", "A B", [], True, ["manual", "signal"], None), ("other_names", "C D", [], True, ["local_llm", "signal"], 0.5), ("other_names", "E F", [], True, ["local_llm"], 0.0), ("other_names", "G H", [], True, [], None), ("other_names", "I J", [], True, ["heuristic"], 0.7)]
+    return values.spelling_rows(_values(spark, rows)).select("main_text", "match_class", F.col("confidence").cast("decimal(3,2)").cast("double").alias("confidence"))
+
+
+_OWNED = """SELECT concat('name ', CAST(k AS varchar)) AS owner_key, category, first_value(category) OVER (PARTITION BY k ORDER BY rank, confidence DESC, category) AS owner FROM (SELECT c_custkey % 40 AS k, CASE WHEN c_custkey % 3 = 0 THEN 'entity_names' WHEN c_custkey % 3 = 1 THEN 'person_names' ELSE 'brand_names' END AS category,
+      CASE WHEN c_custkey % 7 = 0 THEN 2 ELSE 3 END AS rank, 0.5 + (c_custkey % 5) / 10.0 AS confidence FROM customer)"""
 
 
+@query("ownership_losses", f"SELECT DISTINCT owner AS category, category AS owned_from, owner_key FROM ({_OWNED}) WHERE owner <> category ORDER BY owner_key, owned_from LIMIT 50")
+def ownership_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of 50 rows: strings that changed hands."""
+    rows = source(spark, sf_dir, _CLAIMED)
+    return resolve.ownership_losses(resolve.unify_ownership(patterns.finished(rows)))
 
 
 @query("grid_markdown", "SELECT n_regionkey AS doc_ord, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || CAST(n_nationkey AS varchar) || ' | ' || replace(n_name, '_', chr(92) || '|') || ' |', chr(10) ORDER BY n_nationkey) || chr(10) AS markdown FROM nation GROUP BY n_regionkey")
@@ -473,5 +556,5 @@ def value_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("detect_suggestions")
 def detect_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = source(spark, sf_dir, MADE["mail"]).withColumn("name", F.lit("mail"))
+    docs = source(spark, sf_dir, DOCS).withColumn("name", F.lit("documents"))
     return detection.detect(docs).suggestions.select("main_text", "category", "spellings", "count", "confidence", "methods")
