@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.spans import quoted
 from .allowlist import Allowlist
 from .dictionary import Dictionary, look_up
 from .patterns import finished
@@ -69,12 +70,31 @@ def match_class(methods: list[str] | None) -> str:
 VALUES = "value_ord long, category string, main_text string, spellings array<string>, curated boolean, methods array<string>, confidence double"
 
 
+def _spellings_sql() -> str:
+    """``expand_spellings`` of the columns of VALUES, as an expression."""
+    words = "filter(split(main_text, '\\\\s+'), x -> x <> '')"
+    particles = ", ".join(quoted(p) for p in sorted(PARTICLES))
+    # where the surname begins: at the first particle between the first and the last word, else at the second word
+    start = f"coalesce(try_element_at(filter(sequence(2, greatest(size(w) - 1, 2)), i -> i < size(w) AND lower(w[i - 1]) IN ({particles})), 1), 2)"
+    surname = "array_join(slice(w, s, size(w)), ' ')"
+    person = f"""transform(array({words}), w -> transform(array({start}), s -> concat(
+        CASE WHEN contains(main_text, '-') THEN array(replace(main_text, '-', ' ')) ELSE array() END, CASE WHEN contains(main_text, ' ') THEN array(replace(main_text, ' ', '-')) ELSE array() END,
+        CASE WHEN size(w) < 2 THEN array() ELSE array(concat(left(w[0], 1), '. ', {surname}), concat(left(w[0], 1), '.', {surname}), {surname}, w[0], element_at(w, -1)) END))[0])[0]"""
+    forms = " ".join(f"WHEN endswith(main_text, {quoted(' ' + f)}) THEN array(left(main_text, length(main_text) - {len(f) + 1}))" for f in LEGAL_FORMS)
+    literal = ", ".join(quoted(c) for c in sorted(LITERAL))
+    derived = f"CASE WHEN coalesce(curated, false) OR category IN ({literal}) THEN array() WHEN category IN ({', '.join(map(quoted, PERSON))}) THEN {person} {forms} ELSE array() END"
+    every = f"transform(concat(array(main_text), {derived}, coalesce(spellings, array())), x -> regexp_replace(x, '^\\\\s+|\\\\s+$', ''))"
+    kept = f"transform(array(filter({every}, x -> length(x) >= {MIN_SPELLING})), k -> filter(k, (x, i) -> NOT exists(slice(k, 1, i), y -> lower(y) = lower(x))))[0]"
+    return f"array_sort({kept}, (a, b) -> CASE WHEN length(a) <> length(b) THEN length(b) - length(a) WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END)"
+
+
 def spelling_rows(values: DataFrame) -> DataFrame:
-    """``value_ord, category, main_text, spelling, match_class, confidence`` of VALUES rows."""
-    expand = F.udf(lambda c, m, s, u: expand_spellings(c or "", m or "", s, bool(u)), "array<string>")
-    klass = F.udf(match_class, "string")
+    """``value_ord, category, main_text, spelling, match_class, confidence`` of VALUES rows, without Python."""
     score = F.when(F.col("confidence") > 0, F.col("confidence")).otherwise(F.lit(DECLARED))
-    return values.select("value_ord", "category", "main_text", F.explode(expand("category", "main_text", "spellings", "curated")).alias("spelling"), klass("methods").alias("match_class"), score.alias("confidence"))
+    rank = F.expr("coalesce(array_min(transform(methods, m -> CASE WHEN m IN ('signal', 'heuristic') THEN 3 WHEN m = 'local_llm' THEN 4 ELSE 2 END)), 2)")
+    rows = values.withColumns({"main_text": F.coalesce("main_text", F.lit("")), "category": F.coalesce("category", F.lit(""))})
+    klass = F.element_at(F.array(*[F.lit(c) for c in CLASS_ORDER]), rank)
+    return rows.select("value_ord", "category", "main_text", F.explode(F.expr(_spellings_sql())).alias("spelling"), klass.alias("match_class"), score.alias("confidence"))
 
 
 SPANS = "doc_ord long, region_ord long, start int, end int, category string, original string, main_text string, confidence double, checksum_ok boolean, match_class string"

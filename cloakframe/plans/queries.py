@@ -8,12 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.spans import CLOSING, OPENING, S
 from ..operators import chunks, diagnose, discover, heuristics, patterns, registry, resolve, rewrite, values, views
 from ..operators.allowlist import Allowlist, defined_term_forms, discover_defined_terms, filter_removed
 from ..sources import text as text_source
 from . import anonymise as run
 from . import detect as detection
+from .oracle_shapes import RE2
 from .presets import COUNTRIES, DEPTHS, LABELS, PII_CATEGORIES, VALUE_CATEGORIES, depth_selection
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,19 @@ def query(name: str, sql: str | None = None):
 
 DOCS = "SELECT doc_id AS doc_ord, CAST(0 AS bigint) AS region_ord, text FROM documents"
 PAGES = "SELECT page_id AS doc_ord, CAST(0 AS bigint) AS region_ord, concat(url, ' ', html) AS text FROM pages"
+#: Near misses and edges of the shapes, one text for each key.
+HARD = [
+    "a+b@sub.domain.co.uk, user@localhost, @handle, x@y.z, é@ö.lu, a@b.co1 a@-.lu", "see www.nstar.lu/privacy. or https://u:p@h.t/x, www.txt www.a.b/c,d http:// (https://x.lu/y) wwwx.a.b xwww.a.b",
+    "LU28 0019 4006 4475 0000; LU88 0055 6600 4321 6501 lu28 XLU280019400644750000 DE89370400440532013000x GB82 WEST 1234 5698 7654 32", "LU12345678 éLU12345678 LU1234 LU123456789 xLU12345678 LU12345678-LU87654321",
+    "FR40303265045 FRXX123456789 FR4030326504 DE123456789 DE12345678 ESX1234567X ES12345678 GB123456789 GB123456789012 GB1234567890", "1893120105732 189312010573 18931201057321 x1893120105732y -1893120105732.",
+    "+352 29 19 19 5 and 26 12 34 56, 00352621000111 +3521 +352-1-2 +352 1234 1234 1234 1234 1234 9", "+33 6 12 34 56 78; 0612345678 06 12 34 56 7 06-12-34-56-78 00 33 612345678 x0612345678",
+    "+49 30 1234567 030 123456 0301234567890 +34 612 345 678 612345678 512345678 +44 20 7946 0958 07911 123456 0207 946 0958 7", "€1,500.00 and EUR 12 500 and 2M, 1.250,50 € $99 €1,5k 2.3M USD 12EUR5 £ 3 CHF1 000 100 $ 99",
+    "2026-07-23, 23 juillet 2026, July 23, 2026, 1/2 23/07/2026 23.07.26 3rd March 2026 12026-07-23 2026-07-234 31 février 2026", "4532 0151 1283 0366 4532015112830366 4532015112830367 LU88 4532015112830366 4111-1111-1111-1111 378282246310005 12345678901234567890",
+    "485 777 3457 485 777 3456 4857773456 485-777-3456 48577734560", "192.168.0.1 999.1.2.3 fe80::1 1.2.3.4.5 01.002.3.4 2001:db8::8a2e:370:7334 1:2:3:4:5:6:7:8 ::1 a::b:c", "00:1A:2B:3C:4D:5E 00:1A:2B:3C:4D 00-1a-2b-3c-4d-5e 00:1A:2B:3C:4D:5E:6F x00:1A:2B:3C:4D:5E",
+    "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa 0A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa bc1short", "postgres://u:p@host/db postgresql://x mysql://(y) mongodb+srv://z jdbc:oracle://w xredis://v redis://v jdbc://q",
+    "12345678901 01234567890 123456789012 x12345678901", "BIC/SWIFT: BGLLLULL and TERMINATION bic code - DEUTDEFF500 SWIFT ABCDXXAA BIC ABCDEFGHIJK heading BNPAFRPP swift:BNPAFRPPX", "L-1855 L-185 L-18555 xL-1855 L-1855-2",
+    "1, Avenue de l’Innovation, L-1855; 12, Tilleuls 12b, rue des Tilleuls Blancs Hauts Bas 7,place 8, Place d’Armes 12345, rue X", "12345678Z 12345678A 12345678z 123456789Z x12345678Z",
+]
 #: Shapes that the tables lack, made from keys by expressions that both engines read alike; good and bad ones.
 MADE = {
     "iban": "SELECT s_suppkey AS doc_ord, CAST(0 AS bigint) AS region_ord, concat('pay to LU', lpad(CAST(s_suppkey % 97 AS string), 2, '0'), ' 0019 4006 ', lpad(CAST(s_suppkey AS string), 4, '0'), ' 0000 today, or LU28 0019 4006 4475 0000') AS text FROM supplier",
@@ -59,6 +72,7 @@ MADE = {
     "bic": "SELECT s_suppkey AS doc_ord, CAST(0 AS bigint) AS region_ord, concat(CASE s_suppkey % 3 WHEN 0 THEN 'BIC/SWIFT: ' WHEN 1 THEN 'bic code - ' ELSE 'heading ' END, CASE s_suppkey % 4 WHEN 0 THEN 'BGLLLULL' WHEN 1 THEN 'DEUTDEFF500' WHEN 2 THEN 'ABCDXXAA' ELSE 'BNPAFRPP' END, ' TERMINATION') AS text FROM supplier",
     "nif": "SELECT c_custkey AS doc_ord, CAST(0 AS bigint) AS region_ord, concat('NIF ', lpad(CAST(c_custkey AS string), 8, '0'), CASE WHEN c_custkey % 2 = 0 THEN substr('TRWAGMYFPDXBNJZSQVHLCKE', CAST(c_custkey % 23 + 1 AS int), 1) ELSE 'A' END, ' L-', lpad(CAST(c_custkey % 10000 AS string), 4, '0'), ' and ', CAST(c_custkey % 90 + 1 AS string), ', rue des Tilleuls Blancs') AS text FROM customer",
     "mail": "SELECT c_custkey AS doc_ord, CAST(0 AS bigint) AS region_ord, concat('write jean.muller', CAST(c_custkey % 7 AS string), '@mail.firm', CAST(c_custkey % 11 AS string), '.co.uk or info@gmail.com, see www.site', CAST(c_custkey % 5 AS string), '.public.lu/x. Firm', CAST(c_custkey % 11 AS string), ' and Jean Muller', CAST(c_custkey % 7 AS string), ' agree') AS text FROM customer",
+    "hard": "SELECT n_nationkey AS doc_ord, CAST(0 AS bigint) AS region_ord, " + "CASE n_nationkey " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(HARD)) + " ELSE n_name END AS text FROM nation",
     "terms": "SELECT n_nationkey AS doc_ord, n_name AS name, concat('\"', n_name, ' Party\" means us; (the \"', n_name, ' Assembly\") and (\"Other\") or \"*Both*\" shall mean all') AS text FROM nation",
 }
 
@@ -67,11 +81,6 @@ def _sql_text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-# The same shapes in RE2's syntax, as DuckDB reads them.
-def _re2(java: str) -> str:
-    return java.replace(OPENING, r"\b").replace(CLOSING, r"\b").replace(f"[{S}]", r"\s").replace(S, r"\s").replace("(?<![0-9])", "(?:^|[^0-9])")
-
-
 _DIGITS = "regexp_replace(original, '[^0-9]', '', 'g')"
 _LUHN = f"(SELECT sum(CASE WHEN i % 2 = 0 THEN d ELSE CASE WHEN d > 4 THEN d * 2 - 9 ELSE d * 2 END END) % 10 = 0 FROM (SELECT i, CAST(substr(reverse({_DIGITS}), CAST(i + 1 AS int), 1) AS int) AS d FROM range(0, length({_DIGITS})) t(i)))"
 _IBAN = "(WITH RECURSIVE m(i, r) AS (SELECT 0, CAST(0 AS bigint) UNION ALL SELECT i + 1, CASE WHEN ascii(substr(y, CAST(i + 1 AS int), 1)) < 60 THEN (r * 10 + ascii(substr(y, CAST(i + 1 AS int), 1)) - 48) % 97 ELSE (r * 100 + ascii(substr(y, CAST(i + 1 AS int), 1)) - 55) % 97 END FROM m, (SELECT substr(replace(original, ' ', ''), 5) || substr(replace(original, ' ', ''), 1, 4) AS y) WHERE i < length(y)) SELECT r = 1 FROM m ORDER BY i DESC LIMIT 1)"
@@ -94,19 +103,22 @@ _CHECKS = {
 def scan_sql(sql: str, selection: dict[str, bool], country: str) -> str:
     """SQL for (doc_ord, start, category, original, confidence): what scan_patterns finds, by splitting on each pattern."""
     parts = []
-    for p in patterns.active_patterns(selection, country):
-        regex = _re2(p.regex)
-        grouped = "(?:^|[^0-9])" in regex
-        check = _CHECKS.get(p.category, "true")
-        if p.category == "phone":
-            check = _PHONES[p.countries[0]]
-        if p.category == "ip_address" and p.valid:
+    v4 = RE2[[c for c, _, _ in RE2].index("ip_address")]
+    for row in RE2:
+        category, countries, regex = row
+        if not selection.get(category) or countries and country not in countries.split():
+            continue
+        grouped = regex.startswith("(?:^|[^0-9])")
+        check = _CHECKS.get(category, "true")
+        if category == "phone":
+            check = _PHONES[country]
+        if row is v4:
             check = "(SELECT bool_and(CAST(o AS int) <= 255) FROM (SELECT unnest(string_split(original, '.')) AS o))"
-        score = f"CASE WHEN {_IBAN} THEN 1.0 ELSE 0.7 END" if p.checksum else "1.0"
+        score = f"CASE WHEN {_IBAN} THEN 1.0 ELSE 0.7 END" if category == "iban" else "1.0"
         whole = "substr(m[i], 2)" if grouped else "m[i]"
         whole = "CASE WHEN regexp_matches(m[i], '^[0-9]') THEN m[i] ELSE substr(m[i], 2) END" if grouped else whole
         parts.append(f"""SELECT doc_ord, category, original, CAST({score} AS double) AS confidence, start FROM (
-            SELECT doc_ord, '{p.category}' AS category, {whole} AS original, {"start + length(m[i]) - length(" + whole + ")"} AS start,
+            SELECT doc_ord, '{category}' AS category, {whole} AS original, {"start + length(m[i]) - length(" + whole + ")"} AS start,
                    substr(text, greatest(start - 7, 1), least(start, 8)) AS before8, substr(text, greatest(start - 31, 1), least(start, 32)) AS before32, following FROM (
               SELECT *, CAST((SELECT coalesce(sum(length(p[k])), 0) FROM range(1, i + 1) t(k)) + (SELECT coalesce(sum(length(m[k])), 0) FROM range(1, i) t(k)) AS bigint) AS start,
                      substr(concat(p[i + 1], coalesce(m[i + 1], '')), 1, 1) AS following FROM (
@@ -151,6 +163,8 @@ _scan("scan_bic", MADE["bic"], ("bic",))
 _scan("scan_nif", MADE["nif"], ("es_nif",), "ES")
 _scan("scan_postal", MADE["nif"], ("postal_code",))
 _scan("scan_address", MADE["nif"], ("address",), "FR")
+for _c in COUNTRIES:
+    _scan(f"scan_hard_{_c.lower()}", MADE["hard"], tuple(PII_CATEGORIES), _c)
 _scan("country_gate", MADE["vat"], ("vat", "es_nif", "matricule"), "ES")
 
 

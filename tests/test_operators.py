@@ -64,6 +64,16 @@ def test_spellings_and_methods():
     assert values.match_class(["local_llm", "manual"]) == "user_defined" and values.match_class(None) == "user_defined" and values.match_class(["signal", "local_llm"]) == "rules_discovered"
 
 
+def test_spellings_without_python(spark):
+    names = ["Jean de la Croix", "Jo", "Marie-Anne Duval", " Anna  van den Berg ", "Alpine Trust S.à r.l.", "Plan B SA", "SA", "X. de", "de la Cruz Ana", "Ünal GmbH", "O'Brien d' Arc Z", "", "a b c"]
+    rows = [(i, c, n, ["jean", "  Extra ", None] if i % 2 else None, bool(i % 5 == 4), [["manual"], ["signal", "local_llm"], ["local_llm"], [], None, ["odd"]][i % 6], [None, 0.0, 0.5][i % 3]) for i, (c, n) in enumerate((c, n) for c in ("person_names", "entity_names", "other_names") for n in names)]
+    got = {}
+    for r in values.spelling_rows(spark.createDataFrame(rows, values.VALUES)).collect():
+        got.setdefault(r.value_ord, ([], r.match_class, r.confidence))[0].append(r.spelling)
+    want = {i: (x, values.match_class(m), s if s else values.DECLARED) for i, c, n, sp, cur, m, s in rows if (x := values.expand_spellings(c, n, [y for y in sp or [] if y], cur))}
+    assert got == want
+
+
 def test_values_need_word_edges(spark):
     known = spark.createDataFrame([(0, "entity_names", "Alten", [], False, ["manual"], None), (1, "other_names", "Amélie (Ops)", [], False, [], 0.8)], values.VALUES)
     spans = values.detect_values(regions(spark, "Altenberg alten, ALTEN; xAlten", "AMÉLIE (OPS) xAmélie (Ops)"), known).orderBy("doc_ord", "start").collect()
