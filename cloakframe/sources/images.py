@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import re
 import struct
 import zipfile
 import zlib
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .office import BROKEN, relations, rewritten_zip
+
 TREATMENTS = ["keep", "box", "blur", "remove"]
 
 
@@ -40,16 +43,20 @@ def measure(data: bytes) -> tuple[int, int] | None:
 
 
 def inventory(files: DataFrame) -> DataFrame:
-    """``doc_ord, part, sha256, width, height, content`` of every image in docx and pptx files (doc_ord, format, raw)."""
+    """``doc_ord, part, sha256, width, height, content, kind`` of every image in docx and pptx files (doc_ord, format, raw); a
+    package that can't be read has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for d, raw in zip(batch.column("doc_ord").to_pylist(), batch.column("raw").to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                    for name in sorted(n for n in z.namelist() if "/media/" in n):
-                        data = z.read(name)
-                        rows.append((d, name, hashlib.sha256(data).hexdigest(), *(measure(data) or (None, None)), data))
+                try:
+                    with zipfile.ZipFile(io.BytesIO(raw or b"")) as z:
+                        for name in sorted(n for n in z.namelist() if "/media/" in n):
+                            data = z.read(name)
+                            rows.append((d, name, hashlib.sha256(data).hexdigest(), *(measure(data) or (None, None)), data))
+                except BROKEN:
+                    continue
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(6)], ["doc_ord", "part", "sha256", "width", "height", "content"])
 
@@ -57,6 +64,89 @@ def inventory(files: DataFrame) -> DataFrame:
     return found.withColumn("kind", kind_of(F.col("content")))
 
 
+_PLACES = [
+    (re.compile(r"word/document\.xml"), "Page"), (re.compile(r"word/header\d*\.xml"), "Header"), (re.compile(r"word/footer\d*\.xml"), "Footer"), (re.compile(r"word/footnotes\.xml"), "Footnotes"),
+    (re.compile(r"word/endnotes\.xml"), "Endnotes"), (re.compile(r"ppt/slides/slide(\d+)\.xml"), "Slide"), (re.compile(r"ppt/slideLayouts/\w+\.xml"), "Slide layout"),
+    (re.compile(r"ppt/slideMasters/\w+\.xml"), "Slide master"), (re.compile(r"ppt/notesSlides/notesSlide(\d+)\.xml"), "Notes"),
+]
+_EVENT = re.compile(r"<w:lastRenderedPageBreak|<w:br\b[^>]*w:type=\"page\"|<(?:\w+:)?ext(?:ent)?\b[^>]*\bcx=\"(\d+)\"[^>]*\bcy=\"(\d+)\"|<a:blip\b[^>]*\br:(embed|link)=\"([^\"]+)\"")
+OCCURRENCES = "doc_ord long, asset string, part string, ordinal int, location string, hidden boolean, linked boolean, width_emu long, height_emu long"
+
+
+def _places_in(z: zipfile.ZipFile, part: str, label: str, number: str) -> Iterator[tuple]:
+    xml, targets = z.read(part).decode(), relations(z, part)
+    hidden = label == "Slide" and re.search(r"<p:sld\b[^>]*\bshow=\"0\"", xml) is not None
+    page, frame, n = 1, (None, None), 0
+    for m in _EVENT.finditer(xml):
+        if m[4]:
+            place = f"{label} {page}" if label == "Page" else f"{'Hidden slide' if hidden else label} {number}" if number else label
+            yield targets.get(m[4], ("", m[4]))[1], part, n, place, hidden, m[3] == "link", *frame
+            n += 1
+        elif m[1]:
+            frame = int(m[1]), int(m[2])
+        else:
+            page += 1
+
+
+def occurrences(files: DataFrame) -> DataFrame:
+    """OCCURRENCES: every place where docx and pptx files (doc_ord, format, raw) show an image, in the order of the parts, with
+    the frame it is drawn in. A linked image is not in the package; a logo on five slides is one asset in five places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for d, raw in zip(batch.column("doc_ord").to_pylist(), batch.column("raw").to_pylist(), strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(raw or b"")) as z:
+                        hits = [(i, int(m[1]) if m.groups() else 0, name, label) for name in z.namelist() for i, (shape, label) in enumerate(_PLACES) if (m := shape.fullmatch(name))]
+                        for _, number, name, label in sorted(hits):
+                            rows += [(d, *x) for x in _places_in(z, name, label, str(number or ""))]
+                except BROKEN:
+                    continue
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(9)], [c.split()[0] for c in OCCURRENCES.split(", ")])
+
+    return files.where("format IN ('docx', 'pptx')").select("doc_ord", "raw").mapInArrow(run, OCCURRENCES)
+
+
+def treated(files: DataFrame, decisions: DataFrame) -> DataFrame:
+    """``doc_ord, raw, done`` of files (doc_ord, raw) with their images treated as ``decisions`` (doc_ord, part, treatment,
+    strength) say; ``done`` maps parts to what became of them: the treatment, or ``kept: why``."""
+    wanted = decisions.groupBy("doc_ord").agg(F.collect_list(F.struct("part", "treatment", "strength")).alias("d"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raw, done = batch.column("raw")[i].as_py(), {}
+                asked = {x["part"]: (x["treatment"], x["strength"] or 5) for x in batch.column("d")[i].as_py() or []}
+
+                def change(name: str, data: bytes, asked=asked, done=done) -> bytes | None:
+                    treatment, strength = asked.get(name, ("keep", 5))
+                    if treatment == "keep":
+                        return None
+                    try:
+                        new = treat_png(data, treatment, strength)
+                    except (ValueError, struct.error, zlib.error) as error:
+                        done[name] = f"kept: {error}"
+                        return None
+                    done[name] = treatment
+                    return new
+
+                try:
+                    new = rewritten_zip(raw or b"", change)
+                except BROKEN:
+                    new = None
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ord").slice(i, 1), pa.array([new], pa.binary()), pa.array([list(done.items())], pa.map_(pa.string(), pa.string()))], ["doc_ord", "raw", "done"])
+
+    return files.select("doc_ord", "raw").join(wanted, "doc_ord", "left").select("doc_ord", "raw", "d").mapInArrow(run, "doc_ord long, raw binary, done map<string, string>")
+
+
+def image_report(done: DataFrame) -> DataFrame:
+    """``treatment, images, documents`` over the output of ``treated``."""
+    rows = done.select("doc_ord", F.explode("done").alias("part", "treatment"))
+    return rows.groupBy("treatment").agg(F.count("*").alias("images"), F.countDistinct("doc_ord").alias("documents"))
+
+
 def invalid_decision(treatment: str, label: str = "", strength: int = 1, kind: str = "png") -> str:
     """``""`` for a decision that can be carried out, else why not."""
     if treatment not in TREATMENTS:
@@ -70,6 +160,8 @@ def invalid_decision(treatment: str, label: str = "", strength: int = 1, kind: s
 
 def decode_png(data: bytes) -> np.ndarray:
     """Pixels (height, width, channels) of an 8-bit grey, RGB or RGBA PNG without interlacing."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG")
     width, height, depth, colour, _, _, laced = struct.unpack(">IIBBBBB", data[16:29])
     if depth != 8 or colour not in (0, 2, 4, 6) or laced:
         raise ValueError("unsupported PNG")

@@ -376,10 +376,10 @@ def rewrite(raw: bytes, replacements: dict[tuple[str, int], list[tuple[int, int,
                     last = b
         return "".join([*out, xml[last:]]).encode()
 
-    return _rewritten_zip(raw, lambda name, data: changed(name, data) if name in parts else None)
+    return rewritten_zip(raw, lambda name, data: changed(name, data) if name in parts else None)
 
 
-def _rewritten_zip(raw: bytes, change) -> bytes:
+def rewritten_zip(raw: bytes, change) -> bytes:
     """The archive with the entries for which ``change(name, data)`` gives bytes; all others with their compressed bytes as they were."""
     out, directory = io.BytesIO(), []
     with zipfile.ZipFile(io.BytesIO(raw)) as z:

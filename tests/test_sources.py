@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.operators import chunks, heuristics, registry, rewrite
 from cloakframe.plans import anonymise, export
-from cloakframe.sources import images, office, session, text
+from cloakframe.sources import images, office, pdftext, session, text
 from cloakframe.streaming.anonymise import start
 
 
@@ -244,6 +244,34 @@ def test_images(spark):
     assert (row.width, row.height, row.kind) == (7, 9, "png")
 
 
+def test_image_places_and_treatment(spark):
+    png = images.encode_png(np.full((4, 4, 3), 9, np.uint8))
+    blip = lambda i, kind="embed": f'<wp:extent cx="914400" cy="457200"/><a:blip r:{kind}="{i}"/>'
+    rels = lambda *t: f"<Relationships {REL}>" + "".join(f'<Relationship Id="r{i}" Type="{KIND}image" Target="{x}"{e}/>' for i, (x, e) in enumerate(t, 1)) + "</Relationships>"
+    word = parts({"word/document.xml": f"<w:document>{blip('r1')}<w:lastRenderedPageBreak/>{blip('r2', 'link')}</w:document>", "word/header1.xml": f"<w:hdr>{blip('r1')}</w:hdr>", "word/media/a.png": png, "word/media/b.jpeg": b"\xff\xd8\xff",
+                  "word/_rels/document.xml.rels": rels(("media/a.png", ""), ("https://x.lu/y.png", ' TargetMode="External"')), "word/_rels/header1.xml.rels": rels(("media/a.png", ""))})
+    deck = parts({"ppt/slides/slide10.xml": f'<p:sld show="0">{blip("r1")}</p:sld>', "ppt/slides/slide9.xml": f"<p:sld>{blip('r1')}</p:sld>", **{f"ppt/slides/_rels/slide{n}.xml.rels": rels(("../media/c.png", "")) for n in (9, 10)}, "ppt/media/c.png": png})
+    files = spark.createDataFrame([(0, "docx", word), (1, "pptx", deck), (2, "docx", b"broken"), (3, "pptx", None)], "doc_ord long, format string, raw binary")
+    got = [(r.doc_ord, r.asset, r.location, r.ordinal, r.hidden, r.linked, r.width_emu) for r in images.occurrences(files).collect()]
+    assert sorted(got) == sorted([(0, "word/media/a.png", "Page 1", 0, False, False, 914400), (0, "https://x.lu/y.png", "Page 2", 1, False, True, 914400), (0, "word/media/a.png", "Header", 0, False, False, 914400),
+                                  (1, "ppt/media/c.png", "Slide 9", 0, False, False, 914400), (1, "ppt/media/c.png", "Hidden slide 10", 0, True, False, 914400)])
+    assert images.inventory(files).count() == 3
+    decisions = spark.createDataFrame([(0, "word/media/a.png", "box", None), (0, "word/media/b.jpeg", "blur", 3), (1, "ppt/media/c.png", "keep", None)], "doc_ord long, part string, treatment string, strength int")
+    done = images.treated(files, decisions).cache()
+    out = {r.doc_ord: r for r in done.collect()}
+    assert out[0].done == {"word/media/a.png": "box", "word/media/b.jpeg": "kept: not a PNG"} and out[1].done == {} and out[2].raw is None
+    with zipfile.ZipFile(io.BytesIO(out[0].raw)) as z:
+        assert (images.decode_png(z.read("word/media/a.png")) == 64).all()
+    assert {(r.treatment, r.images) for r in images.image_report(done).collect()} == {("box", 1), ("kept: not a PNG", 1)}
+
+
+def test_pdf_text(spark):
+    texts = ["B R IDDING ULES  and  more", "Tymoﬁejewicz ﬄ", "I AM HERE", "A B CD", "A B CD Ef", "X Y Z AA BB CC D E FF GG", "a\n\n B R IDDING ULES", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.x for r in df.select("i", pdftext.repaired(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert got == ["BIDDING RULES and more", "Tymofiejewicz ffl", "I AM HERE", "A B CD", "A B CD Ef", "XAA YBB ZCC DFF EGG", "a\n\nBIDDING RULES", None, ""]
+
+
 def test_sessions_and_exports(spark, tmp_path):
     book = registry.from_entries(spark, [("email", "a@b.lu", "[EMAIL_1]", 2)])
     session.save(str(tmp_path / "s"), book, registry.no_retired(spark), {"country": "FR"})
