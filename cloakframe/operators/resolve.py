@@ -3,15 +3,10 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Iterator
-from itertools import pairwise
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .patterns import SPAN_COLUMNS
 
@@ -77,17 +72,15 @@ def greedy(starts: list[int], ends: list[int]) -> list[bool]:
     return kept
 
 
-def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        spans = batch.column("s")
-        parts = spans.flatten()
-        starts, ends = parts.field("start").to_pylist(), parts.field("end").to_pylist()
-        edges = np.concatenate(([0], np.cumsum(pc.list_value_length(spans).to_numpy(zero_copy_only=False)))).tolist()
-        kept: list[bool] = []
-        for a, b in pairwise(edges):
-            kept += [True] if b == a + 1 else greedy(starts[a:b], ends[a:b])
-        lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(kept, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "kept"])
+#: Clusters of up to so many spans are folded by an expression, larger ones in Python, which sees their places only.
+FOLDED = 64
+_STATE = "struct<held: array<struct<a: int, b: int>>, kept: array<boolean>>"
+_FOLD = f"""aggregate(s, CAST(struct(array() AS held, array() AS kept) AS {_STATE}), (z, x) -> transform(array(exists(z.held, y -> x.start < y.b AND y.a < x.end)), hit ->
+    CAST(struct(CASE WHEN hit THEN z.held ELSE array_append(z.held, struct(x.start AS a, x.end AS b)) END AS held, array_append(z.kept, NOT hit) AS kept) AS {_STATE}))[0], z -> z.kept)"""
+
+
+def _far(starts: pd.Series, ends: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None else greedy(list(a), list(b)) for a, b in zip(starts, ends, strict=True)])
 
 
 def resolve_overlaps(spans: DataFrame) -> DataFrame:
@@ -100,8 +93,10 @@ def resolve_overlaps(spans: DataFrame) -> DataFrame:
     own = [c for c in spans.columns if c not in ("doc_ord", "region_ord")]
     item = F.struct(F.expr(PRIORITY).alias("p"), *own)
     grouped = _clustered(spans).groupBy("doc_ord", "region_ord", "_c").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(*[x[c].alias(c) for c in own])).alias("s")).drop("_c")
-    done = grouped.mapInArrow(_keep, T.StructType([*grouped.schema.fields, T.StructField("kept", T.ArrayType(T.BooleanType()))]))
-    rows = done.select("doc_ord", "region_ord", F.explode(F.arrays_zip("s", "kept")).alias("x"))
+    places = [F.expr(f"CASE WHEN size(s) > {FOLDED} THEN transform(s, x -> x.{c}) END") for c in ("start", "end")]
+    grouped = grouped.withColumn("far", F.pandas_udf(_far, "array<boolean>")(*places))
+    kept = F.expr(f"CASE WHEN size(s) = 1 THEN array(true) WHEN size(s) <= {FOLDED} THEN {_FOLD} ELSE far END")
+    rows = grouped.withColumn("kept", kept).select("doc_ord", "region_ord", F.explode(F.arrays_zip("s", "kept")).alias("x"))
     return rows.select("doc_ord", "region_ord", *[F.col(f"x.s.{c}").alias(c) for c in own], F.col("x.kept").alias("kept"))
 
 

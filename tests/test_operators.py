@@ -1,5 +1,7 @@
 """Semantics of single operators: what SQL comparisons on tables don't reach."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +108,26 @@ def test_overlaps(spark):
     assert {r.category for r in resolve.resolve_overlaps_native(spans).collect()} == {"c", "d", "e"}
 
 
+def test_overlaps_of_ties_and_large_clusters(spark):
+    rng = random.Random(3)
+    rows = [(i % 3, 0, s := rng.randrange(400), s + rng.randint(1, 9), rng.choice("ab"), rng.choice(["x", "yy", "zé"]), rng.choice([0.5, 0.9]), rng.choice(["user_defined", "built_in_pattern"])) for i in range(900)]
+    rows = list(dict.fromkeys(rows + [(5, 0, i, i + 3, "a", f"t{i % 7}", 0.9, "user_defined") for i in range(500)]))
+
+    def plain(region):
+        kept = []
+        for r in sorted(region, key=lambda r: (patterns.RANKS[r[7]], -r[6], -len(r[5].encode()), r[2], r[4], r[3], r[5])):
+            if all(r[3] <= k[2] or k[3] <= r[2] for k in kept):
+                kept.append(r)
+        return kept
+
+    want = sorted(r[:6] for d in {r[0] for r in rows} for r in plain([r for r in rows if r[0] == d]))
+    spans = spans_of(spark, rows).repartition(5)
+    got = resolve.resolve_overlaps(spans).collect()
+    line = lambda r: (r.doc_ord, r.region_ord, r.start, r.end, r.category, r.original)
+    assert len(got) == len(rows) and sorted(line(r) for r in got if r.kept) == want
+    assert sorted(map(line, resolve.resolve_overlaps_native(spans).collect())) == want
+
+
 def test_ownership_is_one_per_string(spark):
     spans = spans_of(spark, [(0, 0, 0, 4, "brand_names", "Acme", 0.9, "rules_discovered"), (5, 0, 7, 11, "entity_names", "ACME", 0.95, "user_defined"), (5, 0, 7, 11, "brand_names", "ACME", 0.9, "rules_discovered")])
     out = resolve.unify_ownership(spans)
