@@ -51,17 +51,26 @@ def overlap_warnings(resolved: DataFrame, limit: int = 50) -> DataFrame:
 
 
 def intersections(value_spans: DataFrame, stronger: DataFrame) -> DataFrame:
-    """``category, main_text, occurrences, winners``: values all of whose occurrences lie under stronger spans.
+    """``category, main_text, occurrences, winners, documents``: values all of whose occurrences lie under stronger spans, with
+    three of the strings that cover them and three of the documents at most, the most frequent value first.
 
     Spans meet by region, and within it by overlap; a value with one free occurrence is left out.
     """
+    by_value = ["category", "main_text"]
     loser = value_spans.withColumn("_id", F.struct("doc_ord", "region_ord", "start", "end"))
     keys = ["doc_ord", "region_ord"]
     win = stronger.select(*keys, F.col("start").alias("ws"), F.col("end").alias("we"), F.col("original").alias("wo"), F.col("rank").alias("wr"))
     hit = loser.join(win, keys).where("start < we AND ws < end AND wr < rank")
-    covered = hit.groupBy("category", "main_text").agg(F.countDistinct("_id").alias("covered"), F.slice(F.array_sort(F.collect_set("wo")), 1, 3).alias("winners"))
-    total = loser.groupBy("category", "main_text").agg(F.countDistinct("_id").alias("occurrences"))
-    return total.join(covered, ["category", "main_text"]).where("covered = occurrences").select("category", "main_text", "occurrences", "winners")
+
+    def first(column: str, name: str) -> DataFrame:
+        few = hit.select(*by_value, column).distinct().withColumn("_r", F.row_number().over(Window.partitionBy(*by_value).orderBy(column))).where("_r <= 3")
+        return few.groupBy(*by_value).agg(F.array_sort(F.collect_list(column)).alias(name))
+
+    covered = hit.groupBy(*by_value).agg(F.countDistinct("_id").alias("covered"))
+    total = loser.groupBy(*by_value).agg(F.countDistinct("_id").alias("occurrences"))
+    whole = total.join(covered, by_value).where("covered = occurrences")
+    rows = whole.join(first("wo", "winners"), by_value).join(first("doc_ord", "documents"), by_value)
+    return rows.select(*by_value, "occurrences", "winners", "documents").orderBy(F.desc("occurrences"), "category", "main_text")
 
 
 def counts_by_document(spliced: DataFrame) -> DataFrame:

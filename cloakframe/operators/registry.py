@@ -118,6 +118,43 @@ def from_entries(spark: SparkSession, rows: list[tuple[str, str, str, int]]) ->
     return spark.createDataFrame(made, REGISTRY)
 
 
+def restored(mapping: DataFrame) -> DataFrame:
+    """A registry from rows (category, original, placeholder, count) such as ``export`` gives; two entries for one original, one
+    placeholder for two originals and malformed placeholders are refused."""
+    rows = mapping.withColumn("original_lc", F.lower("original"))
+    for column in ("original_lc", "placeholder"):
+        twice = rows.groupBy(column).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+        if twice:
+            raise ValueError(f"two entries for {twice[0][0]}")
+    if bad := rows.where(~F.col("placeholder").rlike(PLACEHOLDER.pattern) | F.col("placeholder").isNull()).limit(1).collect():
+        raise ValueError(f"not a placeholder: {bad[0].placeholder}")
+    rows = rows.withColumns({"label": F.regexp_extract("placeholder", r"^\[(.*)_[0-9]+\]$", 1), "number": F.regexp_extract("placeholder", r"_([0-9]+)\]$", 1).cast("long")})
+    return rows.select("category", "original", "original_lc", "placeholder", "label", "number", F.col("count").cast("long").alias("count"), F.coalesce(F.col("label") != _label("category"), F.lit(True)).alias("overridden"))
+
+
+def apply_overrides(registry: DataFrame, retired: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The registry with the placeholders of ``wanted`` (original, placeholder), and the rows that can't be carried out with
+    their ``reason``: no entry, malformed, asked for twice, retired, or held by another entry that keeps it."""
+    asked = wanted.select("original", "placeholder", F.lower("original").alias("k")).distinct()
+    times = asked.groupBy("placeholder").agg(F.count("*").alias("n"))
+    again = asked.groupBy("k").agg(F.count("*").alias("n_k"))
+    held = registry.join(asked.select(F.col("k").alias("original_lc")), "original_lc", "left_anti").select("placeholder", F.lit(True).alias("held"))
+    rows = asked.join(times, "placeholder").join(again, "k").join(registry.select(F.col("original_lc").alias("k"), F.lit(True).alias("known")), "k", "left")
+    rows = rows.join(retired.select("placeholder", F.lit(True).alias("gone")).distinct(), "placeholder", "left").join(held, "placeholder", "left")
+    reason = (
+        F.when(F.col("known").isNull(), "no entry for this original").when(~F.col("placeholder").rlike(PLACEHOLDER.pattern), "not a placeholder").when((F.col("n") > 1) | (F.col("n_k") > 1), "asked for twice")
+        .when(F.col("gone"), "the number is retired").when(F.col("held"), "another entry holds it")
+    )
+    rows = rows.withColumn("reason", reason)
+    good = rows.where("reason IS NULL").select(F.col("k").alias("original_lc"), F.col("placeholder").alias("_new"))
+    new = {
+        "placeholder": F.col("_new"), "label": F.regexp_extract("_new", r"^\[(.*)_[0-9]+\]$", 1), "number": F.regexp_extract("_new", r"_([0-9]+)\]$", 1).cast("long"), "overridden": F.lit(True),
+    }
+    joined = registry.join(good, "original_lc", "left")
+    out = joined.select(*[F.when(F.col("_new").isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in registry.columns])
+    return out, rows.where("reason IS NOT NULL").select("original", "placeholder", "reason")
+
+
 REMOVED = "category string, main_text string, spellings array<string>, placeholder string"
 
 

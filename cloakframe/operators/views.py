@@ -24,15 +24,25 @@ def visible_suggestions(rows: DataFrame, category: str = "", method: str = "", s
     return rows.orderBy(*orders.get(sort, orders["count-desc"]))
 
 
-def find_hits(text: str, needle: str) -> Column:
-    """Places (s, e) of a needle in column ``text``, without case, left to right and disjoint; a pane shows MAX_HITS of them."""
+def find_hits(text: str, needle: str, most: int | None = MAX_HITS) -> Column:
+    """Places (s, e) of a needle in column ``text``, without case, left to right and disjoint. A pane shows the first ``most`` of
+    them beside ``count_hits``; null means all."""
     pin = needle.strip()
     if len(pin) < MIN_NEEDLE:
         return F.expr("CAST(array() AS array<struct<s: int, e: int>>)")
     escaped = "".join(c if c.isalnum() or c == " " else "\\" + c for c in pin)
     pattern = "'" + ("(?iu)" + escaped).replace("\\", "\\\\").replace("'", "\\'") + "'"
     found = f"regexp_extract_all({text}, {pattern}, 0)"
-    return F.expr(f"transform(slice({placed(text, pattern, found)}, 1, {MAX_HITS}), x -> struct(x.s AS s, x.e AS e))")
+    places = placed(text, pattern, found)
+    return F.expr(f"transform({places if most is None else f'slice({places}, 1, {most})'}, x -> struct(x.s AS s, x.e AS e))")
+
+
+def count_hits(text: str, needle: str) -> Column:
+    """How many places ``find_hits`` has, all of them."""
+    pin = needle.strip()
+    if len(pin) < MIN_NEEDLE:
+        return F.lit(0)
+    return F.regexp_count(F.col(text), F.lit("(?iu)" + "".join(c if c.isalnum() or c == " " else "\\" + c for c in pin)))
 
 
 def value_places(regions: DataFrame, registry: DataFrame) -> DataFrame:

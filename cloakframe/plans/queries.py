@@ -383,12 +383,20 @@ def removed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("intersections", """WITH v AS (SELECT p_partkey AS doc, p_partkey % 20 AS k, CASE WHEN p_partkey % 20 < 12 THEN 5 ELSE 30 END AS s FROM part)
-    SELECT 'entity_names' AS category, concat('V', CAST(k AS varchar)) AS main_text, count(*) AS occurrences FROM v GROUP BY k HAVING bool_and(s = 5)""")
+    SELECT 'entity_names' AS category, concat('V', CAST(k AS varchar)) AS main_text, count(*) AS occurrences, 'a@b.c' AS winners, array_to_string(list_slice(list_sort(list(doc)), 1, 3), ',') AS documents FROM v GROUP BY k HAVING bool_and(s = 5)""")
 def intersections(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = "CAST(0 AS bigint) AS region_ord, true AS checksum_ok, 0.9D AS confidence"
     v = source(spark, sf_dir, f"SELECT p_partkey AS doc_ord, {base}, CASE WHEN p_partkey % 20 < 12 THEN 5 ELSE 30 END AS start, CASE WHEN p_partkey % 20 < 12 THEN 9 ELSE 34 END AS end, 'entity_names' AS category, 'x' AS original, concat('V', CAST(p_partkey % 20 AS string)) AS main_text, 'user_defined' AS match_class FROM part")
     w = source(spark, sf_dir, f"SELECT p_partkey AS doc_ord, {base}, 0 AS start, 12 AS end, 'email' AS category, 'a@b.c' AS original, CAST(NULL AS string) AS main_text, 'built_in_pattern' AS match_class FROM part")
-    return diagnose.intersections(patterns.finished(v), patterns.finished(w)).select("category", "main_text", "occurrences")
+    rows = diagnose.intersections(patterns.finished(v), patterns.finished(w))
+    return rows.select("category", "main_text", "occurrences", F.array_join("winners", ",").alias("winners"), F.array_join(F.transform("documents", lambda d: d.cast("string")), ",").alias("documents"))
+
+
+@query("registry_restore", f"SELECT original, placeholder, category, CAST(regexp_extract(placeholder, '([0-9]+)\\]', 1) AS bigint) AS number FROM ({_NUMBERED})")
+def registry_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry built again from its exported mapping."""
+    mapping = registry.export(_mail_run(spark, sf_dir).registry)
+    return registry.restored(mapping).select("original", "placeholder", "category", "number")
 
 
 @query("defined_terms", "SELECT n_nationkey AS doc_ord, replace(t, '_', '') AS term, i AS idiom FROM (SELECT n_nationkey, concat(n_name, ' Party') AS t, 'means' AS i FROM nation UNION ALL SELECT n_nationkey, 'Both', 'means' FROM nation UNION ALL SELECT n_nationkey, concat(n_name, ' Assembly'), 'parenthetical' FROM nation)")
@@ -552,9 +560,10 @@ def visible_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("main_text", F.col("count").alias("n"))
 
 
-@query("find_hits", f"SELECT doc_ord, CAST(len(regexp_extract_all(text, '(?i)the')) AS bigint) AS hits FROM ({DOCS}) WHERE len(regexp_extract_all(text, '(?i)the')) <= 2000")
+@query("find_hits", f"SELECT doc_ord, CAST(len(regexp_extract_all(text, '(?i)the')) AS bigint) AS hits, CAST(least(len(regexp_extract_all(text, '(?i)the')), 2000) AS bigint) AS shown, CAST(len(regexp_extract_all(text, '(?i)the')) AS bigint) AS places FROM ({DOCS})")
 def find_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source(spark, sf_dir, DOCS).select("doc_ord", F.size(views.find_hits("text", "The")).cast("long").alias("hits"))
+    docs = source(spark, sf_dir, DOCS)
+    return docs.select("doc_ord", views.count_hits("text", "The").cast("long").alias("hits"), F.size(views.find_hits("text", "The")).cast("long").alias("shown"), F.size(views.find_hits("text", "The", None)).cast("long").alias("places"))
 
 
 @query("highlighted", f"SELECT n.placeholder, n.original, count(*) AS n, max(r) AS last FROM (SELECT *, row_number() OVER (PARTITION BY doc_ord, lower(original) ORDER BY start) AS r FROM ({_CLAIMS})) c JOIN ({_NUMBERED}) n ON n.k = lower(c.original) GROUP BY ALL")

@@ -173,6 +173,23 @@ def test_registry_numbers(spark):
     assert [r.original for r in registry.entries(new).collect()][0] in {"a@b.lu", "n0@x.lu"}
 
 
+def test_restored_registries_and_overrides(spark):
+    book = registry.from_entries(spark, [("email", "a@b.lu", "[EMAIL_1]", 1), ("email", "c@d.lu", "[EMAIL_2]", 2), ("vat", "LU1", "[TAX_7]", 3)])
+    again = registry.restored(registry.export(book))
+    assert sorted(map(str, again.select(*book.columns).collect())) == sorted(map(str, book.collect()))
+    mapping = "category string, original string, placeholder string, count long"
+    for rows in ([("email", "A", "[EMAIL_1]", 1), ("vat", "a", "[VAT_1]", 1)], [("email", "A", "[EMAIL_1]", 1), ("email", "b", "[EMAIL_1]", 1)], [("email", "A", "EMAIL_1", 1)]):
+        with pytest.raises(ValueError):
+            registry.restored(spark.createDataFrame(rows, mapping))
+    retired = spark.createDataFrame([("[EMAIL_5]", "EMAIL", 5)], registry.RETIRED)
+    wanted = spark.createDataFrame([("A@b.lu", "[EMAIL_2]"), ("c@d.lu", "[EMAIL_1]"), ("nobody", "[EMAIL_8]"), ("LU1", "[EMAIL_5]")], "original string, placeholder string")
+    out, failed = registry.apply_overrides(book, retired, wanted)
+    assert {r.original: (r.placeholder, r.number, r.overridden) for r in out.collect()} == {"a@b.lu": ("[EMAIL_2]", 2, True), "c@d.lu": ("[EMAIL_1]", 1, True), "LU1": ("[TAX_7]", 7, True)}
+    assert {(r.original, r.reason) for r in failed.collect()} == {("nobody", "no entry for this original"), ("LU1", "the number is retired")}
+    _, failed = registry.apply_overrides(book, retired, spark.createDataFrame([("a@b.lu", "[EMAIL_2]"), ("LU1", "x")], "original string, placeholder string"))
+    assert {(r.original, r.reason) for r in failed.collect()} == {("a@b.lu", "another entry holds it"), ("LU1", "not a placeholder")}
+
+
 def test_post_pass_shields_placeholders():
     text, hits = rewrite.replace_known("Email [EMAIL_1] email xemail", dictionary.Dictionary(["EMAIL"]), [("[OTHER_1]", "other_names")])
     assert text == "[OTHER_1] [EMAIL_1] [OTHER_1] xemail" and hits == ["other_names"] * 2

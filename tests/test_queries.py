@@ -42,3 +42,12 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(want)
     else:
         assert len(got)
+
+
+@pytest.mark.parametrize("name", ["resolve_overlaps", "resolve_overlaps_native", "overlap_warnings"])
+def test_query_on_more_rows(spark, name):
+    """Ties in the order of overlapping spans only occur on larger tables."""
+    sf = "/root/testdata/sf0.01"
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{sf}/lineitem.parquet'")
+    assert rows(QUERIES[name](spark, sf).toPandas()) == rows(c.execute(ORACLE[name]).df())
