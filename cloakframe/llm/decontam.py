@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_chunks
+from .common import lean, text_chunks
 
 MASKS = ("11111", "1101011", "1011101", "11001011", "101010101")
 #: For items of SHORT words, in which one substitution may leave no seed of five.
@@ -163,7 +163,7 @@ def _by_broadcast(rows: DataFrame, items: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], _as_hits(found)], [*part.schema.names[:-1], "_hits"])
 
     hits = T.StructType.fromDDL(f"_hits {HITS}")
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[:-1], *hits.fields]))
+    return rows.mapInArrow(lean(run), T.StructType([*rows.schema.fields[:-1], *hits.fields]))
 
 
 def _word_id(word: str) -> int:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_chunks
+from .common import lean, text_chunks
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
@@ -299,7 +299,7 @@ def encode_texts(rows: DataFrame, text: str = "text", model_path: str = MODEL_PA
                 columns = [ids, pa.array(lens), pa.array([s for _, s, _ in got], pa.float64()), pa.array(others, pa.list_(_ALTERNATIVE)), pa.array(restored, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*part.schema.names[:-1], "ids", "n_pieces", "score", "alternatives", "restored"])
 
-    done = body.mapInArrow(run, T.StructType([*body.schema.fields[:-1], *T.StructType.fromDDL(OUTPUT).fields]))
+    done = body.mapInArrow(lean(run), T.StructType([*body.schema.fields[:-1], *T.StructType.fromDDL(OUTPUT).fields]))
     return done.select(*[F.col("row").getField(c).alias(c) for c in others], *new)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, cut
-from .common import as_bytes, text_chunks
+from .common import as_bytes, lean, text_chunks
 
 WORDS, SEED = 5, 42
 #: Similarity of alike sets, as a fraction.
@@ -40,7 +40,7 @@ ALIKE = (4, 5)
 #: Ways of dealing a set into parts before the key of last resort.
 WAYS = 6
 #: Keys held by a task before what they have in common is written; sets in a block of the last comparisons.
-HELD, BLOCK = 4_000_000, 128
+HELD, BLOCK = 2_000_000, 128
 _KEY_BITS = np.uint64((1 << 56) - 1)
 
 
@@ -350,8 +350,8 @@ def alike_components(texts: DataFrame, other: DataFrame) -> DataFrame:
     """``node, component`` of the texts (node, text; equal texts have equal nodes) over the links of ALIKE shingle sets and
     those of ``other`` (a, b). Texts without a partner are left out; a text without a word is alike to none."""
     splits = max(1, texts.rdd.getNumPartitions())
-    keys = texts.where("text IS NOT NULL").mapInArrow(_send_keys(2 * splits), "part long, kind int, blob binary")
-    met = cut(keys.repartition(2 * splits, "part").sortWithinPartitions("part").mapInArrow(_meet, MEETINGS))
+    keys = texts.where("text IS NOT NULL").mapInArrow(lean(_send_keys(2 * splits)), "part long, kind int, blob binary")
+    met = cut(keys.repartition(2 * splits, "part").sortWithinPartitions("part").mapInArrow(lean(_meet), MEETINGS))
     buckets = met.where("bucket IS NOT NULL").select("bucket", "members").dropDuplicates()
     sketches = met.where("node IS NOT NULL").select("node", "sketch").dropDuplicates(["node"])
     pairs = buckets.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, F.size("members"))).alias("b")).distinct()

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, cut
-from .common import as_bytes, text_chunks, text_key
+from .common import as_bytes, lean, text_chunks, text_key
 from .shingle_join import alike_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -210,7 +210,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     none, number = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
     body = docs.select(F.struct(*docs.columns).alias("row"), none.alias("none"), number.alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = body.withColumn("node", text_key(body))
-    prints = cut(rows.select("none", "id", "node", "text").mapInArrow(_text_prints, "none boolean, id long, node long, fp long"))
+    prints = cut(rows.select("none", "id", "node", "text").mapInArrow(lean(_text_prints), "none boolean, id long, node long, fp long"))
     by_fp = cut(prints.groupBy("fp").agg(F.min("node").alias("s")))
     near = links(by_fp).join(by_fp.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
     edges = prints.select("fp", "node").distinct().join(by_fp, "fp").select(F.col("node").alias("a"), F.col("s").alias("b")).where("a <> b")

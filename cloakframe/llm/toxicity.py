@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import text_chunks
+from .common import lean, text_chunks
 
 SAMPLE, MIN_CHI2, MIN_ODDS, BLOCK, K, EVIDENCE = 8000, 40.0, 1.5, 256, 15, 3
 PREFIXES = (4, 5)
@@ -206,7 +206,7 @@ def choose_words(train: DataFrame) -> tuple[list[str], int, int]:
 
     n = {r.y: r.n for r in train.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
-    df = train.select("text", "y").mapInArrow(run, "word string, up long, down long").groupBy("word").agg(F.sum("up").alias("a"), F.sum("down").alias("b")).where("a + b >= 3")
+    df = train.select("text", "y").mapInArrow(lean(run), "word string, up long, down long").groupBy("word").agg(F.sum("up").alias("a"), F.sum("down").alias("b")).where("a + b >= 3")
     odds = f"ln((a + 0.5D) / ({n1} - a + 0.5D)) - ln((b + 0.5D) / ({n0} - b + 0.5D))"
     chi2 = f"({n0} + {n1}) * pow(a * ({n0} - b) - b * ({n1} - a), 2) / ((a + b) * ({n0} + {n1} - a - b) * ({n0} + 0.5D) * ({n1} + 0.5D) + 0.5D)"
     df = df.select("word", F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
@@ -231,7 +231,7 @@ def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, n
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["w", "n"])
 
     out = np.zeros(len(vocabulary) + 1, np.int64)
-    for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).collect():
         out[r.w] = r.n
     return int(out[-1]), out[:-1]
 
@@ -252,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 got = [number.value.counts(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array([[w for w, _ in g] for g in got], pa.list_(pa.int32())), pa.array([[c for _, c in g] for g in got], pa.list_(pa.int32()))], ["doc_id", "y", "w", "c"])
 
-    vectors = train.mapInArrow(run, "doc_id long, y int, w array<int>, c array<int>")
+    vectors = train.mapInArrow(lean(run), "doc_id long, y int, w array<int>, c array<int>")
     grouped = vectors.groupBy("w", "c", "y").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).orderBy("doc_id", "y").collect()  # at most 2 * SAMPLE rows
     bare = {y: sum(r.n for r in grouped if not r.w and r.y == y) for y in (0, 1)}
     model.bare = (w1 * bare[1] + 2 * prior) / (w0 * bare[0] + w1 * bare[1] + 2)
@@ -291,7 +291,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s for s, _ in got]), pa.array(evidence, EVIDENCE_TYPE)], ["doc_id", "score", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: bigint, label: int, cosine: double>>")
+    scored = rows.mapInArrow(lean(run), "doc_id long, score double, evidence array<struct<doc_id: bigint, label: int, cosine: double>>")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
@@ -307,4 +307,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 keep = pa.array([model.value.score(t)[0] < 0.5 for t in part.column("text").to_pylist()], pa.bool_())
                 yield part.select(["row"]).filter(keep)
 
-    return rows.mapInArrow(run, StructType([rows.schema["row"]])).select("row.*")
+    return rows.mapInArrow(lean(run), StructType([rows.schema["row"]])).select("row.*")
