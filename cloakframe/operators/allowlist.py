@@ -33,6 +33,7 @@ class Allowlist:
         self.literals: dict[str, str] = {}
         self.patterns: dict[str, str] = {}
         self.errors: list[str] = []
+        self.held: DataFrame | None = None  # further literals, in any number: column ``term_lc``
         for t in terms or []:
             self.add(t)
 
@@ -72,9 +73,26 @@ def with_defaults() -> Allowlist:
     return Allowlist(DEFAULT_TERMS)
 
 
-def filter_allowed(spans: DataFrame, allow: Allowlist, column: str = "original") -> DataFrame:
-    """The spans whose text is not on the list."""
-    return spans.where(~allow.matches(column))
+def filter_allowed(rows: DataFrame, allow: Allowlist, column: str = "original") -> DataFrame:
+    """The rows whose text is not on the list: literals and expressions as a filter, the list's table as an anti-join."""
+    rows = rows.where(~allow.matches(column))
+    if allow.held is None:
+        return rows
+    return rows.join(allow.held.select(F.col("term_lc").alias("_held")), F.lower(F.trim(column)) == F.col("_held"), "left_anti")
+
+
+def composed(terms: list[str], removed: DataFrame | None = None, defined: DataFrame | None = None) -> Allowlist:
+    """The list of a request: its own terms, main texts and spellings of removed values, and all forms of defined terms. The
+    latter two stay tables, however many there are."""
+    allow, parts = Allowlist(terms), []
+    if removed is not None:
+        parts.append(removed.select(F.explode(F.concat(F.array("main_text"), F.coalesce("spellings", F.array().cast("array<string>")))).alias("t")))
+    if defined is not None:
+        parts.append(defined.select(F.explode(defined_term_forms(F.col("term"))).alias("t")))
+    if parts:
+        rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        allow.held = rows.select(F.lower(F.trim("t")).alias("term_lc")).where("term_lc <> ''").distinct()
+    return allow
 
 
 def parse_csv(raw: bytes) -> list[str]:

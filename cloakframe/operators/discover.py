@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spans import B, S, edged, placed, quoted
-from .allowlist import Allowlist
+from .allowlist import Allowlist, filter_allowed
 from .dictionary import look_up, words
 from .graph import connected_components
 from .values import LEGAL_FORMS, MIN_SPELLING
@@ -84,7 +84,7 @@ def detect_codes(regions: DataFrame, allow: Allowlist | None = None) -> DataFram
     inside = r"[\\p{L}\\p{Nd}]"
     rows = rows.where(F.expr(f"NOT right(_x.b, 1) RLIKE '{inside}' AND NOT left(_x.a, 1) RLIKE '{inside}'"))
     rows = rows.select("doc_ord", "region_ord", F.col("_x.t").alias("code"), F.col("_x.s").alias("s"), F.expr("trim(_x.b)").alias("b"), F.expr("trim(_x.a)").alias("a"))
-    rows = rows.where(~allow.matches("code"))
+    rows = filter_allowed(rows, allow, "code")
     cues = ", ".join(quoted(c) for c in PROJECT_CUES + IDENTIFIER_CUES)
     near = f"""array_sort(concat(
         filter(transform({words("b")}, (w, i) -> struct(size(split(b, '\\\\s+')) - i AS d, 0 AS side, i AS i, w AS w)), c -> c.w IN ({cues})),
@@ -252,7 +252,7 @@ def find_seeds(documents: DataFrame, found: DataFrame, pattern: str, allow: Allo
     Texts that differ in case only are one, under the spelling seen first. Bare forms of a person's name become spellings
     where the full name was found. A bare organisation word goes where a longer name built on it was found.
     """
-    hits = seed_hits(documents, found, pattern, broadcast).where(~(allow or Allowlist()).matches("text"))
+    hits = filter_allowed(seed_hits(documents, found, pattern, broadcast), allow or Allowlist(), "text")
     by_seed = ["category", "seed"]
     first = F.struct("doc_ord", "first")
     lead = hits.where("lead").withColumn("k", F.lower("text"))
@@ -301,7 +301,7 @@ def family_edges(rows: DataFrame, allow: Allowlist | None = None) -> DataFrame:
     A contained text begins at a word of the longer one, so the longer ones are exploded by word and joined on the first.
     """
     allow = allow or Allowlist()
-    usable = rows.where(~allow.matches("main_text")).select("ord", "category", F.trim("main_text").alias("t")).where(F.length("t") >= MIN_SPELLING)
+    usable = filter_allowed(rows, allow, "main_text").select("ord", "category", F.trim("main_text").alias("t")).where(F.length("t") >= MIN_SPELLING)
     tok = r"[^\\p{L}\\p{Nd}]+"
     short = usable.select(F.col("ord").alias("a"), "category", F.col("t").alias("st"), F.expr(f"element_at(filter(split(lower(t), '{tok}'), x -> x <> ''), 1)").alias("w")).where("w IS NOT NULL")
     long = usable.select(F.col("ord").alias("b"), "category", F.col("t").alias("lt"), F.explode(F.expr(f"array_distinct(split(lower(t), '{tok}'))")).alias("w"))

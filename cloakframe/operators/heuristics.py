@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .allowlist import Allowlist
+from .allowlist import Allowlist, filter_allowed
 from .discover import CONTEXTS, MAILBOXES, fold, snippet
 from .values import LEGAL_FORMS
 
@@ -344,7 +344,7 @@ def discover_names(documents: DataFrame, allow: Allowlist | None = None, options
             for doc, text in zip(batch.column("doc_ord").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 yield pa.RecordBatch.from_pylist([{"doc_ord": doc, **r} for r in name_rows(text or "", o, country)], schema=_ROWS)
 
-    return documents.select("doc_ord", "text").mapInArrow(run, NAMES).where(~allow.matches("main_text"))
+    return filter_allowed(documents.select("doc_ord", "text").mapInArrow(run, NAMES), allow, "main_text")
 
 
 def suggestions(documents: DataFrame, allow: Allowlist | None = None, options: Options | None = None, country: str = "") -> DataFrame:

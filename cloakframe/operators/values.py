@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import quoted
-from .allowlist import Allowlist
+from .allowlist import Allowlist, filter_allowed
 from .dictionary import Dictionary, look_up
 from .patterns import finished
 
@@ -142,10 +142,10 @@ def detect_values(regions: DataFrame, values: DataFrame, allow: Allowlist | None
     spellings may overlap. Spellings without a letter or digit are not searched.
     """
     allow = allow or Allowlist()
-    spellings = filter_allowed_column(spelling_rows(values), allow, "spelling").drop("value_ord")
+    spellings = filter_allowed(spelling_rows(values), allow, "spelling").drop("value_ord")
     body = regions.where("text IS NOT NULL").select("doc_ord", "region_ord", "text")
     rows = look_up(body, ["doc_ord", "region_ord"], "text", spellings, "spelling", _spans, SPANS, broadcast)
-    return finished(filter_allowed_column(rows, allow, "original"))
+    return finished(filter_allowed(rows, allow, "original"))
 
 
 def detect_known(regions: DataFrame, registry: DataFrame, allow: Allowlist | None = None, broadcast: bool | None = None) -> DataFrame:
@@ -153,19 +153,15 @@ def detect_known(regions: DataFrame, registry: DataFrame, allow: Allowlist | Non
     that has a placeholder keeps it."""
     allow = allow or Allowlist()
     columns = ["category", F.col("original").alias("main_text"), F.col("original").alias("spelling"), F.lit("built_in_pattern").alias("match_class"), F.lit(1.0).alias("confidence")]
-    terms = filter_allowed_column(registry.select(*columns), allow, "spelling")
+    terms = filter_allowed(registry.select(*columns), allow, "spelling")
     body = regions.where("text IS NOT NULL").select("doc_ord", "region_ord", "text")
     rows = look_up(body, ["doc_ord", "region_ord"], "text", terms, "spelling", lambda b, held: _spans(b, held, _PLACEHOLDER), SPANS, broadcast)
-    return finished(filter_allowed_column(rows, allow, "original"))
+    return finished(filter_allowed(rows, allow, "original"))
 
 
 _PLACEHOLDER = re.compile(r"\[[A-Z][A-Z0-9_]*_[0-9]+\]")
 
 
-def filter_allowed_column(rows: DataFrame, allow: Allowlist, column: str) -> DataFrame:
-    return rows.where(~allow.matches(column))
-
-
 def count_terms(regions: DataFrame, terms: list[str]) -> DataFrame:
     """``term, matches, documents`` for literal terms, all of them, without case and between non-letters.
 

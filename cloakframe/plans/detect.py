@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chunks, diagnose, discover, heuristics, patterns
-from ..operators.allowlist import Allowlist, defined_term_forms, discover_defined_terms
+from ..operators.allowlist import composed, discover_defined_terms, filter_allowed
 from ..operators.graph import cut
 from ..operators.numbering import numbered
 from .anonymise import Config, text_regions
@@ -99,11 +99,9 @@ def detect(documents: DataFrame, config: Config | None = None, options: heuristi
         told = chunks.model_suggestions(chunks.scan_chunks(chunks.units_of(documents)), model, VALUE_CATEGORIES)
         told = told.groupBy("main_text", "category").agg(F.sum("count").alias("count"), F.max("confidence").alias("confidence"))
         found = found.unionByName(_found(told, 3, "local_llm"))
-    found = found.where(~allow.matches("main_text"))
-    held = None
     if suppress_defined:
-        held = terms.select(F.explode(defined_term_forms(F.col("term"))).alias("t")).select(F.lower(F.trim("t")).alias("_held")).distinct()
-        found = found.join(held, F.lower(F.trim("main_text")) == F.col("_held"), "left_anti")
+        found = filter_allowed(found, composed([], defined=terms), "main_text")
+    found = filter_allowed(found, allow, "main_text")
     folded = discover.fold_families(_numbered(discover.merge_suggestions(found)), allow)
     if refine is not None:
         again = classify(cut(folded), refine)

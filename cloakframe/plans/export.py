@@ -7,7 +7,7 @@ the registry's originals beside them, and only the replacements go back to the p
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,7 +51,7 @@ def replacements(regions: DataFrame, config: anonymise.Config, entries: DataFram
     As in a run, but each text stands for itself: no owner is settled over the batch, failed checksums count, and the
     registry's originals are looked for in the same pass.
     """
-    config = anonymise.Config(config.selection, config.country, config.allow, config.custom, False, config.suppress_patterns)
+    config = replace(config, require_checksum=False)
     spans = anonymise.detect(regions, config, known).unionByName(values.detect_known(regions, entries, config.allow))
     kept = cut(resolve.resolve_overlaps(spans)).where("kept")
     named = cut(book.assign(kept, entries, retired))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chunks, diagnose, discover, heuristics, patterns, registry, resolve, rewrite, values, views
-from ..operators.allowlist import Allowlist, defined_term_forms, discover_defined_terms, filter_removed
+from ..operators.allowlist import Allowlist, composed, defined_term_forms, discover_defined_terms, filter_allowed, filter_removed
 from ..sources import text as text_source
 from . import anonymise as run
 from . import detect as detection
@@ -527,6 +527,25 @@ def grid_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy("doc_ord").agg(grid.alias("grid")).select("doc_ord", text_source.grid_to_markdown(F.col("grid")).alias("markdown"))
 
 
+@query("tables_written_back", "SELECT n_regionkey AS doc_ord, '| key | mail |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || CAST(n_nationkey AS varchar) || ' | [EMAIL_' || CAST(r AS varchar) || '] |', chr(10) ORDER BY n_nationkey) || chr(10) AS markdown FROM (SELECT *, row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS r FROM nation) GROUP BY n_regionkey")
+def tables_written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table for each region, anonymised cell by cell in the order of documents and rows, and written as a table again."""
+    cells = source(spark, sf_dir, "SELECT n_regionkey AS doc_ord, n_nationkey AS k, array(CAST(n_nationkey AS string), concat('m', CAST(n_nationkey AS string), '@x.lu')) AS r FROM nation")
+    grid = F.concat(F.array(F.array(F.lit("key"), F.lit("mail"))), F.transform(F.array_sort(F.collect_list(F.struct("k", "r"))), lambda x: x["r"]))
+    documents = cells.groupBy("doc_ord").agg(grid.alias("grid")).withColumn("text", F.lit(None).cast("string"))
+    done = run.anonymise(run.regions_of(documents), run.Config(selection=only("email")))
+    return run.written_back(done.documents).select("doc_ord", F.col("anonymised").alias("markdown"))
+
+
+@query("allow_composed", f"SELECT category, original, count(*) AS matches, count(DISTINCT doc_ord) AS documents, min(confidence) AS confidence FROM ({scan_sql(MADE['mail'], only('email', 'url'), 'LU')}) WHERE lower(original) NOT IN ('info@gmail.com') AND lower(original) NOT IN (SELECT concat('jean.muller', CAST(n_nationkey % 7 AS varchar), '@mail.firm', CAST(n_nationkey AS varchar), '.co.uk') FROM nation) AND lower(original) <> 'www.site1.public.lu/x' GROUP BY category, original")
+def allow_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request's terms, removed values and defined terms as one list, the latter two as tables."""
+    removed = source(spark, sf_dir, "SELECT concat('Jean.Muller', CAST(n_nationkey % 7 AS string), '@mail.firm', CAST(n_nationkey AS string), '.co.uk') AS main_text, CAST(NULL AS array<string>) AS spellings FROM nation")
+    defined = spark.createDataFrame([("WWW.site1.public.lu/x",)], "term string")
+    allow = composed(["INFO@gmail.com"], removed, defined)
+    return diagnose.preview_matches(filter_allowed(patterns.scan_patterns(source(spark, sf_dir, MADE["mail"]), only("email", "url")), allow))
+
+
 @query("doc_units", "SELECT doc_id AS doc_ord, CASE WHEN text = '' THEN 0 ELSE len(string_split(text, chr(10))) - CASE WHEN ends_with(text, chr(10)) THEN 1 ELSE 0 END END AS units FROM documents")
 def doc_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source(spark, sf_dir, DOCS).select("doc_ord", text_source.line_count(F.col("text")).cast("long").alias("units"))

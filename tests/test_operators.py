@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.operators import allowlist, dictionary, discover, patterns, registry, resolve, rewrite, values
 from cloakframe.plans import anonymise as run
-from cloakframe.plans import presets
+from cloakframe.plans import control, presets
 
 
 def regions(spark, *texts):
@@ -148,6 +148,26 @@ def test_run_is_consistent_and_reversible(spark):
     assert sorted(map(str, shuffled.registry.collect())) == sorted(map(str, done.registry.collect()))
 
 
+def test_named_runs_and_reset(spark):
+    done = run.anonymise(regions(spark, "a@b.lu"), run.Config(name="one"))
+    assert done.documents.first().anonymised == "[EMAIL_1]"
+    assert control.progress(spark, "nothing") == (0, 0) and control.progress(spark, "one")[0] >= 0
+    control.cancel(spark, "nothing")
+    entries, retired = control.reset_run(spark)
+    again = run.anonymise(regions(spark, "c@d.lu"), run.Config(), entries=entries, retired=retired)
+    assert again.documents.first().anonymised == "[EMAIL_1]"
+
+
+def test_json_and_table_regions(spark):
+    rows = [(0, "csv", None, [["h", "m"], ["1", "a@b.lu"]]), (1, "xlsx", '{"A1": "a@b.lu"}', None), (2, "txt", "see a@b.lu", None)]
+    docs = spark.createDataFrame(rows, "doc_ord long, format string, text string, grid array<array<string>>")
+    cells = run.regions_of(docs)
+    assert {(r.doc_ord, r.region) for r in cells.collect()} == {(0, f"row {i} col {j}") for i in range(2) for j in range(2)} | {(1, "json"), (2, "")}
+    out = {r.doc_ord: r for r in run.written_back(run.anonymise(cells, run.Config()).documents).collect()}
+    assert out[0].grid == [["h", "m"], ["1", "[EMAIL_1]"]] and out[0].anonymised == "| h | m |\n| --- | --- |\n| 1 | [EMAIL_1] |\n"
+    assert out[1].json == '{"A1": "[EMAIL_1]"}' and out[1].anonymised.startswith("```json\n") and out[2].anonymised == "see [EMAIL_1]"
+
+
 def test_blocking_conflicts(spark):
     known = spark.createDataFrame([(0, "entity_names", "Acme", [], False, [], None), (1, "brand_names", "acme", [], False, [], None)], values.VALUES)
     with pytest.raises(run.Blocked):
