@@ -270,15 +270,37 @@ def value_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diagnose.value_report(done.documents, done.registry)
 
 
-@query("anonymise_text", f"""WITH n AS ({_NUMBERED}), s AS (SELECT c.doc_ord, c.start, c.original, n.placeholder FROM ({_CLAIMS}) c JOIN n ON n.k = lower(c.original)),
-    d AS (SELECT doc_ord, text FROM ({MADE["mail"]})),
+def _numbered_sql(claims: str, labels: dict[str, str]) -> str:
+    """SQL for (k, placeholder): originals numbered by category in the order in which they are first seen."""
+    first = f"SELECT category, lower(original) AS k, min((doc_ord, start)) AS f FROM ({claims}) GROUP BY ALL"
+    label = " ".join(f"WHEN '{c}' THEN '{x}'" for c, x in labels.items())
+    return f"SELECT k, concat('[', CASE category {label} END, '_', CAST(row_number() OVER (PARTITION BY category ORDER BY f) AS varchar), ']') AS placeholder FROM ({first})"
+
+
+def _spliced_sql(sql: str, claims: str, numbered: str) -> str:
+    """SQL for (doc_ord, anonymised): the texts of ``sql`` with disjoint claims written over."""
+    return f"""WITH n AS ({numbered}), s AS (SELECT c.doc_ord, c.start, c.original, n.placeholder FROM ({claims}) c JOIN n ON n.k = lower(c.original)),
+    d AS (SELECT doc_ord, text FROM ({sql})),
     p AS (SELECT s.doc_ord, s.start, substr(d.text, CAST(coalesce(lag(s.start + length(s.original)) OVER w, 0) + 1 AS bigint), CAST(s.start - coalesce(lag(s.start + length(s.original)) OVER w, 0) AS bigint)) || s.placeholder AS piece,
           s.start + length(s.original) AS done FROM s JOIN d USING (doc_ord) WINDOW w AS (PARTITION BY s.doc_ord ORDER BY s.start))
-    SELECT d.doc_ord, coalesce(string_agg(p.piece, '' ORDER BY p.start), '') || substr(any_value(d.text), CAST(coalesce(max(p.done), 0) + 1 AS bigint)) AS anonymised FROM d LEFT JOIN p USING (doc_ord) GROUP BY d.doc_ord""")
+    SELECT d.doc_ord, CASE WHEN any_value(d.text) IS NULL THEN NULL ELSE coalesce(string_agg(p.piece, '' ORDER BY p.start), '') || substr(any_value(d.text), CAST(coalesce(max(p.done), 0) + 1 AS bigint)) END AS anonymised FROM d LEFT JOIN p USING (doc_ord) GROUP BY d.doc_ord"""
+
+
+@query("anonymise_text", _spliced_sql(MADE["mail"], _CLAIMS, _NUMBERED))
 def anonymise_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mail_run(spark, sf_dir).documents.select("doc_ord", "anonymised")
 
 
+_DISJOINT = ("email", "mac_address")
+_IN_DOCS = scan_sql(DOCS, only(*_DISJOINT), "LU")
+
+
+@query("anonymise_documents_disjoint", _spliced_sql(DOCS, _IN_DOCS, _numbered_sql(_IN_DOCS, {"email": "EMAIL", "mac_address": "MAC"})))
+def anonymise_documents_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run over every document with categories that can't overlap."""
+    return run.anonymise(source(spark, sf_dir, DOCS), run.Config(selection=only(*_DISJOINT))).documents.select("doc_ord", "anonymised")
+
+
 @query("leak_check", f"SELECT doc_ord, lower(original) AS original FROM ({_CLAIMS}) WHERE doc_ord % 10 = 0 GROUP BY ALL")
 def leak_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth document keeps its source text: just its originals must be told."""
@@ -562,6 +584,15 @@ def chunk_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.scan_chunks(chunks.units_of(source(spark, sf_dir, DOCS)), "faster", 8000)
 
 
+@query("chunk_packs", """WITH RECURSIVE l AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), s AS (SELECT doc, i, octet_length(encode(t)) AS b FROM l),
+    k AS (SELECT doc, i, i AS start, b AS size FROM s WHERE i = 1 UNION ALL
+      SELECT s.doc, s.i, CASE WHEN k.size + 1 + s.b <= 4000 THEN k.start ELSE s.i END, CASE WHEN k.size + 1 + s.b <= 4000 THEN k.size + 1 + s.b ELSE s.b END FROM k JOIN s ON s.doc = k.doc AND s.i = k.i + 1)
+    SELECT doc AS doc_ord, CAST(start AS int) AS from_unit, CAST(max(i) AS int) AS to_unit, string_agg(t, chr(10) ORDER BY i) AS text FROM k JOIN l USING (doc, i) GROUP BY doc, start HAVING regexp_matches(string_agg(t, chr(10) ORDER BY i), '\\S')""")
+def chunk_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines packed up to the level's size; no line is split here."""
+    return chunks.scan_chunks(chunks.units_of(source(spark, sf_dir, DOCS)), "faster").select("doc_ord", "from_unit", "to_unit", "text")
+
+
 @query("heuristic_names")
 def heuristic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heuristics.suggestions(source(spark, sf_dir, DOCS))
