@@ -6,8 +6,10 @@ import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +73,19 @@ def text_key(rows: DataFrame, text: str = "text") -> Column:
     if len(shared) == MOST_SHARED:
         raise RuntimeError("too many texts share a 64-bit name")
     return F.when(first.isin(shared), F.xxhash64(first, second)).otherwise(first) if shared else first
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays side by side, compressed."""
+    head = np.array([len(arrays), *(a.nbytes for a in arrays)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+
+
+def unpack(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(data, "<i8", 1)[0])
+    sizes, at, out = np.frombuffer(data, "<i8", n, 8), 8 * (n + 1), []
+    for size, kind in zip(sizes.tolist(), kinds, strict=True):
+        out.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out

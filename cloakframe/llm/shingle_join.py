@@ -27,12 +27,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, cut
-from .common import as_bytes, lean, text_chunks
+from .common import as_bytes, lean, pack, text_chunks, unpack
 
 WORDS, SEED = 5, 42
 #: Similarity of alike sets, as a fraction.
@@ -41,7 +40,7 @@ ALIKE = (4, 5)
 WAYS = 6
 #: Keys held by a task before what they have in common is written; sets in a block of the last comparisons.
 HELD, BLOCK = 2_000_000, 128
-_KEY_BITS = np.uint64((1 << 56) - 1)
+_KEY_BITS = np.uint64((1 << 48) - 1)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -146,21 +145,6 @@ def keys_of(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys) & _KEY_BITS, np.concatenate(flags)
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(a.nbytes for a in arrays)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
-
-
-def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(data, "<i8", 1)[0])
-    sizes, at, out = np.frombuffer(data, "<i8", n, 8), 8 * (n + 1), []
-    for size, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
-        at += size
-    return out
-
-
 def _send_keys(parts: int):
     """Rows (part, kind, blob) of a chunk's distinct texts. Kind 0: keys of a range, as the bytes of their steps; kind 1: sketches."""
 
@@ -177,14 +161,14 @@ def _send_keys(parts: int):
                 key, flag = np.concatenate([k for k, _ in got]), np.concatenate([f for _, f in got])
                 order = np.argsort(key, kind="stable")
                 key, flag, of = key[order], flag[order], of[order]
-                part = ((key >> np.uint64(28)) * np.uint64(parts)) >> np.uint64(28)
+                part = ((key >> np.uint64(16)) * np.uint64(parts)) >> np.uint64(32)
                 edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(key) else np.zeros(0, int)
                 numbers, blobs = [], []
                 for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                     who, mine = np.unique(of[a:b], return_inverse=True)
                     steps = np.diff(key[a:b], prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.copy()
                     numbers.append(int(part[a]))
-                    blobs.append(_pack(steps, nodes[who], mine.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy(), np.packbits(flag[a:b])))
+                    blobs.append(pack(steps, nodes[who], mine.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy(), np.packbits(flag[a:b])))
                 kinds = [0] * len(numbers)
                 deal = np.mod(nodes, parts)
                 for p in np.unique(deal).tolist():
@@ -192,7 +176,7 @@ def _send_keys(parts: int):
                     drawn = [sketch(sets[i]) for i in mine.tolist()]
                     numbers.append(p)
                     kinds.append(1)
-                    blobs.append(_pack(nodes[mine], np.array([len(x) for x in drawn], np.int64), np.frombuffer(b"".join(drawn), np.uint8)))
+                    blobs.append(pack(nodes[mine], np.array([len(x) for x in drawn], np.int64), np.frombuffer(b"".join(drawn), np.uint8)))
                 yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["part", "kind", "blob"])
 
     return run
@@ -236,7 +220,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for p, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "blob")), strict=True):
             if kind:
-                nodes, sizes, body = _unpack(blob, "<i8", "<i8", "u1")
+                nodes, sizes, body = unpack(blob, "<i8", "<i8", "u1")
                 ends, data = np.cumsum(sizes).tolist(), body.tobytes()
                 yield _meetings([], [], nodes.tolist(), [data[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)])
                 continue
@@ -249,7 +233,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     size, whole = sum(len(h[0]) for h in held) // 2, False
                 yield out
             part = p
-            steps, nodes, mine, flags = _unpack(blob, "u1", "<i8", "u1", "u1")
+            steps, nodes, mine, flags = unpack(blob, "u1", "<i8", "u1", "u1")
             key = np.cumsum(steps.reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
             of = mine.reshape(4, -1).T.copy().view("<u4").ravel()
             held.append((key, nodes[of], np.unpackbits(flags, count=len(key)).astype(bool)))
@@ -350,8 +334,8 @@ def alike_components(texts: DataFrame, other: DataFrame) -> DataFrame:
     """``node, component`` of the texts (node, text; equal texts have equal nodes) over the links of ALIKE shingle sets and
     those of ``other`` (a, b). Texts without a partner are left out; a text without a word is alike to none."""
     splits = max(1, texts.rdd.getNumPartitions())
-    keys = texts.where("text IS NOT NULL").mapInArrow(lean(_send_keys(2 * splits)), "part long, kind int, blob binary")
-    met = cut(keys.repartition(2 * splits, "part").sortWithinPartitions("part").mapInArrow(lean(_meet), MEETINGS))
+    keys = texts.where("text IS NOT NULL").mapInArrow(lean(_send_keys(splits)), "part long, kind int, blob binary")
+    met = cut(keys.repartition(splits, "part").sortWithinPartitions("part").mapInArrow(lean(_meet), MEETINGS))
     buckets = met.where("bucket IS NOT NULL").select("bucket", "members").dropDuplicates()
     sketches = met.where("node IS NOT NULL").select("node", "sketch").dropDuplicates(["node"])
     pairs = buckets.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, F.size("members"))).alias("b")).distinct()

@@ -23,11 +23,10 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, text_chunks, text_key
+from .common import as_bytes, pack, text_chunks, text_key, unpack
 
 LENGTH, GRAM = 50, 16
 LEFT = LENGTH - GRAM
@@ -130,24 +129,6 @@ class Scan:
         return s, _mixed((self.sums[s + LENGTH] - self.sums[s]) * self.inverse[s]) | _HOT_BIT, second
 
 
-# binary rows: numpy arrays side by side, compressed
-
-
-def _pack(*arrays: np.ndarray) -> bytes:
-    head = np.array([len(arrays), *(a.nbytes for a in arrays)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
-
-
-def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(data, "<i8", 1)[0])
-    sizes, at, out = np.frombuffer(data, "<i8", n, 8), 8 * (n + 1), []
-    for size, kind in zip(sizes.tolist(), kinds, strict=True):
-        out.append(np.frombuffer(data, kind, size // np.dtype(kind).itemsize, at))
-        at += size
-    return out
-
-
 def _deltas(h: np.ndarray) -> list[np.ndarray]:
     """Sorted hashes as the bytes of their steps, byte by byte, which compress well."""
     step = np.diff(h, prepend=np.uint64(0)).astype("<u8")
@@ -191,7 +172,7 @@ def _to_documents(key: np.ndarray, *values: np.ndarray, parts: int) -> Iterator[
     part = part[order]
     cuts = np.flatnonzero(np.diff(part, prepend=-1))
     ends = np.append(cuts[1:], len(part))
-    blobs = [_pack(key[order[a:b]], *(v[order[a:b]] for v in values)) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
+    blobs = [pack(key[order[a:b]], *(v[order[a:b]] for v in values)) for a, b in zip(cuts.tolist(), ends.tolist(), strict=True)]
     yield _rows(part[cuts].tolist(), [0] * len(cuts), blobs)
 
 
@@ -233,13 +214,13 @@ def _send_hashes(buckets: int, parts: int, local_hot: int, twice: bool = False):
                         docs, of = np.unique(d[own], return_inverse=True)
                         numbers.append(i)
                         kinds.append(0)
-                        blobs.append(_pack(*_deltas(h[own]), key[docs], of.astype("<u2" if len(docs) < 65536 else "<u4"), np.array([len(docs)], "<i8")))
+                        blobs.append(pack(*_deltas(h[own]), key[docs], of.astype("<u2" if len(docs) < 65536 else "<u4"), np.array([len(docs)], "<i8")))
                 if len(marked):
                     at = (marked * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
                     for i in np.unique(at).tolist():
                         numbers.append(i)
                         kinds.append(1)
-                        blobs.append(_pack(marked[at == i]))
+                        blobs.append(pack(marked[at == i]))
                 if numbers:
                     yield _rows(numbers, kinds, blobs)
 
@@ -262,12 +243,12 @@ def _shared_hashes(parts: int, hot: int):
             hs, ks, marked = [], [], [np.zeros(0, np.uint64)]
             for kind, blob in held:
                 if kind == 2:
-                    key, h = _unpack(blob, "<i8", "<u8")
+                    key, h = unpack(blob, "<i8", "<u8")
                     yield _rows([int(np.mod(key[0], parts))], [0], [blob])
                 elif kind == 1:
-                    marked.append(_unpack(blob, "<u8")[0])
+                    marked.append(unpack(blob, "<u8")[0])
                 else:
-                    planes, docs, of, n = _unpack(blob, "u1", "<i8", "u1", "<i8")
+                    planes, docs, of, n = unpack(blob, "u1", "<i8", "u1", "<i8")
                     hs.append(_undeltas(planes))
                     ks.append(docs[of.view("<u2" if n[0] < 65536 else "<u4")])
             if not hs:
@@ -310,8 +291,8 @@ def _send_texts(parts: int):
                     own, mine = np.flatnonzero(part == p), by[edges[p] : edges[p + 1]]
                     body = [texts[i] for i in at[own].tolist()]
                     sizes = np.array([len(t) for t in body], np.int64)
-                    whole = _pack(keys[own], sizes, np.frombuffer(b"".join(body), np.uint8), np.searchsorted(own, of[mine]), ids[mine], doc_id[mine], known[mine])
-                    yield _rows([p, p], [1, 2], [_pack(keys[own], least[own]), whole])
+                    whole = pack(keys[own], sizes, np.frombuffer(b"".join(body), np.uint8), np.searchsorted(own, of[mine]), ids[mine], doc_id[mine], known[mine])
+                    yield _rows([p, p], [1, 2], [pack(keys[own], least[own]), whole])
 
     return run
 
@@ -325,10 +306,10 @@ def _streams(batches: Iterator[pa.RecordBatch], *kinds: str) -> Iterator[tuple[l
             if p != part:
                 part, blobs, names, held = p, [], [], [np.zeros(0, k) for k in kinds]
             if kind == 0:
-                blobs.append(_unpack(blob, *kinds))
+                blobs.append(unpack(blob, *kinds))
                 continue
             if kind == 1:
-                names.append(_unpack(blob, "<i8", "<i8"))
+                names.append(unpack(blob, "<i8", "<i8"))
                 continue
             if blobs:
                 joined = [np.concatenate(x) for x in zip(*blobs, strict=True)]
@@ -339,7 +320,7 @@ def _streams(batches: Iterator[pa.RecordBatch], *kinds: str) -> Iterator[tuple[l
                 order = np.lexsort((low, key))
                 first = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
                 least, names = (key[order[first]], low[order[first]]), []
-            key, sizes, body, of, ids, doc_id, known = _unpack(blob, "<i8", "<i8", "u1", "<i8", "<i8", "<i8", "?")
+            key, sizes, body, of, ids, doc_id, known = unpack(blob, "<i8", "<i8", "u1", "<i8", "<i8", "<i8", "?")
             ends, data = np.cumsum(sizes), body.tobytes()
             texts = [data[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
             yield held, least, {"key": key, "size": sizes, "texts": texts, "of": of, "id": ids, "doc_id": doc_id, "known": known}
@@ -441,7 +422,7 @@ def _send_contexts(buckets: int, reach: tuple[int, int] = (LEFT, LENGTH), everyt
                 part = by[edges[i] : edges[i + 1]]
                 own, n = send[part], more[part]
                 spots = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(others_at[part], n)
-                blobs.append(_pack(name[own], ids[doc[own]], key[doc[own]], pos[own].astype("<i4"), lc[own], rc[own], right[own], left[own], n.astype("<i4"), others[spots]))
+                blobs.append(pack(name[own], ids[doc[own]], key[doc[own]], pos[own].astype("<i4"), lc[own], rc[own], right[own], left[own], n.astype("<i4"), others[spots]))
             if numbers:
                 yield _rows(numbers, [0] * len(numbers), blobs)
 
@@ -542,10 +523,10 @@ def _search_shards(parts: int):
             got = []
             for kind, blob in held:
                 if kind == 1:
-                    key = _unpack(blob, "<i8", "<i8", "<i8")[0]
+                    key = unpack(blob, "<i8", "<i8", "<i8")[0]
                     yield _rows([int(np.mod(key[0], parts))], [0], [blob])
                 else:
-                    got.append(_unpack(blob, "<u8", "<i8", "<i8", "<i4", "u1", "u1", "u1", "u1", "<i4", "<i4"))
+                    got.append(unpack(blob, "<u8", "<i8", "<i8", "<i4", "u1", "u1", "u1", "u1", "<i4", "<i4"))
             if not got:
                 continue
             name, ids, key, pos, lc, rc, right, left, more, others = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -584,7 +565,7 @@ def _groups_of(reach: tuple[int, int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in _groups(batches):
-            got = [_unpack(blob, "<u8", "<i8", "<i8", "<i4", "u1", "u1", "u1", "u1", "<i4", "<i4") for kind, blob in held if kind == 0]
+            got = [unpack(blob, "<u8", "<i8", "<i8", "<i4", "u1", "u1", "u1", "u1", "<i4", "<i4") for kind, blob in held if kind == 0]
             if not got:
                 continue
             name, ids, key, pos, lc, rc, right, left, more, others = (np.concatenate(x) for x in zip(*got, strict=True))
