@@ -13,6 +13,7 @@ candidate is verified by its Hamming distance, so the join has no false link and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 from itertools import combinations, repeat
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components, cut
-from .common import as_bytes, lean, text_chunks, text_key
+from .common import as_bytes, lean, pack, text_chunks, text_key, unpack
 from .shingle_join import alike_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -153,25 +154,93 @@ def build_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _emit(make):
+#: Build keys that one task is to hold; fingerprints whose keys are made at a time.
+HELD, PIECE = 3_000_000, 4000
+#: Build keys of a fingerprint, about.
+BUILD_KEYS = 172
+_POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
+
+
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _POP[(a ^ b).view(np.uint16).reshape(-1, 4)].sum(axis=1)
+
+
+def _send_keys(parts: int, finer: int):
+    """Rows (part, kind, blob) of fingerprints: kind 0 build keys, kind 1 probe keys, each with the fingerprints they are of.
+
+    Keys go by their pair of segments and first codeword number (and ``finer`` bits of the second), so the many keys of a
+    fingerprint fall into few parts, and its bits are sent once for each.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for i in range(0, len(fps), 2000):
-                part = fps[i : i + 2000]
-                rows, keys = make(part)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[rows].view(np.int64))], ["key", "fp"])
+            for i in range(0, len(fps), PIECE):
+                piece = fps[i : i + PIECE]
+                numbers, kinds, blobs = [], [], []
+                for kind, make in enumerate((build_keys, probe_keys)):
+                    rows, keys = make(piece)
+                    part = ((keys >> (12 - finer)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts
+                    order = np.lexsort((keys, part))
+                    part, keys, rows = part[order], keys[order], rows[order]
+                    edges = np.flatnonzero(np.concatenate((np.diff(part, prepend=-1) != 0, [True]))).tolist()
+                    for x, y in zip(edges[:-1], edges[1:], strict=True):
+                        who, of = np.unique(rows[x:y], return_inverse=True)
+                        steps = np.diff(keys[x:y], prepend=0).astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
+                        numbers.append(int(part[x]))
+                        kinds.append(kind)
+                        blobs.append(pack(steps, piece[who], of.astype("<u2").view(np.uint8).reshape(-1, 2).T.copy()))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["part", "kind", "blob"])
 
     return run
 
 
+def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part and kind -> the pairs of fingerprints that share a key and are near."""
+    part, held = None, []
+    keys = fps = np.zeros(0, np.uint64)
+
+    def near(k: np.ndarray, a: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lo, hi = np.searchsorted(keys, k), np.searchsorted(keys, k, side="right")
+        n = hi - lo
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(k):  # so many probes at a time that their candidates fit
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + HELD, side="right")))
+            own = n[at:to]
+            first = np.repeat(lo[at:to] - (np.cumsum(own) - own), own)
+            b = fps[first + np.arange(int(own.sum()))]
+            x = np.repeat(a[at:to], own)
+            good = (x != b) & (bits_apart(x, b) <= RADIUS)
+            both = np.unique(np.stack((x[good].view(np.int64), b[good].view(np.int64))), axis=1) if good.any() else np.zeros((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both.min(axis=0)), pa.array(both.max(axis=0))], ["a", "b"])
+            at = to
+
+    for batch in batches:
+        for p, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "blob")), strict=True):
+            if p != part:
+                part, held = p, []
+                keys = fps = np.zeros(0, np.uint64)
+            steps, own, of = unpack(blob, "u1", "<u8", "u1")
+            k = np.cumsum(steps.reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.int64).astype(np.uint64)
+            f = own[of.reshape(2, -1).T.copy().view("<u2").ravel()]
+            if kind == 0:
+                held.append((k, f))
+                continue
+            if held:
+                keys, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.argsort(keys, kind="stable")
+                keys, fps, held = keys[order], fps[order], []
+            yield from near(k, f)
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of distinct fingerprints (column fp) at RADIUS or fewer differing bits."""
-    probe = distinct.select("fp").mapInArrow(_emit(probe_keys), "key long, fp long")
-    build = distinct.select("fp").mapInArrow(_emit(build_keys), "key long, fp long")
-    found = probe.select("key", F.col("fp").alias("a")).join(build.select("key", F.col("fp").alias("b")), "key")
-    near = found.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS))
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    parts = max(8, -(-distinct.count() * BUILD_KEYS // HELD))
+    finer = min(12, max(0, math.ceil(math.log2(parts / 4096)))) if parts > 4096 else 0
+    sent = distinct.select("fp").mapInArrow(lean(_send_keys(parts, finer)), "part long, kind int, blob binary")
+    dealt = sent.repartition(parts, "part").sortWithinPartitions("part", "kind")
+    return dealt.mapInArrow(lean(_match), "a long, b long")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -193,6 +262,10 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     return prints.withColumn("share", share("doc_id")).join(by_fp, ["fp", "share"]).select("doc_id", "fp", "component_id")
 
 
+#: Rows to be dropped, 24 bytes each, that are sent to every task; more meet the documents by a shuffle.
+MOST_SENT = 2_000_000
+
+
 def _text_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_chunks(batch):
@@ -216,8 +289,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     edges = prints.select("fp", "node").distinct().join(by_fp, "fp").select(F.col("node").alias("a"), F.col("s").alias("b")).where("a <> b")
     edges = edges.unionByName(near.select(F.col("sa").alias("a"), F.col("sb").alias("b")))
     parts = alike_components(rows.select("node", "text"), edges)
-    # a row for each (doc_id, text) and, of each component, the first of them
+    # a row for each (doc_id, text); of each component the first of them stays
     seen = prints.groupBy("none", "id", "node").agg(F.count("*").alias("n")).join(parts, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    kept = seen.groupBy("c").agg(F.min(F.struct("none", "id", "node")).alias("k")).select("k.*")
-    chosen = rows.select("none", "id", "node", "row").join(kept, ["none", "id", "node"], "left_semi")
-    return chosen.groupBy("none", "id", "node").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row.*")
+    own = ["none", "id", "node"]
+    kept = seen.groupBy("c").agg(F.min(F.struct(*own)).alias("k")).select("c", "k.*")
+    marked = cut(seen.join(kept.select("c", F.col("none").alias("n0"), F.col("id").alias("i0"), F.col("node").alias("t0")), "c").select(*own, "n", F.expr("none = n0 AND id = i0 AND node = t0").alias("stays")))
+    gone, twice = marked.where("NOT stays").select(*own), marked.where("stays AND n > 1").select(*own)
+    sizes = marked.agg(F.expr("count_if(NOT stays)").alias("gone"), F.expr("count_if(stays AND n > 1)").alias("twice")).first()
+    small = lambda df, n: F.broadcast(df) if n <= MOST_SENT else df
+    rows = rows.select(*own, "row").join(small(gone, sizes.gone), own, "left_anti")
+    if not sizes.twice:
+        return rows.select("row.*")
+    once = rows.join(small(twice, sizes.twice), own, "left_anti").select("row")
+    again = rows.join(small(twice, sizes.twice), own, "left_semi").groupBy(*own).agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return once.unionByName(again).select("row.*")
