@@ -29,7 +29,7 @@ from .common import lean, text_chunks
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 #: Chunks up to this length are solved many at a time, longer ones one by one.
-WIDE, REMEMBERED = 40, 300_000
+WIDE, REMEMBERED = 40, 200_000
 _CHUNK = re.compile(r" *[^ \n]+| +|\n+")
 
 
@@ -187,8 +187,8 @@ class Vocabulary:
             by_size.setdefault(len(w), []).append(k)
         for size, at in by_size.items():
             if size <= WIDE:
-                for i in range(0, len(at), 20_000):
-                    part = at[i : i + 20_000]
+                for i in range(0, len(at), 8_000):
+                    part = at[i : i + 8_000]
                     for k, *got in zip(part, *self._solve([words[k] for k in part]), strict=True):
                         out[k] = tuple(got)
             else:
@@ -288,7 +288,7 @@ def encode_texts(rows: DataFrame, text: str = "text", model_path: str = MODEL_PA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoders.setdefault((model_path, n), Encoder(vocabulary(model_path), n))
         for batch in batches:
-            for part in text_chunks(batch, "_text"):
+            for part in text_chunks(batch, "_text", 1_000_000):
                 texts = [t or "" for t in part.column("_text").to_pylist()]
                 got = encoder.encode(texts)
                 lens = np.array([len(i) for i, _, _ in got], np.int64)

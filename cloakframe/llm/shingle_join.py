@@ -40,6 +40,8 @@ ALIKE = (4, 5)
 WAYS = 6
 #: Keys held by a task before what they have in common is written; sets in a block of the last comparisons.
 HELD, BLOCK = 2_000_000, 128
+#: Names of texts, 8 bytes each, that are sent to every task.
+MOST_SENT = 2_000_000
 _KEY_BITS = np.uint64((1 << 48) - 1)
 
 
@@ -248,7 +250,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, own`` (packed shingles) for the texts (node, text) named in ``nodes``, each once."""
+    """``node, own`` (packed shingles) for the texts (node, text) named in ``nodes``, each once. Up to MOST_SENT names are sent to
+    the texts; more meet them by a shuffle."""
+    if nodes.count() <= MOST_SENT:
+        nodes = F.broadcast(nodes)
     return texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).mapInArrow(_sets, "node long, own binary")
 
 
