@@ -154,8 +154,8 @@ def build_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-#: Build keys that one task is to hold; fingerprints whose keys are made at a time.
-HELD, PIECE = 3_000_000, 4000
+#: Candidates looked at together; build keys that one task is to hold; fingerprints whose keys are made at a time.
+HELD, PER_TASK, PIECE = 3_000_000, 500_000, 4000
 #: Build keys of a fingerprint, about.
 BUILD_KEYS = 172
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -236,7 +236,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of distinct fingerprints (column fp) at RADIUS or fewer differing bits."""
-    parts = max(8, -(-distinct.count() * BUILD_KEYS // HELD))
+    parts = max(8, -(-distinct.count() * BUILD_KEYS // PER_TASK))
     finer = min(12, max(0, math.ceil(math.log2(parts / 4096)))) if parts > 4096 else 0
     sent = distinct.select("fp").mapInArrow(lean(_send_keys(parts, finer)), "part long, kind int, blob binary")
     dealt = sent.repartition(parts, "part").sortWithinPartitions("part", "kind")
