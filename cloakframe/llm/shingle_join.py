@@ -152,7 +152,7 @@ def _send_keys(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in text_chunks(batch, limit=8_000_000):
+            for chunk in text_chunks(batch):
                 nodes, at = np.unique(chunk.column("node").to_numpy(), return_index=True)
                 texts = as_bytes(chunk.column("text"))
                 sets = [shingles(texts[i]) for i in at.tolist()]

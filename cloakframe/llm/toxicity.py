@@ -45,7 +45,7 @@ class Features(dict):
     def __missing__(self, word: str) -> tuple[int, ...]:
         forms = (word, *(word[:n] + "*" for n in PREFIXES if len(word) > n))
         found = tuple(self.number[f] for f in forms if f in self.number)
-        if len(self) < 200_000:
+        if len(self) < 100_000:
             self[word] = found
         return found
 
@@ -165,7 +165,7 @@ class Model:
             near = self.examples.nearest(self.vector(counts), K)
             p = float(np.interp(self.examples.vote(near, K), self.knots, self.levels)) if near and len(self.knots) else self.bare
             got = p, [(int(self.examples.id[i]), int(self.examples.label[i]), c) for i, c in near[:EVIDENCE]]
-            if len(self.known) < 50_000:
+            if len(self.known) < 20_000:
                 self.known[counts] = got
         return got
 

@@ -16,23 +16,37 @@ from cloakframe.llm.toxicity import drop_toxic
 from cloakframe.operators.graph import cut
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than by default: texts may be long, and a batch stands in the JVM and in Python at once."""
+    if int(spark.conf.get(BATCH)) > ROWS:
+        spark.conf.set(BATCH, ROWS)
+
+
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return redact(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return encode_texts(docs.select("doc_id", "text"))
 
 
