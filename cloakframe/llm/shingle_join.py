@@ -11,8 +11,9 @@ on; one that is left after WAYS gives a key that all such sets of a class share.
 64-bit hashes of shingles.
 
 Passages that many texts share seldom make a part equal, unless nearly all of the texts is equal. Of the sets under one key
-the first is compared with each other one; sets that these comparisons leave apart, though they share a key, are then compared
-with each other, in blocks of bounded size. No pair of a group of copies is written out, and groups join up as components.
+one, the centre, is compared with each other one; sets that these comparisons leave apart, though they share a key, are then
+held against each other by their sketches, in blocks of bounded size, but for those of the largest component among themselves.
+No pair of a group of copies is written out, and groups join up as components.
 
 Sets are only sent for pairs whose sketches allow it. A sketch has two bits or more for a shingle, each the parity of the
 shingles that fall on it, so two sketches differ in no more bits than the sets in shingles; a larger one folds to a smaller.
@@ -39,7 +40,9 @@ ALIKE = (4, 5)
 #: Ways of dealing a set into parts before the key of last resort.
 WAYS = 6
 #: Keys held by a task before what they have in common is written; sets in a block of the last comparisons.
-HELD, BLOCK = 2_000_000, 128
+HELD, BLOCK = 2_000_000, 4096
+#: Words of 64 bits that the sketches of a cell may take; they are folded to fit.
+CELL_WORDS = 8_000_000
 #: Names of texts, 8 bytes each, that are sent to every task.
 MOST_SENT = 2_000_000
 _KEY_BITS = np.uint64((1 << 48) - 1)
@@ -271,68 +274,71 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sift_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, side, node, c, sketch) sorted by cell: those without the sketch that may be alike to one of another side and component."""
-
-    def sifted(rows: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, int, int]]:
-        some, sides = set(), len({r[1] for r in rows})
-        rows.sort(key=lambda r: r[4][:8][::-1])
-        for i, x in enumerate(rows):
-            for j in range(i + 1, len(rows)):
-                y = rows[j]
-                if ALIKE[1] * int.from_bytes(x[4][:8], "little") < ALIKE[0] * int.from_bytes(y[4][:8], "little"):
-                    break
-                if (sides == 1 or x[1] != y[1]) and x[3] != y[3] and not (i in some and j in some) and may_be_alike(x[4], y[4]):
-                    some |= {i, j}
-        return [rows[i][:4] for i in sorted(some)]
-
-    def made(out: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kinds[k]) for k in range(4)], ["cell", "side", "node", "c"])
+    """Rows (cell, side, node, c, sketch) sorted by cell -> the pairs (a, b) of other sides (or of the one side) and other
+    components whose sketches allow them to be alike. Members of the cell's largest component are only held against the rest."""
+
+    def allowed(rows: list[tuple[int, int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        _, side, node, c = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:4])
+        n = np.array([int.from_bytes(r[4][:8], "little") for r in rows])
+        kinds, of, counts = np.unique(c, return_inverse=True, return_counts=True)
+        if len(kinds) < 2:
+            return
+        bits = [np.frombuffer(r[4], np.uint64)[1:] for r in rows]
+        least = min(map(len, bits))
+        while least > 1 and least * len(rows) > CELL_WORDS:
+            least //= 2
+        drawn = np.empty((len(rows), least), np.uint64)
+        for i, x in enumerate(bits):
+            drawn[i] = np.bitwise_xor.reduce(x.reshape(-1, least), axis=0)
+        rest, one = of != np.argmax(counts), len(np.unique(side)) == 1
+        place = np.arange(len(rows))
+        for i in np.flatnonzero(rest).tolist():
+            # a pair within the rest is looked at from its first member
+            which = np.flatnonzero((~rest | (place > i)) & (c != c[i]) & (one | (side != side[i])) & (ALIKE[1] * np.minimum(n, n[i]) >= ALIKE[0] * np.maximum(n, n[i])))
+            differ = np.bitwise_count(drawn[which] ^ drawn[i]).sum(axis=1, dtype=np.int64)
+            b = node[which[9 * differ <= n[which] + n[i]]]
+            if len(b):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b, node[i])), pa.array(np.maximum(b, node[i]))], ["a", "b"])
 
     rows: list[tuple[int, int, int, int, bytes]] = []
     for batch in batches:
-        out = []
         for r in zip(*(batch.column(k).to_pylist() for k in ("cell", "side", "node", "c", "sketch")), strict=True):
             if rows and r[0] != rows[-1][0]:
-                out += sifted(rows)
+                yield from allowed(rows)
                 rows = []
             rows.append(r)
-        yield made(out)
-    yield made(sifted(rows))
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, side, node, c, own) sorted by cell: links between sets of different sides (or within the one side), of components not linked yet."""
-
-    def links(rows: list[tuple[int, int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
-        root: dict[int, int] = {}
-
-        def find(c: int) -> int:
-            while root.get(c, c) != c:
-                c = root[c]
-            return c
-
-        rows.sort(key=lambda r: len(r[3]))
-        sides = len({r[0] for r in rows})
-        for i, (side, node, c, own) in enumerate(rows):
-            for other, node2, c2, own2 in rows[i + 1 :]:
-                if ALIKE[1] * len(own) < ALIKE[0] * len(own2):
-                    break
-                if (sides == 1 or side != other) and find(c) != find(c2) and alike(own, own2):
-                    root[find(c)] = find(c2)
-                    yield node, node2
-
-    cell, rows = None, []
-    for batch in batches:
-        out = []
-        for name, side, node, c, own in zip(*(batch.column(k).to_pylist() for k in ("cell", "side", "node", "c", "own")), strict=True):
-            if name != cell:
-                out += links(rows)
-                cell, rows = name, []
-            rows.append((side, node, c, np.frombuffer(own, np.uint64)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
-    out = list(links(rows))
-    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+    if rows:
+        yield from allowed(rows)
+
+
+def centre_pairs(members: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` of each bucket's centre with its other members, from rows (bucket, node, n members). The centre is the
+    member that meets most others over all buckets: of many changed copies of a text it is one of the least changed."""
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    centres = members.join(met, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("centre"))
+    return members.join(centres, "bucket").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+
+def cells_of(spread: DataFrame) -> DataFrame:
+    """``cell, side, node, c`` for the buckets of ``spread`` (bucket, node, component c) with two components and three members or
+    more: any two members of different components meet in a cell. Up to BLOCK members are one cell; of more, those outside the
+    largest component are in blocks that meet each other and the blocks of that component, whose own blocks don't meet."""
+    by_c = spread.groupBy("bucket", "c").agg(F.count("*").alias("n"))
+    sizes = by_c.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("c", F.struct("n", "c")).alias("large"), F.count("*").alias("cs")).where("cs > 1 AND n > 2")
+    many = F.col("n") > BLOCK
+    sizes = sizes.withColumn("rest", F.when(many, F.ceil((F.col("n") - F.col("most")) / BLOCK)).otherwise(1).cast("int")).withColumn("own", F.when(many, F.ceil(F.col("most") / BLOCK)).otherwise(0).cast("int"))
+    h, large = F.xxhash64("node"), many & (F.col("c") == F.col("large"))
+    block = F.when(large, F.col("rest") + F.pmod(h, F.greatest("own", F.lit(1)))).otherwise(F.pmod(h, F.col("rest"))).cast("int")
+    last = F.when(large, F.col("rest") - 1).otherwise(F.col("rest") + F.col("own") - 1)
+    cells = spread.join(sizes, "bucket").withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), last)))
+    return cells.select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), F.col("i").alias("side"), "node", "c")
+
+
+def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that are ALIKE."""
+    sets = sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("own").alias("sa")), "a")
+    return both.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long")
 
 
 def alike_components(texts: DataFrame, other: DataFrame) -> DataFrame:
@@ -343,23 +349,16 @@ def alike_components(texts: DataFrame, other: DataFrame) -> DataFrame:
     met = cut(keys.repartition(splits, "part").sortWithinPartitions("part").mapInArrow(lean(_meet), MEETINGS))
     buckets = met.where("bucket IS NOT NULL").select("bucket", "members").dropDuplicates()
     sketches = met.where("node IS NOT NULL").select("node", "sketch").dropDuplicates(["node"])
-    pairs = buckets.select(F.col("members")[0].alias("a"), F.explode(F.slice("members", 2, F.size("members"))).alias("b")).distinct()
+    members = buckets.select("bucket", F.explode("members").alias("node"), F.size("members").alias("n"))
+    pairs = centre_pairs(members)
     drawn = pairs.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
     pairs = cut(drawn.select("a", "b", "sa", "sb").mapInArrow(_sift, "a long, b long"))
-    sets = sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("sb")), "b").join(sets.select(F.col("node").alias("a"), F.col("own").alias("sa")), "a")
-    edges = cut(other.select("a", "b").unionByName(both.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long")))
+    edges = cut(other.select("a", "b").unionByName(_verified(texts, pairs)))
     found = connected_components(edges, "a", "b")
-    # sets that share a key and are still apart: all of them are compared, not only with the first
-    spread = buckets.select("bucket", F.explode("members").alias("node")).distinct().join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
-    counts = spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("low < high AND n > 2").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    cells = spread.join(counts, "bucket").withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), F.col("i").alias("side"), "node", "c")
-    by_cell = lambda df: df.repartition("cell").sortWithinPartitions("cell")
-    sifted = cut(by_cell(cells.join(sketches, "node")).select("cell", "side", "node", "c", "sketch").mapInArrow(_sift_cells, "cell long, side int, node long, c long"))
+    # sets that share a key and are still apart: all of them are compared, not only with the centre
+    spread = members.select("bucket", "node").distinct().join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
+    met = cells_of(spread).join(sketches, "node").repartition("cell").sortWithinPartitions("cell")
+    sifted = cut(met.select("cell", "side", "node", "c", "sketch").mapInArrow(lean(_sift_cells), "a long, b long").distinct())
     if sifted.isEmpty():
         return found
-    packed = by_cell(sifted.join(sets_of(texts, sifted.select("node").distinct()), "node"))
-    more = packed.select("cell", "side", "node", "c", "own").mapInArrow(_compare, "a long, b long")
-    return connected_components(edges.unionByName(more), "a", "b")
+    return connected_components(edges.unionByName(_verified(texts, sifted)), "a", "b")

@@ -154,3 +154,41 @@ def test_large_buckets_in_pieces(spark, monkeypatch):
     together = meet()
     monkeypatch.setattr(shingle_join, "HELD", 500)
     assert {x for _, x in meet()} == {x for _, x in together}
+
+
+def test_cells_grow_with_the_members(spark, monkeypatch):
+    # one bucket with a large component and few others: all that are apart meet, and no block is sent for each of its keys
+    monkeypatch.setattr(shingle_join, "BLOCK", 50)
+    c = {x: 5000 if x < 900 else 6000 + x // 2 for x in range(1000)}
+    rows = [(1, x, k) for x, k in c.items()] + [(2, x, 7000 + x) for x in range(10)] + [(3, x, 1) for x in range(80)]
+    cells = {}
+    got = shingle_join.cells_of(spark.createDataFrame(rows, "bucket long, node long, c long")).collect()
+    for r in got:
+        cells.setdefault(r.cell, []).append(r)
+    meet = set()
+    for members in cells.values():
+        one = len({r.side for r in members}) == 1
+        meet |= {(x.node, y.node) for x in members for y in members if x.node < y.node and x.c != y.c and (one or x.side != y.side)}
+    assert meet >= {(x, y) for x in c for y in range(max(x + 1, 900), 1000) if c[x] != c[y]} | {(x, y) for y in range(10) for x in range(y)}
+    assert len(got) < 5 * len(rows)
+
+
+def test_changed_copies_join_at_their_centre(spark):
+    # 120 changed copies of one text, in no order: nearly all pairs are apart, and each copy is alike to the text itself
+    rng = random.Random(8)
+    base = [f"c{i}" for i in range(150)]
+    texts = []
+    for _ in range(120):
+        copy = list(base)
+        for at in rng.sample(range(0, 150, 6), 3):
+            copy[at] = f"x{rng.random()}"
+        texts.append(" ".join(copy))
+    texts.append(" ".join(base))
+    df = spark.createDataFrame([(1000 - i, t) for i, t in enumerate(texts)], "node long, text string")
+    rows = [pa.RecordBatch.from_pydict({"node": [1000 - i], "text": [t]}) for i, t in enumerate(texts)]
+    sent = [x for b in shingle_join._send_keys(1)(iter(rows)) for x in b.to_pylist()]
+    met = [(i, x, len(m)) for b in shingle_join._meet(iter([pa.RecordBatch.from_pylist(sent)])) for i, m in enumerate(b.column("members").to_pylist()) if m for x in m]
+    pairs = shingle_join.centre_pairs(spark.createDataFrame(met, "bucket long, node long, n int")).collect()
+    assert {x for r in pairs for x in (r.a, r.b) if 880 in (r.a, r.b)} == set(range(880, 1001)) and len(pairs) < 1000
+    none = df.limit(0).select(df.node.alias("a"), df.node.alias("b"))
+    assert {(r.node, r.component) for r in shingle_join.alike_components(df, none).collect()} == {(x, 880) for x in range(880, 1001)}
