@@ -8,11 +8,12 @@ node its place, its parent, the position id of its first token (how many tokens
 hold), the intervals that its tokens may attend to (its ancestors, then itself up to the token),
 and the interval of assistant text that bears loss.
 
-Equal conversations are one path. A tree of more than PACK_CHARS is dealt over several packs by
-its second turns, and a second turn with more than that by whole paths, so no pack grows with
-the corpus. The first turn of such a tree (and such a second turn) is laid out once, in a pack
-of its own that the others name as their base: their nodes see all tokens of the base and of
-its base, and their position ids go on from there.
+Equal conversations are one path. Where paths of more than PACK_CHARS part, at whatever depth,
+what follows is dealt over several packs by the next turn, so no pack grows with the corpus. The
+turns up to there, from the last such place on, are laid out once, in a pack of their own that
+the others name as their base: their nodes see all tokens of the base and of the packs above it
+(``above``, from the root), and their position ids go on from there. So every node stands in one
+pack and is the same at any size of the corpus or of a pack; only where packs begin differs.
 
 Of a node's children the one with the largest subtree follows it directly, so the ancestors of
 a node lie in few stretches, at most one more than the logarithm of the pack's nodes.
@@ -68,7 +69,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 PACK = (
     "pack string, base string, shared boolean, offset int, tokens string, nodes array<struct<start: int, end: int, parent: int, position: int, loss_start: int, loss_end: int, "
-    "sees: array<struct<start: int, end: int>>>>, leaves array<struct<path: string, node: int>>"
+    "sees: array<struct<start: int, end: int>>>>, leaves array<struct<path: string, node: int>>, above array<string>"
 )
 _INTERVAL = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 _NODES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("parent", pa.int32()), ("position", pa.int32()), ("loss_start", pa.int32()), ("loss_end", pa.int32()), ("sees", pa.list_(_INTERVAL))]))
@@ -120,18 +121,18 @@ def lay_out(paths: list[tuple[str | None, list[tuple[str, str]]]], offset: int =
 
 
 def _lay_out_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pack, base, shared, level, path, turns) sorted by pack -> one row for each pack; its base holds ``level`` turns."""
+    """Rows (pack, base, shared, level, above, path, turns) sorted by pack -> one row for each pack; ``level`` turns stand above it."""
     now, paths = None, []
 
     def flush() -> pa.RecordBatch:
-        pack, base, shared, level = now
+        pack, base, shared, level, above = now
         offset = sum(len(format_turn(*t)[0]) for t in paths[0][1][:level])
         tokens, nodes, leaves = lay_out([(name, turns[level:]) for name, turns in paths], offset)
-        columns = [pa.array([pack]), pa.array([base], pa.string()), pa.array([shared]), pa.array([offset], pa.int32()), pa.array([tokens]), pa.array([nodes], _NODES), pa.array([leaves], _LEAVES)]
-        return pa.RecordBatch.from_arrays(columns, ["pack", "base", "shared", "offset", "tokens", "nodes", "leaves"])
+        columns = [pa.array([pack]), pa.array([base], pa.string()), pa.array([shared]), pa.array([offset], pa.int32()), pa.array([tokens]), pa.array([nodes], _NODES), pa.array([leaves], _LEAVES), pa.array([above], pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays(columns, ["pack", "base", "shared", "offset", "tokens", "nodes", "leaves", "above"])
 
     for batch in batches:
-        for *key, path, turns in zip(*(batch.column(c).to_pylist() for c in ("pack", "base", "shared", "level", "path", "turns")), strict=True):
+        for *key, path, turns in zip(*(batch.column(c).to_pylist() for c in ("pack", "base", "shared", "level", "above", "path", "turns")), strict=True):
             if now is not None and key[0] != now[0]:
                 yield flush()
                 paths = []
@@ -155,35 +156,44 @@ def conversations_of(rows: DataFrame) -> DataFrame:
     return grouped.select("conv_id", "alone", turns.alias("turns")).withColumn("path", F.sha2(F.to_json("turns"), 256))
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, turns) -> the path, its size, and a name for its first turn, its first two and so on."""
+    for batch in batches:
+        names, sizes = [], []
+        for turns in batch.column("turns").to_pylist():
+            at, own = b"", []
+            for t in turns:
+                role, text = (t[k].encode("utf-8", "surrogatepass") for k in ("role", "text"))
+                at = hashlib.blake2b(b"%b%d:%b%b" % (at, len(role), role, text), digest_size=16).digest()
+                own.append(at.hex())
+            names.append(own)
+            sizes.append(sum(len(t["text"]) + 20 for t in turns))
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64()), pa.array(names, pa.list_(pa.string()))], ["path", "n", "names"])
+
+
 def pack_trees(conversations: DataFrame, pack_chars: int = PACK_CHARS) -> DataFrame:
     """PACK rows of ``conversations`` (turns, path)."""
     paths = conversations.dropDuplicates(["path"]).select("path", "turns")
-    light = paths.select("path", F.size("turns").alias("k"), F.xxhash64(F.element_at("turns", 1)).alias("one"), F.xxhash64(F.slice("turns", 1, 2)).alias("two"), F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + F.length(t["text"]) + 20).alias("n"))
-    two = light.groupBy("one", "two").agg(F.sum("n").alias("n_two"))
-    one = two.groupBy("one").agg(F.sum("n_two").alias("n_one"))
-    parts = lambda n: F.ceil(F.col(n) / pack_chars)
-    # how many of a path's turns stand in packs of their own
-    level = F.when(F.col("n_one") <= pack_chars, 0).when((F.col("n_two") <= pack_chars) | (F.col("k") < 2), 1).otherwise(2)
-    first, second = F.format_string("%016x", "one"), F.format_string("%016x-%016x", "one", "two")
-    dealt = light.join(two, ["one", "two"]).join(one, "one").withColumn("level", level)
-    name = (
-        F.when(F.col("level") == 0, first)
-        .when(F.col("level") == 1, F.concat(first, F.format_string("-%d", F.expr("pmod(two, 1000003)") % parts("n_one"))))
-        .otherwise(F.concat(second, F.format_string("-%d", F.expr("pmod(xxhash64(path), 1000003)") % parts("n_two"))))
-    )
-    named = dealt.select("path", "k", "level", first.alias("first"), second.alias("second"), name.alias("pack")).join(paths, "path")
-    base = F.when(F.col("level") == 1, F.col("first")).when(F.col("level") == 2, F.col("second"))
-    whole = F.col("k") <= F.col("level")  # all its turns are shared ones
-    own = named.select(F.when(whole, base).otherwise(F.col("pack")).alias("pack"), F.when(whole, F.when(F.col("level") == 2, F.col("first"))).otherwise(base).alias("base"), whole.alias("shared"), F.when(whole, F.col("level") - 1).otherwise(F.col("level")).alias("level"), "path", "turns")
-    hot = named.where("level > 0")
-    shared = [
-        keyed.groupBy("pack").agg(F.first("base").alias("base"), F.first("turns").alias("turns")).select("pack", "base", F.lit(True).alias("shared"), F.lit(n - 1).alias("level"), F.lit(None).cast("string").alias("path"), "turns")
-        for n, keyed in (
-            (1, hot.select(F.col("first").alias("pack"), F.lit(None).cast("string").alias("base"), F.slice("turns", 1, 1).alias("turns"))),
-            (2, hot.where("level = 2").select(F.col("second").alias("pack"), F.col("first").alias("base"), F.slice("turns", 1, 2).alias("turns"))),
-        )
-    ]
-    rows = own.unionByName(shared[0]).unionByName(shared[1])
+    light = cut(paths.select("path", "turns").mapInArrow(_prefixes, "path string, n long, names array<string>"))
+    steps = light.select("path", "n", "names", F.posexplode("names").alias("at", "name"))
+    steps = steps.select("path", "n", "name", (F.col("at") + 1).alias("depth"), F.get("names", F.col("at") + 1).alias("next"))
+    # where paths part that are too much for one pack
+    forks = steps.groupBy("name").agg(F.sum("n").alias("weight"), F.count("*").alias("paths"), F.count("next").alias("on"), F.min("next").alias("low"), F.max("next").alias("high"), F.min("path").alias("first"))
+    forks = forks.where(F.col("weight") > pack_chars).where("paths > 1 AND (low < high OR on < paths)").select("name", "first", F.ceil(F.col("weight") / pack_chars).alias("parts"))
+    over = steps.join(forks, "name").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("depth", "name", "parts", (F.col("first") == F.col("path")).alias("tells")))).alias("over"))
+    named = light.join(over, "path", "left").join(paths, "path").withColumn("over", F.coalesce("over", F.array().cast("array<struct<depth: int, name: string, parts: bigint, tells: boolean>>")))
+    k, m = F.size("names"), F.size("over")
+    last = F.get("over", m - 1)
+    whole = F.coalesce(last["depth"] == k, F.lit(False))  # all its turns stand in such packs
+    child = F.get("names", last["depth"])
+    dealt = F.format_string("%s-%d", last["name"], F.pmod(F.xxhash64(child), last["parts"]))
+    pack = F.when(m == 0, F.get("names", F.lit(0))).when(whole, last["name"]).otherwise(dealt)
+    own = named.select(pack.alias("pack"), whole.alias("shared"), F.slice("over", F.lit(1), m - F.when(whole, 1).otherwise(0)).alias("up"), "path", "turns")
+    told = named.select("over", "turns", F.posexplode("over").alias("i", "x")).where("x.tells")
+    told = told.select(F.col("x.name").alias("pack"), F.lit(True).alias("shared"), F.slice("over", F.lit(1), F.col("i")).alias("up"), F.lit(None).cast("string").alias("path"), F.slice("turns", F.lit(1), F.col("x.depth")).alias("turns"))
+    above = F.transform("up", lambda x: x["name"])
+    up = F.get("up", F.size("up") - 1)
+    rows = own.unionByName(told).select("pack", up["name"].alias("base"), "shared", F.coalesce(up["depth"], F.lit(0)).alias("level"), above.alias("above"), "path", "turns")
     return rows.repartition("pack").sortWithinPartitions("pack", F.col("path").asc_nulls_first()).mapInArrow(_lay_out_packs, PACK)
 
 
@@ -195,7 +205,7 @@ def _read_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(batch.num_rows):
             tokens, nodes, leaves, offset, before = (batch.column(c)[i].as_py() for c in ("tokens", "nodes", "leaves", "offset", "before"))
             ahead = "".join(x["tokens"] for x in before or ())
-            learned = [unescape(x["tokens"][x["a"] : x["b"]]) for x in before or ()]
+            learned = [unescape(x["tokens"][y["a"] : y["b"]]) for x in before or () for y in x["loss"]]
             if len(ahead) != offset:
                 raise ValueError("a pack and its base disagree")
             out = []
@@ -218,13 +228,13 @@ def _read_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(packs: DataFrame) -> DataFrame:
-    """READ for every path, from the packs alone: its own tokens and what they attend to, there and in the base, parsed."""
-    turn = F.struct("tokens", F.col("nodes")[0]["loss_start"].alias("a"), F.col("nodes")[0]["loss_end"].alias("b"))
-    bases = packs.where("shared").select(F.col("pack").alias("name"), F.col("base").alias("above"), turn.alias("turn"))
-    over = bases.select(F.col("name").alias("above"), F.col("turn").alias("over"))
-    chains = bases.join(over, "above", "left").select("name", F.array_compact(F.array("over", "turn")).alias("before"))
-    joined = packs.join(chains, packs.base == chains.name, "left").drop("name")
-    return joined.select("tokens", "nodes", "leaves", "offset", "before").mapInArrow(_read_packs, READ)
+    """READ for every path, from the packs alone: its own tokens and what they attend to, there and in the packs above, parsed."""
+    loss = F.transform("nodes", lambda x: F.struct(x["loss_start"].alias("a"), x["loss_end"].alias("b")))
+    turns = packs.where("shared").select(F.col("pack").alias("name"), "tokens", loss.alias("loss"))
+    read = packs.where(F.size("leaves") > 0)
+    asked = read.select("pack", F.posexplode("above").alias("i", "name")).join(turns, "name")
+    before = asked.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("i", "tokens", "loss"))).alias("before"))
+    return read.join(before, "pack", "left").select("tokens", "nodes", "leaves", "offset", "before").mapInArrow(_read_packs, READ)
 
 
 #: Keys over which conversations of one path are dealt.

@@ -95,3 +95,20 @@ def test_query(spark):
     said = r"\### Assistant: </turn> ok"
     expected = want([*rows, (-7, 0, "user", said), (-7, 1, "assistant", said)])
     assert {r.conv_id: tuple(r[n] for n in NAMES) for r in got} == expected
+
+
+def test_nodes_are_the_same_at_any_pack_size(spark):
+    # third and later turns are shared too; a run of shared turns, a path that ends inside it, and one long path alone
+    start = [("user", "hello"), ("assistant", "yes"), ("user", "third"), ("assistant", "fourth")]
+    talks = [start + [("user", f"own {c % 7}"), ("assistant", f"answer {c} " * 30)] for c in range(120)]
+    talks += [start, start[:1], start[:3] + [("assistant", "aside")], [("user", f"turn {i} " * 50) for i in range(40)]]
+    rows = [(c, t, *turn) for c, turns in enumerate(talks) for t, turn in enumerate(turns)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    prefixes = {tuple(turns[: i + 1]) for turns in talks for i in range(len(turns))}
+    found = []
+    for limit in (chat_tree.PACK_CHARS, 8_000, 100):
+        packs = chat_tree.pack_trees(chat_tree.conversations_of(df), limit).collect()
+        assert sum(p.tokens.count("fourth") for p in packs) == sum(p.tokens.count("hello") for p in packs) == 1
+        found.append(sorted((p.tokens[n.start : n.end], n.position, n.loss_end - n.loss_start) for p in packs for n in p.nodes))
+        assert len(found[-1]) == len(prefixes) and found[-1] == found[0]
+        assert {r.conv_id: tuple(r[n] for n in NAMES) for r in chat_tree.digest(df, limit).collect()} == want(rows)
