@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components, cut
+from ..operators.graph import connected_components, cut, trim_driver
 from .common import as_bytes, lean, pack, text_chunks, unpack
 
 WORDS, SEED = 5, 42
@@ -354,7 +354,9 @@ def alike_components(texts: DataFrame, other: DataFrame) -> DataFrame:
     drawn = pairs.join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b").join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
     pairs = cut(drawn.select("a", "b", "sa", "sb").mapInArrow(_sift, "a long, b long"))
     edges = cut(other.select("a", "b").unionByName(_verified(texts, pairs)))
+    trim_driver(texts.sparkSession)
     found = connected_components(edges, "a", "b")
+    trim_driver(texts.sparkSession)
     # sets that share a key and are still apart: all of them are compared, not only with the centre
     spread = members.select("bucket", "node").distinct().join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
     met = cells_of(spread).join(sketches, "node").repartition("cell").sortWithinPartitions("cell")

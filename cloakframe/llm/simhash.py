@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components, cut
+from ..operators.graph import connected_components, cut, trim_driver
 from .common import as_bytes, lean, pack, text_chunks, text_key, unpack
 from .shingle_join import alike_components
 
@@ -288,6 +288,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     near = links(by_fp).join(by_fp.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
     edges = prints.select("fp", "node").distinct().join(by_fp, "fp").select(F.col("node").alias("a"), F.col("s").alias("b")).where("a <> b")
     edges = edges.unionByName(near.select(F.col("sa").alias("a"), F.col("sb").alias("b")))
+    trim_driver(docs.sparkSession)
     parts = alike_components(rows.select("node", "text"), edges)
     # a row for each (doc_id, text); of each component the first of them stays
     seen = prints.groupBy("none", "id", "node").agg(F.count("*").alias("n")).join(parts, "node", "left").withColumn("c", F.coalesce("component", "node"))

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cloakframe.llm.common import give_back
 from cloakframe.llm.decontam import decontaminate
 from cloakframe.llm.pii import redact
 from cloakframe.llm.sentencepiece_nbest import encode_texts
 from cloakframe.llm.simhash import keep_one
 from cloakframe.llm.toxicity import drop_toxic
-from cloakframe.operators.graph import cut
+from cloakframe.operators.graph import cut, trim_driver
 
 
 def short_batches(spark: SparkSession) -> None:
@@ -22,31 +23,40 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, ROWS)
 
 
+def begin(spark: SparkSession) -> None:
+    """Before a stage: short batches, and a driver without what the stages before left in its memory (plans, references to
+    shuffles that nothing needs, freed native memory)."""
+    short_batches(spark)
+    give_back()
+    spark._jvm.java.lang.System.gc()
+    trim_driver(spark)
+
+
 BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    short_batches(spark)
+    begin(spark)
     return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    short_batches(spark)
+    begin(spark)
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    short_batches(spark)
+    begin(spark)
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    short_batches(spark)
+    begin(spark)
     return redact(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    short_batches(spark)
+    begin(spark)
     return encode_texts(docs.select("doc_id", "text"))
 
 
