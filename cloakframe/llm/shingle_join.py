@@ -41,6 +41,8 @@ ALIKE = (4, 5)
 WAYS = 6
 #: Keys held by a task before what they have in common is written; sets in a block of the last comparisons.
 HELD, BLOCK = 2_000_000, 4096
+#: Bytes of text whose keys one part is to hold: some 1.7 million keys of running text.
+PART_BYTES = 24_000_000
 #: Words of 64 bits that the sketches of a cell may take; they are folded to fit.
 CELL_WORDS = 8_000_000
 #: Names of texts, 8 bytes each, that are sent to every task.
@@ -221,7 +223,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = [] if last else [(key[first], node[first], own)]
         return _meetings(list(seen), list(seen.values()), [], []), rest
 
-    part, held, size, whole = None, [empty], 0, True
+    # ``kept`` keys of those held were looked at before: a part that outgrows HELD is looked at again when it has doubled
+    part, held, size, kept, whole = None, [empty], 0, 0, True
     for batch in batches:
         for p, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("part", "kind", "blob")), strict=True):
             if kind:
@@ -229,13 +232,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ends, data = np.cumsum(sizes).tolist(), body.tobytes()
                 yield _meetings([], [], nodes.tolist(), [data[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)])
                 continue
-            if p != part or size > HELD:
+            if p != part or size > max(HELD, kept):
                 if p != part:
                     out, _ = reduce(held, whole)
-                    held, size, whole = [empty], 0, True
+                    held, size, kept, whole = [empty], 0, 0, True
                 else:  # too much for one key range: write what meets so far, and keep the first of each key
                     out, held = reduce(held, False)
-                    size, whole = sum(len(h[0]) for h in held) // 2, False
+                    size, kept, whole = 0, sum(len(h[0]) for h in held), False
                 yield out
             part = p
             steps, nodes, mine, flags = unpack(blob, "u1", "<i8", "u1", "u1")
@@ -341,10 +344,19 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(_verify, "a long, b long")
 
 
-def alike_components(texts: DataFrame, other: DataFrame) -> DataFrame:
+def parts_for(splits: int, size: int) -> int:
+    """Parts of the keys of texts in ``splits`` input splits with ``size`` bytes together. Splits may be of any size, parts not:
+    a task holds the keys of a part."""
+    return max(1, splits, -(-size // PART_BYTES))
+
+
+def alike_components(texts: DataFrame, other: DataFrame, size: int | None = None) -> DataFrame:
     """``node, component`` of the texts (node, text; equal texts have equal nodes) over the links of ALIKE shingle sets and
-    those of ``other`` (a, b). Texts without a partner are left out; a text without a word is alike to none."""
-    splits = max(1, texts.rdd.getNumPartitions())
+    those of ``other`` (a, b). Texts without a partner are left out; a text without a word is alike to none. ``size`` is the bytes
+    of all texts, counted if not given."""
+    if size is None:
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    splits = parts_for(texts.rdd.getNumPartitions(), size)
     keys = texts.where("text IS NOT NULL").mapInArrow(lean(_send_keys(splits)), "part long, kind int, blob binary")
     met = cut(keys.repartition(splits, "part").sortWithinPartitions("part").mapInArrow(lean(_meet), MEETINGS))
     buckets = met.where("bucket IS NOT NULL").select("bucket", "members").dropDuplicates()

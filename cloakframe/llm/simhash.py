@@ -20,7 +20,7 @@ from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -156,8 +156,8 @@ def build_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 #: Candidates looked at together; build keys that one task is to hold; fingerprints whose keys are made at a time.
 HELD, PER_TASK, PIECE = 3_000_000, 500_000, 4000
-#: Build keys of a fingerprint, about.
-BUILD_KEYS = 172
+#: Build keys of a fingerprint, about; fingerprints whose keys one task is to send, some 4 s of work.
+BUILD_KEYS, PER_SENDER = 172, 60_000
 _POP = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
 
 
@@ -236,9 +236,12 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(distinct: DataFrame) -> DataFrame:
     """Pairs ``a < b`` of distinct fingerprints (column fp) at RADIUS or fewer differing bits."""
-    parts = max(8, -(-distinct.count() * BUILD_KEYS // PER_TASK))
+    n = distinct.count()
+    parts = max(8, -(-n * BUILD_KEYS // PER_TASK))
     finer = min(12, max(0, math.ceil(math.log2(parts / 4096)))) if parts > 4096 else 0
-    sent = distinct.select("fp").mapInArrow(lean(_send_keys(parts, finer)), "part long, kind int, blob binary")
+    # fingerprints are few bytes, so they may stand in one or two partitions, however long their keys take
+    dealt = distinct.select("fp").repartition(max(8, -(-n // PER_SENDER)), "fp") if n > PIECE else distinct.select("fp")
+    sent = dealt.mapInArrow(lean(_send_keys(parts, finer)), "part long, kind int, blob binary")
     dealt = sent.repartition(parts, "part").sortWithinPartitions("part", "kind")
     return dealt.mapInArrow(lean(_match), "a long, b long")
 
@@ -270,7 +273,7 @@ def _text_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_chunks(batch):
             fps = np.fromiter(map(fingerprint, as_bytes(part.column("text"))), np.uint64, part.num_rows)
-            yield pa.RecordBatch.from_arrays([part.column("none"), part.column("id"), part.column("node"), pa.array(fps.view(np.int64))], ["none", "id", "node", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("none"), part.column("id"), part.column("node"), pa.array(fps.view(np.int64)), pc.binary_length(part.column("text")).cast(pa.int64())], ["none", "id", "node", "fp", "size"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -283,13 +286,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     none, number = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
     body = docs.select(F.struct(*docs.columns).alias("row"), none.alias("none"), number.alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = body.withColumn("node", text_key(body))
-    prints = cut(rows.select("none", "id", "node", "text").mapInArrow(lean(_text_prints), "none boolean, id long, node long, fp long"))
+    prints = cut(rows.select("none", "id", "node", "text").mapInArrow(lean(_text_prints), "none boolean, id long, node long, fp long, size long"))
     by_fp = cut(prints.groupBy("fp").agg(F.min("node").alias("s")))
     near = links(by_fp).join(by_fp.select(F.col("fp").alias("a"), F.col("s").alias("sa")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("s").alias("sb")), "b")
     edges = prints.select("fp", "node").distinct().join(by_fp, "fp").select(F.col("node").alias("a"), F.col("s").alias("b")).where("a <> b")
     edges = edges.unionByName(near.select(F.col("sa").alias("a"), F.col("sb").alias("b")))
     trim_driver(docs.sparkSession)
-    parts = alike_components(rows.select("node", "text"), edges)
+    parts = alike_components(rows.select("node", "text"), edges, prints.agg(F.sum("size")).first()[0] or 0)
     # a row for each (doc_id, text); of each component the first of them stays
     seen = prints.groupBy("none", "id", "node").agg(F.count("*").alias("n")).join(parts, "node", "left").withColumn("c", F.coalesce("component", "node"))
     own = ["none", "id", "node"]

@@ -192,3 +192,29 @@ def test_changed_copies_join_at_their_centre(spark):
     assert {x for r in pairs for x in (r.a, r.b) if 880 in (r.a, r.b)} == set(range(880, 1001)) and len(pairs) < 1000
     none = df.limit(0).select(df.node.alias("a"), df.node.alias("b"))
     assert {(r.node, r.component) for r in shingle_join.alike_components(df, none).collect()} == {(x, 880) for x in range(880, 1001)}
+
+
+def test_a_large_part_is_looked_at_few_times(monkeypatch):
+    # keys that meet nothing don't shrink what is held; looking at all of it for each further row was quadratic
+    rng = random.Random(5)
+    rows = [pa.RecordBatch.from_pydict({"node": [i], "text": [" ".join(str(rng.random()) for _ in range(60))]}) for i in range(200)]
+    sent = [x for b in shingle_join._send_keys(1)(iter(rows)) for x in b.to_pylist() if not x["kind"]]
+    monkeypatch.setattr(shingle_join, "HELD", 500)
+    sorts, lexsort = [], np.lexsort
+    monkeypatch.setattr(shingle_join.np, "lexsort", lambda keys: sorts.append(len(keys[0])) or lexsort(keys))
+    list(shingle_join._meet(iter([pa.RecordBatch.from_pylist(sent)])))
+    assert 2 < len(sorts) < 12 and sum(sorts) < 4 * max(sorts)
+
+
+def test_parts_follow_the_bytes_of_texts():
+    assert shingle_join.parts_for(37, 840_000_000) == 37
+    assert shingle_join.parts_for(48, 10_000_000_000) == 417
+    assert shingle_join.parts_for(0, 0) == 1
+
+
+def test_keys_of_fingerprints_are_sent_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PIECE", 100)
+    rng = random.Random(6)
+    df = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(400)], "fp long").coalesce(1)
+    plan = simhash.links(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 2
