@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .dictionary import Dictionary, look_up
+from .dictionary import Dictionary, look_up, slices
 
 PLACEHOLDER = r"\[[A-Z][A-Z0-9_]*_[0-9]+\]"
 _PLACEHOLDER = re.compile(PLACEHOLDER)
@@ -27,20 +27,21 @@ def splice(regions: DataFrame, kept: DataFrame, registry: DataFrame) -> DataFram
     joined = regions.join(spans, ["doc_ord", "region_ord"], "left").withColumn("by_category", F.expr(f"CASE WHEN _s IS NULL THEN CAST(map() AS map<string, int>) ELSE {counts} END"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("_s")
-            parts = lists.flatten()
-            starts, ends, written = (parts.field(c).to_pylist() for c in ("start", "end", "placeholder"))
-            edges = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).tolist()
-            done = []
-            for text, a, b in zip(batch.column("text").to_pylist(), edges, edges[1:], strict=False):
-                pieces, last = [], 0
-                for i in range(a, b):
-                    pieces += (text[last : starts[i]], written[i])
-                    last = ends[i]
-                done.append(text if a == b else "".join([*pieces, text[last:]]))
-            names = [c for c in batch.schema.names if c not in ("_s", "by_category")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(done, pa.string()), batch.column("by_category")], [*names, "anonymised", "by_category"])
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                lists = batch.column("_s")
+                parts = lists.flatten()
+                starts, ends, written = (parts.field(c).to_pylist() for c in ("start", "end", "placeholder"))
+                edges = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))).tolist()
+                done = []
+                for text, a, b in zip(batch.column("text").to_pylist(), edges, edges[1:], strict=False):
+                    pieces, last = [], 0
+                    for i in range(a, b):
+                        pieces += (text[last : starts[i]], written[i])
+                        last = ends[i]
+                    done.append(text if a == b else "".join([*pieces, text[last:]]))
+                names = [c for c in batch.schema.names if c not in ("_s", "by_category")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(done, pa.string()), batch.column("by_category")], [*names, "anonymised", "by_category"])
 
     fields = [f for f in joined.schema.fields if f.name not in ("_s", "by_category")]
     return joined.mapInArrow(run, T.StructType([*fields, T.StructField("anonymised", T.StringType()), joined.schema["by_category"]]))
