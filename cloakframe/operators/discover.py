@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.spans import B, S, edged, placed, quoted
 from .allowlist import Allowlist, filter_allowed
-from .dictionary import look_up, words
-from .graph import connected_components
+from .dictionary import ENDS, grow, look_up, plain, plain_words, words
+from .graph import connected_components, cut
 from .values import LEGAL_FORMS, MIN_SPELLING
 
 # The shape of a code, windows and scores.
@@ -53,9 +54,13 @@ _FOLD = str.maketrans(ACCENTED, PLAIN)
 INSIDE = ["de", "du", "des", "van", "von", "le", "la", "den", "der", "ten", "ter", "of", "the", "and", "for", "to", "in", "on", "vs", "et", "ou", "aux"]
 #: What may stand between two words of one name.
 SEPARATORS = [" ", "-", ".", ". ", " - ", "'", "’"]
+_SEPARATORS = frozenset(SEPARATORS)
+#: Words of a main text that families are joined on.
+EXACT = 8
 RADIUS = 60
 
 
+@lru_cache(maxsize=1 << 16)
 def fold(text: str) -> str:
     """Lower case without accents, white space collapsed."""
     return " ".join(text.lower().translate(_FOLD).split())
@@ -121,9 +126,12 @@ EVIDENCE = "array<struct<kind: string, signal_category: string, signal_text: str
 def seeds(rows: DataFrame, value: Column, category: str, kind: str, also: Column | None = None, signal_category: str = "email") -> DataFrame:
     """``category, folded, kind, documents, signals, also, evidence``: seeds merged over the batch. A seed's evidence is CONTEXTS
     signals at most, each with CONTEXTS documents at most, the first of them: examples, not counts."""
-    good = rows.withColumns({"folded": value, "also": also if also is not None else F.array().cast("array<string>")}).where("folded IS NOT NULL").select("folded", "signal", "doc_ord", "also").distinct()
+    # a signal is read once, however many documents hold it: the expressions cost far more than finding it
+    pairs = cut(rows.select("signal", "doc_ord").distinct())
+    told = cut(pairs.select("signal").distinct().withColumns({"folded": value, "also": also if also is not None else F.array().cast("array<string>")}).where("folded IS NOT NULL"))
+    good = pairs.join(told, "signal")
     merged = good.groupBy("folded").agg(F.countDistinct("doc_ord").alias("documents"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("also")))).alias("also"))
-    near = good.select("folded", "signal", "doc_ord").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("folded", "signal").orderBy("doc_ord"))).where(F.col("_r") <= CONTEXTS)
+    near = good.select("folded", "signal", "doc_ord").withColumn("_r", F.row_number().over(Window.partitionBy("folded", "signal").orderBy("doc_ord"))).where(F.col("_r") <= CONTEXTS)
     by_signal = near.groupBy("folded", "signal").agg(F.array_sort(F.collect_list("doc_ord")).alias("documents"))
     few = by_signal.withColumn("_r", F.row_number().over(Window.partitionBy("folded").orderBy("signal"))).where(F.col("_r") <= CONTEXTS)
     item = F.struct(F.lit(kind).alias("kind"), F.lit(signal_category).alias("signal_category"), F.col("signal").alias("signal_text"), "documents")
@@ -170,24 +178,40 @@ def folded_words(text: str) -> Iterator[tuple[str, int, int]]:
         yield (w if w.isascii() else fold(text[at : at + len(w)])), at, at + len(w)
 
 
+def folded_word(word: str) -> str:
+    """A word as ``folded_words`` gives it."""
+    low = plain(word)
+    return low if low.isascii() else fold(word)
+
+
 class Seeds:
-    """Folded names of any number of words, by their first word."""
+    """Folded names of any number of words, by their words in order."""
 
     def __init__(self, names: list[str]):
-        self.by_word: dict[str, list[tuple[int, list[str]]]] = {}
+        self.tree: dict = {}
         for i, name in enumerate(names):
             parts = [w for w, _, _ in folded_words(name)]
             if parts:
-                self.by_word.setdefault(parts[0], []).append((i, parts))
+                grow(self.tree, parts, i)
 
     def find(self, text: str) -> Iterator[tuple[int, int, int]]:
         """(start, end, number) wherever the words of a name follow each other with a SEPARATOR between."""
-        found = list(folded_words(text))
-        for k, (w, s, _) in enumerate(found):
-            for i, parts in self.by_word.get(w, ()):
-                run = found[k : k + len(parts)]
-                if [x for x, _, _ in run] == parts and all(text[a[2] : b[1]] in SEPARATORS for a, b in zip(run, run[1:], strict=False)):
-                    yield s, run[-1][2], i
+        names, found = plain_words(text, folded_word), None
+        if names is None:
+            found = list(folded_words(text))
+            names = [w for w, _, _ in found]
+        for k in [k for k, w in enumerate(names) if w in self.tree]:
+            node, j = self.tree[names[k]], k
+            while node is not None:
+                own = node.get(ENDS, ())
+                if found is None and (own or j + 1 < len(names) and names[j + 1] in node):
+                    found = list(folded_words(text))
+                for i in own:
+                    yield found[k][1], found[j][2], i
+                j += 1
+                node = node.get(names[j]) if j < len(names) else None
+                if node is not None and text[found[j - 1][2] : found[j][1]] not in _SEPARATORS:
+                    break
 
 
 _STEP = re.compile(r" ((?:[^\W_]|[-'’])+)")
@@ -220,27 +244,36 @@ def seed_hits(documents: DataFrame, found: DataFrame, pattern: str, broadcast: b
     forms = found.select("category", F.col("folded").alias("seed"), F.explode(F.concat(F.array("folded"), "also")).alias("form"))
     terms = forms.withColumn("lead", F.col("form") == F.col("seed")).distinct()
 
+    last: list = [None, {}]
+
+    def columns_of(table: pa.Table) -> dict[str, list]:
+        if table is not last[0]:
+            last[:] = [table, {c: table.column(c).to_pylist() for c in ("category", "seed", "lead")}]
+        return last[1]
+
     def use(batch: pa.RecordBatch, held) -> Iterator[pa.RecordBatch]:
-        out = []
-        for r, (doc, text) in enumerate(zip(batch.column("doc_ord").to_pylist(), batch.column("text").to_pylist(), strict=True)):
+        out: list[tuple] = []
+        for doc, text, r in zip(batch.column("doc_ord").to_pylist(), batch.column("text").to_pylist(), range(batch.num_rows), strict=True):
             if not text:
                 continue
             book, table = held(r)
-            taken = [m.span() for m in signal.finditer(text)]
-            begins = [a for a, _ in taken]
-            groups: dict[tuple[int, str], dict] = {}
+            taken, begins, of = None, [], {}
+            groups: dict[tuple[int, str], list] = {}
             for s, e, i in book.find(text):
+                if taken is None:
+                    taken = [m.span() for m in signal.finditer(text)]
+                    begins, of = [a for a, _ in taken], columns_of(table)
                 k = bisect_right(begins, s) - 1
                 if k >= 0 and e <= taken[k][1]:
                     continue
-                if table.column("category")[i].as_py() == "entity_names":
+                if of["category"][i] == "entity_names":
                     e = extended(text, e)
-                g = groups.setdefault((i, text[s:e]), {"doc_ord": doc, **{c: table.column(c)[i].as_py() for c in ("category", "seed", "lead")}, "text": text[s:e], "first": s, "count": 0, "contexts": []})
-                g["count"] += 1
-                if len(g["contexts"]) < CONTEXTS:
-                    g["contexts"].append(snippet(text, s, e))
-            out += groups.values()
-        yield pa.RecordBatch.from_pylist(out, schema=_HITS)
+                g = groups.setdefault((i, text[s:e]), [s, 0, []])
+                g[1] += 1
+                if len(g[2]) < CONTEXTS:
+                    g[2].append(snippet(text, s, e))
+            out += [(doc, of["category"][i], of["seed"][i], of["lead"][i], t, *g) for (i, t), g in groups.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(_HITS)], schema=_HITS)
 
     schema = "doc_ord long, category string, seed string, lead boolean, text string, first int, count long, contexts array<string>"
     return look_up(documents.select("doc_ord", "text"), ["doc_ord"], "text", terms, "form", use, schema, broadcast, make=Seeds, split=folded_words)
@@ -252,7 +285,8 @@ def find_seeds(documents: DataFrame, found: DataFrame, pattern: str, allow: Allo
     Texts that differ in case only are one, under the spelling seen first. Bare forms of a person's name become spellings
     where the full name was found. A bare organisation word goes where a longer name built on it was found.
     """
-    hits = filter_allowed(seed_hits(documents, found, pattern, broadcast), allow or Allowlist(), "text")
+    # the texts are read once for all that follows
+    hits = cut(filter_allowed(seed_hits(documents, found, pattern, broadcast), allow or Allowlist(), "text"))
     by_seed = ["category", "seed"]
     first = F.struct("doc_ord", "first")
     lead = hits.where("lead").withColumn("k", F.lower("text"))
@@ -298,13 +332,15 @@ def merge_spellings(*lists: list[str], main: str = "") -> list[str]:
 def family_edges(rows: DataFrame, allow: Allowlist | None = None) -> DataFrame:
     """``a, b``: ord of a shorter main text and of a longer one that contains it as words, within a category.
 
-    A contained text begins at a word of the longer one, so the longer ones are exploded by word and joined on the first.
+    A contained text is a run of words of the longer one, so both are joined on the words themselves: the longer ones are exploded
+    by their runs of up to EXACT words. Shorter texts of up to so many words are joined whole, longer ones on their first EXACT words.
     """
     allow = allow or Allowlist()
     usable = filter_allowed(rows, allow, "main_text").select("ord", "category", F.trim("main_text").alias("t")).where(F.length("t") >= MIN_SPELLING)
-    tok = r"[^\\p{L}\\p{Nd}]+"
-    short = usable.select(F.col("ord").alias("a"), "category", F.col("t").alias("st"), F.expr(f"element_at(filter(split(lower(t), '{tok}'), x -> x <> ''), 1)").alias("w")).where("w IS NOT NULL")
-    long = usable.select(F.col("ord").alias("b"), "category", F.col("t").alias("lt"), F.explode(F.expr(f"array_distinct(split(lower(t), '{tok}'))")).alias("w"))
+    usable = usable.withColumn("ws", F.expr(r"filter(split(lower(t), '[^\\p{L}\\p{Nd}]+'), x -> x <> '')")).where("size(ws) > 0")
+    short = usable.select(F.col("ord").alias("a"), "category", F.col("t").alias("st"), F.expr(f"array_join(slice(ws, 1, {EXACT}), ' ')").alias("w"))
+    run = f"flatten(transform(sequence(1, least(size(ws), {EXACT})), n -> transform(sequence(1, size(ws) - n + 1), i -> array_join(slice(ws, i, n), ' '))))"
+    long = usable.select(F.col("ord").alias("b"), "category", F.col("t").alias("lt"), F.explode(F.expr(f"array_distinct({run})")).alias("w"))
     edge, ahead = r"(?<![\\p{L}\\p{Nd}])", r"(?![\\p{L}\\p{Nd}])"
     quote = "regexp_replace(lower(st), '([^A-Za-z0-9 ])', '\\\\\\\\$1')"
     pairs = short.join(long, ["category", "w"]).where("length(st) < length(lt) AND contains(lower(lt), lower(st))")

@@ -12,12 +12,14 @@ import calendar
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .allowlist import Allowlist, filter_allowed
+from .dictionary import slices
 from .discover import CONTEXTS, MAILBOXES, fold, snippet
 from .values import LEGAL_FORMS
 
@@ -102,6 +104,7 @@ _FORM = re.compile(r"([ ]*)(,[ ]*)?(" + "|".join(map(re.escape, LEGAL_FORMS)) +
 _COMMA = re.compile(r"[ ]*,[ ]*")
 _NEXT_WORD = re.compile(r"[ ]+((?:[^\W\d_]|[-'’])+)")
 _MAIL = re.compile(r"([A-Za-z0-9._%+\-]+)@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}")
+_FORM_ENDS = tuple(" " + f for f in LEGAL_FORMS)
 _EDGES = ".,;:!?()\"'’"
 _PARTICLES, _CONNECTORS, _OPENERS, _CONJUNCTIONS, _ROLES, _TITLES = map(frozenset, (PARTICLES, CONNECTORS, OPENERS, CONJUNCTIONS, ROLES, TITLES))
 _STREETS, _PRODUCTS, _HEADING, _FORMS, _MAILBOXES = map(frozenset, (STREETS, PRODUCTS, HEADING_WORDS, LEGAL_FORMS, MAILBOXES))
@@ -117,6 +120,7 @@ def is_role(word: str) -> bool:
     return low.removesuffix("'s").removesuffix("’s") in _ROLES
 
 
+@lru_cache(maxsize=1 << 16)
 def kind(word: str) -> str:
     if not capitalised(word):
         return "p" if word.lower() in _PARTICLES else "o"
@@ -198,17 +202,18 @@ def runs(text: str, country: str = "") -> list[Run]:
     """The capitalised runs of a text with their marks, in order."""
     found = list(_WORD.finditer(text))
     words, starts, ends = [m[0] for m in found], [m.start() for m in found], [m.end() for m in found]
-    memory: dict[str, str] = {}
     letters, opening, last = [], [], 0
     before = True
     for i, w in enumerate(words):
         gap = text[last : starts[i]]
-        opening.append(opens(gap, before))
+        if gap == " ":
+            opening.append(before)
+            letters.append("+")
+        else:
+            opening.append(opens(gap, before))
+            letters.append("+" if not gap.strip(" ") else ",")
         before, last = False, ends[i]
-        letters.append("+" if not gap.strip(" ") else ",")
-        if (k := memory.get(w)) is None:
-            k = memory[w] = kind(w)
-        letters.append(k)
+        letters.append(kind(w))
     line = "".join(letters)
     keywords = keywords_of(country)
     out: list[Run] = []
@@ -230,7 +235,7 @@ def runs(text: str, country: str = "") -> list[Run]:
             run.titled, run.opening = True, False
         run.text = text[run.start : run.end]
         name_end = 0
-        run.legal = any(run.text.endswith(" " + f) for f in LEGAL_FORMS)
+        run.legal = run.text.endswith(_FORM_ENDS)
         if not run.legal and (form := _FORM.match(text, run.end)):
             run.legal, name_end = True, run.end if form[2] else 0
             run.end = form.end()
@@ -340,9 +345,10 @@ def discover_names(documents: DataFrame, allow: Allowlist | None = None, options
     allow, o = allow or Allowlist(), options or Options()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text in zip(batch.column("doc_ord").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pylist([{"doc_ord": doc, **r} for r in name_rows(text or "", o, country)], schema=_ROWS)
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                rows = [{"doc_ord": doc, **r} for doc, text in zip(batch.column("doc_ord").to_pylist(), batch.column("text").to_pylist(), strict=True) for r in name_rows(text or "", o, country)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in rows], f.type) for f in _ROWS], schema=_ROWS)
 
     return filter_allowed(documents.select("doc_ord", "text").mapInArrow(run, NAMES), allow, "main_text")
 

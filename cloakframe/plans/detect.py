@@ -42,7 +42,12 @@ def from_signals(documents: DataFrame, sources: dict[str, dict[str, bool]] | Non
         ("email", "organisation", discover.email_organisation_seeds, discover.EMAIL),
         ("website", "organisation", discover.website_seeds, discover.WEBSITE),
     ]
-    parts = [discover.find_seeds(documents, cut(seeds(documents)), pattern, allow) for s, d, seeds, pattern in wanted if enabled(sources, s, d)]
+    by_pattern: dict[str, DataFrame] = {}  # the texts are read once for all seeds of a pattern
+    for s, d, seeds, pattern in wanted:
+        if enabled(sources, s, d):
+            found = cut(seeds(documents))
+            by_pattern[pattern] = by_pattern[pattern].unionByName(found) if pattern in by_pattern else found
+    parts = [discover.find_seeds(documents, found, pattern, allow) for pattern, found in by_pattern.items()]
     if not parts:
         none = discover.email_person_seeds(documents).limit(0)
         parts = [discover.find_seeds(documents, none, discover.EMAIL, broadcast=True)]
@@ -101,7 +106,7 @@ def detect(documents: DataFrame, config: Config | None = None, options: heuristi
         found = found.unionByName(_found(told, 3, "local_llm"))
     if suppress_defined:
         found = filter_allowed(found, composed([], defined=terms), "main_text")
-    found = filter_allowed(found, allow, "main_text")
+    found = cut(filter_allowed(found, allow, "main_text"))  # the texts are read once, though merging reads its rows twice
     folded = discover.fold_families(_numbered(discover.merge_suggestions(found)), allow)
     if refine is not None:
         again = classify(cut(folded), refine)
