@@ -25,12 +25,26 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
     return {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
 
 
+#: Bytes of a table's files that stay as they are read, and that a task is to get at most of a larger one.
+ONE_TASK, A_TASK = 200_000, 8_000_000
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """A table by the hash of its first column over as many tasks as the session has or more, unless it is in as many files. A file may be
+    one row group of a million rows, which one task would read and then scan alone, whatever the number of cores."""
+    spark, size = rows.sparkSession, int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = spark.sparkContext.defaultParallelism
+    if size <= ONE_TASK or len(rows.inputFiles()) >= cores:
+        return rows
+    return rows.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions")), size // A_TASK), rows.columns[0])
+
+
 def source(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """``sql`` over the tables it names, as both engines read it."""
     names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations"]
     for n in names:
         if re.search(rf"\b{n}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
+            dealt(spark.read.parquet(f"{sf_dir}/{n}.parquet")).createOrReplaceTempView(n)
     return spark.sql(sql)
 
 
