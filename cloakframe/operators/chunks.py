@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 TARGET_BYTES = {"thorough": 1200, "faster": 4000}
 OVERLAP_BYTES = 512
+#: Characters of chunks that are sent back together.
+SENT = 4_000_000
 CHUNK = "doc_ord long, chunk_ord int, from_unit int, to_unit int, text string"
 
 
@@ -44,22 +46,38 @@ def pack_units(units: list[str], level: str = "thorough", wanted: list[int] | No
         raise ValueError(f"unit {bad[0]} is not within 1-{len(units)}")
     text = lambda a, b: joiner.join(units[a - 1 : b])
     groups: list[list[int]] = []
+    size, between = 0, len(joiner.encode())
     for u in wanted:
-        if groups and u == groups[-1][1] + 1 and len(text(groups[-1][0], u).encode()) <= TARGET_BYTES[level]:
+        own = len(units[u - 1].encode())
+        if groups and u == groups[-1][1] + 1 and size + between + own <= TARGET_BYTES[level]:
             groups[-1][1] = u
+            size += between + own
         else:
             groups.append([u, u])
+            size = own
     return [(a, b, piece) for a, b in groups for piece in split_oversized(text(a, b), hard_max) if piece.strip()]
 
 
 def scan_chunks(documents: DataFrame, level: str = "thorough", hard_max: int = 0) -> DataFrame:
     """CHUNK rows of ``documents`` (doc_ord, units ARRAY<STRING>)."""
 
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], ["doc_ord", "chunk_ord", "from_unit", "to_unit", "text"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(d, i, a, b, t) for d, us in zip(batch.column("doc_ord").to_pylist(), batch.column("units").to_pylist(), strict=True) for i, (a, b, t) in enumerate(pack_units(us or [], level, None, hard_max))]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(5)], ["doc_ord", "chunk_ord", "from_unit", "to_unit", "text"])
+            rows, size = [], 0  # one document's units at a time, and so many chunks as are sent together
+            for d, us in zip(batch.column("doc_ord"), batch.column("units"), strict=True):
+                doc = d.as_py()
+                for i, (a, b, t) in enumerate(pack_units(us.as_py() or [], level, None, hard_max)):
+                    rows.append((doc, i, a, b, t))
+                    size += len(t)
+                    if size > SENT:
+                        yield made(rows)
+                        rows, size = [], 0
+            yield made(rows)
 
     return documents.select("doc_ord", "units").mapInArrow(run, CHUNK)
 
