@@ -26,7 +26,10 @@ def unify_ownership(spans: DataFrame) -> DataFrame:
     ``owned_from`` is the category a claim gave up, null where nothing changed.
     """
     best = spans.groupBy("owner_key").agg(F.min_by(F.struct("category", "match_class", "rank", "main_text", "confidence", "checksum_ok"), F.expr(_STRENGTH)).alias("_o"))
-    joined = spans.join(best, "owner_key").repartition("doc_ord", "region_ord")  # as all that follows wants it
+    # as all that follows wants it; by number, since spans are few bytes but much work, and would be put together into a few tasks
+    spark = spans.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    joined = spans.join(best, "owner_key").repartition(tasks, "doc_ord", "region_ord")
     changed = F.col("_o.category") != F.col("category")
     out = joined.select(
         "doc_ord", "region_ord", "start", "end", "byte_len", F.col("_o.category").alias("category"), "original", F.when(F.col("rank") == F.col("_o.rank"), F.coalesce("main_text", "_o.main_text")).otherwise(F.col("_o.main_text")).alias("main_text"),

@@ -3,7 +3,8 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cloakframe.operators import chunks, dictionary, discover
+from cloakframe.operators import chunks, dictionary, discover, patterns, resolve
+from cloakframe.operators.graph import cut
 from cloakframe.plans import queries
 
 TERMS = [f"the.{i:02}@mail{k}.example.com" for i in range(100) for k in range(9)]
@@ -71,3 +72,9 @@ def test_packing_joins_each_unit_once(monkeypatch):
     packs = chunks.pack_units(units, "faster", joiner=Joiner("\n"))
     assert [u for _, _, t in packs for u in t.split("\n")] == units and sum(joined) == 5000
     assert all(len(t.encode()) <= 4000 for _, _, t in packs)
+
+
+def test_spans_are_not_put_together_into_few_tasks(spark):
+    rows = cut(patterns.finished(queries.source(spark, "/root/testdata/sf0.001", queries._CLAIMED)))
+    unified = resolve.unify_ownership(rows)
+    assert unified.rdd.getNumPartitions() >= 4
